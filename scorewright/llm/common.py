@@ -86,7 +86,9 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
             e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         else:
             e = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join reads two plain shuffles, of which a hub's part can be split.
+        low = scratch.keep(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        lows.append(low)
         hung = e.join(low, "u")
         if small:
             out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
@@ -95,12 +97,13 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         return out.where("u <> v").distinct()
 
     e = scratch.keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, lows = None, []
     while True:
         now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if now == seen or now[0] == 0:
             break
-        seen, old = now, e
+        seen, old, lows = now, e, []
         e = scratch.keep(star(star(e, small=False), small=True), "edges")
-        scratch.drop(old)
+        for table in (old, *lows):
+            scratch.drop(table)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

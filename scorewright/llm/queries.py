@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, minhash, mixing
 
 QUERIES = {
+    "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLES = {
+    "op2_minhash_near_dedup": minhash.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
