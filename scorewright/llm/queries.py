@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing
+from . import embed_dedup, exact_dedup, minhash, mixing
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLES = {
     "op2_minhash_near_dedup": minhash.OP2_SQL,
+    "op4_embedding_dedup": embed_dedup.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
