@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, minhash, mixing
+from . import embed_dedup, exact_dedup, minhash, mixing, packing, token_files
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_simple8b_token_files": token_files.op3_simple8b_token_files,
     "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
