@@ -21,7 +21,7 @@ def make_dir(uri: str) -> None:
 
 def open_out(uri: str):
     system, path = locate(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # a .gz name must not compress again
 
 
 def open_in(uri: str):

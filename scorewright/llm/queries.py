@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, minhash, mixing, packing, token_files
+from . import embed_dedup, exact_dedup, minhash, mixing, packing, sharding, token_files, warc
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_simple8b_token_files": token_files.op3_simple8b_token_files,
     "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_two_pass_sharding": sharding.op7_two_pass_sharding,
     "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_splittable_warc": warc.op10_splittable_warc,
 }
 
 ORACLES = {
     "op2_minhash_near_dedup": minhash.OP2_SQL,
     "op4_embedding_dedup": embed_dedup.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op10_splittable_warc": warc.OP10_SQL,
 }
