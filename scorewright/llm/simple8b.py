@@ -30,24 +30,40 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(words) if words else np.empty(0, np.uint64)), np.array(offsets, np.int64)
 
 
+_WIDTHS = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
+def _width(ids: np.ndarray) -> np.ndarray:
+    """Bits of each value below 2**60."""
+    out = _WIDTHS[ids & np.uint64(0xFFFF)]
+    for k in (1, 2, 3):
+        high = (ids >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        if high.any():
+            out = np.where(high > 0, _WIDTHS[high] + np.uint8(16 * k), out)
+    return out
+
+
 def _encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
     n = len(ids)
     place = np.arange(n)
     left = np.minimum(BLOCK - place % BLOCK, n - place)
-    widest = int(ids.max()) if n else 0
+    width = _width(ids)
+    widest = int(width.max()) if n else 0
     chosen = np.full(n, len(LAYOUT) - 1, np.uint8)
     for s in range(len(LAYOUT) - 2, -1, -1):
         count, bits = LAYOUT[s]
-        if widest < (1 << bits):
+        if widest <= bits:
             fits = left >= count
         else:
-            too_wide = np.zeros(n + 1, np.int32)
-            np.cumsum(ids >= np.uint64(1 << bits), out=too_wide[1:])
             if count > n:
-                continue
+                break
+            too_wide = np.zeros(n + 1, np.int32)
+            np.cumsum(width > bits, out=too_wide[1:])
             fits = np.zeros(n, bool)
             fits[: n - count + 1] = too_wide[count:] == too_wide[: n - count + 1]
             fits &= left >= count
+        if not fits.any():  # then no denser form fits either
+            break
         chosen[fits] = s
     step = _COUNT[chosen].astype(np.uint8).tobytes()
     starts, i = [], 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -18,9 +19,14 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Code points that some regex engine may take for white space, beyond the ASCII ones.
 _UNUSUAL_POINTS = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
-_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-MAX_CHUNKS = 300_000
+#: Letters of Latin scripts, whatever the Unicode version; a run of them ends at common punctuation, which is a chunk then.
+_RUN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[\s,.;:!?]|$)|[,.;:!?]++(?=\s|$)|"
+_SPACED = re.compile(" ?" + _RUN + r" ?\S+|\s+(?!\S)|\s+")
+_UNSPACED = re.compile(_RUN + r"\S+")
+MAX_CHUNKS = 700_000
 MAX_CHUNK_CHARS = 64
+#: Chunks looked up at once.
+MAX_RUN = 100_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +35,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers chunks as they are first met; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        n = self[chunk] = len(self)
+        return n
+
+
 class Encoder:
     """Ids of texts by a tokenizers file; ``spaces`` says whether white space is part of tokens."""
 
@@ -38,26 +57,29 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = _PIECES.findall if spaces else str.split
+        self.split = (_SPACED if spaces else _UNSPACED).findall
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.at = _Numbers()
+        self.start, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 8192):
-            part = chunks[i : i + 8192]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids, n = e.ids, len(self.at)
-                while n >= len(self.start):
-                    self.start, self.length = np.resize(self.start, 2 * n), np.resize(self.length, 2 * n)
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.resize(self.pool, 2 * len(self.pool))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.at[chunk], self.start[n], self.length[n] = n, self.used, len(ids)
-                self.used += len(ids)
+    def _learn(self) -> None:
+        new, self.at.new = self.at.new, []
+        n = len(self.at) - len(new)
+        for i in range(0, len(new), 8192):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False)]
+            counts = np.fromiter(map(len, got), np.int32, len(got))
+            total = int(counts.sum())
+            while n + len(got) > len(self.start):
+                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            while self.used + total > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            self.length[n : n + len(got)] = counts
+            self.start[n : n + len(got)] = self.used + np.cumsum(counts) - counts
+            self.used, n = self.used + total, n + len(got)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -69,37 +91,29 @@ class Encoder:
         if _UNUSUAL.search(text):
             return self.whole(text)
         chunks = self.split(text)
-        if len(self.at) > MAX_CHUNKS:
-            self.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.at]
-        if new:
-            if len(max(new, key=len)) > MAX_CHUNK_CHARS or len(new) > MAX_CHUNKS:
-                return self._mixed(chunks)
-            self._learn(new)
-        return self._gather(chunks)
-
-    def _mixed(self, chunks: list[str]) -> np.ndarray:
-        """As encode, for texts with very long or very many new chunks, which aren't kept."""
-        parts, run = [], []
-        for c in chunks:
-            if len(c) > MAX_CHUNK_CHARS or len(run) >= MAX_CHUNKS // 4:
-                parts.append(self._known(run))
-                run = []
-            if len(c) > MAX_CHUNK_CHARS:
-                parts.append(self.whole(c))
-            else:
-                run.append(c)
-        parts.append(self._known(run))
-        return np.concatenate(parts)
+        if not chunks:
+            return np.empty(0, np.uint32)
+        if len(text) < MAX_CHUNK_CHARS or len(max(chunks, key=len)) <= MAX_CHUNK_CHARS:
+            parts = [self._known(chunks[i : i + MAX_RUN]) for i in range(0, len(chunks), MAX_RUN)]
+        else:
+            parts, run = [], []
+            for c in chunks:
+                if len(c) > MAX_CHUNK_CHARS or len(run) >= MAX_RUN:
+                    parts.append(self._known(run))
+                    run = []
+                if len(c) > MAX_CHUNK_CHARS:  # not kept
+                    parts.append(self.whole(c))
+                else:
+                    run.append(c)
+            parts.append(self._known(run))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def _known(self, chunks: list[str]) -> np.ndarray:
         if len(self.at) > MAX_CHUNKS:
             self.clear()
-        self._learn([c for c in dict.fromkeys(chunks) if c not in self.at])
-        return self._gather(chunks)
-
-    def _gather(self, chunks: list[str]) -> np.ndarray:
-        i = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        i = np.fromiter(map(self.at.__getitem__, chunks), np.int32, len(chunks))
+        if self.at.new:
+            self._learn()
         n = self.length[i]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0

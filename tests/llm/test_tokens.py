@@ -38,6 +38,7 @@ def test_any_text(x):
 
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_CHUNKS", 8)
+    monkeypatch.setattr(tokens, "MAX_RUN", 3)
     e = tokens.Encoder(tokens.tokenizer_path(tokens.BYTE_BPE), True)
     for x in [" ".join(f"w{i}" for i in range(n)) for n in (3, 30, 7)] + ["y" * 300 + " z"]:
         assert e.encode(x).tolist() == _direct[tokens.BYTE_BPE](x)
