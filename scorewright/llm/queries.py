@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, minhash, mixing, packing, sharding, token_files, warc
+from . import embed_dedup, exact_dedup, langid, minhash, mixing, packing, sharding, token_files, warc
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_simple8b_token_files": token_files.op3_simple8b_token_files,
     "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
+    "op5_language_id": langid.op5_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_two_pass_sharding": sharding.op7_two_pass_sharding,
     "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
