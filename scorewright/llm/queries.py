@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, langid, minhash, mixing, packing, sharding, token_files, warc
+from . import embed_dedup, exact_dedup, langid, minhash, mixing, packing, pii, sharding, token_files, warc
 
 QUERIES = {
+    "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_simple8b_token_files": token_files.op3_simple8b_token_files,
     "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
