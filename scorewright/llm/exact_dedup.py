@@ -92,5 +92,5 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", none), "_sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
     # The digest is a residual condition: rows are dealt by _id alone, which copies of a text do not share.
     same = (F.col("_id") == F.col("_kept_id")) & ~(F.col("_sha") != F.col("_kept_sha"))
-    kept = keyed.join(decided, same, "left_semi")
+    kept = keyed.join(decided.hint("merge"), same, "left_semi")
     return kept.dropDuplicates(["_id", "_sha"]).select(*docs.columns)

@@ -96,7 +96,7 @@ def _pack(tokenizer: str, window: int):
     schema = pa.schema(_FIELDS)
 
     def pack(batches):
-        encode = tokens.encoder(tokenizer, spaces=False).encode
+        encode = tokens.encoder(tokenizer, spaces=False)
         first = TaskContext.get().partitionId() << 32
         packer, made, out, held = Packer(window), 0, {k: [] for k, _ in _FIELDS}, 0
 
@@ -117,8 +117,8 @@ def _pack(tokenizer: str, window: int):
             return batch
 
         end = np.array([END_ID], np.uint32)
-        for doc_id, text in tokens.rows(batches, "doc_id", "text"):
-            ids = np.concatenate([encode(text), end])
+        for doc_id, ids in tokens.encoded(batches, encode):
+            ids = np.concatenate([ids, end])
             for start in range(0, len(ids), window):
                 full = packer.add(((doc_id, len(ids)), start, ids[start : start + window]))
                 if full:

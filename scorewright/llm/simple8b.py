@@ -46,7 +46,7 @@ def _width(ids: np.ndarray) -> np.ndarray:
 def _encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
     n = len(ids)
     place = np.arange(n)
-    left = np.minimum(BLOCK - place % BLOCK, n - place)
+    left = np.minimum(BLOCK - place % BLOCK, n - place).astype(np.int16)
     width = _width(ids)
     widest = int(width.max()) if n else 0
     chosen = np.full(n, len(LAYOUT) - 1, np.uint8)
@@ -57,28 +57,36 @@ def _encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
         else:
             if count > n:
                 break
-            too_wide = np.zeros(n + 1, np.int32)
-            np.cumsum(width > bits, out=too_wide[1:])
+            run, have = width <= bits, 1
+            while have < count:
+                more = min(have, count - have)
+                run, have = run[:-more] & run[more:], have + more
             fits = np.zeros(n, bool)
-            fits[: n - count + 1] = too_wide[count:] == too_wide[: n - count + 1]
+            fits[: n - count + 1] = run
             fits &= left >= count
         if not fits.any():  # then no denser form fits either
             break
         chosen[fits] = s
-    step = _COUNT[chosen].astype(np.uint8).tobytes()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts, np.int64)
+    # Follow the chosen steps in all blocks at once.
+    step = _COUNT[chosen]
+    at, ends, found = np.arange(0, n, BLOCK), np.minimum(np.arange(0, n, BLOCK) + BLOCK, n), []
+    while len(at):
+        found.append(at)
+        at = at + step[at]
+        going = at < ends
+        if not going.all():
+            at, ends = at[going], ends[going]
+    starts = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
     kind = chosen[starts]
     words = kind.astype(np.uint64)
     for s in np.unique(kind):
         count, bits = LAYOUT[s]
         if bits:
             of = np.flatnonzero(kind == s)
-            shifts = np.uint64(4) + np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            words[of] |= np.bitwise_or.reduce(ids[starts[of][:, None] + np.arange(count)] << shifts, axis=1)
+            at, word = starts[of], words[of]
+            for k in range(count):
+                word |= ids[at + k] << np.uint64(4 + k * bits)
+            words[of] = word
     return np.split(words, np.searchsorted(starts, np.arange(BLOCK, n, BLOCK)))
 
 
@@ -93,8 +101,9 @@ def decode(words: np.ndarray) -> np.ndarray:
         count, bits = LAYOUT[s]
         if bits:
             of = np.flatnonzero(kind == s)
-            shifts = np.uint64(4) + np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            out[starts[of][:, None] + np.arange(count)] = (words[of][:, None] >> shifts) & np.uint64((1 << bits) - 1)
+            at, word, mask = starts[of], words[of], np.uint64((1 << bits) - 1)
+            for k in range(count):
+                out[at + k] = (word >> np.uint64(4 + k * bits)) & mask
     return out
 
 

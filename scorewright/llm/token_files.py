@@ -52,7 +52,7 @@ def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _write(folder: str, tokenizer: str):
     def write(batches):
-        encode = tokens.encoder(tokenizer, spaces=True).encode
+        encode = tokens.encoder(tokenizer, spaces=True)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.s8b"
         out, at, segment, docs, held, size = None, 0, 0, [], [], 0
@@ -69,8 +69,8 @@ def _write(folder: str, tokenizer: str):
             at, segment, docs, held, size = at + len(raw), segment + 1, [], [], 0
 
         end = np.array([END_ID], np.uint32)
-        for doc_id, text in tokens.rows(batches, "doc_id", "text"):
-            ids = np.concatenate([encode(text), end])
+        for doc_id, ids in tokens.encoded(batches, encode):
+            ids = np.concatenate([ids, end])
             docs.append(doc_id)
             held.append(ids)
             size += len(ids)

@@ -1,15 +1,17 @@
-"""Tokenising with a bounded cache of pre-split chunks.
+"""Tokenising with a bounded cache of pre-split chunks, looked up in numpy.
 
-A text is cut where the tokenizer's own pre-tokeniser always cuts, at white
-space.  So the ids of a text are the ids of its chunks one after another, and a
-chunk met before costs a lookup.  Texts with white space beyond ASCII, on which
-regex engines may differ, are encoded whole.
+A text is cut where the tokenizer's own pre-tokeniser always cuts: around white
+space, and where a letter meets common punctuation.  So the ids of a text are the
+ids of its chunks one after another.  Chunks are hashed (64 bits) and looked up
+many at a time; the tokenizers library encodes each new one once.  Texts with
+white space beyond ASCII, on which regex engines may differ, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -19,33 +21,36 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Code points that some regex engine may take for white space, beyond the ASCII ones.
 _UNUSUAL_POINTS = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
-#: Letters of Latin scripts, whatever the Unicode version; a run of them ends at common punctuation, which is a chunk then.
-_RUN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[\s,.;:!?]|$)|[,.;:!?]++(?=\s|$)|"
-_SPACED = re.compile(" ?" + _RUN + r" ?\S+|\s+(?!\S)|\s+")
-_UNSPACED = re.compile(_RUN + r"\S+")
-MAX_CHUNKS = 700_000
-MAX_CHUNK_CHARS = 64
-#: Chunks looked up at once.
-MAX_RUN = 100_000
+#: A cache is emptied beyond so many chunks; longer chunks (in bytes) are not kept.
+MAX_CHUNKS, MAX_CHUNK_BYTES = 1_200_000, 64
+#: Bytes looked up at once; longer texts are cut.
+BATCH_BYTES = 1 << 20
 
+_SPACE, _WHITE, _POINT, _LETTER, _LEAD, _TAIL = 1, 2, 4, 8, 16, 32
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b" \t\n\r\x0b\x0c"]] = _WHITE
+_KIND[0x20] |= _SPACE
+_KIND[[*b",.;:!?"]] = _POINT
+_KIND[[*string.ascii_letters.encode()]] = _LETTER
+#: Two-byte letters U+0100 to U+023F: any byte after C4 to C8 ends a letter.
+_KIND[0xC4:0xC9] = _LEAD
+_KIND[0x80:0xC0] = _TAIL
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
 
-    return public_tokenizers.path(name)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-class _Numbers(dict):
-    """Numbers chunks as they are first met; ``new`` lists those without ids yet."""
+_BASE = 0x9E3779B97F4A7C15
+_cut_bytes = re.compile(rb"[^\s] (?=[^\s])")
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self.new.append(chunk)
-        n = self[chunk] = len(self)
-        return n
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 class Encoder:
@@ -57,67 +62,186 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = (_SPACED if spaces else _UNSPACED).findall
+        self.spaces = spaces
+        self.power, self.inverse = _powers(_BASE, 2 * BATCH_BYTES), _powers(pow(_BASE, -1, 2**64), 2 * BATCH_BYTES)
         self.clear()
 
     def clear(self) -> None:
-        self.at = _Numbers()
-        self.start, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
-
-    def _learn(self) -> None:
-        new, self.at.new = self.at.new, []
-        n = len(self.at) - len(new)
-        for i in range(0, len(new), 8192):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int32, len(got))
+        self.keys, self.values = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.start, self.length, self.known = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
+        self.pool, self.count, self.used = np.zeros(4096, np.uint32), 0, 0
+
+    # The table: open addressing by the upper bits of a key, next slots on conflict; key 0 is an empty slot.
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - (len(self.keys).bit_length() - 1))).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key's chunk, -1 if unknown."""
+        out = np.full(len(keys), -1, np.int32)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            there = self.keys[slots]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slots[hit]]
+            more = ~hit & (there != 0)
+            left, slots = left[more], (slots[more] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that aren't there."""
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] == 0)
+            _, first = np.unique(slots[free], return_index=True)
+            won = free[first]
+            self.keys[slots[won]], self.values[slots[won]] = keys[won], values[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & (len(self.keys) - 1)
+
+    def _learn(self, chunks: list[str], keys: np.ndarray) -> np.ndarray:
+        """Encode new chunks; returns their numbers."""
+        first = self.count
+        for i in range(0, len(chunks), 8192):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[i : i + 8192], add_special_tokens=False)]
+            counts, n = np.fromiter(map(len, got), np.int32, len(got)), self.count
             total = int(counts.sum())
             while n + len(got) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+                self.start, self.length, self.known = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.known))
             while self.used + total > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
             self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-            self.length[n : n + len(got)] = counts
-            self.start[n : n + len(got)] = self.used + np.cumsum(counts) - counts
-            self.used, n = self.used + total, n + len(got)
+            self.length[n : n + len(got)], self.start[n : n + len(got)] = counts, self.used + np.cumsum(counts) - counts
+            self.known[n : n + len(got)] = keys[i : i + 8192]
+            self.used, self.count = self.used + total, n + len(got)
+        size = len(self.keys)
+        while 2 * self.count > size:
+            size *= 4
+        if size > len(self.keys):
+            self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._insert(self.known[: self.count], np.arange(self.count, dtype=np.int32))
+        else:
+            self._insert(keys, np.arange(first, self.count, dtype=np.int32))
+        return np.arange(first, self.count, dtype=np.int32)
+
+    def _chunks(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of every chunk of concatenated texts that end at ``ends``."""
+        kind = _KIND[raw]
+        white = (kind & _WHITE) != 0
+        new_text = np.zeros(len(raw) + 1, bool)
+        new_text[0] = True
+        new_text[ends] = True
+        # A letter that common punctuation follows: ASCII, or two bytes beginning with C3 to C8.
+        letter = (kind & _LETTER) != 0
+        letter[1:] |= ((kind[:-1] & _LEAD) != 0) & ((kind[1:] & _TAIL) != 0)
+        letter[1:] |= (raw[:-1] == 0xC3) & ((kind[1:] & _TAIL) != 0) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        begin = new_text.copy()
+        begin[1:-1] |= letter[:-1] & ((kind[1:] & _POINT) != 0)
+        if not self.spaces:
+            begin[1:-1] |= white[1:] != white[:-1]
+            starts = np.flatnonzero(begin[:-1])
+            stops = np.append(starts[1:], len(raw))
+            solid = ~white[starts]
+            return starts[solid], stops[solid]
+        # A run of white space begins a chunk; so does its last byte, unless the text ends there; a space stays with what follows it.
+        begin[1:-1] |= white[1:] & ~white[:-1]
+        before_solid = white[:-1] & ~white[1:] & ~new_text[1:-1]
+        begin[:-2] |= before_solid
+        begin[1:-1] |= before_solid & ((kind[:-1] & _SPACE) == 0)
+        starts = np.flatnonzero(begin[:-1])
+        return starts, np.append(starts[1:], len(raw))
+
+    def _batch(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of byte strings that begin and end where the pre-tokeniser cuts."""
+        joined = b"".join(parts)
+        ends = np.cumsum([len(p) for p in parts])
+        if not joined:
+            return [np.empty(0, np.uint32)] * len(parts)
+        if self.count > MAX_CHUNKS:
+            self.clear()
+        raw = np.frombuffer(joined, np.uint8)
+        starts, stops = self._chunks(raw, ends)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * self.power[: len(raw)], out=sums[1:])
+        keys = (sums[stops] - sums[starts]) * self.inverse[starts]
+        keys ^= keys >> np.uint64(29)
+        keys = (keys + (stops - starts).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(32)
+        keys |= np.uint64(1)
+        found = self._find(keys)
+        long = np.flatnonzero(stops - starts > MAX_CHUNK_BYTES)
+        found[long] = 0
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            new, first, which = np.unique(keys[unknown], return_index=True, return_inverse=True)
+            at = unknown[first]
+            numbers = self._learn([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), stops[at].tolist())], new)
+            found[unknown] = numbers[which]
+        n = self.length[found]
+        n[long] = 0
+        upto = np.cumsum(n, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.pool[np.arange(total) + np.repeat(self.start[found] - upto + n, n)]
+        where = np.concatenate([[0], upto])[np.searchsorted(starts, ends - [len(p) for p in parts])]
+        out = np.split(ids, where[1:])
+        for text in np.unique(np.searchsorted(ends, starts[long], "right")).tolist():
+            base, pieces, last = int(where[text]), [], 0
+            for c in long[np.searchsorted(ends, starts[long], "right") == text].tolist():
+                here = int(upto[c]) - base
+                pieces += [out[text][last:here], self.whole(joined[starts[c] : stops[c]].decode("utf-8", "surrogatepass"))]
+                last = here
+            out[text] = np.concatenate([*pieces, out[text][last:]])
+        return out
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _cut(self, raw: bytes) -> list[bytes] | None:
+        """A long text in parts, each cut before a single space between two words; None if there is no such place."""
+        parts, at = [], 0
+        while len(raw) - at > BATCH_BYTES:
+            found = _cut_bytes.search(raw, at + BATCH_BYTES // 2, at + BATCH_BYTES)
+            if not found:
+                return None
+            parts.append(raw[at : found.start() + 1])
+            at = found.start() + 1
+        return [*parts, raw[at:]]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text as uint32; null counts as empty."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[bytes] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush():
+            nonlocal held, owner, size
+            for i, ids in zip(owner, self._batch(held) if held else []):
+                out[i].append(ids)
+            held, owner, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            raw = text.encode("utf-8", "surrogatepass")
+            parts = None if _UNUSUAL.search(text) else self._cut(raw)
+            if parts is None:
+                flush()
+                out[i].append(self.whole(text))
+                continue
+            for part in parts:
+                if size + len(part) > BATCH_BYTES:
+                    flush()
+                held.append(part)
+                owner.append(i)
+                size += len(part)
+        flush()
+        none = np.empty(0, np.uint32)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out]
+
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of one text as uint32; null counts as empty."""
-        if not text:
-            return np.empty(0, np.uint32)
-        if _UNUSUAL.search(text):
-            return self.whole(text)
-        chunks = self.split(text)
-        if not chunks:
-            return np.empty(0, np.uint32)
-        if len(text) < MAX_CHUNK_CHARS or len(max(chunks, key=len)) <= MAX_CHUNK_CHARS:
-            parts = [self._known(chunks[i : i + MAX_RUN]) for i in range(0, len(chunks), MAX_RUN)]
-        else:
-            parts, run = [], []
-            for c in chunks:
-                if len(c) > MAX_CHUNK_CHARS or len(run) >= MAX_RUN:
-                    parts.append(self._known(run))
-                    run = []
-                if len(c) > MAX_CHUNK_CHARS:  # not kept
-                    parts.append(self.whole(c))
-                else:
-                    run.append(c)
-            parts.append(self._known(run))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-    def _known(self, chunks: list[str]) -> np.ndarray:
-        if len(self.at) > MAX_CHUNKS:
-            self.clear()
-        i = np.fromiter(map(self.at.__getitem__, chunks), np.int32, len(chunks))
-        if self.at.new:
-            self._learn()
-        n = self.length[i]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.arange(total) + np.repeat(self.start[i] - ends + n, n)]
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -136,3 +260,12 @@ def rows(batches: Iterable, *names: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
+
+
+def encoded(batches: Iterable, encode: Encoder) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of rows of Arrow batches with columns doc_id and text, a bounded slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+            yield from zip(ids, encode.encode_many(part.column(part.schema.get_field_index("text")).to_pylist()))

@@ -36,9 +36,15 @@ def test_any_text(x):
         assert e.encode(x).tolist() == _direct[n](x)
 
 
+def test_many_at_once():
+    texts = ODD + [None] + ["b" * 70 + " c" + "d" * 80 + ", e" + "f" * 90, "x," * 50] * 2
+    for n, e in _encoders.items():
+        assert [x.tolist() for x in e.encode_many(texts)] == [_direct[n](x) for x in texts]
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_CHUNKS", 8)
-    monkeypatch.setattr(tokens, "MAX_RUN", 3)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 40)
     e = tokens.Encoder(tokens.tokenizer_path(tokens.BYTE_BPE), True)
     for x in [" ".join(f"w{i}" for i in range(n)) for n in (3, 30, 7)] + ["y" * 300 + " z"]:
         assert e.encode(x).tolist() == _direct[tokens.BYTE_BPE](x)
