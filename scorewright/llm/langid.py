@@ -27,7 +27,7 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: The pipeline rejects documents whose prediction has a lower probability.
 LEAST_SCORE = 0.5
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS = 1 << 18
 _SALT = 77
 _letters: list[np.ndarray] = []
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, simple8b, tokens
-from .common import Scratch, only, read
+from .common import Scratch, arrow_rows, only, read
 
 MAGIC = b"S8BTOK01"
 #: A segment is closed when it holds so many ids.
@@ -97,7 +97,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     files.make_dir(folder)
     path = tokenizer or tokens.tokenizer_path(tokens.BYTE_BPE)
     ordered = only(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return scratch.keep(ordered.mapInArrow(_write(folder, path), MANIFEST), "manifest")
+    with arrow_rows(docs.sparkSession, 1000):
+        return scratch.keep(ordered.mapInArrow(_write(folder, path), MANIFEST), "manifest")
 
 
 def _read(batches):

@@ -22,9 +22,9 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _UNUSUAL_POINTS = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
 #: A cache is emptied beyond so many chunks; longer chunks (in bytes) are not kept.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 1_200_000, 64
+MAX_CHUNKS, MAX_CHUNK_BYTES = 500_000, 64
 #: Bytes looked up at once; longer texts are cut.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _SPACE, _WHITE, _POINT, _LETTER, _LEAD, _TAIL = 1, 2, 4, 8, 16, 32
 _KIND = np.zeros(256, np.uint8)
@@ -117,7 +117,7 @@ class Encoder:
             self.used, self.count = self.used + total, n + len(got)
         size = len(self.keys)
         while 2 * self.count > size:
-            size *= 4
+            size *= 2
         if size > len(self.keys):
             self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._insert(self.known[: self.count], np.arange(self.count, dtype=np.int32))
