@@ -109,12 +109,10 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     kept = long_ones.join(groups, "digest").select("page_id", F.col("digest").alias("d"), "keep_id").distinct()
     none = F.lit(-(2**63))
     keyed = base.withColumns({"digest": digest, "_id": F.coalesce("page_id", none)})
-    same = (F.col("_id") == F.coalesce(F.col("k.page_id"), none)) & ~(F.col("digest") != F.col("k.d"))
-    # A merge join leaves the rows dealt by id, as the numbering below needs them: html moves once.
+    same = (F.col("_id") == F.coalesce(F.col("k.page_id"), none)) & (F.col("digest") == F.col("k.d"))
+    # A merge join leaves the rows dealt by id and digest, as the numbering of repeats needs them: html moves once.
     rows = keyed.join(kept.alias("k").hint("merge"), same, "left").select(keyed["page_id"], "_id", "url", "html", "digest", "keep_id")
-    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("_id").orderBy("digest", "url")))
-    first = F.min("again").over(Window.partitionBy("_id", "digest"))
-    rows = rows.withColumn("again", F.col("again") - first + 1).select("page_id", "url", "html", "keep_id", "again")
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("_id", "digest").orderBy("url"))).select("page_id", "url", "html", "keep_id", "again")
     return scratch.keep(rows.mapInArrow(_write(folder, file_bytes), "file string, bytes long, records long"), "files")
 
 
