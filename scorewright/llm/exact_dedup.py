@@ -37,10 +37,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = only(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
 
     keys = scratch.keep(base.select("doc_id", F.octet_length("text").alias("bytes"), F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("prefix")), "keys")
-    lengths = keys.groupBy("bytes").count().where("count > 1").select("bytes")
+    # Facts of groups are written, so that joins on them read two plain shuffles, of which a hot group's part can be split.
+    lengths = scratch.keep(keys.groupBy("bytes").count().where("count > 1").select("bytes"), "lengths")
     same_length = keys.join(lengths, "bytes", "left_semi")
-    prefixes = same_length.groupBy("bytes", "prefix").count().where("count > 1").select("bytes", "prefix")
-    survivors = keys.join(prefixes, ["bytes", "prefix"], "left_semi").select("doc_id").distinct().withColumn("again", F.lit(True))
+    prefixes = scratch.keep(same_length.groupBy("bytes", "prefix").count().where("count > 1").select("bytes", "prefix"), "prefixes")
+    survivors = scratch.keep(keys.join(prefixes, ["bytes", "prefix"], "left_semi").select("doc_id"), "survivors").distinct().withColumn("again", F.lit(True))
 
     numbered = base.withColumn("row", F.monotonically_increasing_id())
     sha = F.sha2(F.col("text").cast("binary"), 256)
@@ -52,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = scratch.keep(full, "digests")
     scratch.drop(keys)
 
-    groups = full.where("again").groupBy("text_sha256").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")).where("n > 1")
+    groups = scratch.keep(full.where("again").groupBy("text_sha256").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")).where("n > 1"), "groups")
     # A unique text without a digest joins with nothing; its row number keeps such rows apart in the shuffle.
     rows = full.withColumn("key", F.coalesce("text_sha256", F.col("row").cast("string")))
     out = rows.join(groups.select(F.col("text_sha256").alias("key"), "n", "top"), "key", "left")
@@ -84,13 +85,12 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of ``docs`` without their copies: of equal texts the largest doc_id stays, a repeated row once.
 
-    Texts move once, by doc_id.  The last step looks for repeats of a (doc_id,
-    digest) within the partitions that the join has made.
+    Texts move once, by doc_id and digest, which copies of a text do not share;
+    repeats of both are found within the partitions that the join has made.
     """
     none = F.lit(-(2**63))
     decided = exact_dedup(docs, digest_all=True).where("kept").select(F.coalesce("doc_id", none).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", none), "_sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
-    # The digest is a residual condition: rows are dealt by _id alone, which copies of a text do not share.
-    same = (F.col("_id") == F.col("_kept_id")) & ~(F.col("_sha") != F.col("_kept_sha"))
+    same = (F.col("_id") == F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
     kept = keyed.join(decided.hint("merge"), same, "left_semi")
     return kept.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
