@@ -169,12 +169,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = scratch.keep(base.mapInArrow(_sign(percent), SIGNED), "signed")
 
     linkable = signed.where("d1 is not null and doc_id is not null")
-    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join reads two plain shuffles, of which a large class's part can be split.
+    classes = scratch.keep(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     member = scratch.keep(linkable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "d1", "d2", "rep"), "members")
     firsts = member.where("doc_id = rep").select("doc_id", "d1", "d2").distinct()
     bands = linkable.join(firsts, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).distinct()
     bands = scratch.keep(bands, "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").drop("n")
+    buckets = scratch.keep(buckets, "buckets")
     star = bands.join(buckets, "band").where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     units = components(star, scratch).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
 
