@@ -10,6 +10,7 @@ runs twice leaves at most a file nobody reads.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -24,6 +25,8 @@ from .common import Scratch, arrow_rows, only, read
 MAGIC = b"S8BTOK01"
 #: A segment is closed when it holds so many ids.
 SEGMENT_IDS = 1 << 18
+#: So many segments a reading task, if that doesn't make too many tasks.
+READ_SEGMENTS = 32
 END_ID = 0
 NULL_ID = -(2**63)
 MANIFEST = "part long, segment long, file string, offset long, length long, n_docs long, n_ids long"
@@ -128,7 +131,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_base"))
     inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("inside", inside).join(parts, "part").select("part", "segment", "file", "offset", "length", (F.col("part_base") + F.col("inside")).alias("base"))
-    n = max(1, min(manifest.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(1, min(math.ceil(manifest.count() / READ_SEGMENTS), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return placed.repartition(n, "part", "segment").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 
