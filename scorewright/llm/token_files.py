@@ -26,7 +26,7 @@ MAGIC = b"S8BTOK01"
 #: A segment is closed when it holds so many ids.
 SEGMENT_IDS = 1 << 18
 #: So many segments a reading task, if that doesn't make too many tasks.
-READ_SEGMENTS = 32
+READ_SEGMENTS = 128
 END_ID = 0
 NULL_ID = -(2**63)
 MANIFEST = "part long, segment long, file string, offset long, length long, n_docs long, n_ids long"
@@ -101,7 +101,9 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     path = tokenizer or tokens.tokenizer_path(tokens.BYTE_BPE)
     ordered = only(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     with arrow_rows(docs.sparkSession, 1000):
-        return scratch.keep(ordered.mapInArrow(_write(folder, path), MANIFEST), "manifest")
+        # The manifest is small; it gets few files, whatever the number of writing tasks.
+        few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+        return scratch.keep(ordered.mapInArrow(_write(folder, path), MANIFEST).repartition(few), "manifest")
 
 
 def _read(batches):
