@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import rank_bins
+from .quantiles import rank_bins_long
 from .rows import distinct_counts
 
 
-def bin_table(df: DataFrame, var: str, dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None, distinct: int | None = None) -> DataFrame:
-    """(bin, mean_dv, max_dv, mean_var, min_var, max_var, cnt) of rows with variable, target and weight.
+def bin_tables(df: DataFrame, variables: list[str], dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:
+    """(variable, bin, mean_dv, max_dv, mean_var, min_var, max_var, cnt, sum_dv) of rows with variable, target and weight.
 
     More than ``decile`` distinct values are cut by rank (or running weight);
-    fewer are bins themselves.
+    fewer are bins themselves.  All variables go through one pass in long form.
     """
-    need = [var, dep_var, *([weight] if weight else [])]
-    some = df.na.drop(subset=need)
-    distinct = distinct_counts(some, [var])[var] if distinct is None else distinct
-    binned = rank_bins(some, var, keys, decile, weight, "_bin").withColumn("_bin", F.col("_bin").cast("double")) if distinct > decile else some.withColumn("_bin", F.col(var).cast("double"))
-    count = F.sum(F.col(weight).cast("double")) if weight else F.count("*").cast("double")
-    return binned.groupBy(F.col("_bin").alias("bin")).agg(F.avg(dep_var).alias("mean_dv"), F.max(F.col(dep_var).cast("double")).alias("max_dv"), F.avg(F.col(var).cast("double")).alias("mean_var"), F.min(F.col(var).cast("double")).alias("min_var"), F.max(F.col(var).cast("double")).alias("max_var"), count.alias("cnt"), F.sum(F.col(dep_var).cast("double") * (F.col(weight).cast("double") if weight else F.lit(1.0))).alias("sum_dv"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    some = df.na.drop(subset=[dep_var, *([weight] if weight else [])])
+    counts = distinct_counts(some, variables)
+    base = some.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col(dep_var).cast("double").alias("y"), w.alias("w"), *[F.col(f"`{v}`").alias(f"_v{i}") for i, v in enumerate(variables)])
+    order = [f"_k{i}" for i in range(len(keys))]
+    items = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_v{i}").cast("double").alias("value")) for i, v in enumerate(variables)])
+    long = base.select(*order, "y", "w", F.explode(items).alias("_i")).select(*order, "y", "w", "_i.variable", "_i.value").where("value is not null")
+    many = [v for v in variables if counts[v] > decile]
+    few = long.where(~F.col("variable").isin(*many) if many else F.lit(True)).withColumn("bin", F.col("value"))
+    binned = few.select("variable", "value", "y", "w", "bin")
+    if many:
+        ranked = rank_bins_long(long.where(F.col("variable").isin(*many)), order, decile)
+        binned = binned.unionByName(ranked.select("variable", "value", "y", "w", F.col("bin").cast("double").alias("bin")))
+    return binned.groupBy("variable", "bin").agg(F.avg("y").alias("mean_dv"), F.max("y").alias("max_dv"), F.avg("value").alias("mean_var"), F.min("value").alias("min_var"), F.max("value").alias("max_var"), F.sum("w").alias("cnt"), F.sum(F.col("y") * F.col("w")).alias("sum_dv"))
+
+
+def bin_table(df: DataFrame, var: str, dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:
+    """The bins of one variable."""
+    return bin_tables(df, [var], dep_var, keys, decile, weight).drop("variable")
 
 
 def with_total(bins: DataFrame) -> DataFrame:
@@ -52,11 +65,7 @@ def information(df: DataFrame, variables: list[str], dep_var: str, keys: list[st
     """(variable, infv, gini, ks); all null when no row responds or every row does."""
     if not variables:
         return df.sparkSession.createDataFrame([], "variable string, infv double, gini double, ks double")
-    counts = distinct_counts(df.na.drop(subset=[dep_var, *([weight] if weight else [])]), variables)
-    parts = None
-    for v in variables:
-        t = bin_table(df, v, dep_var, keys, decile, weight, counts[v]).select(F.lit(v).alias("variable"), "bin", "mean_dv", "max_dv", "cnt", "sum_dv")
-        parts = t if parts is None else parts.unionByName(t)
+    parts = bin_tables(df, variables, dep_var, keys, decile, weight)
     m = bin_metrics(parts, set_size)
     found = m.groupBy("variable").agg(F.sum("contribution").alias("infv"), F.sum(F.when(F.col("br").isNotNull() & F.col("gr").isNotNull(), F.col("area"))).alias("gini"), F.max("gap").alias("ks"))
     return found

@@ -52,26 +52,29 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], method: str
     return ranks.groupBy("variable").agg(*out)
 
 
-def rank_bins(df: DataFrame, column: str, keys: list[str], bins: int, weight: str | None = None, name: str = "bin") -> DataFrame:
-    """Adds bins 0..bins-1 by rank: rank * bins div (n + 1), or by running weight; ties in the order of the keys.
+def rank_bins_long(long: DataFrame, keys: list[str], bins: int, name: str = "bin") -> DataFrame:
+    """Adds bins 0..bins-1 by rank to rows (variable, value, w, ...): running weight * bins div (total weight + 1).
 
-    Null values get a null bin.  Only rows of equal value are ever ordered by
-    key in one task.
+    All variables are ranked in one pass; ties follow the keys.  Values must not
+    be null.  Only a variable's rows of one step are ever ordered in one task.
     """
-    x = F.col(column).cast("double")
+    facts = long.groupBy("variable").agg(F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("w").alias("_total"))
+    step = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_low"), F.col("_high") - F.col("_low")) * STEPS), F.lit(0))
+    stepped = long.join(F.broadcast(facts), "variable").withColumn("_step", step)
+    steps = stepped.groupBy("variable", "_step").agg(F.sum("w").alias("_sum"))
+    steps = steps.select("variable", "_step", F.coalesce(F.sum("_sum").over(Window.partitionBy("variable").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_below"))
+    upto = F.sum("w").over(Window.partitionBy("variable", "_step").orderBy("value", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = stepped.withColumn("_upto", upto).join(steps, ["variable", "_step"])
+    made = F.floor((F.col("_below") + F.col("_upto")) * bins / (F.col("_total") + 1)).cast("long")
+    return ranked.withColumn(name, made).drop("_low", "_high", "_total", "_step", "_upto", "_below")
+
+
+def rank_bins(df: DataFrame, column: str, keys: list[str], bins: int, weight: str | None = None, name: str = "bin") -> DataFrame:
+    """Adds rank bins of one column; null values get a null bin."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    base = df.withColumn("_x", x).withColumn("_w", w)
-    some = base.where("_x is not null")
-    facts = some.agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_w").alias("_total"))
-    step = F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("_low"), F.col("_high") - F.col("_low")) * STEPS), F.lit(0))
-    stepped = some.join(F.broadcast(facts)).withColumn("_step", step)
-    steps = stepped.groupBy("_step").agg(F.sum("_w").alias("_sum"))
-    steps = steps.select("_step", F.coalesce(F.sum("_sum").over(Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_below"))
-    upto = F.sum("_w").over(Window.partitionBy("_step").orderBy("_x", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = stepped.withColumn("_upto", upto).join(F.broadcast(steps), "_step").withColumn("_rank", F.col("_below") + F.col("_upto"))
-    made = F.floor(F.col("_rank") * bins / (F.col("_total") + 1)).cast("long")
-    binned = ranked.withColumn(name, made).select(*df.columns, name)
-    return binned.unionByName(base.where("_x is null").select(*df.columns, F.lit(None).cast("long").alias(name)))
+    long = df.where(F.col(column).isNotNull()).select(F.lit(column).alias("variable"), F.col(column).cast("double").alias("value"), w.alias("w"), *keys, F.struct(*df.columns).alias("_row"))
+    binned = rank_bins_long(long, keys, bins, name).select("_row.*", name)
+    return binned.unionByName(df.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
 def edges_bin(x: Column, edges: list[float]) -> Column:
