@@ -126,7 +126,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v = v.withColumn("usable", usable).withColumn("d1", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("d2", F.when(F.col("usable"), F.xxhash64(F.lit(1), "embedding")))
     keyed = scratch.keep(v.select("vec_id", "d1", "d2"), "digests")
     classes = scratch.keep(keyed.where("d1 is not null").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    firsts = v.where("usable").join(classes, ["d1", "d2"]).where("vec_id = rep").dropDuplicates(["d1", "d2"]).select("rep", "copies", F.size("embedding").alias("dims"), "embedding")
+    # Joined by id as well, which the copies of a vector do not share.
+    c = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep", "copies")
+    firsts = v.where("usable").join(c, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("vec_id") == F.col("rep")))
+    firsts = firsts.dropDuplicates(["d1", "d2", "vec_id"]).select("rep", "copies", F.size("embedding").alias("dims"), "embedding")
     # Blocks per vector length; the table has as many rows as there are lengths.
     firsts = scratch.keep(firsts, "firsts")
     blocks = firsts.groupBy("dims").agg(F.ceil(F.count("*") / TILE_VECTORS).alias("blocks"))
