@@ -7,7 +7,9 @@ Everything that must outlive a task goes to the folder named by
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scorewright-")
+        folder = tempfile.mkdtemp(prefix="scorewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -120,4 +124,4 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         e = scratch.keep(star(star(e, small=False), small=True), "edges")
         for table in (old, *lows):
             scratch.drop(table)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return scratch.keep(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
