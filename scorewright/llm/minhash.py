@@ -26,6 +26,8 @@ MISS = 1e-6
 #: The estimate drops a pair only if it is so many standard deviations below the threshold.
 DEVIATIONS = 5.0
 TILE_DOCS, TILE_BYTES = 256, 8 << 20
+#: Groups of one block are compared together in packs of about so many bytes.
+PACK_BYTES = 1 << 20
 #: Candidate groups beyond this many documents are compared bucket by bucket instead of as a whole.
 GIANT = 1 << 16
 _MUL = (np.random.default_rng(5).integers(0, 2**31, MINIMA, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -181,7 +183,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = components(star, scratch).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
 
     facts = firsts.select(F.col("doc_id").alias("rep"), "d1", "d2")
-    units = scratch.keep(units, "units")
     giant = units.groupBy("unit").count().where(F.col("count") > GIANT).select("unit")
     if not giant.isEmpty():
         huge = units.join(giant, "unit", "left_semi")
@@ -191,7 +192,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sigs = linkable.select(F.col("doc_id").alias("rep"), "d1", "d2", "bytes", "sig").join(facts, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1"]).select("rep", "bytes", "sig")
     units = scratch.keep(units.join(sigs, "rep"), "compared")
     sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("blocks", F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("long"))
-    packs = max(1, math.ceil((units.agg(F.coalesce(F.sum(F.col("bytes") + 512), F.lit(0))).first()[0]) / TILE_BYTES))
+    packs = max(1, math.ceil(units.agg(F.coalesce(F.sum(F.col("bytes") + 512), F.lit(0))).first()[0] / PACK_BYTES))
     placed = units.drop("bytes").join(sizes.select("unit", "blocks"), "unit")
     placed = placed.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
     texts = base.withColumnRenamed("doc_id", "rep").where("rep is not null and text is not null")
