@@ -20,13 +20,26 @@ def split(df: DataFrame, keys: list[str], portion: float, seed: int) -> DataFram
     return df.withColumn(LABEL, F.when(drawn(portion, seed, *_keys(df, keys)), MODEL).otherwise(TEST).cast("int"))
 
 
+#: Ranges of draws that are counted to find where a sample ends.
+RANGES = 1 << 14
+#: Rows that one task numbers, about.
+ROWS_A_RANGE = 50_000
+
+
 def take(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """n rows without replacement: those with the smallest draws, ties by key.
 
-    Rows are numbered by ranges of the draw, so a large n needs no single sort.
+    Rows are counted by ranges of the draw; all rows of the lower ranges are
+    taken by a filter, and only those of the last range are sorted.
     """
-    at = numbered(df, [draw(seed, *_keys(df, keys)), *_keys(df, keys)], "_slot")
-    return at.where(F.col("_slot") < n).drop("_slot")
+    order = [draw(seed, *_keys(df, keys)), *_keys(df, keys)]
+    place = F.floor(order[0] * F.lit(RANGES) / F.lit(4294967296.0)).cast("int")
+    base = 0
+    for r in sorted(df.groupBy(place.alias("place")).count().collect()):
+        if base + r["count"] >= n:
+            return df.where(place < r.place).unionAll(df.where(place == r.place).orderBy(*order).limit(n - base))
+        base += r["count"]
+    return df
 
 
 def top_up(df: DataFrame, keys: list[str], n: int, seed: int, size: int | None = None) -> DataFrame:
@@ -41,12 +54,12 @@ def top_up(df: DataFrame, keys: list[str], n: int, seed: int, size: int | None =
     if size == 0 or n <= size:
         return base
     extra = df.sparkSession.range(n - size).select((draw(seed + 7, F.col("id")) * F.lit(1.0) * F.lit(size) / F.lit(4294967296.0)).cast("long").alias("_slot"), (F.col("id") + 1).alias("_n"))
-    slots = numbered(df, [draw(seed, *_keys(df, keys)), *_keys(df, keys)], "_slot")
+    slots = numbered(df, [draw(seed, *_keys(df, keys)), *_keys(df, keys)], "_slot", max(64, size // ROWS_A_RANGE))
     copies = slots.join(extra, "_slot").withColumn(COPY, F.col("_n").cast("int")).select(*df.columns, COPY)
     return base.unionByName(copies)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, ranges: int = 256) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, ranges: int) -> DataFrame:
     """Rows numbered from 0 in the given order, whose first column is a draw.
 
     Draws are uniform, so equal ranges of them hold about equal numbers of rows:

@@ -152,13 +152,17 @@ def fit_recode(df: DataFrame, roles: Roles, config: RecodeConfig = RecodeConfig(
     """Learn the recodes of all variables from the rows that aren't Test; ``output`` also gets the program files."""
     roles = roles.exclusive()
     check_variables(df, [*roles.bin_vars, *roles.nom_vars, *roles.ord_vars, *roles.cont_vars, roles.dep_var])
-    work = work_file(df)
-    nobs, mean = profiles.overall(work, roles.dep_var)
+    # All variables are read many times, the other columns never. Report rows are computed later, from the table itself.
+    work = work_file(df).select(*dict.fromkeys([roles.dep_var, *roles.bin_vars, *roles.nom_vars, *roles.ord_vars, *roles.cont_vars])).persist()
     out, reports = Recoded(), []
-    _binary(work, roles, config, out, reports, nobs, mean)
-    _nominal(work, roles, config, out, reports, nobs, mean)
-    _numeric(work, roles, config, out, reports, nobs, mean, ordinal=True)
-    _numeric(work, roles, config, out, reports, nobs, mean, ordinal=False)
+    try:
+        nobs, mean = profiles.overall(work, roles.dep_var)
+        _binary(work, roles, config, out, reports, nobs, mean)
+        _nominal(work, roles, config, out, reports, nobs, mean)
+        _numeric(work, roles, config, out, reports, nobs, mean, ordinal=True)
+        _numeric(work, roles, config, out, reports, nobs, mean, ordinal=False)
+    finally:
+        work.unpersist()
     for r in reports:
         out.profile = r if out.profile is None else out.profile.unionByName(r, allowMissingColumns=True)
     if output:
