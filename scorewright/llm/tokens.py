@@ -22,9 +22,9 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _UNUSUAL_POINTS = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
 #: A cache is emptied beyond so many chunks; longer chunks (in bytes) are not kept.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 1_500_000, 64
+MAX_CHUNKS, MAX_CHUNK_BYTES = 1_400_000, 64
 #: Bytes looked up at once; longer texts are cut.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 
 _SPACE, _WHITE, _POINT, _LETTER, _LEAD, _TAIL = 1, 2, 4, 8, 16, 32
 _KIND = np.zeros(256, np.uint8)
@@ -63,13 +63,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
+        self.id_type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.power, self.inverse = _powers(_BASE, 2 * BATCH_BYTES), _powers(pow(_BASE, -1, 2**64), 2 * BATCH_BYTES)
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.values = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.start, self.length, self.known = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
-        self.pool, self.count, self.used = np.zeros(4096, np.uint32), 0, 0
+        self.start, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.uint16)
+        self.pool, self.count, self.used = np.zeros(4096, self.id_type), 0, 0
 
     # The table: open addressing by the upper bits of a key, next slots on conflict; key 0 is an empty slot.
 
@@ -108,21 +109,20 @@ class Encoder:
             counts, n = np.fromiter(map(len, got), np.int32, len(got)), self.count
             total = int(counts.sum())
             while n + len(got) > len(self.start):
-                self.start, self.length, self.known = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.known))
+                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
             while self.used + total > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.id_type, total)
             self.length[n : n + len(got)], self.start[n : n + len(got)] = counts, self.used + np.cumsum(counts) - counts
-            self.known[n : n + len(got)] = keys[i : i + 8192]
             self.used, self.count = self.used + total, n + len(got)
-        size = len(self.keys)
-        while 2 * self.count > size:
-            size *= 2
-        if size > len(self.keys):
+        if 10 * self.count > 7 * len(self.keys):
+            filled, old, values = self.keys != 0, self.keys, self.values
+            size = len(old)
+            while 10 * self.count > 7 * size:
+                size *= 2
             self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            self._insert(self.known[: self.count], np.arange(self.count, dtype=np.int32))
-        else:
-            self._insert(keys, np.arange(first, self.count, dtype=np.int32))
+            self._insert(old[filled], values[filled])
+        self._insert(keys, np.arange(first, self.count, dtype=np.int32))
         return np.arange(first, self.count, dtype=np.int32)
 
     def _chunks(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +178,11 @@ class Encoder:
             at = unknown[first]
             numbers = self._learn([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), stops[at].tolist())], new)
             found[unknown] = numbers[which]
-        n = self.length[found]
+        n = self.length[found].astype(np.int64)
         n[long] = 0
         upto = np.cumsum(n, dtype=np.int64)
         total = int(upto[-1]) if len(upto) else 0
-        ids = self.pool[np.arange(total) + np.repeat(self.start[found] - upto + n, n)]
+        ids = self.pool[np.arange(total) + np.repeat(self.start[found] - upto + n, n)].astype(np.uint32)
         where = np.concatenate([[0], upto])[np.searchsorted(starts, ends - [len(p) for p in parts])]
         out = np.split(ids, where[1:])
         for text in np.unique(np.searchsorted(ends, starts[long], "right")).tolist():
