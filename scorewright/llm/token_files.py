@@ -121,6 +121,7 @@ def _read(batches):
                 "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.large_binary()).cast(pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
+        tokens.give_back()
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ white space beyond ASCII, on which regex engines may differ, are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import string
@@ -16,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Code points that some regex engine may take for white space, beyond the ASCII ones.
@@ -254,6 +256,16 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _encoders[path, spaces]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand memory that Arrow and the C library keep for later back to the system: a Python worker lives for many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def rows(batches: Iterable, *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python values, a bounded slice of each batch at a time."""
     for batch in batches:
@@ -269,3 +281,4 @@ def encoded(batches: Iterable, encode: Encoder) -> Iterator[tuple[int | None, np
             part = batch.slice(at, 256)
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
             yield from zip(ids, encode.encode_many(part.column(part.schema.get_field_index("text")).to_pylist()))
+        give_back()
