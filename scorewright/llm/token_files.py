@@ -26,7 +26,7 @@ MAGIC = b"S8BTOK01"
 #: A segment is closed when it holds so many ids.
 SEGMENT_IDS = 1 << 18
 #: So many segments a reading task, if that doesn't make too many tasks.
-READ_SEGMENTS = 128
+READ_SEGMENTS = 256
 END_ID = 0
 NULL_ID = -(2**63)
 MANIFEST = "part long, segment long, file string, offset long, length long, n_docs long, n_ids long"
@@ -107,6 +107,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
 
 
 def _read(batches):
+    tokens.forget()
+    tokens.give_back()
     for batch in batches:
         for row in batch.to_pylist():
             with files.open_in(row["file"]) as f:

@@ -256,6 +256,11 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _encoders[path, spaces]
 
 
+def forget() -> None:
+    """Drop the encoders of this process; stages that only read have no use for their caches."""
+    _encoders.clear()
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
