@@ -167,7 +167,7 @@ def fit_recode(df: DataFrame, roles: Roles, config: RecodeConfig = RecodeConfig(
         out.profile = r if out.profile is None else out.profile.unionByName(r, allowMissingColumns=True)
     if output:
         for kind, files in (("binary", "Binary"), ("nominal", "Nominal"), ("numeric", "Numeric")):
-            write_recodes([p for p in out.programs() if p["kind"] == kind or kind == "numeric" and p["kind"] == "transform"], f"{output}/CE2_{files}_Var_Recode.json")
+            write_recodes([p for p in out.programs() if p["kind"] == kind or kind == "numeric" and p["kind"] == "transform"], f"{output}/{files.lower()}_recode.json")
     return out
 
 

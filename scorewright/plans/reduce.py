@@ -138,6 +138,6 @@ def _reduce(spark, work, names, dep, keys, weight, cfg: ReduceConfig, output):
     master = voting.ordered(master)
     selected = [r.variable for r in voting.select(master, cfg.sources, always).select("variable").collect()]
     if output:
-        write_table(master.coalesce(1), f"{output}/CE3_Var_Redu_Results", "csv")
-        write_variable_list(selected, f"{output}/CE3_Varlist_redu.txt")
+        write_table(master.coalesce(1), f"{output}/reduction", "csv")
+        write_variable_list(selected, f"{output}/selected_variables.txt")
     return master, selected

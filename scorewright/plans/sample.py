@@ -33,6 +33,6 @@ def sample(df: DataFrame, roles: Roles, config: SampleConfig = SampleConfig(), o
         out = out.drop(sampling.COPY)
     rates = sampling.rate_table(out, roles.dep_var)
     if output:
-        write_table(out, f"{output}/CE1_Resampled")
-        write_table(rates, f"{output}/CE1_Resampled_Sample_Rate", "csv")
+        write_table(out, f"{output}/resampled")
+        write_table(rates, f"{output}/sample_rates", "csv")
     return out, rates

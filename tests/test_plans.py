@@ -62,7 +62,7 @@ def test_sample_stage(spark, tmp_path):
     assert got["Model"] == pytest.approx(0.2, abs=0.05) and got["Test"] == pytest.approx(0.05, abs=0.02) and set(got) == {"Model", "Val", "Test"}
     model = out.where(f"{LABEL} <> 3")
     assert model.where("y = 1").count() / model.count() == pytest.approx(0.2, abs=0.002)
-    assert spark.read.parquet(f"{tmp_path}/CE1_Resampled").count() == out.count()
+    assert spark.read.parquet(f"{tmp_path}/resampled").count() == out.count()
 
 
 def data(spark):
@@ -95,7 +95,7 @@ def test_recode_stage(spark, tmp_path):
     assert all(abs(sum(r.percent for r in report if r.variable == v) - 2) < 1e-9 for v in ("b", "n", "o", "c"))
     ones = next(r for r in report if r.variable == "b" and r.category == "1")
     assert ones["count"] == df.where(f"{LABEL} <> 3 and b is not null").count()  # the profile reads yes, the recode does not
-    programs = json.loads((tmp_path / "CE2_Numeric_Var_Recode.json").read_text())
+    programs = json.loads((tmp_path / "numeric_recode.json").read_text())
     again = Recoded.from_programs(made.programs()).apply(df, roles)
     assert programs and again.exceptAll(out).count() == 0
     flags = fit_recode(df, roles, RecodeConfig(nom_method="BINARY", profiling=False, minbinnp=0.01))
@@ -116,7 +116,7 @@ def test_reduce_stage(spark, tmp_path):
     like_c = ("R1_c", "R1_dup", "R1_dup2", "R1_o")  # all correlate above 0.7, so one at most stays
     assert sum(rows[v].drop_corr == "Y" for v in like_c) >= 2
     assert rows["R1_c"].num_sources == sum(rows["R1_c"][s] for s in master.columns if s.endswith("source"))
-    assert (tmp_path / "CE3_Varlist_redu.txt").read_text() == "%let varlist_redu =\n" + " ".join(chosen) + "\n;"
+    assert (tmp_path / "selected_variables.txt").read_text() == "%let varlist_redu =\n" + " ".join(chosen) + "\n;"
     fast, picked = reduce_variables(rec.drop("R1_leak"), roles, ReduceConfig(fast_opt=True))
     assert "logsource" in fast.columns and "univsource" not in fast.columns and picked
     none, empty = reduce_variables(rec.select("id", "y", LABEL), roles, ReduceConfig())
