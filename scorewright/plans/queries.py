@@ -472,4 +472,4 @@ def full_pipeline(spark, d):
     roles = Roles(id="rid", dep_var="y", bin_vars=("b1",), nom_vars=("n1",), ord_vars=("o1",), cont_vars=("x1", "x2", "x3", "x4"))
     labelled, _ = sample(model_table(spark, d), roles, SampleConfig())
     made = fit_recode(labelled, roles, RecodeConfig(profiling=False))
-    return reduce_variables(made.apply(labelled, roles), roles, ReduceConfig(sources=2, decile=10))[0]
+    return reduce_variables(made.apply(labelled, roles), roles, ReduceConfig(samplesize=None, sources=2, decile=10))[0]

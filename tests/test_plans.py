@@ -125,6 +125,21 @@ def test_reduce_stage(spark, tmp_path):
     assert sorted(same) == sorted(chosen)
 
 
+def test_full_pipeline_reads_all_rows(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").crossJoin(spark.range(20).withColumnRenamed("id", "copy"))
+    rows.withColumn("l_orderkey", F.col("l_orderkey") * 20 + F.col("copy")).drop("copy").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.variable: r for r in queries.Q["full_pipeline"](spark, str(tmp_path)).collect()}
+    roles = Roles(id="rid", dep_var="y", bin_vars=("b1",), nom_vars=("n1",), ord_vars=("o1",), cont_vars=("x1", "x2", "x3", "x4"))
+    labelled, _ = sample(queries.model_table(spark, str(tmp_path)), roles, SampleConfig())
+    table = fit_recode(labelled, roles, RecodeConfig(profiling=False)).apply(labelled, roles).where(f"{LABEL} <> 3").drop("rid").toPandas().astype(float)
+    assert 0.7 * len(table) > ReduceConfig().samplesize  # the default draws a sample; from fewer rows none is seen to go, as the split has drawn by the same hashes
+    assert set(got) == {c for c in table.columns if c.startswith("R1_")}
+    for v, r in got.items():
+        x = table[v]
+        assert (r["count"], r.minimum, r.maximum) == (x.count(), x.min(), x.max()), v
+        assert r.mean == pytest.approx(x.mean()) and r.dv_corr == pytest.approx(abs(x.corr(table.y)))
+
+
 def test_groups():
     assert groups_of(list("abcde"), 2) == [["a", "b", "c"], ["d", "e"]] and groups_of(["a"], 5) == [["a"]] and groups_of([], 3) == []
 
