@@ -4,7 +4,8 @@ A text is cut where the tokenizer's own pre-tokeniser always cuts: around white
 space, and where a letter meets common punctuation.  So the ids of a text are the
 ids of its chunks one after another.  Chunks are hashed (64 bits) and looked up
 many at a time; the tokenizers library encodes each new one once.  Texts with
-white space beyond ASCII, on which regex engines may differ, are encoded whole.
+white space beyond ASCII, on which regex engines may differ, are encoded whole, and
+so are texts that hold an added token's literal.
 """
 
 from __future__ import annotations
@@ -56,14 +57,20 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file; ``spaces`` says whether white space is part of tokens."""
+    """Ids of texts by a tokenizers file; ``spaces`` says whether white space is part of tokens.
 
-    def __init__(self, path: str, spaces: bool):
+    With ``plain``, an added token's literal within a text is encoded as any other
+    characters; without, it gives that token's id, as the library has it by default.
+    """
+
+    def __init__(self, path: str, spaces: bool, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.literals = re.compile("|".join(added)) if added else None
         self.spaces = spaces
         self.id_type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.power, self.inverse = _powers(_BASE, 2 * BATCH_BYTES), _powers(pow(_BASE, -1, 2**64), 2 * BATCH_BYTES)
@@ -227,7 +234,7 @@ class Encoder:
             if not text:
                 continue
             raw = text.encode("utf-8", "surrogatepass")
-            parts = None if _UNUSUAL.search(text) else self._cut(raw)
+            parts = None if _UNUSUAL.search(text) or self.literals and self.literals.search(text) else self._cut(raw)
             if parts is None:
                 flush()
                 out[i].append(self.whole(text))
@@ -250,9 +257,9 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaces: bool) -> Encoder:
-    """One per Python worker and file, so that the cache lives over tasks."""
+    """One per Python worker and file, so that the cache lives over tasks; ids are those of the library's plain encode()."""
     if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = Encoder(path, spaces)
+        _encoders[path, spaces] = Encoder(path, spaces, plain=False)
     return _encoders[path, spaces]
 
 

@@ -145,3 +145,21 @@ def test_level_minimises_the_sum_of_squares():
                 costs[int(h)] = int((m[1:40] ** 2).sum())
         assert costs[p.level(size)] == min(costs.values())
         p.add(("k", 0, np.zeros(size, np.uint32)))
+
+
+LITERALS = [(1, "one<|endoftext|>two"), (2, "a <|startoftext|> b <|ENDOFTEXT|> <|endoftext|>"), (3, "no <|endoftext |> here"), (4, "x y " * 100_000 + "<|endoftext|> z"), (5, "last")]
+
+
+def test_literals_of_added_tokens_as_the_library_has_them(spark):
+    want = {}
+    for name, spaces in ((tokens.BYTE_BPE, True), (tokens.WORD_BPE, False)):
+        untouched = Tokenizer.from_file(tokens.tokenizer_path(name))
+        want[name] = [untouched.encode(x, add_special_tokens=False).ids for _, x in LITERALS]
+        assert [x.tolist() for x in tokens.encoder(tokens.tokenizer_path(name), spaces).encode_many([x for _, x in LITERALS])] == want[name]
+    assert want[tokens.BYTE_BPE][0] == [505, 50256, 11545]
+    got = token_files.read_token_files(token_files.write_token_files(frame(spark, LITERALS))).collect()
+    assert [bytes(r.ids) for r in sorted(got, key=lambda r: r.start)] == [np.array([*x, 0], "<u4").tobytes() for x in want[tokens.BYTE_BPE]]
+    parts = {}
+    for r in packing.pack_documents(frame(spark, LITERALS)).collect():
+        parts.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    assert [b"".join(p for _, p in sorted(parts[d])) for d, _ in LITERALS] == [np.array([*x, 1], "<u4").tobytes() for x in want[tokens.WORD_BPE]]
