@@ -27,8 +27,8 @@ LEAST_REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
 FILE_BYTES = 256 << 20
 _CHUNK = 1 << 20
-#: A header longer than this is no header.
-_HEADER_LIMIT = 1 << 16
+#: Bytes to have at hand before a header is read; longer headers are read on.
+_AHEAD = 1 << 16
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -136,18 +136,19 @@ class _Window:
 
 def _header(window: _Window, skip: int) -> bool:
     """Does a gzip member at ``skip`` begin with a whole WARC header?"""
-    z, seen, i = zlib.decompressobj(31), b"", skip
+    z, seen, i, looked = zlib.decompressobj(31), bytearray(), skip, 0
     try:
-        while b"\r\n\r\n" not in seen and len(seen) < _HEADER_LIMIT:
+        while seen.find(b"\r\n\r\n", max(0, looked - 3)) < 0:
+            looked = len(seen)
             if z.eof or (i >= len(window.data) and not window.more()):
                 return False
-            seen += z.decompress(window.data[i : i + 512], _HEADER_LIMIT)
+            seen += z.decompress(window.data[i : i + 512])
             i += 512
             if seen and not b"WARC/1.".startswith(seen[:7]) and not seen.startswith(b"WARC/1."):
                 return False
     except zlib.error:
         return False
-    return b"\r\n\r\n" in seen and b"\r\nWARC-Type:" in seen
+    return b"\r\nWARC-Type:" in seen
 
 
 def _member(window: _Window, skip: int) -> tuple[bytes, int] | None:
@@ -180,7 +181,7 @@ def records(uri: str, start: int, end: int):
             if window.at + found >= end:
                 return
             window.move(window.at + found)
-            if len(window.data) < _HEADER_LIMIT:
+            if len(window.data) < _AHEAD:
                 window.more()
             if not _header(window, 0) or (got := _member(window, 0)) is None:
                 window.move(window.at + 1)

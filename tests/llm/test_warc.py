@@ -52,3 +52,14 @@ def test_ranges_own_each_record_once(tmp_path):
     for step in (7, 100, 999, n):
         got = [warc.parse(raw) for a in range(0, n, step) for raw in warc.records(str(path), a, min(n, a + step))]
         assert [(g["page_id"], g["payload"]) for g in got] == list(enumerate(payloads))
+
+
+@pytest.mark.parametrize("split", [5000, 8 << 20])
+def test_long_urls(spark, split):
+    r = random.Random(5)
+    urls = ["u" * 100_000, "http://x/" + "".join(r.choice("abcdefghijklmnop0123456789") for _ in range(100_000)), "a b" * 40_000, "http://short", "v" * 3_000_000]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    archives = warc.write_warc(df)
+    rows = warc.read_warc(archives, split_bytes=split).collect()
+    assert sorted((x.page_id, x.url, x.payload.decode()) for x in rows) == [(i, u.replace(" ", "%20"), f"page {i}") for i, u in enumerate(urls)]
+    assert len(rows) == sum(a.records for a in archives.collect())
