@@ -41,15 +41,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lengths = scratch.keep(keys.groupBy("bytes").count().where("count > 1").select("bytes"), "lengths")
     same_length = keys.join(lengths, "bytes", "left_semi")
     prefixes = scratch.keep(same_length.groupBy("bytes", "prefix").count().where("count > 1").select("bytes", "prefix"), "prefixes")
-    survivors = scratch.keep(keys.join(prefixes, ["bytes", "prefix"], "left_semi").select("doc_id"), "survivors").distinct().withColumn("again", F.lit(True))
+    survivors = scratch.keep(keys.join(prefixes, ["bytes", "prefix"], "left_semi").select(F.col("doc_id").alias("again_id")), "survivors").distinct().withColumn("again", F.lit(True))
 
     numbered = base.withColumn("row", F.monotonically_increasing_id())
     sha = F.sha2(F.col("text").cast("binary"), 256)
+    same_id = F.col("doc_id").eqNullSafe(F.col("again_id"))
     if digest_all:
         numbered = numbered.select("doc_id", "row", sha.alias("text_sha256"))
-        full = numbered.join(survivors, "doc_id", "left").select("doc_id", "row", "text_sha256", F.coalesce("again", F.lit(False)).alias("again"))
+        full = numbered.join(survivors, same_id, "left").select("doc_id", "row", "text_sha256", F.coalesce("again", F.lit(False)).alias("again"))
     else:
-        full = numbered.join(survivors, "doc_id", "left").select("doc_id", "row", F.when(F.col("again"), sha).alias("text_sha256"), F.coalesce("again", F.lit(False)).alias("again"))
+        full = numbered.join(survivors, same_id, "left").select("doc_id", "row", F.when(F.col("again"), sha).alias("text_sha256"), F.coalesce("again", F.lit(False)).alias("again"))
     full = scratch.keep(full, "digests")
     scratch.drop(keys)
 

@@ -38,3 +38,16 @@ def test_stage(spark):
     out = op.dedup_stage(spark, df, "")
     assert out.columns == df.columns
     assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted({(max(d for d, u in DOCS if (u or "") == (t or "")), t or "") for _, t in DOCS})
+
+
+def test_null_ids(spark):
+    docs = [(1, "same"), (None, "same"), (None, "none has an id"), (None, "none has an id"), (None, "alone"), (2, "also alone, longer"), (3, ""), (None, None), (4, "same")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = [t or "" for _, t in docs]
+    top = {t: max((d for d, u in docs if (u or "") == t and d is not None), default=None) for t in texts}
+    want = sorted(((d, top[t or ""], texts.count(t or "")) for d, t in docs), key=repr)
+    for digest_all in (True, False):
+        rows = op.exact_dedup(df, digest_all=digest_all).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in rows), key=repr) == want
+        assert sorted((r.doc_id for r in rows if r.kept), key=repr) == sorted(top.values(), key=repr)
+    assert sorted(((r.doc_id, r.text or "") for r in op.dedup_stage(spark, df, "").collect()), key=repr) == sorted(((d, t) for t, d in top.items()), key=repr)
