@@ -11,6 +11,7 @@ different ones different, across all documents and runs.
 from __future__ import annotations
 
 import bisect
+import contextlib
 import datetime
 import hashlib
 import re
@@ -239,6 +240,21 @@ KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("phone", re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){5,13}(?!\w)|(?<![\w(])\(\d{2,4}\)[ .-]?\d{2,4}[ .-]\d{2,5}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])"), _phone),
 )
 _ANY = re.compile(r"\d|@")
+#: Kinds whose patterns may take in text beside a value, beyond one of these marks.
+_GREEDY, _MARK = ("iban", "card", "phone"), re.compile("[ .-]")
+
+
+def _candidates(text: str, kind: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Spans to be tried in turn, the longest first at each place; the receiver sends whether it took the last one."""
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        cuts = [c.start() for c in _MARK.finditer(text, start, end)] if kind in _GREEDY else []
+        at = next((c + 1 for c in cuts if c > start), end)  # what follows, if nothing is valid here
+        for stop in [end, *reversed(cuts)]:
+            if (stop == end or pattern.fullmatch(text, start, stop)) and (yield start, stop):
+                at = stop
+                break
 
 
 def find(text: str, key: bytes = DEMO_KEY, back: bool = False) -> Iterator[tuple[int, int, str, str]]:
@@ -250,14 +266,19 @@ def find(text: str, key: bytes = DEMO_KEY, back: bool = False) -> Iterator[tuple
     for kind, pattern, make in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            k = bisect.bisect_left(taken, m.span())
-            if k < len(taken) and taken[k][0] < m.end() or k and taken[k - 1][1] > m.start():
-                continue
-            made = make(m[0], go)
-            if made is not None:
-                taken.insert(k, m.span())
-                yield m.start(), m.end(), kind, made
+        tried, took = _candidates(text, kind, pattern), None
+        with contextlib.suppress(StopIteration):
+            while True:
+                start, end = tried.send(took)
+                took = False
+                k = bisect.bisect_left(taken, (start, end))
+                if k < len(taken) and taken[k][0] < end or k and taken[k - 1][1] > start:
+                    continue
+                made = make(text[start:end], go)
+                if made is not None:
+                    took = True
+                    taken.insert(k, (start, end))
+                    yield start, end, kind, made
 
 
 def pseudonymise(text: str, key: bytes = DEMO_KEY, back: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:

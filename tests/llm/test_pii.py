@@ -79,3 +79,16 @@ def test_query_leaves_no_value(spark, sf):
         if not r.n_values:
             assert r.text == docs[r.doc_id]
             assert not re.search(r"\S@\S|\d{13}|\d+\.\d+\.\d+\.\d+|555-\d{4}", r.text)
+
+
+@pytest.mark.parametrize(("kind", "value"), [("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111"), ("iban", "BE68 5390 0754 7034"), ("iban", "AT61 1904 3002 3457 3201")])
+def test_value_beside_other_text(kind, value):
+    for before, after in (("", " 12/27"), ("", " 123"), ("", " EUR"), ("", " BIC"), ("", " BANK CODE"), ("no. 12 ", ""), ("", " 12 and more")):
+        made, found = pii.pseudonymise(f"x {before}{value}{after}", KEY)
+        assert [(s, e, k) for s, e, k, _ in found] == [(2 + len(before), 2 + len(before) + len(value), kind)], (before, after)
+        assert value not in made and made == f"x {before}{found[0][3]}{after}"
+
+
+def test_values_in_a_row():
+    row = "BE68 5390 0754 7034 AT61 1904 3002 3457 3201 4111 1111 1111 1111 4263 4296 4343 9180"
+    assert [row[s:e] for s, e, _, _ in pii.pseudonymise(row, KEY)[1]] == ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "4111 1111 1111 1111", "4263 4296 4343 9180"]
