@@ -1,7 +1,7 @@
 """Nominal variables: levels collapsed by count, then by t-test, then scored.
 
-The levels of a variable are few by its gate, so their statistics, one aggregate,
-come to the driver; the collapse is sequential by nature.
+The levels' statistics, one aggregate, come to the driver, however many: a recode
+lists its levels, and the collapse is sequential by nature.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.special import t_upper
 
-#: Levels that may come to the driver for one variable.
-MOST_LEVELS = 10_000
-
 
 @dataclass
 class Group:
@@ -105,9 +102,9 @@ def member(x: Column, levels: list) -> Column:
 
 
 def collapse(stats: DataFrame, nobs: int, mean: float | None, *, minbinnp: float = 0.05, minbinnc: int = 500, talpha: float = 0.05, bonfer: bool = False) -> Nominal | None:
-    """Final groups from level statistics (level, dcount, dmean, dvar); None if there are too many levels."""
-    rows = stats.orderBy(F.col("dmean").asc_nulls_last(), F.col("level").asc_nulls_last()).limit(MOST_LEVELS + 1).collect()
-    if not rows or len(rows) > MOST_LEVELS:
+    """Final groups from level statistics (level, dcount, dmean, dvar); None if there is no level."""
+    rows = stats.orderBy(F.col("dmean").asc_nulls_last(), F.col("level").asc_nulls_last()).collect()
+    if not rows:
         return None
     levels = [(r.level, r.dcount, r.dmean, r.dvar) for r in rows]
     first = by_count(levels, nobs, int(nobs * minbinnp) if minbinnp > 0 else minbinnc)

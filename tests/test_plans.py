@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import scorewright
+from scorewright.operators import nominal
 from scorewright.plans import queries
 from scorewright.plans.config import LABEL, RecodeConfig, ReduceConfig, Roles, SampleConfig, roles_from_dict
 from scorewright.plans.recode import Recoded, fit_recode, recode
@@ -140,6 +141,26 @@ def test_full_pipeline_reads_all_rows(spark, sf, tmp_path):
         assert r.mean == pytest.approx(x.mean()) and r.dv_corr == pytest.approx(abs(x.corr(table.y)))
 
 
+def test_recode_of_many_levels(spark):
+    df = spark.range(24000).withColumns({
+        "y": F.expr("cast(id % 12000 % 10 < 4 as int)"),
+        "many": F.expr("case when id % 12 = 0 then 'often' else concat('v', id % 12000) end"),
+        LABEL: F.lit(1),
+    })
+    made = fit_recode(df, Roles(id="id", dep_var="y", nom_vars=("many",)), RecodeConfig(valcnt=0, nom_method="MEAN", concrate=0.999, minbinnp=0.05, talpha=0.05))
+    meta = {r.var_name: r for r in made.meta_table(spark).collect()}["many"]
+    assert meta.uniq_cnt == 11001 and meta.overall_good == 1
+    table = made.apply(df, Roles(id="id", dep_var="y", nom_vars=("many",), keep_list=("many",))).toPandas()
+    levels = df.toPandas().groupby("many").y.agg(["count", "mean", "var"]).reset_index().sort_values(["mean", "many"])
+    groups = nominal.by_t_test(nominal.by_count(list(levels.itertuples(index=False, name=None)), 24000, 1200), 0.05)
+    assert sum(map(len, groups)) == 11001 and len(groups) > 1
+    group_of = {v: i for i, g in enumerate(groups) for v in g}
+    table["want"] = table.groupby(table.many.map(group_of)).y.transform("mean")
+    assert (table.R1_many - table.want).abs().max() < 1e-9
+    report = made.profile.collect()
+    assert sum(r["count"] for r in report if r.category != "Overall") == 24000
+
+
 def test_groups():
     assert groups_of(list("abcde"), 2) == [["a", "b", "c"], ["d", "e"]] and groups_of(["a"], 5) == [["a"]] and groups_of([], 3) == []
 
