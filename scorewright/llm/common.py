@@ -1,8 +1,9 @@
 """Scratch tables in the shared folder, and connected components.
 
 Everything that must outlive a task goes to the folder named by
-``spark.checkpoint.dir``, which all executors share.  Only where that is unset
-(tests on one machine) a temporary folder stands in.
+``spark.checkpoint.dir`` (or given to ``setCheckpointDir``), which all executors
+share.  Only a local master, as in tests, may leave it unset; then a temporary
+folder stands in.
 """
 
 from __future__ import annotations
@@ -14,22 +15,34 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a longest run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables of at most so many rows, each of some 100 bytes at most, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Stands for a null id where ids are join keys.
+NULL_ID = -(2**63)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Spark itself resolves it, without a slash at its end."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder that the driver and all executors see, with its scheme."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scorewright-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found)
 
 
 @contextlib.contextmanager
@@ -44,15 +57,40 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """At its end, everything that operators called inside have left in scratch goes: write their results before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.drop_all()
+
+
 class Scratch:
     """Tables of one operator call, written once and reread.
 
     A written table cuts lineage: a lost executor costs the tasks it ran, not
     the whole chain before them.  ``drop`` removes a table no later step reads.
+    What an operator's result still reads goes at the end of the surrounding
+    ``scratch_scope``, or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        system, p = self._located(self.root)
+        system.mkdirs(p)
+        system.deleteOnExit(p)
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def _located(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -65,17 +103,32 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, table: DataFrame | str) -> None:
-        path = table if isinstance(table, str) else getattr(table, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame | str) -> None:
+        for table in tables:
+            path = table if isinstance(table, str) else getattr(table, "_scratch_path", None)
+            if path:
+                system, p = self._located(path)
+                system.delete(p, True)
 
     def drop_all(self) -> None:
         self.drop(self.root)
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table as the small side of a join: broadcast if it has few rows, else a merge join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+def record_of(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
+
+
+def with_keys(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``record``, a row's own columns as one struct, beside columns of an operator's own: no name can clash."""
+    return docs.select(record_of(docs).alias("record"), *[k.alias(n) for n, k in keys.items()])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -90,6 +143,21 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sum_before(df: DataFrame, part: list[str], at: str, value: str, name: str, span: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same part with a smaller ``at``, a whole number that each part has once.
+
+    Sums run inside spans of ``at`` and over the totals of spans, so no task
+    orders more than ``span`` rows, or one row a span.
+    """
+    low = [Window.unboundedPreceding, -1]
+    spanned = df.withColumn("_span", F.floor(F.col(at) / span))
+    totals = spanned.groupBy(*part, "_span").agg(F.sum(value).alias("_total"))
+    over = Window.partitionBy(*part) if part else Window
+    totals = totals.select(*part, "_span", F.coalesce(F.sum("_total").over(over.orderBy("_span").rowsBetween(*low)), F.lit(0)).alias("_below"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*part, "_span").orderBy(at).rowsBetween(*low)), F.lit(0))
+    return spanned.withColumn("_inside", inside).join(totals, [*part, "_span"]).withColumn(name, F.col("_below") + F.col("_inside")).drop("_span", "_below", "_inside")
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (node, component = smallest node).
 
@@ -124,4 +192,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         e = scratch.keep(star(star(e, small=False), small=True), "edges")
         for table in (old, *lows):
             scratch.drop(table)
-    return scratch.keep(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    out = scratch.keep(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    scratch.drop(e)
+    return out

@@ -8,9 +8,10 @@ from pyarrow import fs
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI; a path without a scheme, which Spark and an executor may read differently, is refused."""
     uri = re.sub(r"^file:/*", "file:///", uri)
     if "://" not in uri:
-        return fs.LocalFileSystem(), uri
+        raise ValueError(f"no scheme in {uri!r}")
     return fs.FileSystem.from_uri(uri)
 
 

@@ -13,9 +13,11 @@ from __future__ import annotations
 import bisect
 import contextlib
 import datetime
+import functools
 import hashlib
 import re
 import string
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,14 +26,18 @@ from pyspark.sql import DataFrame
 from . import tokens
 from .common import only, read
 
-#: For tests and this repository's queries; a deployment passes a secret key of its own.
+#: For this repository's query alone; whoever calls the operator passes a secret key.
 DEMO_KEY = b"demonstration key, not secret"
 ROUNDS = 8
 
 
-def _round(key: bytes, kind: str, size: int, i: int, half: int) -> int:
-    data = f"{kind}|{size}|{i}|{half}".encode()
-    return int.from_bytes(hashlib.blake2b(data, key=key[:64], digest_size=32).digest(), "big")
+def _round(key: bytes, kind: str, size: int, i: int, half: int, width: int) -> int:
+    """A number of at least ``width`` + 128 bits, so that no part of a half that wide is left as it was."""
+    out, block = b"", 0
+    while len(out) * 8 < width + 128:
+        out += hashlib.blake2b(f"{kind}|{size}|{i}|{block}|{half:x}".encode(), key=key[:64], digest_size=64).digest()
+        block += 1
+    return int.from_bytes(out, "big")
 
 
 def permute(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
@@ -47,14 +53,15 @@ def permute(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int
         b, a = a // 2, a
     else:
         b = a
+    width = a.bit_length()
     while True:
         left, right = divmod(x, b)
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
             if i % 2:
-                f = _round(key, kind, size, i, left) % b
+                f = _round(key, kind, size, i, left, width) % b
                 right = (right - f) % b if back else (right + f) % b
             else:
-                f = _round(key, kind, size, i, right) % a
+                f = _round(key, kind, size, i, right, width) % a
                 left = (left - f) % a if back else (left + f) % a
         x = left * b + right
         if x < size:
@@ -200,36 +207,40 @@ def _named(raw: str, go) -> str | None:
     return f"{moved.day} {name} {moved.year}" if raw[0].isdigit() else f"{name} {moved.day}, {moved.year}"
 
 
+@functools.lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The characters that ``c`` may become: same sort, same neighbourhood of 64 code points; a mark only itself."""
+    if c in string.digits:
+        return string.digits
+    if c in string.ascii_lowercase or c in string.ascii_uppercase:
+        return string.ascii_lowercase if c.islower() else string.ascii_uppercase
+    kind, low = unicodedata.category(c), ord(c) & ~63
+    return "".join(chr(i) for i in range(low, low + 64) if unicodedata.category(chr(i)) == kind) if kind[0] in "LN" else c
+
+
 def _email(raw: str, go) -> str | None:
-    """Letters and digits of the local part, and of any label before the last two, are permuted in place."""
-    local, _, domain = raw.rpartition("@")
-    labels = domain.split(".")
-    own = local + "@" + ".".join(labels[:-2])
-    shape, n, size = [], 0, 1
-    for c in own:
-        low = c.lower()
-        base = 10 if c in string.digits else 26 if "a" <= low <= "z" else 1
-        shape.append(base)
-        if base > 1:
-            n = n * base + (int(c) if base == 10 else ord(low) - 97)
-            size *= base
-    n = go(n, size, "email" + "".join({1: ".", 10: "d", 26: "a"}[b] for b in shape))
+    """Letters and digits, of any script, are permuted in place; only the last label of the domain stays as it is.
+
+    ASCII letters count alike in both cases and keep their case.
+    """
+    own, dot, last = raw.rpartition(".")
+    alphabets = [_alphabet(c.lower() if c in string.ascii_letters else c) for c in own]
+    n, size = 0, 1
+    for c, letters in zip(own, alphabets):
+        n = n * len(letters) + letters.index(c.lower() if c in string.ascii_letters else c)
+        size *= len(letters)
+    n = go(n, size, "email" + "".join(a[0] if len(a) > 1 else "." for a in alphabets))
     out = []
-    for c, base in zip(reversed(own), reversed(shape)):
-        if base == 1:
-            out.append(c)
-            continue
-        n, x = divmod(n, base)
-        made = str(x) if base == 10 else chr(97 + x)
-        out.append(made.upper() if c.isupper() else made)
-    local, _, head = "".join(reversed(out)).rpartition("@")
-    return local + "@" + ".".join(([head] if head else []) + labels[-2:])
+    for c, letters in zip(reversed(own), reversed(alphabets)):
+        n, x = divmod(n, len(letters))
+        out.append(letters[x].upper() if c in string.ascii_uppercase else letters[x])
+    return "".join(reversed(out)) + dot + last
 
 
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 #: In this order; what one kind has taken the later ones leave alone.
 KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
-    ("email", re.compile(r"(?<![\w.%+-])\w[\w.%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,61}\.){1,8}[A-Za-z]{2,24}\b"), _email),
+    ("email", re.compile(r"(?<![\w.%+-])\w[\w.%+-]*@(?:\w[\w-]*\.)+[A-Za-z]{2,63}\b"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("date", re.compile(r"(?<![\w.-])(?:19|20)\d\d([-/.])\d{2}\1\d{2}(?![\w-])"), _ymd),
     ("date", re.compile(r"(?<![\w./-])\d{1,2}([-/.])\d{1,2}\1(?:19|20)\d\d(?![\w/-])"), _dmy),
@@ -257,7 +268,7 @@ def _candidates(text: str, kind: str, pattern: re.Pattern) -> Iterator[tuple[int
                 break
 
 
-def find(text: str, key: bytes = DEMO_KEY, back: bool = False) -> Iterator[tuple[int, int, str, str]]:
+def find(text: str, key: bytes, back: bool = False) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of every valid value, in no set order; ``back`` gives the originals of pseudonyms."""
     if not _ANY.search(text):
         return
@@ -281,7 +292,7 @@ def find(text: str, key: bytes = DEMO_KEY, back: bool = False) -> Iterator[tuple
                     yield start, end, kind, made
 
 
-def pseudonymise(text: str, key: bytes = DEMO_KEY, back: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with pseudonyms, and what was replaced: (start, end, kind, pseudonym) by place in the original."""
     found = sorted(find(text, key, back))
     parts, at = [], 0
@@ -310,10 +321,11 @@ def _map(key: bytes):
     return run
 
 
-def pseudonymise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_values, spans (of the original text).
 
-    Recognised: e-mail addresses, IBAN (mod 97), dates 1900 to 2099, IPv4
+    ``key`` is the secret; the same key gives the same pseudonyms in every run.
+    Recognised: e-mail addresses (all but the top-level domain changes), IBAN (mod 97), dates 1900 to 2099, IPv4
     addresses, US social security numbers, card numbers (Luhn) and phone numbers.
     Anything that fails its validation is left as it is, as are texts without
     such values.  A null text stays null, an empty one empty; ids may be null or
@@ -323,4 +335,4 @@ def pseudonymise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def op1_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise_documents(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_values", "spans")
+    return pseudonymise_documents(read(spark, sf_dir, "documents"), DEMO_KEY).select("doc_id", "text", "n_values", "spans")

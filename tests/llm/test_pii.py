@@ -1,3 +1,6 @@
+import datetime
+import ipaddress
+import random
 import re
 
 import pytest
@@ -68,7 +71,87 @@ def test_table(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit("clash")).withColumn("n_values", F.lit(0))
     rows = pii.pseudonymise_documents(df, key=KEY).collect()
     assert sorted(((r.doc_id, r.text, r.n_values) for r in rows), key=repr) == sorted(((d, pii.pseudonymise(t, KEY)[0] if t else t, len(pii.pseudonymise(t or "", KEY)[1])) for d, t in docs), key=repr)
-    assert pii.pseudonymise_documents(df.limit(0)).count() == 0
+    assert pii.pseudonymise_documents(df.limit(0), KEY).count() == 0
+
+
+LETTERS = "firstname.lastname.of.the.family.with.a.long.name.and.more.of.it.x1"
+
+
+@pytest.mark.parametrize("raw", [
+    LETTERS[:64] + "@" + ".".join(["departmentofaveryverylongname"] * 2) + ".subsubdomain.example.com",
+    LETTERS[:64] + "@" + ".".join(["a" * 63] * 7) + ".com",
+    "jane.doe@janedoe.net",
+    "\u0438\u0432\u0430\u043d.\u043f\u0435\u0442\u0440\u043e\u0432@example.org",
+    "J\u00fcrgen.M\u00fcller\u0661\u0662@example.org",
+])
+def test_no_part_of_an_address_stays(raw):
+    made, found = pii.pseudonymise(f"to {raw} now", KEY)
+    assert [(s, e, k) for s, e, k, _ in found] == [(3, 3 + len(raw), "email")]
+    new = found[0][3]
+    assert len(new) == len(raw) and new.rpartition(".")[2] == raw.rpartition(".")[2]
+    at = len(raw) - len(raw.rpartition(".")[2])
+    for a, b in zip(raw[:at], new[:at]):
+        assert (a.isalpha(), a.isdigit(), a.isupper()) == (b.isalpha(), b.isdigit(), b.isupper()) and (a.isalnum() or a == b)
+    same = "".join("x" if a == b and a.isalnum() else " " for a, b in zip(raw[:at], new[:at]))
+    assert max(map(len, same.split()), default=0) <= 4  # chance agreement only
+    assert pii.pseudonymise(made, KEY, back=True)[0] == f"to {raw} now"
+
+
+def test_both_halves_of_wide_numbers_change():
+    size = 26**400
+    for x in (0, 1, 5, size // 3, size - 1):
+        y = pii.permute(x, size, KEY, "t")
+        assert abs(y - x) > size >> 40 and pii.permute(y, size, KEY, "t", back=True) == x
+        near = pii.permute((x + 1) % size, size, KEY, "t")
+        assert abs(near - y) > size >> 40
+
+
+def plain_luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def plain_iban(s):
+    n = 0
+    for c in s[4:] + s[:4]:
+        n = (n * 10 + int(c)) % 97 if c.isdigit() else (n * 100 + ord(c) - 55) % 97
+    return n == 1
+
+
+#: Values with the check that an independent reader makes of them.
+PLANTED = [
+    ("email", "ann.lee@mail.example.com", lambda v: re.fullmatch(r"[a-z.]+@[a-z.]+\.com", v)), ("email", "Bob_2@x-y.org", lambda v: re.fullmatch(r"[A-Z][a-z]{2}_\d@[a-z]-[a-z]\.org", v)),
+    ("iban", "DE89370400440532013000", plain_iban), ("iban", "GB82WEST12345698765432", plain_iban),
+    ("date", "2020-02-29", lambda v: datetime.date.fromisoformat(v)), ("date", "07.11.1963", lambda v: datetime.datetime.strptime(v, "%d.%m.%Y")),
+    ("ipv4", "10.0.0.254", lambda v: ipaddress.IPv4Address(v)), ("ssn", "078-05-1120", lambda v: re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", v)),
+    ("card", "4111111111111111", plain_luhn), ("card", "378282246310005", plain_luhn), ("phone", "+49 30 1234567", lambda v: v[:4] == "+49 "), ("phone", "555-123-4567", lambda v: re.fullmatch(r"\d{3}-\d{3}-\d{4}", v)),
+]
+
+
+def test_planted_values_are_found_and_nothing_else(spark):
+    r = random.Random(11)
+    words = "the cat sat on a mat in room with 12 chairs and 3 tables at 50 % of 1,200 units v2.1 x".split()
+    docs, want = [], {}
+    for i in range(150):
+        text, spans = "", []
+        for _ in range(r.randrange(6)):
+            text += " ".join(r.choice(words) for _ in range(r.randrange(1, 9))) + r.choice([": ", " (", "\n", " - see "])
+            kind, value, _ = PLANTED[r.randrange(len(PLANTED))]
+            spans.append((len(text), len(text) + len(value), kind, value))
+            text += value + r.choice([", ", ") ", "\n", "; "])
+        docs.append((i, text + "end"))
+        want[i] = spans
+    checks, made_of = {v: f for _, v, f in PLANTED}, {}
+    for row in pii.pseudonymise_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), KEY).collect():
+        spans = want[row.doc_id]
+        assert [(s.start, s.end, s.kind) for s in row.spans] == [x[:3] for x in spans] and row.n_values == len(spans)
+        rebuilt, at, old = "", 0, docs[row.doc_id][1]
+        for s, (_, _, _, value) in zip(row.spans, spans):
+            rebuilt += old[at : s.start] + s.pseudonym
+            at = s.end
+            assert s.pseudonym != value and checks[value](s.pseudonym)
+            assert made_of.setdefault(value, s.pseudonym) == s.pseudonym  # linked across documents
+        assert row.text == rebuilt + old[at:]
+    assert len(set(made_of.values())) == len(made_of) == len(PLANTED)
 
 
 def test_query_leaves_no_value(spark, sf):
