@@ -14,22 +14,22 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, only, read
-from .shingles import forest, links, mix, shingle_set
+from .common import NULL_ID, Scratch, bounded, components, only, read, with_keys
+from .shingles import linked_labels, mix, shingle_set, similar_sets
 
 MINIMA, BITS = 128, 4
 #: Chance that a linked pair shares no band, at the threshold itself.
 MISS = 1e-6
 #: The estimate drops a pair only if it is so many standard deviations below the threshold.
 DEVIATIONS = 5.0
-TILE_DOCS, TILE_BYTES = 256, 8 << 20
-#: Groups of one block are compared together in packs of about so many bytes.
-PACK_BYTES = 1 << 20
-#: Candidate groups beyond this many documents are compared bucket by bucket instead of as a whole.
-GIANT = 1 << 16
+#: A block of a bucket has about so many documents, or bytes of text.
+TILE_DOCS, TILE_BYTES = 512, 8 << 20
+#: Small groups are compared together in packs of about so many documents, or bytes.
+PACK_DOCS, PACK_BYTES = 256, 1 << 20
+WORDS = MINIMA * BITS // 64
 _MUL = (np.random.default_rng(5).integers(0, 2**31, MINIMA, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _ADD = np.random.default_rng(6).integers(0, 2**32, MINIMA, dtype=np.int64).astype(np.uint32)
 _BAND = np.random.default_rng(7).integers(0, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -83,15 +83,16 @@ def estimate(agree: np.ndarray) -> np.ndarray:
     return (agree / MINIMA - chance) / (1 - chance)
 
 
-SIGNED = "doc_id long, n_shingles long, bytes long, d1 long, d2 long, sig binary, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, bytes long, d1 long, d2 long, sig array<long>, bands array<long>"
 
 
 def _sign(percent: int):
     rows, bands = band_rows(percent)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("bytes", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_shingles", "bytes", "d1", "d2", "sig", "bands")}
+            out = {k: [] for k in schema.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 h = shingle_set(text)
@@ -107,46 +108,114 @@ def _sign(percent: int):
                 b = (m[: rows * bands].astype(np.uint64) * _BAND[: rows * bands]).reshape(bands, rows).sum(1, dtype=np.uint64)
                 out["d1"].append(int(d[0]))
                 out["d2"].append(int(d[1]))
-                out["sig"].append(pack(m))
+                out["sig"].append(np.frombuffer(pack(m), np.int64))
                 out["bands"].append(mix(b + np.arange(bands, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("bytes", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return sign
 
 
-def _compare(percent: int):
-    least = least_agreement(percent)
+def agreeing(a: Column, b: Column) -> Column:
+    """How many of the 4-bit values agree, of two packed signatures (arrays of longs)."""
+    differ = lambda x: F.bit_count(((x.bitwiseOR(F.shiftrightunsigned(x, 2))).bitwiseOR(F.shiftrightunsigned(x.bitwiseOR(F.shiftrightunsigned(x, 2)), 1))).bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(MINIMA) - F.aggregate(F.zip_with(a, b, lambda x, y: differ(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def possible(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and estimate of two sides (structs with sig and n_shingles) leave it open that they are linked."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (agreeing(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= F.lit(least_agreement(percent)))
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _stars(percent: int):
+    """Members of stars against their centers, on full sets; a pack holds many stars or a chunk of one."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, units, blocks = (table.column(c).to_numpy() for c in ("rep", "unit", "block"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        texts, sigs = table.column("text"), table.column("sig")
-        found_a, found_b = [], []
-        order = np.argsort(units, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(units[order])) + 1):
-            left = group[blocks[group] == low]
-            right = group[blocks[group] == high]
-            if not len(left) or not len(right):
-                continue
-            sa = np.stack([np.frombuffer(sigs[int(i)].as_py(), np.uint64) for i in left])
-            sb = sa if low == high else np.stack([np.frombuffer(sigs[int(i)].as_py(), np.uint64) for i in right])
-            maybe = agreement(sa, sb) >= least
-            if low == high:
-                maybe &= np.arange(len(left))[:, None] < np.arange(len(right))
-            if not maybe.any():
-                continue
-            need_a, need_b = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
-            sets = {int(i): shingle_set(texts[int(i)].as_py()) for i in {*left[need_a].tolist(), *right[need_b].tolist()}}
-            linked = links([sets[int(i)] for i in left[need_a]], [sets[int(i)] for i in right[need_b]], maybe[np.ix_(need_a, need_b)], percent)
-            r, c = forest(linked)
-            found_a.append(ids[left[need_a]][r])
-            found_b.append(ids[right[need_b]][c])
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate(found_a) if found_a else none, "b": np.concatenate(found_b) if found_b else none}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        center, rep, text = table.column("center").to_numpy(), table.column("rep").to_numpy(), table.column("text")
+        found = []
+        order = np.argsort(center, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(center[order])) + 1):
+            c, key = rep[group] == center[group], center[group[0]]
+            centers = [shingle_set(text[int(i)].as_py()) for i in group[c]]
+            for i in group[~c]:
+                s = shingle_set(text[int(i)].as_py())
+                if any(similar_sets(s, t, percent) for t in centers):
+                    found.append((int(rep[i]), int(key)))
+        return pa.Table.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=_LINKS)
 
     return compare
 
 
+def _maybe(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of one tile need their full sets: possible, not yet connected, and met in no earlier band."""
+    least = least_agreement(percent)
+    sig, bands = (table.column(c).combine_chunks() for c in ("sig", "bands"))
+    sig, bands = (x.flatten().to_numpy().reshape(len(table), -1) for x in (sig, bands))
+    size, label, k = (table.column(c).to_numpy() for c in ("n_shingles", "label", "band_no"))
+    k = int(k[left[0]])
+    out = np.zeros((len(left), len(right)), bool)
+    words = sig.view(np.uint64)
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        m = agreement(words[i], words[right]) >= least
+        m &= label[i][:, None] != label[right]
+        small, large = np.minimum(size[i][:, None], size[right]), np.maximum(size[i][:, None], size[right])
+        m &= 100 * small >= percent * large
+        if left is right:
+            m &= np.arange(at, at + len(i))[:, None] < np.arange(len(right))
+        r, c = np.nonzero(m)
+        for s in range(0, len(r), 1 << 16):
+            a, b = r[s : s + (1 << 16)], c[s : s + (1 << 16)]
+            m[a, b] = ~(bands[i[a], :k] == bands[right[b], :k]).any(1)
+        out[at : at + len(i)] = m
+    return out
+
+
+def _tiles(table: pa.Table):
+    """Rows of the lower and of the upper block of each tile of a pack, the same array where that is one block."""
+    band, block, low, high = (table.column(c).to_numpy() for c in ("band", "block", "low", "high"))
+    order = np.argsort(band, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        left, right = group[block[group] == low[group]], group[block[group] == high[group]]
+        if len(left) and len(right):
+            yield left, left if low[group[0]] == high[group[0]] else right
+
+
+def _screen(percent: int):
+    """Rows of the pack that have a pair left after the estimate: (band, rep)."""
+
+    def screen(table: pa.Table) -> pa.Table:
+        keep = np.zeros(len(table), bool)
+        for left, right in _tiles(table):
+            m = _maybe(table, left, right, percent)
+            keep[left[m.any(1)]] = True
+            keep[right[m.any(0)]] = True
+        return table.filter(pa.array(keep)).select(["band", "low", "high", "rep"])
+
+    return screen
+
+
+def _confirm(percent: int):
+    """A forest of confirmed links between different labels, from the full sets of a tile's rows."""
+
+    def confirm(table: pa.Table) -> pa.Table:
+        label, text = table.column("label").to_numpy(), table.column("text")
+        a, b = [], []
+        for left, right in _tiles(table):
+            m = _maybe(table, left, right, percent)
+            need = np.union1d(left[m.any(1)], right[m.any(0)])
+            sets = {int(i): shingle_set(text[int(i)].as_py()) for i in need}
+            for i, j in linked_labels(left, right, m, label, sets, percent):
+                a.append(int(label[i]))
+                b.append(int(label[j]))
+        return pa.Table.from_pydict({"a": a, "b": b}, schema=_LINKS)
+
+    return confirm
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -155,15 +224,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and kept marks that document.  Texts without words (null, empty, blank) have
     an empty set and link with nothing.  Rows that share a doc_id are one
     document; a row without doc_id links with nothing, has no component and is
-    kept.  An empty table gives an empty result.
-
-    How groups stay bounded: documents with equal sets become one class first.
-    Classes that share a band are candidates of each other; a star of links from
-    each bucket's members to its smallest member connects them to candidate
-    groups.  A group is cut into blocks of at most some hundred documents, and
-    pairs of blocks are compared in tasks of their own, which return a forest of
-    confirmed links, never all pairs.  A candidate group larger than GIANT is not
-    compared as a whole but bucket by bucket.
+    kept.  Texts of any length are taken whole.  An empty table gives an empty
+    result.  Columns other than id and text play no part, whatever their names.
+
+    Every pair that shares a band and that its packed signatures leave possible
+    is decided on full sets, in groups of any size.  Documents with equal sets
+    become one class first.  Then each bucket's members are held against its
+    smallest member, which alone connects most groups, in work that grows with
+    the bucket.  What is left, pairs of one bucket that are not connected yet,
+    is compared in pairs of blocks: signatures first, and full texts only of the
+    documents that have such a pair.  A pair counts in the first band it shares.
+    Tasks return forests of links, never all pairs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
@@ -174,40 +245,67 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Written, so that the join reads two plain shuffles, of which a large class's part can be split.
     classes = scratch.keep(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     member = scratch.keep(linkable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "d1", "d2", "rep"), "members")
-    firsts = member.where("doc_id = rep").select("doc_id", "d1", "d2").distinct()
-    bands = linkable.join(firsts, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).distinct()
-    bands = scratch.keep(bands, "bands")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").drop("n")
-    buckets = scratch.keep(buckets, "buckets")
-    star = bands.join(buckets, "band").where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    units = components(star, scratch).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
-
-    facts = firsts.select(F.col("doc_id").alias("rep"), "d1", "d2")
-    giant = units.groupBy("unit").count().where(F.col("count") > GIANT).select("unit")
-    if not giant.isEmpty():
-        huge = units.join(giant, "unit", "left_semi")
-        by_band = bands.join(huge.select("rep"), "rep", "left_semi").join(buckets, "band", "left_semi").select("rep", F.col("band").alias("unit"))
-        units = scratch.keep(units.join(giant, "unit", "left_anti").select("rep", "unit").unionByName(by_band), "units")
-
-    sigs = linkable.select(F.col("doc_id").alias("rep"), "d1", "d2", "bytes", "sig").join(facts, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1"]).select("rep", "bytes", "sig")
-    units = scratch.keep(units.join(sigs, "rep"), "compared")
-    sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("blocks", F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("long"))
-    packs = max(1, math.ceil(units.agg(F.coalesce(F.sum(F.col("bytes") + 512), F.lit(0))).first()[0] / PACK_BYTES))
-    placed = units.drop("bytes").join(sizes.select("unit", "blocks"), "unit")
-    placed = placed.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
+    firsts = linkable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("rep"), "n_shingles", "bytes", "sig", "bands"), "firsts")
+    scratch.drop(classes)
+    bands = scratch.keep(firsts.select("rep", F.posexplode("bands").alias("band_no", "band")), "bands")
+    buckets = scratch.keep(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").drop("n"), "buckets")
+
+    # Stars: each member against the smallest of its buckets.
+    facts = firsts.select("rep", "bytes", F.struct("n_shingles", "sig").alias("fact"))
+    star = scratch.keep(bands.join(buckets, "band").where("rep <> center").select("rep", "center").distinct(), "star")
+    star = star.join(facts, "rep").join(facts.select(F.col("rep").alias("center"), F.col("bytes").alias("center_bytes"), F.col("fact").alias("center_fact")), "center")
+    star = star.where(possible("fact", "center_fact", percent)).groupBy("rep", "center").agg(F.max("bytes").alias("bytes"), F.max("center_bytes").alias("center_bytes"))
+    star = scratch.keep(star, "near")
+    repeated = not linkable.groupBy("doc_id").count().where("count > 1").isEmpty()
     texts = base.withColumnRenamed("doc_id", "rep").where("rep is not null and text is not null")
-    full = placed.join(texts, "rep")
-    tiles = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("unit"), F.lit(packs))).otherwise(F.col("unit")).alias("pack"),
-        (F.col("blocks") > 1).alias("split"),
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "unit", "rep", "block", "sig", "text",
-    )
-    found = scratch.keep(tiles.groupBy("pack", "split", "low", "high").applyInArrow(_compare(percent), "a long, b long"), "links")
-
-    labels = components(found, scratch)
-    named = member.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+
+    def with_text(df: DataFrame) -> DataFrame:
+        """Rows with a rep, each with its text; texts of others do not move if the reps are few."""
+        wanted = scratch.keep(df.select("rep").distinct(), "wanted")
+        found = texts.join(bounded(wanted), "rep", "left_semi")
+        return df.join(found.dropDuplicates(["rep", "text"]) if repeated else found, "rep")
+
+    members = star.groupBy("center").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("center_bytes").alias("center_bytes"))
+    # A chunk holds a copy of the center; it has as many bytes of members at least, if there are so many.
+    chunks = F.greatest(F.col("n") / PACK_DOCS, F.col("bytes") / F.greatest("center_bytes", F.lit(PACK_BYTES)), F.lit(1))
+    members = scratch.keep(members.withColumn("chunks", F.least(F.ceil(chunks), "n").cast("long")), "stars")
+    packs = max(1, math.ceil(members.agg(F.coalesce(F.sum(F.col("bytes") + F.col("center_bytes") + 512 * F.col("n")), F.lit(0))).first()[0] / PACK_BYTES))
+    chunk = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("chunks"))).cast("long")
+    own = members.select(F.col("center").alias("rep"), "center", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    rays = star.join(members.select("center", "chunks"), "center").select("rep", "center", "chunks", chunk.alias("chunk"))
+    placed = with_text(scratch.keep(own.unionByName(rays), "rays"))
+    placed = placed.select(F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("center"), F.lit(packs))).otherwise(F.col("center")).alias("pack"), (F.col("chunks") > 1).alias("split"), "chunk", "center", "rep", "text")
+    found = scratch.keep(placed.groupBy("pack", "split", "chunk").applyInArrow(_stars(percent), "a long, b long"), "links")
+    labels = components(found, scratch).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+
+    # What the stars have left: buckets with documents that are not connected.
+    named = bands.join(buckets.select("band"), "band", "left_semi").join(labels, "rep", "left").select("rep", "band", "band_no", F.coalesce("label", "rep").alias("label"))
+    named = scratch.keep(named, "named")
+    scratch.drop(bands, buckets, star, found)
+    open_ones = scratch.keep(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "n"), "open")
+    rows = named.join(open_ones.select("band"), "band", "left_semi").join(firsts, "rep")
+    rows = scratch.keep(rows, "rows")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = scratch.keep(sizes.select("band", F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("long").alias("blocks")), "sizes")
+    packs = max(1, math.ceil(rows.count() / PACK_DOCS))
+    dealt = rows.join(sizes, "band").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pack_of = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")).alias("pack")
+    tiles = dealt.select(pack_of, (F.col("blocks") > 1).alias("split"), "band", "band_no", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label", "n_shingles", "sig", "bands")
+    left = tiles.groupBy("pack", "split", "low", "high").applyInArrow(_screen(percent), "band long, low long, high long, rep long")
+    left = scratch.keep(left.distinct(), "left")
+    again = with_text(left).join(rows.drop("bytes"), ["rep", "band"]).join(sizes, "band")
+    again = again.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
+    again = again.select(pack_of, (F.col("blocks") > 1).alias("split"), "band", "band_no", "low", "high", "block", "rep", "label", "n_shingles", "sig", "bands", "text")
+    more = scratch.keep(again.groupBy("pack", "split", "low", "high").applyInArrow(_confirm(percent), "a long, b long"), "more")
+    scratch.drop(named, open_ones, rows, left)
+
+    if not more.isEmpty():
+        joined = components(more, scratch).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        every = labels.select("rep", "label").unionByName(joined.select(F.col("old").alias("rep"), F.col("old").alias("label"))).groupBy("rep").agg(F.min("label").alias("label"))
+        labels = scratch.keep(every.join(joined, F.col("label") == F.col("old"), "left").select("rep", F.coalesce("new", "label").alias("label")), "labels")
+    named = member.select("doc_id", "rep").join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -245,7 +343,12 @@ FROM sets JOIN least_seen ON node = doc_id
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of ``docs``, one document of each group of near copies (similarity 0.8 or more): the smallest doc_id."""
-    none = F.lit(-(2**63))
-    dropped = near_dedup(docs, percent=80).where("not kept").select(F.coalesce("doc_id", none).alias("_dropped_id")).distinct()
-    return docs.join(dropped, F.coalesce("doc_id", none) == F.col("_dropped_id"), "left_anti")
+    """Rows of ``docs``, one document of each group of near copies (similarity 0.8 or more): the smallest doc_id.
+
+    Rows of one doc_id stay or go together.  Rows without doc_id, and texts that
+    are null or hold no word, stay.  An empty table gives an empty result.
+    """
+    scratch = Scratch(spark, "near-dedup-stage")
+    dropped = scratch.keep(near_dedup(docs, percent=80).where("not kept").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
+    keyed = with_keys(docs, key=F.coalesce(docs["doc_id"], F.lit(NULL_ID)))
+    return keyed.join(bounded(dropped), F.col("key") == F.col("dropped"), "left_anti").select("record.*")

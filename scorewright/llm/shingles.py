@@ -107,6 +107,57 @@ def links(left: list[np.ndarray], right: list[np.ndarray], maybe: np.ndarray, pe
     return maybe & (100 * both >= percent * (na[:, None] + nb - both))
 
 
+def similar_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets overlap enough; sizes too far apart are told without a look at the items."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    return similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent)
+
+
+#: After so many pairs that prove unlike, the rest of a tile is decided by matrix products.
+MOST_MISSES = 1000
+
+
+def linked_labels(left: np.ndarray, right: np.ndarray, maybe: np.ndarray, label: np.ndarray, sets: dict[int, np.ndarray], percent: int):
+    """Yield linked pairs (i, j) of rows that connect all labels that any pair in ``maybe`` connects, a forest.
+
+    Pairs whose labels are connected by then are passed over.
+    """
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    misses = 0
+    for at in np.flatnonzero(maybe.any(1)).tolist():
+        i = int(left[at])
+        if misses > MOST_MISSES:
+            break
+        for j in right[maybe[at]].tolist():
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x == y:
+                continue
+            if similar_sets(sets[i], sets[j], percent):
+                top[max(x, y)] = min(x, y)
+                yield i, j
+            else:
+                misses += 1
+        maybe[at] = False
+    rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+    if not len(rows):
+        return
+    linked = links([sets[int(i)] for i in left[rows]], [sets[int(j)] for j in right[cols]], maybe[np.ix_(rows, cols)], percent)
+    for r, c in np.argwhere(linked).tolist():
+        i, j = int(left[rows[r]]), int(right[cols[c]])
+        x, y = root(int(label[i])), root(int(label[j]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            yield i, j
+
+
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Few links that keep apart what all of ``linked`` (rows x columns) keep apart.
 

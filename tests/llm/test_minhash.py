@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -52,10 +53,11 @@ def corpus(seed, n=120):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("tile, giant", [(256, 1 << 16), (7, 1 << 16), (7, 5)])
-def test_against_all_pairs(spark, monkeypatch, percent, tile, giant):
+@pytest.mark.parametrize("tile, pack, misses", [(512, 256, 1000), (7, 5, 1)])
+def test_against_all_pairs(spark, monkeypatch, percent, tile, pack, misses):
     monkeypatch.setattr(minhash, "TILE_DOCS", tile)
-    monkeypatch.setattr(minhash, "GIANT", giant)
+    monkeypatch.setattr(minhash, "PACK_DOCS", pack)
+    monkeypatch.setattr(shingles, "MOST_MISSES", misses)
     docs = corpus(percent)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_shingles", F.lit("clash")).withColumn("rep", F.lit(0))
     rows = minhash.near_dedup(df, percent=percent).collect()
@@ -63,6 +65,58 @@ def test_against_all_pairs(spark, monkeypatch, percent, tile, giant):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in rows)
 
 
+def chained(n, seed):
+    """Texts of which each is near its neighbours only, and much of the same words elsewhere."""
+    r = random.Random(seed)
+    w = [f"w{r.randrange(100000)}" for _ in range(150)]
+    out = []
+    for i in range(n):
+        w = list(w)
+        w[r.randrange(len(w))] = f"v{i}"
+        out.append((i * 7 % (n + 1) if (n + 1) % 7 else i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_one_group_over_many_blocks(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE_DOCS", tile)
+    monkeypatch.setattr(minhash, "PACK_DOCS", 20)
+    docs = chained(260, 3)
+    rows = minhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), percent=85).collect()
+    want = brute(docs, 85)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == want
+    assert len({c for _, _, c in want}) == 1
+
+
+def test_agreement_in_columns_is_that_of_numpy(spark):
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 2**32, (20, minhash.MINIMA), dtype=np.uint64).astype(np.uint32)
+    m[10:] = np.where(rng.random((10, minhash.MINIMA)) < 0.7, m[:10], m[10:])
+    packed = [np.frombuffer(minhash.pack(x), np.int64) for x in m]
+    df = spark.createDataFrame([(i, j, packed[i].tolist(), packed[j].tolist()) for i in range(20) for j in range(20)], "i int, j int, a array<long>, b array<long>")
+    got = {(r.i, r.j): r.n for r in df.select("i", "j", minhash.agreeing(F.col("a"), F.col("b")).alias("n")).collect()}
+    low = m & 15
+    assert all(got[i, j] == (low[i] == low[j]).sum() for i, j in got)
+    words = np.stack(packed).view(np.uint64)
+    assert (minhash.agreement(words, words) == (low[:, None] == low[None]).sum(2)).all()
+
+
+def test_scratch_goes_with_its_scope(spark):
+    with common.scratch_scope():
+        n = minhash.near_dedup(spark.createDataFrame(corpus(3)[:40], "doc_id long, text string")).count()
+        roots = [s.root for s in common._scopes[-1]]
+        assert n == 40 and roots and all(os.path.isdir(r.removeprefix("file:")) for r in roots)
+    assert not any(os.path.exists(r.removeprefix("file:")) for r in roots)
+
+
+def test_sums_before(spark):
+    r = random.Random(2)
+    rows = [(p, at, r.randrange(50)) for p in (None, "a", "b") for at in r.sample(range(300), 120)]
+    df = spark.createDataFrame([x for x in rows if x[0]], "p string, at long, v long")
+    got = {(x.p, x.at): x.s for x in common.sum_before(df, ["p"], "at", "v", "s", span=16).collect()}
+    assert got == {(p, at): sum(v for q, b, v in rows if q == p and b < at) for p, at, _ in rows if p}
+
+
 def test_empty(spark):
     assert minhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -114,7 +168,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_stage_keeps_one_of_each_group(spark):
     docs = corpus(9)[:100]
-    df = spark.createDataFrame([(*d, "en") for d in docs], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(*d, "en", d[0]) for d in docs], "doc_id long, text string, lang string, dropped long").withColumns({"key": F.lit(1), "record": F.lit("r"), "_dropped_id": F.lit(2)})
     out = minhash.near_dedup_stage(spark, df, "")
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.exceptAll(df).count() == 0
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in brute(docs, 80)})
