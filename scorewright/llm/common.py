@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many rows, each of some 100 bytes at most, are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: A table smaller than this is dealt to all cores before work in Python: it may come as one row group, that is one task.
+SMALL_BYTES = 16 << 20
 #: Stands for a null id where ids are join keys.
 NULL_ID = -(2**63)
 
@@ -114,6 +116,12 @@ class Scratch:
         self.drop(self.root)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table (by the size Spark estimates, without running anything) in as many parts as there are cores."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table as the small side of a join: broadcast if it has few rows, else a merge join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

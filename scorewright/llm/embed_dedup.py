@@ -14,90 +14,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, only, read
+from .common import Scratch, bounded, components, only, read
 from .shingles import forest
 
-TILE_VECTORS = 4096
-STRIP = 1024
+#: Vectors a block: a 64th of all, but not fewer or more than these, so that there are tiles enough and no vector is copied more often than it must.
+LEAST_BLOCK, MOST_BLOCK = 4096, 65536
+STRIP = 512
 #: Products of so many int8 pairs stay below 2**24, so float32 sums of them are exact.
 EXACT_DIMS = 1024
+#: Computed again at once, in matrix form, from this share of uncertain pairs on.
+DENSE = 0.02
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, int8 values as float32, scales, error bounds) of nonzero rows in double precision."""
+    """(unit vectors, int8 values, scales, error bounds) of nonzero rows in double precision."""
     x = x / np.abs(x).max(1, keepdims=True)
     u = x / np.sqrt((x * x).sum(1, keepdims=True))
     s = np.abs(u).max(1) / 127
     q = np.rint(u / s[:, None])
     e = np.sqrt(((u - q * s[:, None]) ** 2).sum(1)) + 1e-12
-    return u, q.astype(np.float32), s, e
+    return u, q.astype(np.int8), s, e
 
 
-def close_pairs(left, right, threshold: float):
-    """Yield (first row, mask) by strips: which rows of ``left`` and ``right`` have cosine >= threshold.
+def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Exact integer products of int8 rows, as floats."""
+    if q.shape[1] <= EXACT_DIMS:
+        return q.astype(np.float32) @ p.astype(np.float32).T
+    return sum(products(q[:, k : k + EXACT_DIMS], p[:, k : k + EXACT_DIMS]).astype(np.float64) for k in range(0, q.shape[1], EXACT_DIMS))
+
+
+def decided(left, right, threshold: float):
+    """Yield (first row, linked, open) by strips of ``left``: pairs surely at the threshold, and pairs that int8 leaves open.
 
     With u = s q + r and |r| <= e for both sides, the cosine u.v differs from
     s_u s_v q_u.q_v by at most e_u + (1 + e_u) e_v.
     """
-    (u, q, s, e), (v, p, t, d) = left, right
-    reach = d.max(initial=0.0)
-    for at in range(0, len(u), STRIP):
+    (q, s, e), (p, t, d) = left, right
+    for at in range(0, len(q), STRIP):
         i = slice(at, at + STRIP)
-        if q.shape[1] <= EXACT_DIMS:
-            g = q[i] @ p.T
-        else:
-            g = sum((q[i, k : k + EXACT_DIMS] @ p[:, k : k + EXACT_DIMS].T).astype(np.float64) for k in range(0, q.shape[1], EXACT_DIMS))
-        least = (threshold - e[i] - (1 + e[i]) * reach) / s[i]
-        least = np.where(least > 0, least / t.max(initial=1e-300), -np.inf)
-        maybe = g >= (least - 1e-6 * np.abs(least))[:, None]
-        mask = np.zeros(g.shape, bool)
-        if maybe.mean() > 0.02:
-            mask = (u[i] @ v.T >= threshold) & maybe
-        else:
-            r, c = np.nonzero(maybe)
-            bound = g[r, c] * s[i][r] * t[c] + e[i][r] + (1 + e[i][r]) * d[c]
-            r, c = r[bound >= threshold], c[bound >= threshold]
-            for k in range(0, len(r), 1 << 16):
-                a, b = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
-                mask[a, b] = np.einsum("ij,ij->i", u[i][a], v[b]) >= threshold
-        yield at, mask
+        near = products(q[i], p) * s[i][:, None] * t
+        bound = e[i][:, None] + (1 + e[i])[:, None] * d + 1e-9
+        linked = near - bound >= threshold
+        yield at, linked, (near + bound >= threshold) & ~linked
 
 
-def _tile(threshold: float):
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+def exact(u: np.ndarray, v: np.ndarray, open_pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the open pairs of unit vectors have cosine >= threshold in double precision."""
+    if open_pairs.mean() > DENSE:
+        return (u @ v.T >= threshold) & open_pairs
+    out = np.zeros(open_pairs.shape, bool)
+    r, c = np.nonzero(open_pairs)
+    for k in range(0, len(r), 1 << 16):
+        a, b = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+        out[a, b] = np.einsum("ij,ij->i", u[a], v[b]) >= threshold
+    return out
+
+
+QUANTISED = "rep long, copies long, dims int, q binary, scale double, bound double"
+#: kind 0: links of a; 1: a is linked with b; 2: a has open pairs in this tile.
+FOUND = "kind int, dims int, low long, high long, a long, b long, n long"
+_FOUND = pa.schema([("kind", pa.int32()), ("dims", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
 
-    def rows(table: pa.Table) -> np.ndarray:
-        flat = table.column("embedding").combine_chunks()
-        return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+def _quantise(batches):
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for dims in set(table.column("dims").to_pylist()):
+            part = table.filter(pa.array(table.column("dims").to_numpy() == dims))
+            _, q, s, e = quantise(_doubles(part))
+            raw = [row.tobytes() for row in q]
+            yield pa.RecordBatch.from_pydict({"rep": part.column("rep").combine_chunks(), "copies": part.column("copies").combine_chunks(), "dims": part.column("dims").combine_chunks(), "q": pa.array(raw, pa.binary()), "scale": pa.array(s), "bound": pa.array(e)})
+
+
+def _doubles(table: pa.Table) -> np.ndarray:
+    flat = table.column("embedding").combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+
+
+def _tile(threshold: float):
+    """One tile: int8 products first; with vectors at hand (column embedding), only the pairs that int8 leaves open, exactly."""
 
     def compare(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        dims, low, high = (table.column(c)[0].as_py() for c in ("dims", "low", "high"))
         block = table.column("block").to_numpy()
-        left = table.filter(pa.array(block == low))
-        right = left if low == high else table.filter(pa.array(block == high))
-        if not len(left) or not len(right):
-            return out_schema.empty_table()
-        ids, jds = left.column("rep").to_numpy(), right.column("rep").to_numpy()
-        weight_l, weight_r = left.column("copies").to_numpy().astype(np.float64), right.column("copies").to_numpy().astype(np.float64)
-        x = quantise(rows(left))
-        y = x if low == high else quantise(rows(right))
-        linked = np.zeros((len(ids), len(jds)), bool)
-        for at, mask in close_pairs(x, y, threshold):
+        sides = [table.filter(pa.array(block == low))]
+        sides.append(sides[0] if low == high else table.filter(pa.array(block == high)))
+        if not len(sides[0]) or not len(sides[1]):
+            return _FOUND.empty_table()
+        second = "embedding" in table.column_names
+        codes, units = [], []
+        for t in sides[: 1 if low == high else 2]:
+            if second:
+                u, q, s, e = quantise(_doubles(t))
+                units.append(u)
+                codes.append((q, s, e))
+            else:
+                q = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(len(t), -1)
+                codes.append((q, t.column("scale").to_numpy(), t.column("bound").to_numpy()))
+        ids, weights = [t.column("rep").to_numpy() for t in sides], [t.column("copies").to_numpy().astype(np.float64) for t in sides]
+        rows, cols = len(ids[0]), len(ids[1])
+        linked = np.zeros((rows, cols), bool)
+        count, unsure = [np.zeros(rows), np.zeros(cols)], [np.zeros(rows, bool), np.zeros(cols, bool)]
+        for at, sure, maybe in decided(codes[0], codes[-1], threshold):
             if low == high:
-                k = np.arange(len(mask))
-                mask[k, at + k] = False
-            linked[at : at + len(mask)] = mask
-        n_left, n_right = np.zeros(len(ids)), np.zeros(len(jds))
-        for at in np.flatnonzero(linked.reshape(len(ids), -1).any(1)):
-            n_left[at] = weight_r[linked[at]].sum()
-            n_right += linked[at] * weight_l[at]
+                k = np.arange(len(sure))
+                sure[k, at + k] = maybe[k, at + k] = False
+            here = exact(units[0][at : at + len(sure)], units[-1], maybe, threshold) if second else sure
+            linked[at : at + len(sure)] = here
+            count[0][at : at + len(sure)] = here @ weights[1]
+            count[1] += weights[0][at : at + len(sure)] @ here
+            if not second:
+                unsure[0][at : at + len(sure)] = maybe.any(1)
+                unsure[1] |= maybe.any(0)
+        out = {k: [] for k in _FOUND.names}
+
+        def add(kind, a, b=None, n=None):
+            none = np.zeros(len(a), np.int64)
+            for k, v in zip(_FOUND.names, (none + kind, none + dims, none + low, none + high, a, none if b is None else b, none if n is None else n.astype(np.int64))):
+                out[k].append(v)
+
+        for side in range(1 if low == high else 2):
+            hit = np.flatnonzero(count[side])
+            add(0, ids[side][hit], n=count[side][hit])
+            add(2, ids[side][unsure[side]])
         r, c = forest(linked)
-        hit_l = np.flatnonzero(n_left)
-        hit_r = np.flatnonzero(n_right) if low != high else np.empty(0, np.int64)
-        a = np.concatenate([ids[hit_l], jds[hit_r], ids[r]])
-        n = np.concatenate([n_left[hit_l], n_right[hit_r], np.zeros(len(r))]).astype(np.int64)
-        b = pa.array(np.concatenate([np.zeros(len(hit_l) + len(hit_r), np.int64), jds[c]]), mask=np.arange(len(a)) < len(hit_l) + len(hit_r))
-        return pa.table([pa.array(a), b, pa.array(n)], schema=out_schema)
+        add(1, ids[0][r], ids[1][c])
+        return pa.table({k: np.concatenate(v).astype(np.int32 if k in ("kind", "dims") else np.int64) for k, v in out.items()}, schema=_FOUND)
 
     return compare
 
@@ -115,8 +157,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Identical vectors become one class, counted by its copies, before anything is
     compared, so a group of copies costs one vector.  All classes are dealt into
-    blocks of some thousand vectors; each pair of blocks is one task, which
-    returns link counts and a forest of links: never more rows than it got.
+    blocks; each pair of blocks is a tile of int8 values, a byte a component,
+    which settles what the error bounds settle and returns link counts, a forest
+    of links and the vectors with open pairs: never more than a few rows for each
+    it got.  Only those vectors travel again, in full, to have their open pairs
+    computed in double precision.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
@@ -130,16 +175,24 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     c = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep", "copies")
     firsts = v.where("usable").join(c, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("vec_id") == F.col("rep")))
     firsts = firsts.dropDuplicates(["d1", "d2", "vec_id"]).select("rep", "copies", F.size("embedding").alias("dims"), "embedding")
+    coded = scratch.keep(firsts.mapInArrow(_quantise, QUANTISED), "coded")
     # Blocks per vector length; the table has as many rows as there are lengths.
-    firsts = scratch.keep(firsts, "firsts")
-    blocks = firsts.groupBy("dims").agg(F.ceil(F.count("*") / TILE_VECTORS).alias("blocks"))
-    dealt = firsts.join(blocks, "dims").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("dims", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "copies", "block", "embedding")
-    found = scratch.keep(tiles.groupBy("dims", "low", "high").applyInArrow(_tile(threshold), "a long, b long, n long"), "links")
-
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    labels = components(found.where("b is not null"), scratch).withColumnRenamed("node", "rep")
+    side = F.least(F.greatest(F.count("*") / 64, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    blocks = scratch.keep(coded.groupBy("dims").agg(F.ceil(F.count("*") / side).alias("blocks")), "blocks")
+    tiles = max(1, int(blocks.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0.0))).first()[0]))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
+    dealt = coded.join(bounded(blocks), "dims").select("dims", "rep", "copies", "q", "scale", "bound", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("dims", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "copies", "block", "q", "scale", "bound")
+    # A given number of partitions is not merged: tiles are few bytes, but much work.
+    first = scratch.keep(dealt.repartition(tiles, "dims", "low", "high").groupBy("dims", "low", "high").applyInArrow(_tile(threshold), FOUND), "first")
+    unsure = first.where("kind = 2").select("dims", "low", "high", F.col("a").alias("rep"))
+    again = unsure.join(firsts, ["dims", "rep"]).join(bounded(blocks), "dims").select("dims", "low", "high", "rep", "copies", block, "embedding")
+    second = scratch.keep(again.repartition(tiles, "dims", "low", "high").groupBy("dims", "low", "high").applyInArrow(_tile(threshold), FOUND), "second")
+    found = first.unionByName(second).select("kind", "a", "b", "n")
+    scratch.drop(coded)
+
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    labels = components(found.where("kind = 1"), scratch).withColumnRenamed("node", "rep")
     facts = scratch.keep(classes.join(counts, "rep", "left").join(labels, "rep", "left").select("d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "facts")
     out = keyed.join(facts, ["d1", "d2"], "left")
     component = F.coalesce("component", "vec_id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, read
+from .common import NULL_ID, Scratch, bounded, only, read, with_keys
 
 PREFIX_CHARS = 64
 
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         full = numbered.join(survivors, same_id, "left").select("doc_id", "row", F.when(F.col("again"), sha).alias("text_sha256"), F.coalesce("again", F.lit(False)).alias("again"))
     full = scratch.keep(full, "digests")
-    scratch.drop(keys)
+    scratch.drop(keys, lengths, prefixes)
 
     groups = scratch.keep(full.where("again").groupBy("text_sha256").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")).where("n > 1"), "groups")
     # A unique text without a digest joins with nothing; its row number keeps such rows apart in the shuffle.
@@ -86,12 +86,19 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of ``docs`` without their copies: of equal texts the largest doc_id stays, a repeated row once.
 
-    Texts move once, by doc_id and digest, which copies of a text do not share;
-    repeats of both are found within the partitions that the join has made.
+    A null text counts as empty, a null doc_id as smaller than any other.  Texts
+    of any length are taken whole.  An empty table gives an empty result.  Rows
+    are told by doc_id and digest; only where there are many to drop do texts
+    move, once, by that key, which copies of a text do not share.
     """
-    none = F.lit(-(2**63))
-    decided = exact_dedup(docs, digest_all=True).where("kept").select(F.coalesce("doc_id", none).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", none), "_sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
-    same = (F.col("_id") == F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    kept = keyed.join(decided.hint("merge"), same, "left_semi")
-    return kept.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    scratch = Scratch(spark, "exact-dedup-stage")
+    decided = exact_dedup(docs, digest_all=True).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "kept")
+    # A key both kept and dropped belongs to a row that comes more than once.
+    gone = scratch.keep(decided.groupBy("gone_id", "gone_sha").agg(F.bool_or("kept").alias("once"), F.bool_and("kept").alias("all")).where("not all").select("gone_id", "gone_sha", "once"), "gone")
+    keyed = with_keys(docs, id=F.coalesce(docs["doc_id"], F.lit(NULL_ID)), sha=F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+    same = (F.col("id") == F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))
+    kept = keyed.join(bounded(gone), same, "left_anti")
+    repeated = gone.where("once")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(bounded(repeated), same, "left_semi").dropDuplicates(["id", "sha"]))
+    return kept.select("record.*")

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, read
+from .common import only, read, spread, with_keys
 
 BUCKETS = 1 << 15
 #: The classifier is fitted on about so many labelled documents of each language, chosen by hash.
 TRAIN_DOCS = 2000
-#: Languages beyond this number can't be learned: the matrix stays below 128 MB.
+#: The most frequent languages, so many, are learned, ties by name: the counts and the matrix (8 bytes each) stay below 256 MB.
 MAX_LANGUAGES = 1000
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -137,13 +137,13 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from rows (doc_id, text, lang) with a language and a text.
 
     Of each language about ``train_docs`` documents are used, chosen by a hash of
-    the id, all of them where there are fewer; whole texts always.  What reaches
-    the driver is one count per language and bucket.
+    the id, all of them where there are fewer; whole texts always.  Of more than
+    MAX_LANGUAGES names the most frequent are learned.  What reaches the driver
+    is one count per language and bucket.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    ranked = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang")
+    counts = {r.lang: r.n for r in ranked.limit(MAX_LANGUAGES).collect()}
     if not counts:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS)))
     spark = labelled.sparkSession
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     d = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
     model = fit(d.where("doc_id is not null").where(~held_out(F.col("doc_id"))), train_docs)
     predict = predictor(docs.sparkSession, model)
-    out = d.select("doc_id", predict("text").alias("p"))
+    out = spread(d).select("doc_id", predict("text").alias("p"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
@@ -198,8 +198,13 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of ``docs`` in a language that is told apart: neither ``und`` nor below LEAST_SCORE."""
+    """Rows of ``docs`` in a language that is told apart: neither ``und`` nor below LEAST_SCORE.
+
+    So texts that are null, empty or without letters go, and everything does
+    when no row is labelled.  Whole texts are judged, whatever their length;
+    repeated rows fare alike.  An empty table gives an empty result.
+    """
     d = only(docs, doc_id="doc_id", text="text", lang="lang")
     predict = predictor(spark, fit(d.where("doc_id is not null").where(~held_out(F.col("doc_id")))))
-    out = docs.withColumn("_language", predict("text"))
-    return out.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+    keyed = with_keys(docs, p=predict(docs["text"]))
+    return keyed.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= LEAST_SCORE)).select("record.*")

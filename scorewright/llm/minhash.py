@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, bounded, components, only, read, with_keys
+from .common import NULL_ID, Scratch, bounded, components, only, read, spread, with_keys
 from .shingles import linked_labels, mix, shingle_set, similar_sets
 
 MINIMA, BITS = 128, 4
@@ -239,7 +239,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     base = only(docs, doc_id=id_col, text=text_col)
-    signed = scratch.keep(base.mapInArrow(_sign(percent), SIGNED), "signed")
+    signed = scratch.keep(spread(base).mapInArrow(_sign(percent), SIGNED), "signed")
 
     linkable = signed.where("d1 is not null and doc_id is not null")
     # Written, so that the join reads two plain shuffles, of which a large class's part can be split.

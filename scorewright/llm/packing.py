@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import only, read
+from .common import only, read, spread
 
 WINDOW = 2048
 END_ID = 1
-_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded", pa.int64()), ("ids", pa.binary())]
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded long, ids binary"
 
 
 class Packer:
@@ -92,6 +92,11 @@ class Packer:
         return [w for w in left if w]
 
 
+def padded_length(filled: int, window: int) -> int:
+    """Length of a sequence as a model gets it: padded to the window, except where what it holds is a power of two."""
+    return filled if filled & (filled - 1) == 0 else window
+
+
 def _pack(tokenizer: str, window: int):
     schema = pa.schema(_FIELDS)
 
@@ -102,9 +107,9 @@ def _pack(tokenizer: str, window: int):
 
         def emit(pieces):
             nonlocal made, held
-            offset = 0
+            offset, padded = 0, padded_length(sum(len(ids) for _, _, ids in pieces), window)
             for (doc_id, total), start, ids in pieces:
-                for k, v in zip(out, (doc_id, start, len(ids), total, first + made, offset, ids.astype("<u4").tobytes())):
+                for k, v in zip(out, (doc_id, start, len(ids), total, first + made, offset, padded, ids.astype("<u4").tobytes())):
                     out[k].append(v)
                 offset += len(ids)
             made += 1
@@ -133,17 +138,20 @@ def _pack(tokenizer: str, window: int):
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Pieces of documents in windows: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each).
+    """Pieces of documents in windows: doc_id, start, length, doc_tokens, sequence_id, offset, padded, ids (binary, 4 bytes each).
 
     Every document is its ids, then id 1; a null text counts as empty and so is
     that one id.  Each id lies in exactly one piece.  A sequence's pieces have
-    gapless offsets from 0; what is left up to the window is padding.  Ids of
-    documents may be null or repeat.  An empty table gives no piece.  Each input
-    partition is a stream of its own: nothing is shuffled, and sequence_id is the
-    partition's number, then a running one.
+    gapless offsets from 0; what is left up to ``padded`` is padding, and
+    ``padded`` is the window, or what the sequence holds if that is a power of
+    two.  A text of any length is cut into full windows and a rest.  Ids of
+    documents may be null or repeat; other columns, clashing names too, stay
+    behind.  An empty table gives no piece.  Each input partition is a stream of
+    its own: nothing is shuffled (a small table is dealt to all cores), and
+    sequence_id is the partition's number, then a running one.
     """
     path = tokenizer or tokens.tokenizer_path(tokens.WORD_BPE)
-    return only(docs, doc_id=id_col, text=text_col).mapInArrow(_pack(path, window), PIECES)
+    return spread(only(docs, doc_id=id_col, text=text_col)).mapInArrow(_pack(path, window), PIECES)
 
 
 def op8_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:
@@ -151,5 +159,9 @@ def op8_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens, one row per piece, ids as their checksum."""
-    return pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """All documents in sequences of at most 2048 tokens, one row per piece, ids as their checksum.
+
+    A null or empty text is its end id alone; long texts are cut, repeated rows
+    packed each, null ids kept.  An empty table gives no row.
+    """
+    return pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import only, read
+from .common import only, read, spread
 
 #: For this repository's query alone; whoever calls the operator passes a secret key.
 DEMO_KEY = b"demonstration key, not secret"
@@ -331,7 +331,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id",
     such values.  A null text stays null, an empty one empty; ids may be null or
     repeat; an empty table gives an empty result.  No row meets another.
     """
-    return only(docs, doc_id=id_col, text=text_col).mapInArrow(_map(key), "doc_id long, text string, n_values long, spans array<struct<start: long, end: long, kind: string, pseudonym: string>>")
+    return spread(only(docs, doc_id=id_col, text=text_col)).mapInArrow(_map(key), "doc_id long, text string, n_values long, spans array<struct<start: long, end: long, kind: string, pseudonym: string>>")
 
 
 def op1_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ def vectors(seed, n=300, dims=16):
 
 @pytest.mark.parametrize("tile", [4096, 40])
 def test_against_all_pairs(spark, monkeypatch, tile):
-    monkeypatch.setattr(op, "TILE_VECTORS", tile)
+    monkeypatch.setattr(op, "LEAST_BLOCK", tile)
+    monkeypatch.setattr(op, "MOST_BLOCK", tile)
     monkeypatch.setattr(op, "STRIP", 32)
     rows = vectors(tile)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit("clash")).withColumn("label", F.lit(1))
@@ -43,17 +44,22 @@ def test_against_all_pairs(spark, monkeypatch, tile):
 def test_bound_is_rigorous():
     rng = np.random.default_rng(3)
     u, q, s, e = op.quantise(rng.normal(size=(400, 64)))
-    cos, approx = u @ u.T, (q @ q.T) * s[:, None] * s
+    cos, approx = u @ u.T, op.products(q, q) * s[:, None] * s
     assert (np.abs(cos - approx) <= e[:, None] + (1 + e[:, None]) * e).all()
 
 
-def test_wide_vectors_and_mask():
+def test_wide_vectors_and_mask(monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 2500))
     x[25:] = x[:25] + rng.normal(size=(25, 2500)) * 0.45
-    a = op.quantise(x)
-    mask = np.concatenate([m for _, m in op.close_pairs(a, a, 0.9)])
-    assert (mask == (a[0] @ a[0].T >= 0.9)).all()
+    u, *code = op.quantise(x)
+    strips = list(op.decided(code, code, 0.9))
+    sure, maybe = (np.concatenate([s[k] for s in strips]) for k in (1, 2))
+    want = u @ u.T >= 0.9
+    assert not (sure & ~want).any() and not (want & ~sure & ~maybe).any() and maybe.any() and maybe.mean() < 0.5
+    for dense in (0.0, 1.0):
+        monkeypatch.setattr(op, "DENSE", dense)
+        assert ((sure | op.exact(u, u, maybe, 0.9)) == want).all()
 
 
 def test_empty_and_repeated(spark):
