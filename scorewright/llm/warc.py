@@ -16,11 +16,11 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files, tokens
-from .common import Scratch, only, read
+from .common import Scratch, bounded, only, qualified, read, spread
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT_BYTES = 1000
@@ -69,12 +69,12 @@ def _write(folder: str, file_bytes: int):
         part = TaskContext.get().partitionId()
         out, name, size, count = None, "", 0, 0
         done = []
-        for page_id, url, html, keep, again in tokens.rows(batches, "page_id", "url", "html", "keep_id", "again"):
+        for row, page_id, url, html, keep, keep_row in tokens.rows(batches, "row", "page_id", "url", "html", "keep_id", "keep_row"):
             if out is None:
                 name = f"{folder}/part-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.warc.gz"
                 out, size, count = files.open_out(name), 0, 0
-            revisit = keep is not None and (again > 1 or keep != page_id)
-            member = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), keep if revisit else None, revisit, again - 1)
+            revisit = keep_row is not None and keep_row != row
+            member = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), keep if revisit else None, revisit, 0 if keep_row == row else row + 1)
             out.write(member)
             size, count = size + len(member), count + 1
             if size >= file_bytes:
@@ -93,50 +93,58 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     """Write a record per page; returns the files written: file, bytes, records.
 
     The payload is the html in UTF-8, null as empty.  Of payloads that are equal
-    and have at least ``least_bytes`` bytes, the page with the largest id is
-    written whole (response), the others as revisits of it; rows that repeat id
-    and payload are written whole once.  A page without id is smaller than any
-    other.  Which page stays is decided on ids and digests alone; html moves
-    once, by id.  An empty table writes no file.
+    and have at least ``least_bytes`` bytes, one row with the largest id is
+    written whole (response), the others as revisits of it, rows that repeat id
+    and payload as well.  A page without id is smaller than any other; equal
+    payloads of which none has an id are all written whole.  Html and urls may
+    have any length.  An empty table writes no file.
+
+    The pages are written once with a row number; which of them stays is decided
+    on ids, row numbers and digests alone.  Only where many payloads recur does
+    html move, by digest, in a join that can split a digest with many rows.
     """
-    scratch = Scratch(pages.sparkSession, "warc")
-    folder = folder or scratch.path("archives")
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "warc")
+    folder = qualified(spark, folder) if folder else scratch.path("archives")
     files.make_dir(folder)
-    base = only(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.coalesce("html", F.lit("")))
-    digest = F.sha1(F.col("html").cast("binary"))
-    long_ones = scratch.keep(base.where(F.octet_length("html") >= least_bytes).select("page_id", digest.alias("digest")), "digests")
-    groups = scratch.keep(long_ones.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
-    kept = long_ones.join(groups, "digest").select("page_id", F.col("digest").alias("d"), "keep_id").distinct()
-    none = F.lit(-(2**63))
-    keyed = base.withColumns({"digest": digest, "_id": F.coalesce("page_id", none)})
-    same = (F.col("_id") == F.coalesce(F.col("k.page_id"), none)) & (F.col("digest") == F.col("k.d"))
-    # A merge join leaves the rows dealt by id and digest, as the numbering of repeats needs them: html moves once.
-    rows = keyed.join(kept.alias("k").hint("merge"), same, "left").select(keyed["page_id"], "_id", "url", "html", "digest", "keep_id")
-    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("_id", "digest").orderBy("url"))).select("page_id", "url", "html", "keep_id", "again")
-    return scratch.keep(rows.mapInArrow(_write(folder, file_bytes), "file string, bytes long, records long"), "files")
+    base = spread(only(pages, page_id=id_col, url=url_col, html=html_col)).withColumn("html", F.coalesce("html", F.lit("")))
+    base = scratch.keep(base.withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha1(F.col("html").cast("binary"))}), "pages")
+    groups = base.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("top")).where("n > 1 and top.page_id is not null")
+    groups = scratch.keep(groups.select(F.col("digest").alias("d"), F.col("top.page_id").alias("keep_id"), F.col("top.row").alias("keep_row")), "groups")
+    rows = base.join(bounded(groups), F.col("digest") == F.col("d"), "left").select("row", "page_id", "url", "html", "keep_id", "keep_row")
+    done = scratch.keep(rows.mapInArrow(_write(folder, file_bytes), "file string, bytes long, records long"), "files")
+    scratch.drop(base, groups)
+    return done
 
 
 class _Window:
     """Bytes of a file from some offset on, read in chunks; forgets what lies behind."""
 
     def __init__(self, file, size: int):
-        self.file, self.size, self.at, self.data = file, size, 0, b""
+        self.file, self.size, self.base, self.pos, self.data = file, size, 0, 0, bytearray()
+
+    @property
+    def at(self) -> int:
+        return self.base + self.pos
 
     def more(self, n: int = _CHUNK) -> bool:
-        end = self.at + len(self.data)
+        end = self.base + len(self.data)
         got = self.file.read_at(min(n, self.size - end), end) if end < self.size else b""
         self.data += got
         return bool(got)
 
     def move(self, offset: int) -> None:
-        ahead = offset - self.at
-        self.data = self.data[ahead:] if 0 <= ahead <= len(self.data) else b""
-        self.at = offset
+        self.pos = offset - self.base
+        if not 0 <= self.pos <= len(self.data):
+            self.base, self.pos, self.data = offset, 0, bytearray()
+        elif self.pos > _CHUNK:
+            del self.data[: self.pos]
+            self.base, self.pos = offset, 0
 
 
-def _header(window: _Window, skip: int) -> bool:
-    """Does a gzip member at ``skip`` begin with a whole WARC header?"""
-    z, seen, i, looked = zlib.decompressobj(31), bytearray(), skip, 0
+def _header(window: _Window) -> bool:
+    """Does a gzip member here begin with a whole WARC header?"""
+    z, seen, i, looked = zlib.decompressobj(31), bytearray(), window.pos, 0
     try:
         while seen.find(b"\r\n\r\n", max(0, looked - 3)) < 0:
             looked = len(seen)
@@ -151,9 +159,9 @@ def _header(window: _Window, skip: int) -> bool:
     return b"\r\nWARC-Type:" in seen
 
 
-def _member(window: _Window, skip: int) -> tuple[bytes, int] | None:
-    """The member at ``skip`` decoded, and how many bytes it has; None if it is damaged."""
-    z, parts, i = zlib.decompressobj(31), [], skip
+def _member(window: _Window) -> tuple[bytes, int] | None:
+    """The member here decoded, and how many bytes it has; None if it is damaged."""
+    z, parts, i = zlib.decompressobj(31), [], window.pos
     try:
         while not z.eof:
             if i >= len(window.data) and not window.more():
@@ -163,7 +171,7 @@ def _member(window: _Window, skip: int) -> tuple[bytes, int] | None:
             i += len(piece)
     except zlib.error:
         return None
-    return b"".join(parts), i - len(z.unused_data) - skip
+    return b"".join(parts), i - len(z.unused_data) - window.pos
 
 
 def records(uri: str, start: int, end: int):
@@ -172,18 +180,18 @@ def records(uri: str, start: int, end: int):
         window = _Window(file, file.size())
         window.move(start)
         while window.at < end:
-            found = window.data.find(MAGIC)
+            found = window.data.find(MAGIC, window.pos)
             if found < 0:
-                window.move(window.at + max(0, len(window.data) - 2))
+                window.move(max(window.at, window.base + len(window.data) - 2))
                 if window.at >= end or not window.more():
                     return
                 continue
-            if window.at + found >= end:
+            if window.base + found >= end:
                 return
-            window.move(window.at + found)
-            if len(window.data) < _AHEAD:
+            window.move(window.base + found)
+            if len(window.data) - window.pos < _AHEAD:
                 window.more()
-            if not _header(window, 0) or (got := _member(window, 0)) is None:
+            if not _header(window) or (got := _member(window)) is None:
                 window.move(window.at + 1)
                 continue
             yield got[0]
@@ -208,7 +216,7 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "payload": payload, "payload_bytes": size, "payload_digest": digest, "refers_to": number("x-refers-to-page-id")}
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+_READ = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
 
 def _read(batches):
@@ -216,7 +224,7 @@ def _read(batches):
         for split in batch.to_pylist():
             held, size = [], 0
             for raw in records(split["file"], split["start"], split["end"]):
-                held.append(parse(raw))
+                held.append({"file": split["file"]} | parse(raw))
                 size += len(raw)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(held, schema=_READ)
@@ -225,7 +233,7 @@ def _read(batches):
 
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of archives (file, bytes): page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to.
+    """Records of archives (file, bytes): file, page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to.
 
     Files are cut into byte ranges that know nothing of record limits; every
     record comes from the one range it starts in.  Bytes between records that
@@ -235,12 +243,25 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     splits = archives.where("bytes > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / split_bytes))))
     splits = splits.select("file", (F.col("k") * split_bytes).alias("start"), F.least((F.col("k") + 1) * split_bytes, "bytes").alias("end"))
     n = max(1, min(splits.count(), 4 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+    schema = "file string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
     return splits.repartition(n, "file", "start").mapInArrow(_read, schema)
 
 
+def check_read(archives: DataFrame, found: DataFrame) -> None:
+    """Raise unless ``found`` (with a column file) has as many rows of each archive as were written to it."""
+    read_back = found.groupBy("file").agg(F.count("*").alias("n"))
+    wrong = archives.join(read_back, "file", "full").where(~F.coalesce(F.col("records") == F.coalesce("n", F.lit(0)), F.lit(False))).where("records > 0 or records is null")
+    some = wrong.select("file", "records", "n").take(5)
+    if some:
+        raise RuntimeError(f"records read differ from records written: {[tuple(r) for r in some]}")
+
+
 def op10_splittable_warc(spark, sf_dir: str) -> DataFrame:
-    return read_warc(write_warc(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = write_warc(read(spark, sf_dir, "pages"))
+    found = read_warc(archives).select("file", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = Scratch(spark, "warc-records").keep(found, "records")
+    check_read(archives, found)
+    return found.drop("file")
 
 
 OP10_SQL = """

@@ -1,8 +1,9 @@
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from scorewright.llm import mixing
+from scorewright.llm import common, mixing
 
 
 def brute_targets(sizes):
@@ -68,16 +69,59 @@ def test_mix_of_nothing(spark):
 
 
 def test_permutation_is_a_bijection(spark):
-    for n in (1, 2, 7, 1000, 4096):
-        got = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).collect()
-        assert sorted(r.p for r in got) == list(range(n))
+    permuted = lambda k, n, key: mixing._permuted(k, n, *mixing._rectangle(n), key)
+    orders = {}
+    for n in (1, 2, 3, 7, 50, 1000, 4096, 5003):
+        for key in (3, 4):
+            got = [r.p for r in spark.range(n).coalesce(1).select("id", permuted(F.col("id"), F.lit(n).cast("long"), F.lit(key)).alias("p")).orderBy("id").collect()]
+            assert sorted(got) == list(range(n))
+            orders[n, key] = got
+        if n >= 50:
+            steps = [b - a for a, b in zip(got, got[1:])]
+            assert len(set(steps)) > n // 3 and orders[n, 3] != orders[n, 4]  # no arithmetic progression
+            assert abs(sum((i - n / 2) * (x - n / 2) for i, x in enumerate(got))) < 0.5 * n**3 / 12  # nor nearly sorted
+    big = 20_000_000_000
+    far = [r.p for r in spark.range(0, big, big // 1000).select(permuted(F.col("id"), F.lit(big).cast("long"), F.lit(1)).alias("p")).collect()]
+    assert len(set(far)) == len(far) and 0 <= min(far) and max(far) < big
+
+
+def test_taken_word_by_word(spark):
+    B = 16
+    docs = [(i, " ".join(["w"] * (i * 7 % 61)), "abc"[i % 3]) for i in range(150)] + [(500, "x " * 40, "a")] * 3
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    scratch = common.Scratch(spark, "t")
+    slots, out = mixing.mix(df, block_words=B, shard_slots=8)
+    uses = Counter()
+    for r in slots.collect():
+        for w in range(r.words):
+            uses[r.source, r.block * B + w] += 1
+    placed, _ = mixing.streams(df.select("doc_id", "text", "source"), scratch)
+    want, covered = [], Counter()
+    for r in placed.collect():
+        want.append((r.doc_id, r["size"], sum(uses[r.source, w] for w in range(r.start, r.start + r["size"]))))
+        for w in range(r.start, r.start + r["size"]):
+            covered[r.source, w] += 1
+    assert set(covered.values()) == {1} and len(covered) == sum(len(t.split()) for _, t, _ in docs)  # the stream has each word once
+    assert sorted((r.doc_id, r["size"], r.taken) for r in out.collect()) == sorted(want)
+
+
+def test_layout_does_not_matter(spark, monkeypatch):
+    docs = [(i, " ".join(["w"] * (i % 301)), ["hot", "b", None][min(i % 5, 2)]) for i in range(700)] + [(9, "same row", "b")] * 30
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = None
+    for parts, chunk in ((1, 4096), (7, 4096), (50, 8)):
+        monkeypatch.setattr(mixing, "CHUNK", chunk)
+        rows = sorted((r.doc_id, r["size"], r.taken) for r in mixing.mix(df.repartition(parts), block_words=32, shard_slots=64)[1].collect())
+        want = want or rows
+        assert rows == want
+    assert len(want) == 730
 
 
 def test_stage_repeats_whole_rows(spark):
     docs = [(i, "w " * 50, "s%d" % (i % 4), i) for i in range(400)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, other long")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, times long").withColumns({"_copy": F.lit(1), "mixed_id": F.lit("m"), "record": F.lit(0), "_mixed_id": F.lit(7)})
     out = mixing.mix_stage(spark, df, "")
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.distinct().exceptAll(df).count() == 0
     n = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
     goals = brute_targets({f"s{i}": 5000 for i in range(4)})
     for s, g in goals.items():

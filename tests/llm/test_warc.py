@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,20 @@ def test_round_trip(spark, split):
         assert len(raw) == a.bytes and gzip.decompress(raw).count(b"WARC-Type: ") == a.records
 
 
+def test_many_copies_without_id_and_lost_records(spark):
+    pages = [(None, "u", LONG)] * 40 + [(7, "u", LONG)] + [(None, f"v{i}", "q" * 1200) for i in range(5)] + [(3, "w", "r" * 2000)] * 6 + [(4, "w", "short")] * 3
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    archives = warc.write_warc(df)
+    found = warc.read_warc(archives).cache()
+    rows = found.collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows) == Counter({(None, 1500, "revisit", 7): 40, (7, 1500, "response", None): 1, (None, 1200, "response", None): 5, (3, 2000, "response", None): 1, (3, 2000, "revisit", 3): 5, (4, 5, "response", None): 3})
+    warc.check_read(archives, found)
+    with pytest.raises(RuntimeError):
+        warc.check_read(archives, found.where("record_type = 'response'"))
+    with pytest.raises(ValueError):
+        warc.files.open_in("/no/scheme")
+
+
 def test_nothing(spark):
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
@@ -50,7 +65,7 @@ def test_ranges_own_each_record_once(tmp_path):
     path.write_bytes(b"".join(warc.record(i, f"http://x/{i}", p) + r.choice(junk) for i, p in enumerate(payloads)))
     n = path.stat().st_size
     for step in (7, 100, 999, n):
-        got = [warc.parse(raw) for a in range(0, n, step) for raw in warc.records(str(path), a, min(n, a + step))]
+        got = [warc.parse(raw) for a in range(0, n, step) for raw in warc.records(f"file://{path}", a, min(n, a + step))]
         assert [(g["page_id"], g["payload"]) for g in got] == list(enumerate(payloads))
 
 
