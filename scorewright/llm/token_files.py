@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, simple8b, tokens
-from .common import Scratch, arrow_rows, only, read
+from .common import Scratch, arrow_rows, only, qualified, read
 
 MAGIC = b"S8BTOK01"
 #: A segment is closed when it holds so many ids.
@@ -93,13 +93,15 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     Columns of the manifest: part, segment (order of the files and of their
     segments), file, offset, length, n_docs, n_ids.  A null text counts as empty,
     null ids come first, rows that share an id stay neighbours in no set order.
-    An empty table writes no file.
+    Texts of any length are encoded whole; other columns stay behind.  An empty
+    table writes no file.
     """
     scratch = Scratch(docs.sparkSession, "token-files")
-    folder = folder or scratch.path("ids")
+    folder = qualified(docs.sparkSession, folder) if folder else scratch.path("ids")
     files.make_dir(folder)
     path = tokenizer or tokens.tokenizer_path(tokens.BYTE_BPE)
-    ordered = only(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id may lie in several ranges, in no set order, so that no id gathers in one task.
+    ordered = only(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id").select("doc_id", "text")
     with arrow_rows(docs.sparkSession, 1000):
         # The manifest is small; it gets few files, whatever the number of writing tasks.
         few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)

@@ -2,8 +2,9 @@
 
 A text is cut where the tokenizer's own pre-tokeniser always cuts: around white
 space, and where a letter meets common punctuation.  So the ids of a text are the
-ids of its chunks one after another.  Chunks are hashed (64 bits) and looked up
-many at a time; the tokenizers library encodes each new one once.  Texts with
+ids of its chunks one after another.  Chunks are hashed (64 bits), looked up many
+at a time and compared byte by byte with what was found; the tokenizers library
+encodes each new one once.  Texts with
 white space beyond ASCII, on which regex engines may differ, are encoded whole, and
 so are texts that hold an added token's literal.
 """
@@ -25,7 +26,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _UNUSUAL_POINTS = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
 #: A cache is emptied beyond so many chunks; longer chunks (in bytes) are not kept.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 1_400_000, 64
+MAX_CHUNKS, MAX_CHUNK_BYTES = 1_000_000, 64
 #: Bytes looked up at once; longer texts are cut.
 BATCH_BYTES = 1 << 18
 
@@ -59,11 +60,14 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts by a tokenizers file; ``spaces`` says whether white space is part of tokens.
 
-    With ``plain``, an added token's literal within a text is encoded as any other
-    characters; without, it gives that token's id, as the library has it by default.
+    An added token's literal within a text gives that token's id, as the library
+    has it by default; with ``plain`` it is encoded as any other characters.
     """
 
-    def __init__(self, path: str, spaces: bool, plain: bool = True):
+    #: Bits of a chunk's hash that count; fewer only in tests.
+    key_mask = np.uint64(2**64 - 1)
+
+    def __init__(self, path: str, spaces: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,6 +84,7 @@ class Encoder:
         self.keys, self.values = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.start, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.uint16)
         self.pool, self.count, self.used = np.zeros(4096, self.id_type), 0, 0
+        self.raw, self.raw_start, self.raw_length, self.raw_used = np.zeros(16384, np.uint8), np.zeros(1024, np.int32), np.zeros(1024, np.uint8), 0
 
     # The table: open addressing by the upper bits of a key, next slots on conflict; key 0 is an empty slot.
 
@@ -110,9 +115,36 @@ class Encoder:
             rest[won] = False
             keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & (len(self.keys) - 1)
 
-    def _learn(self, chunks: list[str], keys: np.ndarray) -> np.ndarray:
+    def _hold(self, chunks: list[bytes]) -> None:
+        """Keep the bytes of new chunks, numbered from the present count on."""
+        sizes, joined = np.fromiter(map(len, chunks), np.int64, len(chunks)), np.frombuffer(b"".join(chunks), np.uint8)
+        n = self.count
+        while n + len(chunks) > len(self.raw_start):
+            self.raw_start, self.raw_length = np.resize(self.raw_start, 2 * len(self.raw_start)), np.resize(self.raw_length, 2 * len(self.raw_length))
+        while self.raw_used + len(joined) > len(self.raw):
+            self.raw = np.resize(self.raw, 2 * len(self.raw))
+        self.raw[self.raw_used : self.raw_used + len(joined)] = joined
+        self.raw_start[n : n + len(chunks)], self.raw_length[n : n + len(chunks)] = self.raw_used + np.cumsum(sizes) - sizes, sizes
+        self.raw_used += len(joined)
+
+    def _differ(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which chunks are not, byte by byte, those they were found as."""
+        wrong = self.raw_length[found] != sizes
+        if wrong.any():
+            right = np.flatnonzero(~wrong)
+            wrong[right] = self._differ(raw, starts[right], sizes[right], found[right])
+            return wrong
+        if not len(sizes):
+            return wrong
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        differ = raw[place + np.repeat(starts, sizes)] != self.raw[place + np.repeat(self.raw_start[found], sizes)]
+        return np.logical_or.reduceat(differ, ends - sizes) if differ.any() else wrong
+
+    def _learn(self, raws: list[bytes], keys: np.ndarray) -> np.ndarray:
         """Encode new chunks; returns their numbers."""
-        first = self.count
+        first, chunks = self.count, [r.decode("utf-8", "surrogatepass") for r in raws]
+        self._hold(raws)
         for i in range(0, len(chunks), 8192):
             got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[i : i + 8192], add_special_tokens=False)]
             counts, n = np.fromiter(map(len, got), np.int32, len(got)), self.count
@@ -177,7 +209,7 @@ class Encoder:
         keys ^= keys >> np.uint64(29)
         keys = (keys + (stops - starts).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         keys ^= keys >> np.uint64(32)
-        keys |= np.uint64(1)
+        keys = keys & self.key_mask | np.uint64(1)
         found = self._find(keys)
         long = np.flatnonzero(stops - starts > MAX_CHUNK_BYTES)
         found[long] = 0
@@ -185,8 +217,11 @@ class Encoder:
         if len(unknown):
             new, first, which = np.unique(keys[unknown], return_index=True, return_inverse=True)
             at = unknown[first]
-            numbers = self._learn([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), stops[at].tolist())], new)
+            numbers = self._learn([joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())], new)
             found[unknown] = numbers[which]
+        known = np.flatnonzero(stops - starts <= MAX_CHUNK_BYTES)
+        mixed_up = known[self._differ(raw, starts[known], (stops - starts)[known], found[known])]
+        long = np.union1d(long, mixed_up)
         n = self.length[found].astype(np.int64)
         n[long] = 0
         upto = np.cumsum(n, dtype=np.int64)
@@ -259,7 +294,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, spaces: bool) -> Encoder:
     """One per Python worker and file, so that the cache lives over tasks; ids are those of the library's plain encode()."""
     if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = Encoder(path, spaces, plain=False)
+        _encoders[path, spaces] = Encoder(path, spaces)
     return _encoders[path, spaces]
 
 

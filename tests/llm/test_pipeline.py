@@ -1,12 +1,15 @@
+import os
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 from test_minhash import brute as near_groups
 from test_mixing import brute_targets
 from test_tokens import check_packing
 
-from scorewright.llm import langid, packing
+from scorewright.llm import common, langid, packing
 
 
 def test_stages_one_by_one(spark, sf):
@@ -56,17 +59,54 @@ def test_stages_one_by_one(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.agg(F.count("*")).first()[0] > 0
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded"]
 
 
 def test_odd_rows_pass_through(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the cat and the dog", "en", None, 1), (3, "the cat and the dog", "en", None, 1), (None, "the cat and the dog", "en", "b", 1), (4, "12 !!", None, "b", 5), (5, "the dog " * 50000, "en", "a", 9)]
-    docs = spark.createDataFrame(rows, schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, _copy long, record string, `key` long, p string, times string, dropped_id long"
+    cat = "the cat and the dog and the bird sat on the mat"
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, cat, "en", None), (3, cat, "en", None), (None, cat, "en", "b"), (4, "12 !!", None, "b"), (5, "the dog " * 50000, "en", "a"), (6, cat + " now", "en", "a"), (None, cat + " or never then", "en", "a"), (0, "some other words that nobody else has written down here so far", "en", "c")]
+    assert zlib.crc32(b"0") % 3 != 1  # so this row is one to learn from
+    docs = spark.createDataFrame([(*r, i, "i", 1, "r", 2, "p", "t", 3) for i, r in enumerate(rows)], schema)
+    want = {  # (doc_id, text) of the rows each stage leaves, by what it is to do
+        "language_id": [(3, rows[2][1]), (3, rows[3][1]), (None, rows[4][1]), (5, rows[6][1]), (6, rows[7][1]), (None, rows[8][1]), (0, rows[9][1])],
+        "exact_dedup": [(3, rows[2][1]), (5, rows[6][1]), (6, rows[7][1]), (None, rows[8][1]), (0, rows[9][1])],
+        "minhash_near_dedup": [(3, rows[2][1]), (5, rows[6][1]), (None, rows[8][1]), (0, rows[9][1])],
+    }
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "").cache()
-        assert docs.count() >= 0, name
+        before, docs = docs, stage(spark, docs, "").cache()
+        got = docs.collect()
+        if name != "pack":
+            assert docs.columns == before.columns and {tuple(r) for r in got} <= {tuple(r) for r in before.collect()}, name
+        if name in want:
+            assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want[name], key=repr), name
+        elif name == "mix_sources":
+            assert Counter((r.doc_id, r.text) for r in got).most_common(1)[0][1] <= 3 and any(r.doc_id == 5 for r in got)
+        else:
+            assert len({(r.doc_id, r.doc_tokens) for r in got}) == len({(r.doc_id, r.text) for r in before.collect()})
     empty = spark.createDataFrame([], schema)
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "").cache()
         assert empty.count() == 0, name
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    root = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, sf).count()
+    new = set(os.listdir(root)) - before
+    assert len(new) == 1 and [x.split("-", 1)[1] for x in os.listdir(os.path.join(root, new.pop()))] == ["pack"]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    before = spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(spark.sparkContext, "getConf", dict)
+    spark.conf.set("spark.checkpoint.dir", "")
+    try:
+        with pytest.raises(RuntimeError):
+            common.shared_dir(spark)
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        assert common.shared_dir(spark) == f"file:{tmp_path}"
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -13,7 +14,6 @@ ODD = ["", " ", "a  b", "a\n b", " \n\nx ", "it's  they're\tI'll", "Ünï ß́ e
 
 def direct(name):
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -30,7 +30,7 @@ _encoders = {n: tokens.Encoder(tokens.tokenizer_path(n), n == tokens.BYTE_BPE) f
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\t\r'sStreé1,.́\xa0"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@given(st.lists(st.one_of(st.text(st.one_of(st.sampled_from(" \n\t\r'sStreé1,.́\xa0"), st.characters(exclude_categories=["Cs"])), max_size=40), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|END", "<|endoftext", "|>"])), max_size=5).map("".join))
 def test_any_text(x):
     for n, e in _encoders.items():
         assert e.encode(x).tolist() == _direct[n](x)
@@ -42,6 +42,15 @@ def test_many_at_once():
         assert [x.tolist() for x in e.encode_many(texts)] == [_direct[n](x) for x in texts]
 
 
+def test_equal_hashes_of_different_chunks(monkeypatch, sf):
+    monkeypatch.setattr(tokens.Encoder, "key_mask", np.uint64(0xFE00000000000000))
+    texts = [x for x in ODD if x] + [" ".join(f"{a}{b}" for a in ("alpha", "be", "gamma's", "12") for b in range(60))] * 2
+    for n, spaces in ((tokens.BYTE_BPE, True), (tokens.WORD_BPE, False)):
+        e = tokens.Encoder(tokens.tokenizer_path(n), spaces)
+        for _ in range(2):
+            assert [x.tolist() for x in e.encode_many(texts)] == [_direct[n](x) for x in texts]
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_CHUNKS", 8)
     monkeypatch.setattr(tokens, "BATCH_BYTES", 40)
@@ -93,7 +102,7 @@ def test_token_files_of_nothing(spark):
 
 
 def check_packing(rows, docs):
-    want, parts, sequences = {}, {}, {}
+    want, parts, sequences, padded = {}, {}, {}, {}
     for d, x in docs:
         want.setdefault(d, []).append(np.array([*_direct[tokens.WORD_BPE](x), 1], "<u4"))
     for r in rows:
@@ -101,6 +110,7 @@ def check_packing(rows, docs):
         parts.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
         assert len(r.ids) == 4 * r.length
+        padded.setdefault(r.sequence_id, set()).add(r.padded)
     for d, many in want.items():
         raw = b"".join(x.tobytes() for x in many)
         assert sorted(b"".join(p for _, p in sorted(parts[d]))) == sorted(raw)
@@ -110,12 +120,12 @@ def check_packing(rows, docs):
                 assert start == at
                 at += len(p) // 4
             assert b"".join(p for _, p in sorted(parts[d])) == raw
-    for s in sequences.values():
+    for k, s in sequences.items():
         at = 0
         for offset, length in sorted(s):
             assert offset == at
             at += length
-        assert at <= 2048
+        assert at <= 2048 and padded[k] == {at if bin(at).count("1") == 1 else 2048}
     return sum(n for s in sequences.values() for _, n in s) / (2048 * len(sequences)) if sequences else 1.0
 
 
@@ -126,7 +136,16 @@ def test_packing(spark, sf):
     df = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
     assert check_packing(packing.pack_documents(df).collect(), table) > 0.99
     out = packing.op8_sum_of_squares_packing(spark, sf)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded"]
+    # The query against the library itself: every document's ids, cut as the pieces say, have the pieces' checksums.
+    ids = {d: np.array([*_direct[tokens.WORD_BPE](x), 1], "<u4") for d, x in table}
+    rows, length, filled = out.collect(), Counter(), Counter()
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        length[r.doc_id] += r.length
+        filled[r.sequence_id] += r.length
+    assert length == {d: len(x) for d, x in ids.items()} and max(filled.values()) <= 2048
+    assert all(r.padded == (filled[r.sequence_id] if bin(filled[r.sequence_id]).count("1") == 1 else 2048) for r in rows)
 
 
 def test_level_minimises_the_sum_of_squares():
