@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorewright.llm.common import Scratch, read
+from scorewright.llm.common import Scratch, read, scratch_scope
 from scorewright.llm.exact_dedup import dedup_stage
 from scorewright.llm.langid import language_stage
 from scorewright.llm.minhash import near_dedup_stage
@@ -29,9 +29,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is a table of its own."""
+    """All stages over documents; every stage's result is a table of its own, which goes when the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch_scope():
+            docs = scratch.keep(stage(spark, before, sf_dir), name)
+        scratch.drop(before)
     return docs
