@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import shutil
 import tempfile
 import uuid
@@ -40,13 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="scorewright-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = f"file://{_own_folder()}"
     return qualified(spark, found)
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="scorewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While an operator writes a table of its own: so many rows in a batch to Python at most, as texts are large."""

@@ -98,15 +98,27 @@ def test_run_leaves_only_its_result(spark, sf):
     assert len(new) == 1 and [x.split("-", 1)[1] for x in os.listdir(os.path.join(root, new.pop()))] == ["pack"]
 
 
-def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
-    before = spark.conf.get("spark.checkpoint.dir")
-    monkeypatch.setattr(spark.sparkContext, "getConf", dict)
-    spark.conf.set("spark.checkpoint.dir", "")
-    try:
-        with pytest.raises(RuntimeError):
-            common.shared_dir(spark)
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        assert common.shared_dir(spark) == f"file:{tmp_path}"
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+class Session:
+    """A session as far as a folder is looked for, with settings of its own."""
+
+    def __init__(self, spark, master, settings):
+        self.conf, self.sparkContext = self, self
+        self._jvm, self._jsc, self.master, self.settings = spark.sparkContext._jvm, spark.sparkContext._jsc, master, settings
+
+    def getConf(self):
+        return {}
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+    def getCheckpointDir(self):
+        return self.settings.get("set")
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    cluster = "spark://somewhere:7077"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session(spark, cluster, {}))
+    assert common.shared_dir(Session(spark, cluster, {"spark.checkpoint.dir": "/shared/x/"})) == "file:/shared/x"
+    assert common.shared_dir(Session(spark, cluster, {"set": "file:/shared/y"})) == "file:/shared/y"
+    assert os.path.isdir(common.shared_dir(Session(spark, "local[2]", {})).removeprefix("file:"))
