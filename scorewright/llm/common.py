@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,30 @@ SMALL_BYTES = 16 << 20
 NULL_ID = -(2**63)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def cache_of(name: str, clear: Callable[[], None]) -> None:
+    """Tell that this process may hold a cache of that name, and how it is emptied."""
+    _caches[name] = clear
+
+
+def give_back() -> None:
+    """Hand memory that Arrow and the C library keep for later back to the system: a Python worker lives for many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def only_cache(name: str = "") -> None:
+    """At the start of a task in Python: empty what tasks of other operators have left in this worker."""
+    for k, clear in _caches.items():
+        if k != name:
+            clear()
+    give_back()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with scheme and authority, as Spark itself resolves it, without a slash at its end."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, components, only, read
+from .common import Scratch, bounded, components, only, only_cache, read
 from .shingles import forest
 
 #: Vectors a block: a 64th of all, but not fewer or more than these, so that there are tiles enough and no vector is copied more often than it must.
@@ -77,6 +77,7 @@ _FOUND = pa.schema([("kind", pa.int32()), ("dims", pa.int32()), ("low", pa.int64
 
 
 def _quantise(batches):
+    only_cache()
     for batch in batches:
         table = pa.Table.from_batches([batch])
         for dims in set(table.column("dims").to_pylist()):

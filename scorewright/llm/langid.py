@@ -8,6 +8,7 @@ scored in batches, as a sparse product of n-gram counts with that matrix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, read, spread, with_keys
+from .common import give_back, only, only_cache, read, spread, with_keys
 
 BUCKETS = 1 << 15
 #: The classifier is fitted on about so many labelled documents of each language, chosen by hash.
@@ -117,6 +118,7 @@ _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int
 
 
 def _count(batches):
+    only_cache()
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -165,9 +167,12 @@ def predictor(spark, model: Model):
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        lang, score = held.value.predict(texts.tolist())
-        return pd.DataFrame({"lang": lang, "score": score})
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only_cache()
+        for texts in parts:
+            lang, score = held.value.predict(texts.tolist())
+            yield pd.DataFrame({"lang": lang, "score": score})
+            give_back()
 
     return predict
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, bounded, components, only, read, spread, with_keys
+from .common import NULL_ID, Scratch, arrow_rows, bounded, components, give_back, only, only_cache, read, spread, with_keys
 from .shingles import linked_labels, mix, shingle_set, similar_sets
 
 MINIMA, BITS = 128, 4
@@ -91,6 +91,7 @@ def _sign(percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("bytes", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches):
+        only_cache("words")
         for batch in batches:
             out = {k: [] for k in schema.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -111,6 +112,7 @@ def _sign(percent: int):
                 out["sig"].append(np.frombuffer(pack(m), np.int64))
                 out["bands"].append(mix(b + np.arange(bands, dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+            give_back()
 
     return sign
 
@@ -239,7 +241,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     base = only(docs, doc_id=id_col, text=text_col)
-    signed = scratch.keep(spread(base).mapInArrow(_sign(percent), SIGNED), "signed")
+    with arrow_rows(spark, 1000):
+        signed = scratch.keep(spread(base).mapInArrow(_sign(percent), SIGNED), "signed")
 
     linkable = signed.where("d1 is not null and doc_id is not null")
     # Written, so that the join reads two plain shuffles, of which a large class's part can be split.

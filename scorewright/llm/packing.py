@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import only, read, spread
+from .common import only, only_cache, read, spread
 
 WINDOW = 2048
 END_ID = 1
@@ -101,6 +101,7 @@ def _pack(tokenizer: str, window: int):
     schema = pa.schema(_FIELDS)
 
     def pack(batches):
+        only_cache("tokens")
         encode = tokens.encoder(tokenizer, spaces=False)
         first = TaskContext.get().partitionId() << 32
         packer, made, out, held = Packer(window), 0, {k: [] for k, _ in _FIELDS}, 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import only, read, spread
+from .common import only, only_cache, read, spread
 
 #: For this repository's query alone; whoever calls the operator passes a secret key.
 DEMO_KEY = b"demonstration key, not secret"
@@ -308,6 +308,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_values", pa
 
 def _map(key: bytes):
     def run(batches):
+        only_cache()
         held, size = [], 0
         for doc_id, text in tokens.rows(batches, "doc_id", "text"):
             made, found = pseudonymise(text, key) if text else (text, [])

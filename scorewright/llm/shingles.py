@@ -7,7 +7,11 @@ import re
 import numpy as np
 import xxhash
 
+from .common import cache_of
+
 SHINGLE_WORDS = 5
+#: Words whose hashes are held at a time.
+MOST_WORDS = 100_000
 _CHUNK = 4 << 20
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 _SPAN = [np.uint64(x | 1) for x in np.random.default_rng(71).integers(0, 2**63, 5, dtype=np.uint64).tolist()]
@@ -17,13 +21,14 @@ class _Hashes(dict):
     """64-bit hashes of words seen lately; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
 _hashes = _Hashes()
+cache_of("words", _hashes.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, simple8b, tokens
-from .common import Scratch, arrow_rows, only, qualified, read
+from .common import Scratch, arrow_rows, give_back, only, only_cache, qualified, read
 
 MAGIC = b"S8BTOK01"
 #: A segment is closed when it holds so many ids.
@@ -55,6 +55,7 @@ def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _write(folder: str, tokenizer: str):
     def write(batches):
+        only_cache("tokens")
         encode = tokens.encoder(tokenizer, spaces=True)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.s8b"
@@ -109,8 +110,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
 
 
 def _read(batches):
-    tokens.forget()
-    tokens.give_back()
+    only_cache()
     for batch in batches:
         for row in batch.to_pylist():
             with files.open_in(row["file"]) as f:
@@ -125,7 +125,7 @@ def _read(batches):
                 "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.large_binary()).cast(pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
-        tokens.give_back()
+        give_back()
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

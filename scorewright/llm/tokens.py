@@ -11,7 +11,6 @@ so are texts that hold an added token's literal.
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 import string
@@ -19,7 +18,8 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
+
+from .common import cache_of, give_back
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Code points that some regex engine may take for white space, beyond the ASCII ones.
@@ -298,19 +298,7 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _encoders[path, spaces]
 
 
-def forget() -> None:
-    """Drop the encoders of this process; stages that only read have no use for their caches."""
-    _encoders.clear()
-
-
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def give_back() -> None:
-    """Hand memory that Arrow and the C library keep for later back to the system: a Python worker lives for many tasks."""
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
+cache_of("tokens", _encoders.clear)
 
 
 def rows(batches: Iterable, *names: str) -> Iterator[tuple]:

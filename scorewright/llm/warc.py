@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files, tokens
-from .common import Scratch, bounded, only, qualified, read, spread
+from .common import Scratch, bounded, only, only_cache, qualified, read, spread
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT_BYTES = 1000
@@ -66,6 +66,7 @@ def _write(folder: str, file_bytes: int):
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def write(batches):
+        only_cache()
         part = TaskContext.get().partitionId()
         out, name, size, count = None, "", 0, 0
         done = []
