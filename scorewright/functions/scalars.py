@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings that count as true, in the recode and in the profile.
+# Spellings that count as true, in the recode and in the profile; floors of logarithms and rates; the marks of star().
 TRUE_RECODE = ("True", "TRUE", "1", "Y", "y")
 TRUE_PROFILE = ("True", "TRUE", "1", "Y", "y", "Yes", "yes", "On", "on")
 LOG_FLOOR = 1e-5

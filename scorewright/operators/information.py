@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import rank_bins_long
-from .rows import distinct_counts
+from .quantiles import tied_bins, value_bins
 
 
 def bin_tables(df: DataFrame, variables: list[str], dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:
     """(variable, bin, mean_dv, max_dv, mean_var, min_var, max_var, cnt, sum_dv) of rows with variable, target and weight.
 
     More than ``decile`` distinct values are cut by rank (or running weight);
-    fewer are bins themselves.  All variables go through one pass in long form.
+    fewer are bins themselves.  All variables go through one pass in long form,
+    which sums rows by value; only rows of values that a bin's edge parts are
+    looked at one by one, in the order of draws from ``keys``.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     some = df.na.drop(subset=[dep_var, *([weight] if weight else [])])
-    counts = distinct_counts(some, variables)
     base = some.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col(dep_var).cast("double").alias("y"), w.alias("w"), *[F.col(f"`{v}`").alias(f"_v{i}") for i, v in enumerate(variables)])
     order = [f"_k{i}" for i in range(len(keys))]
     items = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_v{i}").cast("double").alias("value")) for i, v in enumerate(variables)])
     long = base.select(*order, "y", "w", F.explode(items).alias("_i")).select(*order, "y", "w", "_i.variable", "_i.value").where("value is not null")
-    many = [v for v in variables if counts[v] > decile]
-    few = long.where(~F.col("variable").isin(*many) if many else F.lit(True)).withColumn("bin", F.col("value"))
-    binned = few.select("variable", "value", "y", "w", "bin")
-    if many:
-        ranked = rank_bins_long(long.where(F.col("variable").isin(*many)), order, decile)
-        binned = binned.unionByName(ranked.select("variable", "value", "y", "w", F.col("bin").cast("double").alias("bin")))
-    return binned.groupBy("variable", "bin").agg(F.avg("y").alias("mean_dv"), F.max("y").alias("max_dv"), F.avg("value").alias("mean_var"), F.min("value").alias("min_var"), F.max("value").alias("max_var"), F.sum("w").alias("cnt"), F.sum(F.col("y") * F.col("w")).alias("sum_dv"))
+
+    def summed(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum("y").alias("sy"), F.max("y").alias("my"), F.sum(F.col("y") * F.col("w")).alias("syw"))
+
+    values = value_bins(summed(long, "variable", "value"), decile)
+    whole = values.withColumn("bin", F.when(F.col("distinct") <= decile, F.col("value")).otherwise(F.col("bin").cast("double")))
+    cut = whole.where("bin is null")
+    tied = summed(tied_bins(long, cut, order, decile), "variable", "value", "bin").withColumn("bin", F.col("bin").cast("double"))
+    parts = whole.where("bin is not null").select(*tied.columns).unionByName(tied)
+    total, x = F.sum("n"), F.col("value")
+    return parts.groupBy("variable", "bin").agg((F.sum("sy") / total).alias("mean_dv"), F.max("my").alias("max_dv"), (F.sum(x * F.col("n")) / total).alias("mean_var"), F.min(x).alias("min_var"), F.max(x).alias("max_var"), F.sum("w").alias("cnt"), F.sum("syw").alias("sum_dv"))
 
 
 def bin_table(df: DataFrame, var: str, dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 65_536
+BATCH_ROWS = 16_384
 _SUMS = pa.schema([("k", pa.int32()), ("v", pa.float64())])
 
 
@@ -123,19 +123,22 @@ def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> Gram:
     return Gram(list(columns), rows, total, centre + shift, second - total * np.outer(shift, shift))
 
 
-def correlation_with(df: DataFrame, columns: list[str], dep_var: str) -> dict[str, float | None]:
-    """Absolute Pearson correlation of each column with the target; None where it isn't defined."""
-    if not columns:
-        return {}
+def signed_correlation_with(df: DataFrame, columns: list[str], dep_var: str) -> dict[str, float | None]:
+    """Pearson correlation of each column with the target; None where it isn't defined."""
     x, y = {c: F.when(F.col(dep_var).isNotNull(), F.col(f"`{c}`").cast("double")) for c in columns}, F.col(dep_var).cast("double")
     out = {}
     for i in range(0, len(columns), 50):
         part = columns[i : i + 50]
         row = df.agg(*[safe_correlation(x[c], y) for c in part]).first()
-        out |= {c: None if v is None or v != v else abs(v) for c, v in zip(part, row)}
+        out |= {c: None if v is None or v != v else v for c, v in zip(part, row)}
     return out
 
 
+def correlation_with(df: DataFrame, columns: list[str], dep_var: str) -> dict[str, float | None]:
+    """Absolute Pearson correlation of each column with the target; None where it isn't defined."""
+    return {c: None if r is None else abs(r) for c, r in signed_correlation_with(df, columns, dep_var).items()}
+
+
 def safe_correlation(a, b):
     """Correlation over the rows where both are present; null for constants instead of an error."""
     both = a.isNotNull() & b.isNotNull()

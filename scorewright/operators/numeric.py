@@ -70,6 +70,7 @@ def summarise(df: DataFrame, variables: list[str], dep_var: str) -> dict[str, Nu
 def default_impute(s: Numeric, method: str) -> float | None:
     """Value for missing by method; None for ER and others that need a fitted line."""
     m = method.upper()
+    # Method names and what each gives.
     if m in ("MEAN", "STD"):
         return s.mean
     if m in ("MEDIAN", "IQR", "MAD"):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +60,18 @@ def profile_levels(df: DataFrame, var: str, dep_var: str) -> DataFrame:
     return df.select(x.alias("x"), F.col(dep_var).alias("y")).groupBy("x").agg(F.count("*").alias("xcount"), F.avg("y").alias("xmean")).select(F.col("x").alias("lo"), F.col("x").alias("hi"), "xcount", "xmean")
 
 
+def bins_of(df: DataFrame, variables: list[str], k: int = 10, equal_width: bool = False) -> dict[str, Column]:
+    """Each variable's bin number: of equal frequency, or of equal width between the 1st and 99th percentile. One pass finds all edges."""
+    if equal_width:
+        found = {r.variable: (r.q0, r.q1) for r in quantiles(df, variables, [0.01, 0.99], "linear").collect()} if variables else {}
+        return {v: width_bin(F.col(v).cast("double"), *found.get(v, (0.0, 0.0)), k) for v in variables}
+    edges = quantile_edges(df, variables, k) if variables else {}
+    return {v: edges_bin(F.col(v).cast("double"), edges.get(v, [])) for v in variables}
+
+
 def profile_bins(df: DataFrame, var: str, dep_var: str, k: int = 10, equal_width: bool = False) -> DataFrame:
     """Equal-frequency bins, or equal-width bins between the 1st and 99th percentile."""
-    x = F.col(var).cast("double")
-    if equal_width:
-        found = quantiles(df, [var], [0.01, 0.99], "linear").collect()
-        low, high = (found[0].q0, found[0].q1) if found else (0.0, 0.0)
-        return bin_stats(df, x, width_bin(x, low, high, k), dep_var)
-    return bin_stats(df, x, edges_bin(x, quantile_edges(df, [var], k).get(var, [])), dep_var)
+    return bin_stats(df, F.col(var).cast("double"), bins_of(df, [var], k, equal_width)[var], dep_var)
 
 
 def bin_labels(bins: DataFrame) -> DataFrame:
@@ -86,12 +92,42 @@ def report(rows: DataFrame, var: str, nobs: int, mean: float | None) -> DataFram
     return top.unionByName(body)
 
 
+@dataclass
+class Profile:
+    """What a variable's report rows are grouped by: text, and numbers if its rows are bins or levels of them."""
+
+    variable: str
+    group: Column
+    value: Column | None = None
+    bins: bool = False  # numbered bins, named after their extremes
+    with_target: bool = False  # count rows with a target only
+
+
+def report_all(df: DataFrame, parts: list[Profile], dep_var: str, nobs: int, mean: float | None) -> DataFrame | None:
+    """Report rows of many variables by one aggregate over one long form of the table."""
+    if not parts:
+        return None
+    no_value = F.lit(None).cast("double")
+    items = [F.struct(F.lit(p.variable).alias("variable"), F.lit(p.bins).alias("bins"), F.lit(p.with_target).alias("with_target"), p.group.cast("string").alias("group"), (no_value if p.value is None else p.value.cast("double")).alias("x")) for p in parts]
+    long = df.select(F.col(dep_var).alias("y"), F.explode(F.array(*items)).alias("i")).select("y", "i.*")
+    rows = long.groupBy("variable", "bins", "with_target", "group").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"), F.count("y").alias("targets"), F.avg("y").alias("xmean"))
+    last = F.max(F.col("group").try_cast("int")).over(Window.partitionBy("variable"))
+    number = lambda c: F.col(c).cast("string")
+    between = F.when(F.col("at") == 1, F.concat(F.lit("Low to "), number("hi"))).when(F.col("at") == F.col("last"), F.concat(number("lo"), F.lit(" to High"))).otherwise(F.concat(number("lo"), F.lit(" to "), number("hi")))
+    category = F.when(~F.col("bins"), F.col("group")).when(F.col("group").isNull(), "Missing").otherwise(between)
+    rows = rows.withColumns({"last": last, "at": F.col("group").try_cast("int")}).withColumn("category", category)
+    idx = index(F.col("xmean"), F.lit(mean).cast("double"))
+    count = F.when(F.col("with_target"), F.col("targets")).otherwise(F.col("rows"))
+    body = rows.select("variable", "category", F.col("xmean").alias("average_dv"), count.alias("count"), F.try_divide(count.cast("double"), F.lit(nobs)).alias("percent"), idx.alias("idx"), star(idx).alias("star"))
+    top = df.sparkSession.createDataFrame([(p.variable, "Overall", mean, nobs, 1.0, 100.0, "") for p in parts], T.StructType.fromDDL(REPORT))
+    return top.unionByName(body)
+
+
 def binary_recode(var: str, dtype: str) -> Column:
     """1 for a true value, else 0; null gives 0."""
     return is_true(F.col(var), dtype, TRUE_RECODE).cast("int")
 
 
-def binary_profile(df: DataFrame, var: str, dtype: str, dep_var: str) -> DataFrame:
-    """(category, xcount, xmean) of the values 0 and 1; reads more spellings of true than the recode."""
-    value = is_true(F.col(var), dtype, TRUE_PROFILE).cast("int").cast("string")
-    return df.groupBy(value.alias("category")).agg(F.count("*").alias("xcount"), F.avg(dep_var).alias("xmean"))
+def binary_group(var: str, dtype: str) -> Column:
+    """0 or 1 as text; reads more spellings of true than the recode."""
+    return is_true(F.col(var), dtype, TRUE_PROFILE).cast("int").cast("string")

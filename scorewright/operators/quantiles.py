@@ -1,8 +1,9 @@
 """Exact quantiles and rank bins of many variables at once, without one sorted partition.
 
-Values are counted per (variable, value) first.  Each variable's range is cut
-into equal steps; a running sum over the steps' counts and one inside each step
-give every value's rank, so a variable's values spread over many tasks.
+Values are counted per (variable, value) first.  Steps between approximate
+quantiles of a variable's distinct values hold about equally many of them,
+whatever their spread; a running sum over the steps' counts and one inside each
+step give every value's rank, so a variable's values spread over many tasks.
 """
 
 from __future__ import annotations
@@ -10,22 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import SPAN, draw
 from .rows import unpivoted
 
-STEPS = 1024
+#: Steps of a variable: OUTER runs of OUTER steps each.
+OUTER = 32
+#: Tied rows that a bin edge parts are numbered in ranges of their draws of about so many rows.
+ROWS_A_RANGE = 50_000
+#: Seed of the draws that put tied rows in order.
+TIE_SEED = 0
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def _step(value: Column, edges: Column) -> Column:
+    """How many of the sorted edges are smaller than the value: first among the last ones of runs, then within one."""
+    below = lambda some: F.size(F.filter(some, lambda e: e < value))
+    run = below(F.transform(F.sequence(F.lit(OUTER), F.lit(OUTER * (OUTER - 1)), F.lit(OUTER)), lambda i: edges[i - 1]))
+    return run * OUTER + below(F.slice(edges, run * OUTER + 1, F.lit(OUTER - 1)))
+
+
+def ranked_values(values: DataFrame, weight: str = "n") -> DataFrame:
+    """Adds before, total and distinct to rows (variable, value, ``weight``, ...), each value once: weight of smaller values, of all, and how many there are."""
+    probs = [i / OUTER**2 for i in range(1, OUTER**2)]
+    facts = values.groupBy("variable").agg(F.percentile_approx("value", probs, 20 * OUTER**2).alias("_edges"), F.sum(weight).alias("total"), F.count("*").alias("distinct"))
+    stepped = values.join(F.broadcast(facts), "variable").withColumn("_step", _step(F.col("value"), F.col("_edges"))).drop("_edges")
+    sums = stepped.groupBy("variable", "_step").agg(F.sum(weight).alias("_rows"))
+    sums = sums.select("variable", "_step", F.coalesce(F.sum("_rows").over(Window.partitionBy("variable").orderBy("_step").rowsBetween(*_BEFORE)), F.lit(0)).alias("_below"))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("variable", "_step").orderBy("value").rowsBetween(*_BEFORE)), F.lit(0))
+    return stepped.withColumn("_inside", inside).join(sums, ["variable", "_step"]).withColumn("before", F.col("_below") + F.col("_inside")).drop("_step", "_below", "_inside")
 
 
 def value_ranks(long: DataFrame) -> DataFrame:
     """(variable, value, n, before, total) of rows (variable, value): counts, and how many values are smaller."""
     counts = long.where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("n"))
-    facts = counts.groupBy("variable").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
-    step = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * STEPS), F.lit(0))
-    stepped = counts.join(F.broadcast(facts), "variable").withColumn("step", step)
-    sums = stepped.groupBy("variable", "step").agg(F.sum("n").alias("rows"))
-    below = F.coalesce(F.sum("rows").over(Window.partitionBy("variable").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("variable", "step", below.alias("below"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("variable", "step").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return stepped.withColumn("inside", inside).join(sums, ["variable", "step"]).select("variable", "value", "n", (F.col("below") + F.col("inside")).alias("before"), "total")
+    return ranked_values(counts).select("variable", "value", "n", "before", "total")
 
 
 def _picked(ranks: DataFrame, at: Column) -> Column:
@@ -52,28 +71,46 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], method: str
     return ranks.groupBy("variable").agg(*out)
 
 
-def rank_bins_long(long: DataFrame, keys: list[str], bins: int, name: str = "bin") -> DataFrame:
-    """Adds bins 0..bins-1 by rank to rows (variable, value, w, ...): running weight * bins div (total weight + 1).
+def value_bins(values: DataFrame, bins: int) -> DataFrame:
+    """Adds before, total, distinct and bin to rows (variable, value, n, w): bins 0..bins-1 by running weight * bins div (total weight + 1).
 
-    All variables are ranked in one pass; ties follow the keys.  Values must not
-    be null.  Only a variable's rows of one step are ever ordered in one task.
+    The bin is null where an edge may part the rows of a value.
     """
-    facts = long.groupBy("variable").agg(F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("w").alias("_total"))
-    step = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_low"), F.col("_high") - F.col("_low")) * STEPS), F.lit(0))
-    stepped = long.join(F.broadcast(facts), "variable").withColumn("_step", step)
-    steps = stepped.groupBy("variable", "_step").agg(F.sum("w").alias("_sum"))
-    steps = steps.select("variable", "_step", F.coalesce(F.sum("_sum").over(Window.partitionBy("variable").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_below"))
-    upto = F.sum("w").over(Window.partitionBy("variable", "_step").orderBy("value", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = stepped.withColumn("_upto", upto).join(steps, ["variable", "_step"])
-    made = F.floor((F.col("_below") + F.col("_upto")) * bins / (F.col("_total") + 1)).cast("long")
-    return ranked.withColumn(name, made).drop("_low", "_high", "_total", "_step", "_upto", "_below")
+    ranked = ranked_values(values, "w")
+    at = lambda x: F.floor(x * bins / (F.col("total") + 1)).cast("long")
+    first, last = at(F.col("before")), at(F.col("before") + F.col("w"))
+    return ranked.withColumn("bin", F.when((first == last) | (F.col("n") == 1), last))
+
+
+def tied_bins(long: DataFrame, cut: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Rows (variable, value, w, keys, ...) of the values in ``cut`` (variable, value, n, before, total), with their bins.
+
+    Tied rows stand in the order of draws from their keys.  They are summed by
+    ranges of the draws, then ordered inside each range, so a value that most
+    rows share spreads over many tasks.  At most ``bins`` - 1 values of a
+    variable are cut, so they are broadcast.
+    """
+    facts = cut.select("variable", "value", F.col("before").alias("_before"), F.col("total").alias("_total"), F.greatest(F.ceil(F.col("n") / ROWS_A_RANGE), F.lit(1)).alias("_ranges"))
+    rows = long.join(F.broadcast(facts), ["variable", "value"]).withColumn("_draw", draw(TIE_SEED, *[F.col(k) for k in keys]))
+    rows = rows.withColumn("_range", F.floor(F.col("_draw") * F.col("_ranges") / F.lit(float(SPAN))))
+    part = ["variable", "value", "_range"]
+    sums = rows.groupBy(*part).agg(F.sum("w").alias("_sum"))
+    below = F.coalesce(F.sum("_sum").over(Window.partitionBy("variable", "value").orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0))
+    sums = sums.select(*part, below.alias("_below"))
+    upto = F.sum("w").over(Window.partitionBy(*part).orderBy("_draw", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_upto", upto).join(sums, part)
+    made = F.floor((F.col("_before") + F.col("_below") + F.col("_upto")) * bins / (F.col("_total") + 1)).cast("long")
+    return rows.withColumn("bin", made).drop("_before", "_total", "_ranges", "_draw", "_range", "_below", "_upto")
 
 
 def rank_bins(df: DataFrame, column: str, keys: list[str], bins: int, weight: str | None = None, name: str = "bin") -> DataFrame:
-    """Adds rank bins of one column; null values get a null bin."""
+    """Adds rank bins of one column; null values get a null bin. Ties stand in the order of draws from ``keys``."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     long = df.where(F.col(column).isNotNull()).select(F.lit(column).alias("variable"), F.col(column).cast("double").alias("value"), w.alias("w"), *keys, F.struct(*df.columns).alias("_row"))
-    binned = rank_bins_long(long, keys, bins, name).select("_row.*", name)
+    values = value_bins(long.groupBy("variable", "value").agg(F.count("*").alias("n"), F.sum("w").alias("w")), bins)
+    whole = long.join(values.where("bin is not null").select("variable", "value", "bin"), ["variable", "value"])
+    tied = tied_bins(long, values.where("bin is null"), keys, bins)
+    binned = whole.select("_row", "bin").unionByName(tied.select("_row", "bin")).select("_row.*", F.col("bin").alias(name))
     return binned.unionByName(df.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
@@ -97,3 +134,24 @@ def width_bin(x: Column, low: Column | float, high: Column | float, k: int) -> C
     high = high if isinstance(high, Column) else F.lit(float(high))
     inner = F.floor(F.try_divide(x - low, (high - low) / k)) + 1
     return F.when(x.isNull(), None).when(x < low, 1).when(x >= high, k).otherwise(inner).cast("int")
+
+
+def weighted_quantiles(df: DataFrame, column: str, weight: str, probs: list[float]) -> list[float | None]:
+    """Values where the running weight reaches the shares ``probs`` of all weight, between neighbours by straight lines.
+
+    Below the first value's own weight that value holds.  Rows without value or
+    weight are left out; without any row every answer is None.
+    """
+    long = df.select(F.lit(column).alias("variable"), F.col(column).cast("double").alias("value"), F.col(weight).cast("double").alias("w")).where("value is not null and w is not null")
+    ranked = ranked_values(long.groupBy("variable", "value").agg(F.sum("w").alias("w")), "w").withColumn("upto", F.col("before") + F.col("w"))
+    aims = [F.lit(float(q)) * F.col("total") for q in probs]
+    found = [x for at in aims for x in (F.max_by("value", F.when(F.col("upto") <= at, F.col("upto"))), F.max(F.when(F.col("upto") <= at, F.col("upto"))), F.min(F.when(F.col("upto") >= at, F.col("upto"))), F.min(F.when(F.col("upto") >= at, F.col("value"))), F.max(at))]
+    row = ranked.agg(*found).first()
+    out = []
+    for i in range(len(probs)):
+        low, low_at, high_at, high, at = row[5 * i : 5 * i + 5]
+        if low is None or high is None or high_at == low_at:
+            out.append(low if high is None else high)
+        else:
+            out.append(low + (high - low) * (at - low_at) / (high_at - low_at))
+    return out

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_two_sided, t_two_sided
+from .moments import summed
 
 MOST_STEPS = 25
 TOLERANCE = 1e-10
@@ -31,33 +34,61 @@ class Fit:
         return None if math.isnan(self.slope) else "(+)" if self.slope > 0 else "(-)"
 
 
-def _long(df: DataFrame, terms: dict[str, Column], dep_var: str, weight: str | None) -> DataFrame:
-    """Rows (name, x, y, w) with all present."""
-    items = F.array(*[F.struct(F.lit(k).alias("name"), x.cast("double").alias("x")) for k, x in terms.items()])
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    long = df.select(F.col(dep_var).cast("double").alias("y"), w.alias("w"), F.explode(items).alias("i")).select("i.name", "i.x", "y", "w")
-    return long.where("x is not null and y is not null and w is not null and not isnan(x)")
+class _Table:
+    """Target, weight and one column a term; a term counts in the rows that have it."""
 
+    def __init__(self, df: DataFrame, terms: dict[str, Column], dep_var: str, weight: str | None):
+        w = F.col(weight).cast("double") if weight else F.lit(1.0)
+        rows = df.select(F.col(dep_var).cast("double").alias("y"), w.alias("w"), *[x.cast("double").alias(f"x{i}") for i, x in enumerate(terms.values())]).where("y is not null and w is not null")
+        self.names, self.columns = list(terms), [f"x{i}" for i in range(len(terms))]
+        self.rows = rows.select("y", "w", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in self.columns]).persist()
 
-def _moments(long: DataFrame) -> dict[str, dict]:
-    """Weighted means, then centred sums, by term; constants show as equal extremes."""
-    first = long.groupBy("name").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("mx"), F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("my"), F.min("x").alias("low"), F.max("x").alias("high"))
-    facts = {r.name: r.asDict() for r in first.collect()}
-    if not facts:
-        return {}
-    spark = long.sparkSession
-    centres = spark.createDataFrame([(k, f["mx"] or 0.0, f["my"] or 0.0) for k, f in facts.items()], "name string, mx double, my double")
-    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    second = long.join(F.broadcast(centres), "name").groupBy("name").agg(F.sum(F.col("w") * dx * dx).alias("sxx"), F.sum(F.col("w") * dx * dy).alias("sxy"), F.sum(F.col("w") * dy * dy).alias("syy"))
-    for r in second.collect():
-        facts[r.name] |= r.asDict()
-    return facts
+    def close(self) -> None:
+        self.rows.unpersist()
+
+    def facts(self) -> dict[str, dict]:
+        """Rows, weight, means and extremes of each term that has a row; then sums around the means."""
+        found: dict[str, dict] = {}
+        for at in range(0, len(self.names), 25):
+            part = self.columns[at : at + 25]
+            there = lambda c, x: F.sum(F.when(F.col(c).isNotNull(), x))
+            row = self.rows.agg(*[e for c in part for e in (F.count(c), F.min(c), F.max(c), there(c, F.col("w")), F.sum(F.col("w") * F.col(c)), there(c, F.col("w") * F.col("y")))]).first()
+            for k, name in enumerate(self.names[at : at + 25]):
+                n, low, high, sw, swx, swy = row[6 * k : 6 * k + 6]
+                if n:
+                    found[name] = {"n": n, "low": low, "high": high, "sw": sw, "mx": swx / sw if sw else 0.0, "my": swy / sw if sw else 0.0}
+        if found:
+            mx, my = (np.array([found.get(n, {}).get(k, 0.0) for n in self.names]) for k in ("mx", "my"))
+
+            def centred(y, w, x, there):
+                dx, dy = np.where(there, x - mx, 0.0), np.where(there, y - my, 0.0)
+                return w * dx * dx, w * dx * dy, w * dy * dy
+
+            for key, sums in zip(("sxx", "sxy", "syy"), self.sums(self.names, centred, 3)):
+                for name, f in found.items():
+                    f[key] = float(sums[self.names.index(name)])
+        return found
+
+    def sums(self, names: list[str], of: Callable, count: int) -> np.ndarray:
+        """``count`` sums for each of the terms: ``of`` (y, w, x, present) gives as many blocks, rows x terms. One small vector a task."""
+        columns = [self.columns[self.names.index(n)] for n in names]
+
+        def add(block: np.ndarray) -> np.ndarray:
+            x = block[:, 2:]
+            return np.concatenate([part.sum(0) for part in of(block[:, :1], block[:, 1:2], x, ~np.isnan(x))])
+
+        return summed(self.rows, ["y", "w", *columns], count * len(names), add).reshape(count, len(names))
 
 
 def linear(df: DataFrame, terms: dict[str, Column], dep_var: str, weight: str | None = None) -> dict[str, Fit]:
     """Least squares of the target on each term; p of the slope by Student's t with n - 2 degrees of freedom."""
     out = {k: Fit(k) for k in terms}
-    for k, f in _moments(_long(df, terms, dep_var, weight)).items():
+    table = _Table(df, terms, dep_var, weight)
+    try:
+        facts = table.facts()
+    finally:
+        table.close()
+    for k, f in facts.items():
         out[k].rows = f["n"]
         if not f["low"] < f["high"] or not f["sxx"] > 0:
             continue
@@ -73,17 +104,32 @@ def linear(df: DataFrame, terms: dict[str, Column], dep_var: str, weight: str |
     return out
 
 
+def _newton_sums(m, s, a, b):
+    """Score, information and log likelihood of lines a + b z at standardised values z."""
+
+    def of(y, w, x, there):
+        z = np.where(there, (x - m) / s, 0.0)
+        w = np.where(there, w, 0.0)
+        eta = a + b * z
+        small = np.exp(-np.abs(eta))
+        mu = np.where(eta >= 0, 1 / (1 + small), small / (1 + small))
+        r, v = w * (y - mu), w * mu * (1 - mu)
+        return r, r * z, v, v * z, v * z * z, w * (y * eta - np.maximum(eta, 0) - np.log1p(small))
+
+    return of
+
+
 def logistic(df: DataFrame, terms: dict[str, Column], dep_var: str, weight: str | None = None) -> dict[str, Fit]:
     """Maximum likelihood of a 0/1 target on each term; weights count as frequencies; p by Wald's test.
 
-    All terms take their Newton steps together, one grouped aggregate a step,
-    on standardised values.  A term that does not converge, as under separation,
-    gets an empty fit.
+    All terms take their Newton steps together, on standardised values; a step
+    is one pass that returns six sums a term from each task.  A term that does
+    not converge, as under separation, gets an empty fit.
     """
     out = {k: Fit(k) for k in terms}
-    long = _long(df, terms, dep_var, weight).persist()
+    table = _Table(df, terms, dep_var, weight)
     try:
-        facts = _moments(long)
+        facts = table.facts()
         going: dict[str, dict] = {}
         for k, f in facts.items():
             out[k].rows = f["n"]
@@ -92,34 +138,27 @@ def logistic(df: DataFrame, terms: dict[str, Column], dep_var: str, weight: str
         for _ in range(MOST_STEPS):
             if not going:
                 break
-            params = long.sparkSession.createDataFrame([(k, g["m"], g["s"], g["a"], g["b"]) for k, g in going.items()], "name string, m double, s double, a double, b double")
-            z = (F.col("x") - F.col("m")) / F.col("s")
-            eta = F.col("a") + F.col("b") * z
-            mu = F.when(eta >= 0, 1 / (1 + F.exp(-eta))).otherwise(F.exp(eta) / (1 + F.exp(eta)))
-            fit = long.join(F.broadcast(params), "name").select("name", "y", "w", z.alias("z"), eta.alias("eta"), mu.alias("mu"))
-            v, r = F.col("w") * F.col("mu") * (1 - F.col("mu")), F.col("w") * (F.col("y") - F.col("mu"))
-            like = F.col("w") * (F.col("y") * F.col("eta") - F.greatest(F.col("eta"), F.lit(0.0)) - F.log1p(F.exp(-F.abs("eta"))))
-            rows = fit.groupBy("name").agg(F.sum(r).alias("u0"), F.sum(r * F.col("z")).alias("u1"), F.sum(v).alias("h00"), F.sum(v * F.col("z")).alias("h01"), F.sum(v * F.col("z") * F.col("z")).alias("h11"), F.sum(like).alias("ll")).collect()
-            for q in rows:
-                g = going[q.name]
-                det = q.h00 * q.h11 - q.h01 * q.h01
-                if not det > 1e-12 * max(q.h00 * q.h11, 1e-300) or abs(g["b"]) > 1e4:
-                    del going[q.name]
+            names = list(going)
+            found = table.sums(names, _newton_sums(*(np.array([going[k][c] for k in names]) for c in "msab")), 6)
+            for k, (u0, u1, h00, h01, h11, like) in zip(names, found.T.tolist()):
+                g = going[k]
+                det = h00 * h11 - h01 * h01
+                if not det > 1e-12 * max(h00 * h11, 1e-300) or abs(g["b"]) > 1e4:
+                    del going[k]
                     continue
-                da, db = (q.h11 * q.u0 - q.h01 * q.u1) / det, (q.h00 * q.u1 - q.h01 * q.u0) / det
+                da, db = (h11 * u0 - h01 * u1) / det, (h00 * u1 - h01 * u0) / det
                 if abs(da) + abs(db) < TOLERANCE * (1 + abs(g["a"]) + abs(g["b"])):
-                    f, o = facts[q.name], out[q.name]
-                    error = math.sqrt(q.h00 / det)
+                    f, o = facts[k], out[k]
                     null = f["sw"] * (f["my"] * math.log(f["my"]) + (1 - f["my"]) * math.log(1 - f["my"]))
-                    o.slope, o.p = g["b"] / g["s"], normal_two_sided(g["b"] / error)
+                    o.slope, o.p = g["b"] / g["s"], normal_two_sided(g["b"] / math.sqrt(h00 / det))
                     o.intercept = g["a"] - o.slope * g["m"]
-                    o.stat, o.r2 = 2 * (q.ll - null), 1 - q.ll / null
-                    del going[q.name]
+                    o.stat, o.r2 = 2 * (like - null), 1 - like / null
+                    del going[k]
                 else:
                     step = min(1.0, 5 / max(abs(da), abs(db), 1e-300))
                     g["a"], g["b"] = g["a"] + step * da, g["b"] + step * db
     finally:
-        long.unpersist()
+        table.close()
     return out
 
 

@@ -27,11 +27,6 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=list(dict.fromkeys(columns)))
 
 
-def responders(df: DataFrame, dep_var: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a positive target, and those with another; rows without one are in neither."""
-    return df.where(F.col(dep_var) > 0), df.where(F.col(dep_var) <= 0)
-
-
 def prefixed(df: DataFrame, prefix: str, keep_list: tuple[str, ...] = ()) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix) and c not in keep_list]
 

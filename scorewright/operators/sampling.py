@@ -79,14 +79,18 @@ def target_sizes(size: int, ratio: float, min_num_resp: int) -> tuple[int, int]:
     return max(n, min_num_resp), max(size - n, others)
 
 
+def resize(df: DataFrame, keys: list[str], want: int, seed: int, got: int | None = None) -> DataFrame:
+    """Exactly ``want`` rows: drawn without replacement, or all of them and copies; a ``_copy`` of 0 is an original."""
+    got = df.count() if got is None else got
+    return take(df, keys, want, seed).withColumn(COPY, F.lit(0)) if got > want else top_up(df, keys, want, seed, got)
+
+
 def resample(df: DataFrame, keys: list[str], dep_var: str, size: int, ratio: float, min_num_resp: int, seed: int) -> DataFrame:
     """Responders and others, each cut or topped up to its target size; rows without a target vanish."""
     n = target_sizes(size, ratio, min_num_resp)
     has = df.agg(F.count_if(F.col(dep_var) > 0), F.count_if(F.col(dep_var) <= 0)).first()
-    out = []
-    for part, want, got in zip((df.where(F.col(dep_var) > 0), df.where(F.col(dep_var) <= 0)), n, has):
-        out.append(part.withColumn(COPY, F.lit(0)) if got == want else take(part, keys, want, seed).withColumn(COPY, F.lit(0)) if got > want else top_up(part, keys, want, seed, got))
-    return out[0].unionByName(out[1])
+    yes, no = (resize(part, keys, want, seed, got) for part, want, got in zip((df.where(F.col(dep_var) > 0), df.where(F.col(dep_var) <= 0)), n, has))
+    return yes.unionByName(no)
 
 
 def bootstrap_size(rows: int, rate: float | None, oversampled_rr: float, min_num_resp: int) -> int:

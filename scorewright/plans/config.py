@@ -104,7 +104,6 @@ class ReduceConfig(_FromDict):
     samplesize: int | None = 50000  # None: all rows
     redu_weight: bool = False
     weight: str | None = None
-    weight_is_freq: bool = False
     sources: int = 3
     univ_reg_flg: bool = True
     maxpuni: float = 0.0001

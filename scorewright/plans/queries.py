@@ -82,8 +82,9 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-_BINS = _M + """, r AS (
-  SELECT y, z, (row_number() OVER (ORDER BY z, rid) * 10) // (count(*) OVER () + 1) AS bin FROM m
+_TIE = _BUCKET.format(seed=0, key="rid")
+_BINS = _M + f""", r AS (
+  SELECT y, z, (row_number() OVER (ORDER BY z, {_TIE}, rid) * 10) // (count(*) OVER () + 1) AS bin FROM m
 ), t AS (SELECT bin, avg(y) AS mean_dv, count(*) AS cnt, avg(z) AS mean_var, min(z) AS min_var, max(z) AS max_var FROM r GROUP BY 1
 ), s AS (SELECT *, cnt * mean_dv / sum(cnt * mean_dv) OVER () AS br, (cnt - cnt * mean_dv) / (sum(cnt) OVER () - sum(cnt * mean_dv) OVER ()) AS gr, cnt / sum(cnt) OVER () AS fr FROM t)
 """
@@ -102,8 +103,8 @@ def iv_ks_gini(spark, d):
     return _r(information.information(model_table(spark, d), ["z"], "y", KEYS, 10))
 
 
-@query(_M + """, r AS (
-  SELECT y, z, w, CAST(floor(sum(w) OVER (ORDER BY z, rid ROWS UNBOUNDED PRECEDING) * 10 / (sum(w) OVER () + 1)) AS BIGINT) AS bin FROM m
+@query(_M + f""", r AS (
+  SELECT y, z, w, CAST(floor(sum(w) OVER (ORDER BY z, {_TIE}, rid ROWS UNBOUNDED PRECEDING) * 10 / (sum(w) OVER () + 1)) AS BIGINT) AS bin FROM m
 ) SELECT CAST(bin AS DOUBLE) AS bin, round(avg(y), 6) AS mean_dv, round(sum(w), 6) AS cnt, round(min(z), 6) AS min_var, round(max(z), 6) AS max_var FROM r GROUP BY 1""")
 def iv_weighted_bins(spark, d):
     return _r(information.bin_table(model_table(spark, d), "z", "y", KEYS, 10, weight="w").select("bin", "mean_dv", "cnt", "min_var", "max_var"))
@@ -401,37 +402,180 @@ def index_of_levels(spark, d):
     return _r(rows.complete_rows(m, ["x1", "y"]).groupBy("o1").agg(F.count("*").alias("n"), F.avg("y").alias("a")).select("o1", "n", index(F.col("a"), F.lit(mean)).alias("idx")))
 
 
-# Iterative, or with probabilities that SQL has no function for: checked in the tests.
+def _newton(source: str, steps: int = 12) -> str:
+    """CTEs of logistic fits of y on x by k in ``source`` (k, x, y): fit (k, intercept, slope, wald, stat, r2).
 
+    Newton's method from the log odds of the mean, on standardised x, a fixed
+    number of steps.
+    """
+    sums = "sum(y - mu) AS u0, sum((y - mu) * z) AS u1, sum(mu * (1 - mu)) AS h00, sum(mu * (1 - mu) * z) AS h01, sum(mu * (1 - mu) * z * z) AS h11, sum(y * ln(mu) + (1 - y) * ln(1 - mu)) AS ll"
+    at = f"SELECT k, any_value(a) AS a, any_value(b) AS b, any_value(mx) AS mx, any_value(sx) AS sx, any_value(my) AS my, count(*) AS n, {sums} FROM (SELECT d.k, y, a, b, mx, sx, my, (x - mx) / sx AS z, 1 / (1 + exp(-(a + b * (x - mx) / sx))) AS mu FROM {source} d JOIN facts f ON f.k = d.k JOIN {{prev}} s ON s.k = d.k) GROUP BY k"
+    out = [f"facts AS MATERIALIZED (SELECT k, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM {source} GROUP BY k)", "s0 AS (SELECT k, ln(my / (1 - my)) AS a, 0.0::DOUBLE AS b FROM facts)"]
+    for i in range(steps):
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT k, a + (h11 * u0 - h01 * u1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * u1 - h01 * u0) / (h00 * h11 - h01 * h01) AS b FROM ({at.format(prev=f's{i}')}))")
+    out.append(f"fit AS MATERIALIZED (SELECT k, a - b / sx * mx AS intercept, b / sx AS slope, b / sqrt(h00 / (h00 * h11 - h01 * h01)) AS wald, 2 * (ll - nul) AS stat, 1 - ll / nul AS r2 FROM (SELECT *, n * (my * ln(my) + (1 - my) * ln(1 - my)) AS nul FROM ({at.format(prev=f's{steps}')})))")
+    return ", ".join(out)
 
-@query()
+
+def _two_sided(z: str) -> str:
+    """Two-sided tail of the normal law by the series of the error function; below a millionth it is 0."""
+    x = f"(abs({z}) / sqrt(2))"
+    return f"CASE WHEN {x} > 3.7 THEN 0 WHEN {x} < 1e-8 THEN 1 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln({x}) - lgamma(n + 1)) / (2 * n + 1))) END"
+
+
+@query(_M + _LONG + ", src AS (SELECT variable AS k, value AS x, y FROM (SELECT y, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LONG) + " FROM m) UNPIVOT (value FOR variable IN (" + ", ".join(LONG) + "))), " + _newton("src") + f" SELECT k AS variable, round(intercept, 6) AS intercept, round(slope, 8) AS slope, round({_two_sided('wald')}, 6) AS p, round(stat, 4) AS stat, round(r2, 6) AS r2 FROM fit")
+def logit_univariate(spark, d):
+    fits = regression.univariate(model_table(spark, d), LONG, "y", binary=True)
+    return spark.createDataFrame([(v, round(f.intercept, 6), round(f.slope, 8), round(f.p, 6), round(f.stat, 4), round(f.r2, 6)) for v, f in fits.items()], "variable string, intercept double, slope double, p double, stat double, r2 double")
+
+
+_TERMS = {"": "v", "SQ_": "v * v", "SR_": "sqrt(greatest(v, 0))", "LN_": "ln(greatest(v, 1e-5))"}
+#: best: the best transform of each numeric variable with its line, and what missing values get by equal response.
+_BEST = _BOUNDS + ", capped AS (SELECT variable, greatest(least(value, ub), lb) AS v, y FROM (SELECT variable, value, y FROM (SELECT y, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMBERS) + " FROM m) UNPIVOT (value FOR variable IN (" + ", ".join(NUMBERS) + "))) JOIN bounds USING (variable)), src AS (" + " UNION ALL ".join(f"SELECT variable || '|{i}{p}' AS k, {e} AS x, y FROM capped" for i, (p, e) in enumerate(_TERMS.items())) + "), " + _newton("src", 25) + """
+, picked AS (
+  SELECT split_part(k, '|', 1) AS variable, substr(split_part(k, '|', 2), 2) AS transform, intercept, slope, wald,
+         row_number() OVER (PARTITION BY split_part(k, '|', 1) ORDER BY CASE WHEN abs(wald) > 38.5 THEN 1e9 ELSE abs(wald) END DESC, split_part(k, '|', 2)) AS place
+  FROM fit
+), gone AS (""" + " UNION ALL ".join(f"SELECT '{v}' AS variable, count(*) - count({v}) AS missing, avg(CASE WHEN {v} IS NULL THEN y END) AS rate FROM m" for v in NUMBERS) + """
+), er AS (
+  SELECT p.*, missing, p50, lb, ub, (ln(greatest(least(rate, 0.9999::DOUBLE), 0.0001::DOUBLE) / (1 - greatest(least(rate, 0.9999::DOUBLE), 0.0001::DOUBLE))) - intercept) / slope AS goal
+  FROM picked p JOIN gone USING (variable) JOIN bounds USING (variable) WHERE place = 1
+), best AS (
+  SELECT variable, transform, wald, CASE WHEN missing < 500 OR abs(wald) < 1.959963984540054 THEN p50 ELSE
+    greatest(least(CASE transform WHEN '' THEN goal WHEN 'SQ_' THEN sqrt(greatest(goal, 0)) WHEN 'SR_' THEN goal * goal ELSE exp(goal) END, ub), lb) END AS impute
+  FROM er
+)"""
+
+
+@query(_BEST + f" SELECT variable, transform, round({_two_sided('wald')}, 6) AS p, round(impute, 4) AS impute FROM best")
+def best_transform(spark, d):
+    found = numeric.process(model_table(spark, d), NUMBERS, "y", binary=True, method="ER", transforms=True, min_size=500)
+    return spark.createDataFrame([(v, s.prefix, round(s.fit.p, 6), round(s.impute, 4)) for v, s in found.items()], "variable string, transform string, p double, impute double")
+
+
+@query(_BEST + " SELECT rid, y, round(coalesce(x1, impute), 4) AS \"R1_x1\" FROM m, best WHERE variable = 'x1'")
+def er_impute(spark, d):
+    m = model_table(spark, d)
+    roles = Roles(id="rid", dep_var="y", cont_vars=("x1",))
+    return _r(fit_recode(m, roles, RecodeConfig(impmethodC="ER", profiling=False)).apply(m, roles), 4)
+
+
+#: final: levels of n1 with their final group, and each group's mean.
+_COLLAPSE = _M.replace("WITH b", "WITH RECURSIVE b", 1) + """, whole AS (SELECT count(*) AS nobs, avg(y) AS a, CAST(floor(count(*) * 0.05::DOUBLE) AS BIGINT) AS least FROM m
+), lv AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY dmean, level NULLS LAST) AS rn FROM (SELECT n1 AS level, count(*) AS dcount, avg(y) AS dmean, var_samp(y) AS dvar FROM m GROUP BY 1)
+), bc AS (
+  SELECT rn, 1 AS g, dcount AS size, dcount AS seen FROM lv WHERE rn = 1
+  UNION ALL
+  SELECT l.rn, CASE WHEN size <= least OR seen >= nobs - least THEN g ELSE g + 1 END, CASE WHEN size <= least OR seen >= nobs - least THEN size + dcount ELSE dcount END, seen + dcount
+  FROM bc JOIN lv l ON l.rn = bc.rn + 1, whole
+), grp AS MATERIALIZED (SELECT g, sum(dcount)::DOUBLE AS n, arg_min(dmean, rn) AS mean, arg_min(dvar, rn) AS var FROM bc JOIN lv USING (rn) GROUP BY g
+), tt AS (
+  SELECT g, 1 AS fg, n, mean, var FROM grp WHERE g = 1
+  UNION ALL
+  SELECT g, CASE WHEN apart THEN fg + 1 ELSE fg END, CASE WHEN apart THEN n ELSE fn + n END, CASE WHEN apart THEN mean ELSE (fn * fmean + n * mean) / (fn + n) END, CASE WHEN apart THEN var ELSE pooled END
+  FROM (
+    -- The upper 5 % point of Student's t, expanded around the normal one.
+    SELECT g, fg, n, mean, var, fn, fmean, pooled, abs(fmean - mean) / sqrt(pooled * (1 / fn + 1 / n)) >= 1.6448536269514722 + (1.6448536269514722 ^ 3 + 1.6448536269514722) / (4 * df) + (5 * 1.6448536269514722 ^ 5 + 16 * 1.6448536269514722 ^ 3 + 3 * 1.6448536269514722) / (96 * df * df) AS apart
+    FROM (SELECT q.g, tt.fg, q.n, q.mean, q.var, tt.n AS fn, tt.mean AS fmean, tt.n + q.n - 2 AS df, ((tt.n - 1) * tt.var + (q.n - 1) * q.var) / (tt.n + q.n - 2) AS pooled FROM tt JOIN grp q ON q.g = tt.g + 1))
+), final AS MATERIALIZED (SELECT level, rn, fg, dcount, dmean, sum(dcount * dmean) OVER f / sum(dcount) OVER f AS fmean FROM bc JOIN lv USING (rn) JOIN tt USING (g) WINDOW f AS (PARTITION BY fg))
+"""
+
+
+@query(_COLLAPSE + "SELECT fg AS fgroup, level, round(fmean, 6) AS mean FROM final")
 def nominal_collapse(spark, d):
     m = model_table(spark, d)
     n, mean = profiles.overall(m, "y")
     made = nominal.collapse(profiles.level_stats(m, "n1", "y"), n, mean)
-    return spark.createDataFrame([(i, v, x) for i, (g, x) in enumerate(zip(made.groups, made.means), 1) for v in g], "fgroup int, level string, mean double")
+    return _r(spark.createDataFrame([(i, v, x) for i, (g, x) in enumerate(zip(made.groups, made.means), 1) for v in g], "fgroup int, level string, mean double"))
 
 
-def _fits(spark, fits):
-    return spark.createDataFrame([(v, f.intercept, f.slope, f.p, f.stat, f.r2) for v, f in fits.items()], "variable string, intercept double, slope double, p double, stat double, r2 double")
+@query(_COLLAPSE + "SELECT rid, y, round(fmean / a * 100, 6) AS \"R1_n1\" FROM m JOIN final ON n1 IS NOT DISTINCT FROM level, whole")
+def nominal_recode(spark, d):
+    m = model_table(spark, d)
+    roles = Roles(id="rid", dep_var="y", nom_vars=("n1",))
+    return _r(fit_recode(m, roles, RecodeConfig(profiling=False)).apply(m, roles))
 
 
-@query()
-def logit_univariate(spark, d):
-    return _fits(spark, regression.univariate(model_table(spark, d), LONG, "y", binary=True))
+@query(_COLLAPSE + ", prof AS (SELECT string_agg(coalesce(level, 'Missing'), ',' ORDER BY rn) AS category, CAST(sum(dcount) AS BIGINT) AS xcount, sum(dcount * dmean) / sum(dcount) AS xmean FROM final GROUP BY fg)" + _REPORT.format(var="n1"))
+def nominal_profile(spark, d):
+    return _r(fit_recode(model_table(spark, d), Roles(id="rid", dep_var="y", nom_vars=("n1",))).profile)
 
 
-@query()
-def best_transform(spark, d):
-    found = numeric.process(model_table(spark, d), NUMBERS, "y", binary=True, method="ER", transforms=True, min_size=500)
-    return spark.createDataFrame([(v, s.prefix, s.fit.p, s.fit.slope, s.impute) for v, s in found.items()], "variable string, transform string, p double, slope double, impute double")
+@query(_QCUT + """, g AS (SELECT bin, min(x1) AS lo, max(x1) AS hi, count(*) AS xcount, avg(y) AS xmean FROM c GROUP BY 1
+), prof AS (SELECT CASE WHEN bin IS NULL THEN 'Missing' WHEN bin = 1 THEN 'Low to ' || hi WHEN bin = (SELECT max(bin) FROM g) THEN lo || ' to High' ELSE lo || ' to ' || hi END AS category, xcount, xmean FROM g)""" + _REPORT.format(var="x1"))
+def profile_labels(spark, d):
+    return _r(fit_recode(model_table(spark, d), Roles(id="rid", dep_var="y", cont_vars=("x1",))).profile)
 
 
-@query()
-def er_impute(spark, d):
+@query("""SELECT CAST(floor(CASE WHEN resp >= 2000 THEN resp ELSE 2000 END / 0.1::DOUBLE) AS BIGINT) AS size, CAST(floor(CASE WHEN resp >= 100 THEN resp ELSE 100 END / 0.25::DOUBLE) AS BIGINT) AS small
+FROM (SELECT count(*) * avg(CAST(o_orderstatus = 'P' AS INTEGER)) AS resp FROM orders)""")
+def bootstrap_size(spark, d):
+    n, rate = profiles.overall(_t(spark, d, "orders").withColumn("resp", (F.col("o_orderstatus") == "P").cast("int")), "resp")
+    return spark.createDataFrame([(sampling.bootstrap_size(n, rate, 0.1, 2000), sampling.bootstrap_size(n, rate, 0.25, 100))], "size long, small long")
+
+
+@query(f"""WITH yes AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), no AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'), more AS ({_TOP.format(t='yes', n='(SELECT count(*) FROM orders)')})
+SELECT * FROM more UNION ALL SELECT o_orderkey, 0 FROM (SELECT o_orderkey FROM no {_TAKE} (SELECT count(*) // 2 FROM orders))""")
+def stratified_topup(spark, d):
+    df = _t(spark, d, "orders").withColumn("resp", (F.col("o_orderstatus") == "P").cast("int"))
+    n = df.count()
+    part = lambda want, value: sampling.resize(df.where(F.col("resp") == value), ["o_orderkey"], want, SEED)
+    return part(n, 1).unionByName(part(n // 2, 0)).select("o_orderkey", F.col(sampling.COPY).alias("copy"))
+
+
+# Forward selection by t tests on what the chosen variables leave of all others; a step takes the residuals of the one before.
+def _forward(steps: int) -> str:
+    every = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in [*NUMBERS, "y"])
+    some = " AND ".join(f"{c} IS NOT NULL" for c in NUMBERS)
+    out = [f"r0 AS MATERIALIZED (SELECT rid, variable, value - avg(value) OVER (PARTITION BY variable) AS v FROM (SELECT rid, {every} FROM m WHERE {some}) UNPIVOT (value FOR variable IN ({', '.join([*NUMBERS, 'y'])})))",
+           "full_size AS MATERIALIZED (SELECT variable, sum(v * v) AS s FROM r0 GROUP BY 1)", "n AS (SELECT count(*) AS n FROM r0 WHERE variable = 'y')"]
+    for i in range(1, steps + 1):
+        t = "b * sqrt(sxx) / sqrt(greatest(syy - b * sxy, 0) / df)"
+        out.append(f"""c{i} AS MATERIALIZED (SELECT variable, df, sxx, {t} AS t, row_number() OVER (ORDER BY CASE WHEN abs({t}) > 39 THEN 1e9 ELSE abs({t}) END DESC, variable) AS place
+  FROM (SELECT a.variable, any_value(n) - {i + 1} AS df, sum(a.v * a.v) AS sxx, sum(a.v * b.v) AS sxy, sum(a.v * b.v) / sum(a.v * a.v) AS b, sum(b.v * b.v) AS syy, any_value(s) AS s FROM r{i - 1} a JOIN r{i - 1} b ON b.rid = a.rid AND b.variable = 'y' JOIN full_size f ON f.variable = a.variable, n WHERE a.variable <> 'y' GROUP BY 1)
+  WHERE sxx > 1e-10 * s)""")
+        out.append(f"p{i} AS MATERIALIZED (SELECT variable, {i} AS step, {_two_sided('(abs(t) * (1 - 1 / (4 * df)) / sqrt(1 + t * t / (2 * df)))')} AS p FROM c{i} WHERE place = 1)")
+        out.append(f"""r{i} AS MATERIALIZED (SELECT rid, a.variable, a.v - k * c.v AS v FROM r{i - 1} a JOIN (SELECT rid, v FROM r{i - 1} WHERE variable = (SELECT variable FROM p{i})) c USING (rid)
+  JOIN (SELECT a.variable, sum(a.v * c.v) / sum(c.v * c.v) AS k FROM r{i - 1} a JOIN (SELECT rid, v FROM r{i - 1} WHERE variable = (SELECT variable FROM p{i})) c USING (rid) GROUP BY 1) USING (variable) WHERE a.variable <> (SELECT variable FROM p{i}))""")
+    steps_sql = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, steps + 1))
+    return _M + ", " + ", ".join(out) + f", al AS ({steps_sql}) SELECT variable, CAST(step AS INTEGER) AS step, round(p, 4) AS p FROM al WHERE step < coalesce((SELECT min(step) FROM al WHERE p > 0.05), 99)"
+
+
+@query(_forward(4))
+def stepwise_linear(spark, d):
+    return _r(spark.createDataFrame([(v, s, float(p)) for v, s, p in stepwise.stepwise_linear(model_table(spark, d), NUMBERS, "y", 0.05)], "variable string, step int, p double"), 4)
+
+
+@query(_M.replace("WITH b", "WITH RECURSIVE b", 1) + ", pair AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, abs(corr({a}, {b})) > 0.7::DOUBLE AS high FROM m" for i, a in enumerate(NUMBERS, 1) for j, b in enumerate(NUMBERS, 1) if i != j) + """
+), g AS MATERIALIZED (SELECT list(partners ORDER BY i) AS partners FROM (SELECT i, coalesce(list(j ORDER BY j) FILTER (high), []) AS partners FROM pair GROUP BY i)
+), st AS MATERIALIZED (SELECT [""" + ", ".join(f"coalesce(abs(corr(y, {v})), -1)" for v in NUMBERS) + "] AS strength FROM m), walk AS (SELECT 0 AS turn, [" + ", ".join(str(i) for i in range(1, len(NUMBERS) + 1)) + """] AS there
+  UNION ALL
+  SELECT turn + 1, list_filter(there, lambda x: NOT list_contains(partners[keep], x)) FROM (
+    SELECT turn, there, partners, CAST(list_max(list_transform(many, lambda x: [strength[x], -x]))[2] * -1 AS INTEGER) AS keep FROM (
+      SELECT turn, there, partners, strength, list_filter(there, lambda x: len(list_intersect(partners[x], there)) > 1) AS many FROM walk, g, st) WHERE len(many) > 0)
+) SELECT variable, CASE WHEN list_contains((SELECT arg_max(there, turn) FROM walk), place) THEN '' ELSE 'Y' END AS drop_corr FROM (VALUES """ + ", ".join(f"('{v}', {i})" for i, v in enumerate(NUMBERS, 1)) + ") v(variable, place)")
+def corr_prune(spark, d):
     m = model_table(spark, d)
-    roles = Roles(id="rid", dep_var="y", cont_vars=("x1",))
-    return fit_recode(m, roles, RecodeConfig(impmethodC="ER", profiling=False, keep_transforms=True)).apply(m, roles)
+    dropped = voting.prune(NUMBERS, moments.pairwise(m, NUMBERS).correlation(), moments.correlation_with(m, NUMBERS, "y"), 0.7)
+    return spark.createDataFrame([(v, "Y" if v in dropped else "") for v in NUMBERS], "variable string, drop_corr string")
+
+
+#: The first component by power steps from the correlation matrix; vectors as lists.
+_POWER = ["x1", "x2", "x3", "x5"]
+
+
+@query(_M.replace("WITH b", "WITH RECURSIVE b", 1) + ", s AS (SELECT * FROM m WHERE " + " AND ".join(f"{v} IS NOT NULL" for v in _POWER) + "), r AS MATERIALIZED (SELECT [" + ", ".join("[" + ", ".join("1.0::DOUBLE" if a == b else f"corr({a}, {b})" for b in _POWER) + "]" for a in _POWER) + """] AS c FROM s
+), pw AS (
+  SELECT 0 AS turn, [1.0::DOUBLE, 0.7, 0.5, 0.3] AS v
+  UNION ALL
+  SELECT turn + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT turn, list_transform(c, lambda row: list_dot_product(row, v)) AS w FROM pw, r) WHERE turn < 400
+), top AS (SELECT v, list_dot_product(v, list_transform(c, lambda row: list_dot_product(row, v))) AS value FROM pw, r WHERE turn = 400)
+SELECT unnest([""" + ", ".join(f"'{v}'" for v in _POWER) + "]) AS variable, round(unnest(list_transform(v, lambda x: abs(x) * sqrt(value))), 6) AS factor FROM top")
+def first_component(spark, d):
+    return _r(spark.createDataFrame(list(principal(model_table(spark, d), _POWER, 1, 0.5).items()), "variable string, factor double"))
+
+
+# Iterative, or with figures that SQL has no function for: checked against plain code in the tests.
 
 
 @query()
@@ -450,23 +594,11 @@ def var_clusters(spark, d):
     return spark.createDataFrame([(v, c, float(r)) for v, c, r in clusters(model_table(spark, d), NUMBERS, 4, 0.5)], "variable string, cluster int, ratio double")
 
 
-@query()
-def stepwise_linear(spark, d):
-    return spark.createDataFrame([(v, s, float(p)) for v, s, p in stepwise.stepwise_linear(model_table(spark, d), NUMBERS, "y", 0.05)], "variable string, step int, p double")
-
-
 @query()
 def stepwise_logistic(spark, d):
     return spark.createDataFrame([(v, s, float(p)) for v, s, p in stepwise.stepwise_logistic(model_table(spark, d), ["x2", "x4", "x5", "o1"], "y", 0.05)], "variable string, step int, p double")
 
 
-@query()
-def corr_prune(spark, d):
-    m = model_table(spark, d)
-    dropped = voting.prune(NUMBERS, moments.pairwise(m, NUMBERS).correlation(), moments.correlation_with(m, NUMBERS, "y"), 0.7)
-    return spark.createDataFrame([(v, "Y" if v in dropped else "") for v in NUMBERS], "variable string, drop_corr string")
-
-
 @query()
 def full_pipeline(spark, d):
     roles = Roles(id="rid", dep_var="y", bin_vars=("b1",), nom_vars=("n1",), ord_vars=("o1",), cont_vars=("x1", "x2", "x3", "x4"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import TRUE_RECODE
 from ..operators import nominal, numeric, profiles
+from ..operators.moments import signed_correlation_with
 from ..operators.quantiles import quantiles
 from ..operators.rows import prefixed, work_file  # noqa: F401
 from ..sources.readers import check_variables
-from ..sources.sinks import write_recodes
+from ..sources.sinks import write_recodes, write_table
 from .config import LABEL, Recode, RecodeConfig, Roles
 
+LOG = logging.getLogger("scorewright")
 META = "var_name string, type string, overall_good int, miss_cnt bigint, uniq_cnt bigint, max_cnt bigint, ones_cnt bigint, p_lo double, p_hi double, var_lb double, var_ub double, var_median double, miss_impute double, chisq double, fvalue double, pvalue double, new_var string, sign string, relationship string"
 _FIELDS = [x.split()[0] for x in META.split(", ")]
 
@@ -35,6 +38,19 @@ class Recoded:
     def meta_table(self, spark) -> DataFrame:
         return spark.createDataFrame([tuple(m.get(f) for f in _FIELDS) for m in self.meta], META)
 
+    def write_report(self, recoded: DataFrame, roles: Roles, folder: str) -> None:
+        """Five tables under ``folder``: facts of the good variables of each type, and the correlations of the new columns with the target.
+
+        ``recoded`` is what ``apply`` gave.  Each is a CSV of its own.
+        """
+        meta = self.meta_table(recoded.sparkSession).where("overall_good = 1")
+        for kind, names in (("binary", roles.bin_vars), ("nominal", roles.nom_vars), ("ordinal", roles.ord_vars), ("continuous", roles.cont_vars)):
+            write_table(meta.where(F.col("var_name").isin(*names)).coalesce(1), f"{folder}/{kind}_variables", "csv")
+        made = [r.name for r in self.recodes if r.keep and r.name in recoded.columns]
+        found = signed_correlation_with(recoded, made, roles.dep_var)
+        table = recoded.sparkSession.createDataFrame(sorted(found.items(), key=lambda x: -abs(x[1] or 0.0)), "variable string, correlation double")
+        write_table(table.coalesce(1), f"{folder}/correlations", "csv")
+
     def programs(self) -> list[dict]:
         """The recodes as plain data, to be written and read back."""
         return [{"name": r.name, "kind": r.kind, "source": r.source, "sql": r.sql, "keep": r.keep} for r in self.recodes]
@@ -77,7 +93,7 @@ def _binary(work: DataFrame, roles: Roles, cfg: RecodeConfig, out: Recoded, repo
         test = f"cast(`{v}` as double) = 1D" if number else f"trim(cast(`{v}` as string)) in ({', '.join(_text(x) for x in TRUE_RECODE)})"
         out.recodes.append(Recode(f"{roles.prefix}{v}", "binary", v, f"cast(coalesce({test}, false) as int)"))
         if cfg.profiling:
-            reports.append(profiles.report(profiles.binary_profile(work, v, types[v], roles.dep_var), v, nobs, mean))
+            reports.append(profiles.Profile(v, profiles.binary_group(v, types[v])))
 
 
 def _nominal(work: DataFrame, roles: Roles, cfg: RecodeConfig, out: Recoded, reports: list, nobs: int, mean) -> None:
@@ -108,8 +124,7 @@ def _nominal(work: DataFrame, roles: Roles, cfg: RecodeConfig, out: Recoded, rep
             group = F.lit(None).cast("string")
             for levels in made.groups:
                 group = F.when(nominal.member(F.col(v), levels), F.lit(",".join("Missing" if x is None else str(x) for x in levels))).otherwise(group)
-            rows = work.groupBy(group.alias("category")).agg(F.count(roles.dep_var).alias("xcount"), F.avg(roles.dep_var).alias("xmean"))
-            reports.append(profiles.report(rows, v, nobs, mean))
+            reports.append(profiles.Profile(v, group, with_target=True))
 
 
 def _numeric(work: DataFrame, roles: Roles, cfg: RecodeConfig, out: Recoded, reports: list, nobs: int, mean, ordinal: bool) -> None:
@@ -134,25 +149,27 @@ def _numeric(work: DataFrame, roles: Roles, cfg: RecodeConfig, out: Recoded, rep
     varying = profiles.varying_target(work, left, roles.dep_var)
     left = [v for v in left if varying[v]]
     method, transforms, cap = (cfg.impmethodO, cfg.transformationO, cfg.cap_flrO) if ordinal else (cfg.impmethodC, cfg.transformationC, cfg.cap_flrC)
+    binned = []
     for v, s in numeric.process(work, left, roles.dep_var, binary=cfg.binary_dv, method=method, transforms=transforms, min_size=cfg.min_size).items():
         significant = s.fit.p <= cfg.pvalue
         metas[v] |= {"overall_good": 1, "var_lb": s.lb, "var_ub": s.ub, "var_median": s.median, "miss_impute": s.impute, "pvalue": s.fit.p, "chisq" if cfg.binary_dv else "fvalue": s.fit.stat, "new_var": f"{roles.prefix}{v}"}
         if significant:
             metas[v] |= {"sign": s.fit.sign, "relationship": f"{s.prefix}{s.fit.sign}"}
         out.recodes += numeric.recodes(s, roles.prefix, cap, significant, cfg.keep_transforms)
-        if cfg.profiling:
-            if ordinal and uniq[v] <= cfg.num_category:
-                rows = profiles.profile_levels(work, v, roles.dep_var).withColumn("category", F.coalesce(F.col("lo").cast("string"), F.lit("Missing")))
-            else:
-                rows = profiles.bin_labels(profiles.profile_bins(work, v, roles.dep_var, cfg.num_category, cfg.equal_dist))
-            reports.append(profiles.report(rows, v, nobs, mean))
+        if cfg.profiling and ordinal and uniq[v] <= cfg.num_category:
+            x = F.col(v).cast("double")
+            reports.append(profiles.Profile(v, F.coalesce(x.cast("string"), F.lit("Missing")), x))
+        elif cfg.profiling:
+            binned.append(v)
+    for v, group in profiles.bins_of(work, binned, cfg.num_category, cfg.equal_dist).items():
+        reports.append(profiles.Profile(v, group, F.col(v), bins=True))
 
 
 def fit_recode(df: DataFrame, roles: Roles, config: RecodeConfig = RecodeConfig(), output: str | None = None) -> Recoded:
     """Learn the recodes of all variables from the rows that aren't Test; ``output`` also gets the program files."""
     roles = roles.exclusive()
     check_variables(df, [*roles.bin_vars, *roles.nom_vars, *roles.ord_vars, *roles.cont_vars, roles.dep_var])
-    # All variables are read many times, the other columns never. Report rows are computed later, from the table itself.
+    # All variables are read many times, the other columns never. Report rows are computed later, in one pass over the table itself.
     work = work_file(df).select(*dict.fromkeys([roles.dep_var, *roles.bin_vars, *roles.nom_vars, *roles.ord_vars, *roles.cont_vars])).persist()
     out, reports = Recoded(), []
     try:
@@ -163,11 +180,13 @@ def fit_recode(df: DataFrame, roles: Roles, config: RecodeConfig = RecodeConfig(
         _numeric(work, roles, config, out, reports, nobs, mean, ordinal=False)
     finally:
         work.unpersist()
-    for r in reports:
-        out.profile = r if out.profile is None else out.profile.unionByName(r, allowMissingColumns=True)
+    out.profile = profiles.report_all(work, reports, roles.dep_var, nobs, mean)
+    LOG.info("recode: %d rows, %d variables looked at, %d new columns", nobs, len(out.meta), len(out.recodes))
+    for m in out.meta:
+        LOG.debug("recode: %s", m)
     if output:
-        for kind, files in (("binary", "Binary"), ("nominal", "Nominal"), ("numeric", "Numeric")):
-            write_recodes([p for p in out.programs() if p["kind"] == kind or kind == "numeric" and p["kind"] == "transform"], f"{output}/{files.lower()}_recode.json")
+        for kind in ("binary", "nominal", "numeric"):
+            write_recodes(df.sparkSession, [p for p in out.programs() if p["kind"] == kind or kind == "numeric" and p["kind"] == "transform"], f"{output}/{kind}_recode.json")
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import random
 
@@ -14,6 +15,7 @@ from ..operators.rows import prefixed, work_file
 from ..sources.sinks import write_table, write_variable_list
 from .config import ReduceConfig, Roles
 
+LOG = logging.getLogger("scorewright")
 STEPWISE_GROUP = 100
 
 
@@ -137,7 +139,8 @@ def _reduce(spark, work, names, dep, keys, weight, cfg: ReduceConfig, output):
         master = master.join(F.broadcast(table), "variable", "left").withColumn("drop_dv_corr", F.when(F.col("dv_corr") > cfg.max_dv_corr, "Y").otherwise(""))
     master = voting.ordered(master)
     selected = [r.variable for r in voting.select(master, cfg.sources, always).select("variable").collect()]
+    LOG.info("reduce: sources %s, %d variables, %d selected: %s", ", ".join(sources), len(names), len(selected), " ".join(selected))
     if output:
         write_table(master.coalesce(1), f"{output}/reduction", "csv")
-        write_variable_list(selected, f"{output}/selected_variables.txt")
+        write_variable_list(spark, selected, f"{output}/selected_variables.txt")
     return master, selected

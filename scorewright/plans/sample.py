@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ from ..sources.sinks import write_table
 from .config import LABEL, MODEL, TEST, Roles, SampleConfig
 
 
+LOG = logging.getLogger("scorewright")
+
+
+def target_frequency(df: DataFrame, dep_var: str, most: int = 1000) -> DataFrame:
+    """(target, count), the most frequent first; a target with more than ``most`` values shows only those."""
+    return df.groupBy(F.col(dep_var).alias("target")).count().orderBy(F.col("count").desc(), "target").limit(most)
+
+
 def sample(df: DataFrame, roles: Roles, config: SampleConfig = SampleConfig(), output: str | None = None, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(labelled rows, sample rates).
 
@@ -26,7 +36,10 @@ def sample(df: DataFrame, roles: Roles, config: SampleConfig = SampleConfig(), o
         model, test = labelled.where(F.col(LABEL) == MODEL), labelled.where(F.col(LABEL) == TEST)
         rows, rate = model.agg(F.count("*"), F.avg(roles.dep_var)).first()
         size = sampling.bootstrap_size(rows, rate, config.oversampled_rr, config.min_num_resp)
+        LOG.info("sample: %d model rows, target rate %s, resampled to %d at %s", rows, rate, size, config.oversampled_rr)
         model = sampling.resample(model, keys, roles.dep_var, size, config.oversampled_rr, config.min_num_resp, config.seed)
+        if LOG.isEnabledFor(logging.INFO):
+            LOG.info("sample: target values of the resampled rows: %s", {r[0]: r[1] for r in target_frequency(model, roles.dep_var).collect()})
         labelled = model.unionByName(test.withColumn(sampling.COPY, F.lit(0)))
     out = sampling.carve_validation(labelled, keys, config.seed)
     if sampling.COPY in out.columns and sampling.COPY not in df.columns:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -75,18 +76,58 @@ def test_equal_frequency_bins_match_pandas(spark):
     assert got == sorted((pd.qcut(pdf.x, 5, labels=False, duplicates="drop") + 1).tolist())
 
 
+def tie(i):
+    return int(hashlib.md5(f"0-{i}".encode()).hexdigest()[:8], 16)
+
+
 def test_rank_bins(spark):
     pdf, df = frame(spark)
+    pdf["tie"] = pdf.id.map(tie)
     for col in ("a", "t"):
         got = {r.id: r.bin for r in quantiles.rank_bins(df, col, ["id"], 10).collect()}
-        order = pdf.sort_values([col, "id"]).id.tolist()
+        order = pdf.sort_values([col, "tie", "id"]).id.tolist()
         assert got == {i: (k + 1) * 10 // (len(pdf) + 1) for k, i in enumerate(order)}
     got = {r.id: r.bin for r in quantiles.rank_bins(df, "b", ["id"], 10, weight="w").collect()}
-    some = pdf[pdf.b.notna()].sort_values(["b", "id"])
+    some = pdf[pdf.b.notna()].sort_values(["b", "tie", "id"])
     want = np.floor(some.w.cumsum() * 10 / (some.w.sum() + 1)).astype(int)
     assert {i: got[i] for i in some.id} == dict(zip(some.id, want)) and all(got[i] is None for i in pdf.id[pdf.b.isna()])
 
 
+def test_rank_bins_of_hot_values_and_an_outlier(spark, monkeypatch):
+    """90 % of the rows share a value, one lies far out: bins are right, and no task orders more than a range's rows."""
+    monkeypatch.setattr(quantiles, "ROWS_A_RANGE", 200)
+    n = 4000
+    pdf = pd.DataFrame({"id": np.arange(n), "x": [0.0 if i % 10 else float(i) for i in range(n)], "y": [i % 3 % 2 for i in range(n)]})
+    pdf.loc[7, "x"] = 1e15
+    df = rows_of(spark, pdf)
+    pdf["tie"] = pdf.id.map(tie)
+    order = pdf.sort_values(["x", "tie", "id"])
+    want = dict(zip(order.id, ((np.arange(n) + 1) * 10 // (n + 1)).tolist()))
+    assert {r.id: r.bin for r in quantiles.rank_bins(df, "x", ["id"], 10).collect()} == want
+    table = {int(r.bin): r for r in information.bin_table(df, "x", "y", ["id"], 10).collect()}
+    g = pdf.assign(bin=pdf.id.map(want)).groupby("bin")
+    for b, part in g:
+        r = table[b]
+        assert (r.cnt, r.sum_dv, r.min_var, r.max_var) == (len(part), part.y.sum(), part.x.min(), part.x.max()) and r.mean_dv == pytest.approx(part.y.mean()) and r.mean_var == pytest.approx(part.x.mean())
+    # Steps hold about equally many distinct values, an outlier or not.
+    values = df.select(F.lit("x").alias("variable"), F.col("x").alias("value")).groupBy("variable", "value").agg(F.count("*").alias("n"))
+    edges = values.agg(F.percentile_approx("value", [i / 1024 for i in range(1, 1024)], 20480).alias("e"))
+    sizes = values.crossJoin(edges).groupBy(quantiles._step(F.col("value"), F.col("e")).alias("s")).count().collect()
+    assert max(r["count"] for r in sizes) <= 2 and sorted(pdf.x.unique()) == sorted(r.value for r in values.collect())
+    e = edges.first().e
+    steps = {r.value: r.s for r in values.crossJoin(edges).select("value", quantiles._step(F.col("value"), F.col("e")).alias("s")).collect()}
+    assert all(s == sum(x < v for x in e) for v, s in steps.items())
+
+
+def test_weighted_quantiles(spark):
+    pdf, df = frame(spark)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = quantiles.weighted_quantiles(df, "b", "w", probs)
+    some = pdf[pdf.b.notna()].sort_values("b")
+    assert got == pytest.approx(np.interp(np.array(probs) * some.w.sum(), some.w.cumsum(), some.b).tolist())
+    assert quantiles.weighted_quantiles(df.limit(0), "b", "w", [0.5]) == [None]
+
+
 def test_width_bins(spark):
     df = spark.createDataFrame([(None,), (-1.0,), (0.0,), (4.9,), (5.0,), (10.0,), (50.0,)], "x double")
     assert [r.b for r in df.select(quantiles.width_bin(F.col("x"), 0, 10, 4).alias("b")).collect()] == [None, 1, 1, 2, 3, 4, 4]
@@ -234,6 +275,19 @@ def test_forward_linear_matches_refits(spark):
     assert stepwise.stepwise_linear(df, [], "z", 0.05) == [] and stepwise.stepwise_linear(df, ["k"], "z", 0.05) == []
 
 
+def score_p(some, inside, candidate, w):
+    """p of Rao's score test for one more variable, by a refit of the base model."""
+    z = np.column_stack([np.ones(len(some)), *[some[c] for c in inside]])
+    y, b = some.y.to_numpy(), np.zeros(len(inside) + 1)
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-z @ b))
+        b = b + np.linalg.solve((z * (w * mu * (1 - mu))[:, None]).T @ z, z.T @ (w * (y - mu)))
+    mu = 1 / (1 + np.exp(-z @ b))
+    full = np.column_stack([z, some[candidate]])
+    u, h = full.T @ (w * (y - mu)), (full * (w * mu * (1 - mu))[:, None]).T @ full
+    return math.erfc(math.sqrt(u @ np.linalg.solve(h, u) / 2))
+
+
 def test_forward_logistic(spark):
     pdf, df = frame(spark)
     some = pdf.dropna(subset=["a", "b"])
@@ -241,6 +295,14 @@ def test_forward_logistic(spark):
     assert [v for v, _, _ in got] == ["a", "b"]
     r2 = some.a.corr(some.y) ** 2
     assert got[0][2] == pytest.approx(math.erfc(math.sqrt(len(some) * r2 / 2)), rel=1e-6)  # n r squared
+    for weight in (None, "w"):
+        w = some.w.to_numpy() if weight else np.ones(len(some))
+        got, inside = stepwise.stepwise_logistic(df, ["a", "b", "t", "k"], "y", 0.9, weight), []
+        for v, _, p in got:
+            best = {c: score_p(some, inside, c, w) for c in ("a", "b", "t") if c not in inside}
+            assert v == min(best, key=best.get) and p == pytest.approx(best[v], rel=1e-6)
+            inside.append(v)
+        assert len(inside) >= 2
     by_lr = stepwise.stepwise_logistic(df, ["a", "b", "k"], "y", 0.05, likelihood_ratio=True)
     assert [v for v, _, _ in by_lr] == ["a", "b"]
     assert stepwise.stepwise_logistic(df, ["k"], "y", 0.05) == []

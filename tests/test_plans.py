@@ -1,10 +1,18 @@
 import json
+import math
+import random
+import sys
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from test_operators import score_p
+
 import scorewright
+from scorewright.functions.special import t_two_sided
 from scorewright.operators import nominal
 from scorewright.plans import queries
 from scorewright.plans.config import LABEL, RecodeConfig, ReduceConfig, Roles, SampleConfig, roles_from_dict
@@ -38,11 +46,125 @@ def test_query_equals_sql(spark, sf, con, name):
     assert mine == sorted((tuple(map(norm, x)) for x in r.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.Q) - set(queries.SQL) - {"full_pipeline", "embedding_components"}))
+@pytest.mark.parametrize("name", sorted(set(queries.Q) - set(queries.SQL) - {"full_pipeline", "embedding_components", "pca_screen", "var_clusters", "stepwise_logistic"}))
 def test_other_queries_run(spark, sf, name):
     assert queries.Q[name](spark, sf).count() > 0
 
 
+def test_component_queries_against_numpy(spark, sf):
+    table = queries.model_table(spark, sf).select(*queries.NUMBERS).toPandas().dropna().astype(float)
+    values, vectors = np.linalg.eigh(np.corrcoef(table.to_numpy().T))
+    top = np.argsort(values)[::-1][:2]
+    want = np.abs(vectors[:, top] * np.sqrt(values[top])).max(1)
+    assert {r.variable: r.factor for r in queries.Q["pca_screen"](spark, sf).collect()} == pytest.approx(dict(zip(queries.NUMBERS, want)), abs=1e-6)
+
+    e = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float)
+    def screen(columns):
+        v, w = np.linalg.eigh(np.corrcoef(e[:, columns].T))
+        k = np.argsort(v)[::-1][:4]
+        return dict(zip(columns, np.abs(w[:, k] * np.sqrt(np.maximum(v[k], 0))).max(1)))
+    first = {c: f for g in groups_of(list(range(64)), 4) for c, f in screen(g).items()}  # 64 columns, 5 x 4 a group
+    want = screen([c for c in range(64) if first[c] >= 0.2])
+    assert {r.variable: r.factor for r in queries.Q["embedding_components"](spark, sf).collect()} == pytest.approx({f"e{c}": f for c, f in want.items()}, abs=1e-6)
+
+
+def test_selection_queries_against_plain_code(spark, sf):
+    table = queries.model_table(spark, sf).select("x2", "x4", "x5", "o1", "y").toPandas().astype(float)
+    inside = []
+    for r in sorted(queries.Q["stepwise_logistic"](spark, sf).collect(), key=lambda r: r.step):
+        best = {c: score_p(table, inside, c, np.ones(len(table))) for c in ("x2", "x4", "x5", "o1") if c not in inside}
+        assert best[r.variable] == min(best.values()) and r.p == pytest.approx(best[r.variable], rel=1e-5, abs=1e-300)
+        inside.append(r.variable)
+    rest = {c: score_p(table, inside, c, np.ones(len(table))) for c in ("x2", "x5", "o1") if c not in inside}
+    assert inside and all(p > 0.05 for p in rest.values())
+    rows = queries.Q["var_clusters"](spark, sf).collect()
+    corr = np.corrcoef(queries.model_table(spark, sf).select(*queries.NUMBERS).toPandas().dropna().astype(float).to_numpy().T)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.cluster, []).append(queries.NUMBERS.index(r.variable))
+    assert sorted(v for g in groups.values() for v in g) == list(range(6))
+    part = {}
+    for c, g in groups.items():
+        v = np.linalg.eigh(corr[np.ix_(g, g)])[1][:, -1]
+        part[c] = {i: (corr[i, g] @ v) ** 2 / (v @ corr[np.ix_(g, g)] @ v) for i in range(6)}
+    for r in rows:
+        i = queries.NUMBERS.index(r.variable)
+        nearest = max(f[i] for c, f in part.items() if c != r.cluster)
+        assert part[r.cluster][i] >= nearest - 1e-9 and r.ratio == pytest.approx((1 - part[r.cluster][i]) / (1 - nearest), abs=1e-6)
+
+
+def test_more_than_a_hundred_variables(spark):
+    """Selection goes by groups of at most 100; screening by groups, and its survivors once more."""
+    r = np.random.default_rng(8)
+    n, p = 500, 130
+    x = r.normal(size=(n, p))
+    x[:, 1::2] = x[:, ::2] + 0.4 * r.normal(size=(n, p // 2))
+    y = (x[:, 3] + x[:, 120] + r.normal(size=n) > 0).astype(int)
+    names = [f"R1_v{i:03d}" for i in range(p)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=np.arange(n), y=y))
+    config = ReduceConfig(sources=1, logistic_flg=False, cluster_flg=False, information_flg=False, nprin=5, minprin=0.5)
+    master = {m.variable: m for m in reduce_variables(df, Roles(id="id", dep_var="y"), config)[0].collect()}
+    assert len(master) == p
+    shuffled = sorted(names)
+    random.Random(config.random_seed).shuffle(shuffled)
+    chosen = {}
+    for group in groups_of(shuffled, 2):
+        assert len(group) <= 100
+        cols = [names.index(v) for v in group]
+        z, left, base = x[:, cols] - x[:, cols].mean(0), y - y.mean(), np.ones((n, 1))
+        inside = []
+        while True:
+            best = {}
+            for i in range(len(cols)):
+                if i not in inside:
+                    m = np.column_stack([np.ones(n), *[z[:, j] for j in inside], z[:, i]])
+                    inv = np.linalg.inv(m.T @ m)
+                    b = inv @ m.T @ left
+                    dof = n - m.shape[1]
+                    best[i] = t_two_sided(b[-1] / math.sqrt(((left - m @ b) ** 2).sum() / dof * inv[-1, -1]), dof)
+            i = min(best, key=best.get)
+            if best[i] > config.alphareg:
+                break
+            inside.append(i)
+            chosen[group[i]] = (len(inside), best[i])
+    assert {v for v, m in master.items() if m.regsource} == set(chosen)
+    for v, (step, pvalue) in chosen.items():
+        assert master[v].reg_step == step and master[v].reg_pvalue == pytest.approx(pvalue, rel=1e-5)
+
+    def screen(group):
+        v, w = np.linalg.eigh(np.corrcoef(x[:, [names.index(g) for g in group]].T))
+        k = np.argsort(v)[::-1][:5]
+        return dict(zip(group, np.abs(w[:, k] * np.sqrt(np.maximum(v[k], 0))).max(1)))
+
+    first = {c: f for g in groups_of(shuffled, math.ceil(p / 25)) for c, f in screen(g).items()}
+    want = screen([c for c in shuffled if first[c] >= 0.5])
+    assert {v: m.factor for v, m in master.items() if m.factor is not None} == pytest.approx(want, abs=1e-6)
+    assert {v for v, m in master.items() if m.prinsource} == {v for v, f in want.items() if f >= 0.5}
+
+
+def test_report_tables_and_logs(spark, tmp_path, caplog):
+    df, roles = data(spark)
+    made = fit_recode(df, roles, RecodeConfig(minbinnp=0.01, concrate=0.999))
+    out = made.apply(df, roles)
+    made.write_report(out, roles, str(tmp_path / "report"))
+    tables = {k: readers.read_csv(spark, f"{tmp_path}/report/{k}") for k in ("binary_variables", "nominal_variables", "ordinal_variables", "continuous_variables", "correlations")}
+    assert {k: sorted(r.var_name for r in t.collect()) for k, t in tables.items() if k != "correlations"} == {"binary_variables": ["b"], "nominal_variables": ["n"], "ordinal_variables": ["o"], "continuous_variables": ["c"]}
+    corr = {r.variable: r.correlation for r in tables["correlations"].collect()}
+    pdf = out.toPandas()
+    assert corr == pytest.approx({c: pdf[c].astype(float).corr(pdf.y) for c in pdf.columns if c.startswith("R1_")}, abs=1e-9)
+    with caplog.at_level("INFO", "scorewright"):
+        sample(spark.range(3000).withColumn("y", (F.col("id") % 20 == 0).cast("int")), Roles(id="id", dep_var="y"), SampleConfig(bootstrap=True, min_num_resp=50))
+    assert "target values of the resampled rows: {0: " in caplog.text
+    with sinks.log_to(str(tmp_path / "x.log"), str(tmp_path / "x.lst")) as log, sinks.printed_to(log):
+        print("shown")
+        print("warned", file=sys.stderr)
+    assert "INFO shown" in (tmp_path / "x.lst").read_text() and "WARNING warned" in (tmp_path / "x.log").read_text()
+    text = sinks.write_text(spark, "ünï\n2", f"file://{tmp_path}/a/b.txt")
+    assert sinks.read_text(spark, text) == "ünï\n2"
+    recodes = made.programs()
+    assert sinks.read_recodes(spark, sinks.write_recodes(spark, recodes, f"{tmp_path}/r.json")) == recodes
+
+
 def test_settings_from_options():
     c = ReduceConfig.from_dict({"fast_opt": "Y", "sources": 5, "binary_dv": "N", "unknown": 1})
     assert c.fast_opt and not c.binary_dv
