@@ -523,6 +523,32 @@ def stratified_topup(spark, d):
     return part(n, 1).unionByName(part(n // 2, 0)).select("o_orderkey", F.col(sampling.COPY).alias("copy"))
 
 
+@query(_BOUNDS + ", v AS (SELECT max(CASE WHEN variable = 'x1' THEN lb END) AS a1, max(CASE WHEN variable = 'x1' THEN ub END) AS z1, max(CASE WHEN variable = 'x1' THEN p50 END) AS m1, max(CASE WHEN variable = 'x2' THEN lb END) AS a2, max(CASE WHEN variable = 'x2' THEN ub END) AS z2 FROM bounds) SELECT rid, y, round(greatest(least(coalesce(x1, m1), z1), a1), 4) AS \"R1_x1\", round(greatest(least(CAST(x2 AS DOUBLE), z2), a2), 4) AS \"R1_x2\" FROM m, v")
+def continuous_recode(spark, d):
+    m = model_table(spark, d)
+    roles = Roles(id="rid", dep_var="y", cont_vars=("x1", "x2"))
+    return _r(fit_recode(m, roles, RecodeConfig(profiling=False, cap_flrC=True, transformationC=False)).apply(m, roles), 4)
+
+
+_ORD = "CASE WHEN o1 < 7 THEN CAST(o1 AS DOUBLE) END"
+_ORDINAL = _BOUNDS.replace("CAST(o1 AS DOUBLE) AS o1", _ORD + " AS o1") + ", src AS (SELECT 'o' AS k, greatest(least(v, ub), lb) AS x, y FROM (SELECT " + _ORD + " AS v, y FROM m WHERE o1 < 7), (SELECT * FROM bounds WHERE variable = 'o1')), " + _newton("src") + """
+, imp AS (SELECT CASE WHEN (SELECT count(*) FROM m WHERE o1 = 7) < 500 OR abs(wald) < 1.959963984540054 THEN p50 ELSE greatest(least((SELECT avg(o1) FROM m WHERE o1 < 7), ub), lb) END AS impute FROM fit, (SELECT * FROM bounds WHERE variable = 'o1'))
+"""
+
+
+@query(_ORDINAL + " SELECT rid, y, round(coalesce(" + _ORD + ", impute), 6) AS \"R1_o1\" FROM m, imp")
+def ordinal_recode(spark, d):
+    m = model_table(spark, d).withColumn("o1", F.expr("CASE WHEN o1 < 7 THEN o1 END"))
+    roles = Roles(id="rid", dep_var="y", ord_vars=("o1",))
+    return _r(fit_recode(m, roles, RecodeConfig(profiling=False)).apply(m, roles))
+
+
+@query(_M + " UNION ALL ".join(f"SELECT '{n}' AS variable, coalesce(min(CASE WHEN {c} IS NOT NULL THEN y END) <> max(CASE WHEN {c} IS NOT NULL THEN y END), false) AS varies FROM m" for n, c in (("x1", "x1"), ("b1", "b1"), ("only", "(CASE WHEN y = 1 THEN x2 END)"))))
+def varying_target(spark, d):
+    m = model_table(spark, d).withColumn("only", F.when(F.col("y") == 1, F.col("x2")))
+    return spark.createDataFrame(list(profiles.varying_target(m, ["x1", "b1", "only"], "y").items()), "variable string, varies boolean")
+
+
 # Forward selection by t tests on what the chosen variables leave of all others; a step takes the residuals of the one before.
 def _forward(steps: int) -> str:
     every = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in [*NUMBERS, "y"])

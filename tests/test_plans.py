@@ -46,9 +46,8 @@ def test_query_equals_sql(spark, sf, con, name):
     assert mine == sorted((tuple(map(norm, x)) for x in r.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.Q) - set(queries.SQL) - {"full_pipeline", "embedding_components", "pca_screen", "var_clusters", "stepwise_logistic"}))
-def test_other_queries_run(spark, sf, name):
-    assert queries.Q[name](spark, sf).count() > 0
+def test_queries_without_sql_have_tests_of_their_own():
+    assert set(queries.Q) - set(queries.SQL) == {"full_pipeline", "embedding_components", "pca_screen", "var_clusters", "stepwise_logistic"}
 
 
 def test_component_queries_against_numpy(spark, sf):
@@ -151,7 +150,8 @@ def test_report_tables_and_logs(spark, tmp_path, caplog):
     assert {k: sorted(r.var_name for r in t.collect()) for k, t in tables.items() if k != "correlations"} == {"binary_variables": ["b"], "nominal_variables": ["n"], "ordinal_variables": ["o"], "continuous_variables": ["c"]}
     corr = {r.variable: r.correlation for r in tables["correlations"].collect()}
     pdf = out.toPandas()
-    assert corr == pytest.approx({c: pdf[c].astype(float).corr(pdf.y) for c in pdf.columns if c.startswith("R1_")}, abs=1e-9)
+    want = {c: pdf[c].astype(float).corr(pdf.y) if pdf[c].nunique() > 1 else None for c in pdf.columns if c.startswith("R1_")}
+    assert set(corr) == set(want) and all(corr[c] == (want[c] and pytest.approx(want[c], abs=1e-9)) for c in want)
     with caplog.at_level("INFO", "scorewright"):
         sample(spark.range(3000).withColumn("y", (F.col("id") % 20 == 0).cast("int")), Roles(id="id", dep_var="y"), SampleConfig(bootstrap=True, min_num_resp=50))
     assert "target values of the resampled rows: {0: " in caplog.text
