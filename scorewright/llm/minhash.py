@@ -29,7 +29,6 @@ DEVIATIONS = 5.0
 TILE_DOCS, TILE_BYTES = 512, 8 << 20
 #: Small groups are compared together in packs of about so many documents, or bytes.
 PACK_DOCS, PACK_BYTES = 256, 1 << 20
-WORDS = MINIMA * BITS // 64
 _MUL = (np.random.default_rng(5).integers(0, 2**31, MINIMA, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _ADD = np.random.default_rng(6).integers(0, 2**32, MINIMA, dtype=np.int64).astype(np.uint32)
 _BAND = np.random.default_rng(7).integers(0, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -248,19 +247,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Written, so that the join reads two plain shuffles, of which a large class's part can be split.
     classes = scratch.keep(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     member = scratch.keep(linkable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "d1", "d2", "rep"), "members")
-    firsts = linkable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    repeated = not linkable.groupBy("doc_id").count().where("count > 1").isEmpty()
+    copies = scratch.keep(member.where("doc_id <> rep").select("doc_id", "d1", "d2").distinct(), "copies")
+    firsts = linkable.join(bounded(copies), ["doc_id", "d1", "d2"], "left_anti")
+    firsts = firsts.dropDuplicates(["doc_id", "d1", "d2"]) if repeated else firsts
     firsts = scratch.keep(firsts.select(F.col("doc_id").alias("rep"), "n_shingles", "bytes", "sig", "bands"), "firsts")
-    scratch.drop(classes)
+    scratch.drop(classes, copies)
     bands = scratch.keep(firsts.select("rep", F.posexplode("bands").alias("band_no", "band")), "bands")
     buckets = scratch.keep(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").drop("n"), "buckets")
+    hits = scratch.keep(bands.join(buckets, "band"), "hits")
+    scratch.drop(bands, buckets)
 
     # Stars: each member against the smallest of its buckets.
     facts = firsts.select("rep", "bytes", F.struct("n_shingles", "sig").alias("fact"))
-    star = scratch.keep(bands.join(buckets, "band").where("rep <> center").select("rep", "center").distinct(), "star")
+    star = hits.where("rep <> center").select("rep", "center").distinct()
     star = star.join(facts, "rep").join(facts.select(F.col("rep").alias("center"), F.col("bytes").alias("center_bytes"), F.col("fact").alias("center_fact")), "center")
     star = star.where(possible("fact", "center_fact", percent)).groupBy("rep", "center").agg(F.max("bytes").alias("bytes"), F.max("center_bytes").alias("center_bytes"))
     star = scratch.keep(star, "near")
-    repeated = not linkable.groupBy("doc_id").count().where("count > 1").isEmpty()
     texts = base.withColumnRenamed("doc_id", "rep").where("rep is not null and text is not null")
 
     def with_text(df: DataFrame) -> DataFrame:
@@ -283,9 +286,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(found, scratch).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
     # What the stars have left: buckets with documents that are not connected.
-    named = bands.join(buckets.select("band"), "band", "left_semi").join(labels, "rep", "left").select("rep", "band", "band_no", F.coalesce("label", "rep").alias("label"))
+    named = hits.join(labels, "rep", "left").select("rep", "band", "band_no", F.coalesce("label", "rep").alias("label"))
     named = scratch.keep(named, "named")
-    scratch.drop(bands, buckets, star, found)
+    scratch.drop(hits, star, found)
     open_ones = scratch.keep(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "n"), "open")
     rows = named.join(open_ones.select("band"), "band", "left_semi").join(firsts, "rep")
     rows = scratch.keep(rows, "rows")
