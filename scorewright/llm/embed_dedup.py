@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, components, only, only_cache, read
@@ -179,16 +179,19 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     coded = scratch.keep(firsts.mapInArrow(_quantise, QUANTISED), "coded")
     # Blocks per vector length; the table has as many rows as there are lengths.
     side = F.least(F.greatest(F.count("*") / 64, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
-    blocks = scratch.keep(coded.groupBy("dims").agg(F.ceil(F.count("*") / side).alias("blocks")), "blocks")
-    tiles = max(1, int(blocks.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0.0))).first()[0]))
+    blocks = coded.groupBy("dims").agg(F.ceil(F.count("*") / side).alias("blocks")).withColumn("tiles", (F.col("blocks") * (F.col("blocks") + 1) / 2).cast("int"))
+    base = F.coalesce(F.sum("tiles").over(Window.orderBy("dims").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = scratch.keep(blocks.withColumn("base", base.cast("int")), "blocks")
+    tiles = max(1, blocks.agg(F.coalesce(F.sum("tiles"), F.lit(0))).first()[0])
+    tile = (F.col("base") + F.col("low") * F.col("blocks") - F.col("low") * (F.col("low") - 1) / 2 + F.col("high") - F.col("low")).cast("int").alias("tile")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
-    dealt = coded.join(bounded(blocks), "dims").select("dims", "rep", "copies", "q", "scale", "bound", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("dims", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "copies", "block", "q", "scale", "bound")
-    # A given number of partitions is not merged: tiles are few bytes, but much work.
-    first = scratch.keep(dealt.repartition(tiles, "dims", "low", "high").groupBy("dims", "low", "high").applyInArrow(_tile(threshold), FOUND), "first")
+    dealt = coded.join(bounded(blocks), "dims").select("dims", "base", "blocks", "rep", "copies", "q", "scale", "bound", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(tile, "dims", "low", "high", "rep", "copies", "block", "q", "scale", "bound")
+    # A partition a tile: tiles are few bytes, but much work, and would be merged.
+    first = scratch.keep(dealt.repartitionById(tiles, F.col("tile")).groupBy("tile").applyInArrow(_tile(threshold), FOUND), "first")
     unsure = first.where("kind = 2").select("dims", "low", "high", F.col("a").alias("rep"))
-    again = unsure.join(firsts, ["dims", "rep"]).join(bounded(blocks), "dims").select("dims", "low", "high", "rep", "copies", block, "embedding")
-    second = scratch.keep(again.repartition(tiles, "dims", "low", "high").groupBy("dims", "low", "high").applyInArrow(_tile(threshold), FOUND), "second")
+    again = unsure.join(firsts, ["dims", "rep"]).join(bounded(blocks), "dims").select(tile, "dims", "low", "high", "rep", "copies", block, "embedding")
+    second = scratch.keep(again.repartitionById(tiles, F.col("tile")).groupBy("tile").applyInArrow(_tile(threshold), FOUND), "second")
     found = first.unionByName(second).select("kind", "a", "b", "n")
     scratch.drop(coded)
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import Scratch, bounded, qualified, read, record_of
 
 SHARDS = 24
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 SEED = 4242
 
 
@@ -60,15 +60,15 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "do
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + F.lit(8).cast("long")
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, math.ceil(total / bucket_bytes))
-    bucket = F.pmod(key, F.lit(buckets))
+    bucket = F.pmod(key, F.lit(buckets)).cast("int")
     counts = docs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     base = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     base = bounded(scratch.keep(base, "buckets"))
     scattered = docs.select(bucket.alias("bucket"), F.xxhash64(F.lit(seed + 1), docs[id_col], F.xxhash64(docs[text_col])).alias("order"), size.alias("size"), record_of(docs).alias("record"))
     placed = scattered.join(base, F.col("bucket") == F.col("b")).select("bucket", "order", "size", "base", F.lit(n).alias("total"), F.lit(shards).alias("shards"), "record")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("record", docs.schema)])
-    # As many partitions as buckets, so that a task holds one or a few of them however much there is.
-    out = placed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_fisher_yates(seed), schema)
+    # A partition a bucket, so that a task holds one of them however many there are.
+    out = placed.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_fisher_yates(seed), schema)
     path = qualified(docs.sparkSession, folder) if folder else scratch.path("shards")
     out.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(T.StructType([schema["slot"], schema["record"], schema["shard"]])).parquet(path)

@@ -1,8 +1,6 @@
 import zlib
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from scorewright.llm import sharding as op
 
 
