@@ -127,18 +127,24 @@ class Encoder:
         self.raw_start[n : n + len(chunks)], self.raw_length[n : n + len(chunks)] = self.raw_used + np.cumsum(sizes) - sizes, sizes
         self.raw_used += len(joined)
 
-    def _differ(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Which chunks are not, byte by byte, those they were found as."""
+    def _differ(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which chunks, ascending and apart, are not byte by byte those they were found as."""
+        sizes = (stops - starts).astype(np.int32)
         wrong = self.raw_length[found] != sizes
         if wrong.any():
             right = np.flatnonzero(~wrong)
-            wrong[right] = self._differ(raw, starts[right], sizes[right], found[right])
+            wrong[right] = self._differ(raw, starts[right], stops[right], found[right])
             return wrong
         if not len(sizes):
             return wrong
-        ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        differ = raw[place + np.repeat(starts, sizes)] != self.raw[place + np.repeat(self.raw_start[found], sizes)]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        if ends[-1] < len(raw):
+            edge = np.zeros(len(raw) + 1, np.int8)
+            edge[starts] = 1
+            edge[stops] -= 1
+            raw = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        held = self.raw[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.raw_start[found] - ends + sizes, sizes)]
+        differ = raw != held
         return np.logical_or.reduceat(differ, ends - sizes) if differ.any() else wrong
 
     def _learn(self, raws: list[bytes], keys: np.ndarray) -> np.ndarray:
@@ -220,7 +226,7 @@ class Encoder:
             numbers = self._learn([joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())], new)
             found[unknown] = numbers[which]
         known = np.flatnonzero(stops - starts <= MAX_CHUNK_BYTES)
-        mixed_up = known[self._differ(raw, starts[known], (stops - starts)[known], found[known])]
+        mixed_up = known[self._differ(raw, starts[known], stops[known], found[known])]
         long = np.union1d(long, mixed_up)
         n = self.length[found].astype(np.int64)
         n[long] = 0
