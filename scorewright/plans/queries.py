@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..functions.scalars import clip, index, logit, star, transform
+from ..functions.scalars import clip, index, logit, transform
 from ..operators import information, moments, nominal, numeric, profiles, quantiles, regression, rows, sampling, stepwise, voting
 from .config import LABEL, ReduceConfig, RecodeConfig, Roles, SampleConfig
 from .recode import fit_recode

@@ -12,7 +12,7 @@ from ..functions.scalars import TRUE_RECODE
 from ..operators import nominal, numeric, profiles
 from ..operators.moments import signed_correlation_with
 from ..operators.quantiles import quantiles
-from ..operators.rows import prefixed, work_file  # noqa: F401
+from ..operators.rows import work_file
 from ..sources.readers import check_variables
 from ..sources.sinks import write_recodes, write_table
 from .config import LABEL, Recode, RecodeConfig, Roles
