@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, bounded, count_words, only, read, spread, sum_before, with_keys
+from .common import NULL_ID, Scratch, count_words, only, read, spread, sum_before, with_keys
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
@@ -242,5 +242,6 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.floor(F.coalesce("share", F.lit(0.0)) + _unit(F.col("mixed_id"), F.lit(SEED + 4))).cast("int")
     share = scratch.keep(share.select("mixed_id", times.alias("times")), "times")
     keyed = with_keys(docs, id=F.coalesce(docs["doc_id"], F.lit(NULL_ID)), words=count_words(docs["text"]))
-    joined = keyed.where("words > 0").join(bounded(share), F.col("id") == F.col("mixed_id")).where("times > 0")
+    # A row a document: never a table to broadcast, so texts move once, by id, at every size.
+    joined = keyed.where("words > 0").join(share.hint("merge"), F.col("id") == F.col("mixed_id")).where("times > 0")
     return joined.select("record", F.explode(F.sequence(F.lit(1), F.col("times")))).select("record.*")
