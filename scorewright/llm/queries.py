@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, langid, minhash, mixing, packing, pii, sharding, token_files, warc
+from . import conversations, embed_dedup, exact_dedup, filter_audit, langid, minhash, mixing, packing, pieces, pii, sharding, token_files, warc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_splittable_warc": warc.op10_splittable_warc,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op4_embedding_dedup": embed_dedup.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op10_splittable_warc": warc.OP10_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
