@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.config import LABEL, TEST, Roles
+from .predicates import compile_predicate
+
 
+def exclude(df: DataFrame, predicate: Column | str | None = None, *, python: str | None = None, names: Mapping[str, object] | None = None) -> DataFrame:
+    """Rows for which the predicate isn't true; unknown keeps the row.
 
-def exclude(df: DataFrame, predicate: Column | str | None) -> DataFrame:
-    """Rows for which the predicate (a Column or SQL text) isn't true; unknown keeps the row."""
-    if predicate is None or isinstance(predicate, str) and not predicate.strip():
-        return df
-    p = F.expr(predicate) if isinstance(predicate, str) else predicate
-    return df.where(~F.coalesce(p.cast("boolean"), F.lit(False)))
+    ``predicate`` is a Column or SQL text, ``python`` a Python text over ``inds``
+    (see predicates); a row that either names is left out.
+    """
+    if isinstance(predicate, str):
+        predicate = F.expr(predicate) if predicate.strip() else None
+    if predicate is not None:
+        df = df.where(~F.coalesce(predicate.cast("boolean"), F.lit(False)))
+    return df.where(~compile_predicate(df, python, names)) if python and python.strip() else df
 
 
 def work_file(df: DataFrame) -> DataFrame:

@@ -130,6 +130,20 @@ def exclude_filter(spark, d):
     return rows.exclude(_t(spark, d, "orders"), "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice > 200000 END").select("o_orderkey", "o_orderstatus")
 
 
+_PYTHON = """(inds[price] != 100.0) & (inds["o_orderkey"] % 3 == 1) | inds[price].isna() & inds.o_orderpriority.str.startswith("1-") | \
+    (inds[price] / 1000).between(50, 90) & ~inds["o_orderstatus"].isin(["F", "P"]) | (inds["o_orderdate"] >= "1998-06-01") & (inds["o_orderpriority"].str.lower().str.contains("low|specified"))"""
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price FROM orders)
+SELECT o_orderkey, round(price, 2) AS price FROM o WHERE NOT (
+  coalesce(price <> 100, true) AND o_orderkey % 3 = 1 OR price IS NULL AND o_orderpriority LIKE '1-%'
+  OR coalesce(price / 1000 BETWEEN 50 AND 90, false) AND o_orderstatus NOT IN ('F', 'P')
+  OR o_orderdate >= TIMESTAMP '1998-06-01' AND (lower(o_orderpriority) LIKE '%low%' OR lower(o_orderpriority) LIKE '%specified%'))""")
+def exclude_python(spark, d):
+    o = _t(spark, d, "orders").withColumn("price", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    return _r(rows.exclude(o, python=_PYTHON, names={"price": "price"}).select("o_orderkey", "price"), 2)
+
+
 _SPLIT = f"CASE WHEN {_BUCKET.format(seed=SEED, key='o_orderkey')} < 0.7::DOUBLE * 4294967296 THEN 1 ELSE 3 END"
 
 

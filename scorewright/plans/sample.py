@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sampling
+from ..operators.predicates import speaks_of_table
 from ..operators.rows import exclude
 from ..sources.sinks import write_table
 from .config import LABEL, MODEL, TEST, Roles, SampleConfig
@@ -24,13 +25,19 @@ def target_frequency(df: DataFrame, dep_var: str, most: int = 1000) -> DataFrame
 def sample(df: DataFrame, roles: Roles, config: SampleConfig = SampleConfig(), output: str | None = None, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(labelled rows, sample rates).
 
+    ``exclusion_if`` is SQL, or Python over ``inds`` in which ``id``, ``dep_var``
+    and ``weight`` stand for those columns' names.
     Rows are drawn by hashed keys (the id column, or ``keys``).  Oversampling
     works on a binary target and draws with replacement, before validation rows
     are carved out, so copies of one row may be in Model and Val.  With an
     ``output`` folder both results are written there too.
     """
     keys = keys or [roles.id]
-    kept = exclude(df, config.exclusion_if)
+    text = config.exclusion_if
+    if text and speaks_of_table(text):
+        kept = exclude(df, python=text, names={k: v for k, v in (("id", roles.id), ("dep_var", roles.dep_var), ("weight", roles.weight)) if v})
+    else:
+        kept = exclude(df, text)
     labelled = sampling.split(kept, keys, config.split_portion, config.seed)
     if config.binary_dv and config.bootstrap:
         model, test = labelled.where(F.col(LABEL) == MODEL), labelled.where(F.col(LABEL) == TEST)
