@@ -5,34 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import tied_bins, value_bins
+from .quantiles import bin_edges, parted_values, rank_cuts, tied_bins, with_bins
+from .rows import distinct_counts
+
+
+#: A sketch counts so few distinct values exactly enough to tell that there are more than half of them.
+_FEW = 4
 
 
 def bin_tables(df: DataFrame, variables: list[str], dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:
     """(variable, bin, mean_dv, max_dv, mean_var, min_var, max_var, cnt, sum_dv) of rows with variable, target and weight.
 
     More than ``decile`` distinct values are cut by rank (or running weight);
-    fewer are bins themselves.  All variables go through one pass in long form,
-    which sums rows by value; only rows of values that a bin's edge parts are
-    looked at one by one, in the order of draws from ``keys``.
+    fewer are bins themselves.  The bins' edges come from a sketch and one count;
+    then all variables go through one pass in long form, which sums rows by bin;
+    only rows of values that a bin's edge parts are looked at one by one, in the
+    order of draws from ``keys``.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
     some = df.na.drop(subset=[dep_var, *([weight] if weight else [])])
-    base = some.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col(dep_var).cast("double").alias("y"), w.alias("w"), *[F.col(f"`{v}`").alias(f"_v{i}") for i, v in enumerate(variables)])
-    order = [f"_k{i}" for i in range(len(keys))]
-    items = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_v{i}").cast("double").alias("value")) for i, v in enumerate(variables)])
-    long = base.select(*order, "y", "w", F.explode(items).alias("_i")).select(*order, "y", "w", "_i.variable", "_i.value").where("value is not null")
+    base = some.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(f"`{dep_var}`").cast("double").alias("y"), w.alias("w"), *[F.col(f"`{v}`").cast("double").alias(f"v{i}") for i, v in enumerate(variables)])
+    base = base.withColumns({f"v{i}": F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")) for i in range(len(variables))})
+    columns, order = [f"v{i}" for i in range(len(variables))], [f"k{i}" for i in range(len(keys))]
+    spreads = bin_edges(base, columns, decile, "w" if weight else None)
+    maybe = [v for v, s in spreads.items() if s.about_distinct <= _FEW * decile]
+    few = {v for v, n in distinct_counts(base, maybe).items() if n <= decile}
+    known = [v for v in columns if v in spreads]
+    cuts = list(rank_cuts({v: spreads[v] for v in known}, decile).values())
 
     def summed(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum("y").alias("sy"), F.max("y").alias("my"), F.sum(F.col("y") * F.col("w")).alias("syw"))
-
-    values = value_bins(summed(long, "variable", "value"), decile)
-    whole = values.withColumn("bin", F.when(F.col("distinct") <= decile, F.col("value")).otherwise(F.col("bin").cast("double")))
-    cut = whole.where("bin is null")
-    tied = summed(tied_bins(long, cut, order, decile), "variable", "value", "bin").withColumn("bin", F.col("bin").cast("double"))
-    parts = whole.where("bin is not null").select(*tied.columns).unionByName(tied)
-    total, x = F.sum("n"), F.col("value")
-    return parts.groupBy("variable", "bin").agg((F.sum("sy") / total).alias("mean_dv"), F.max("my").alias("max_dv"), (F.sum(x * F.col("n")) / total).alias("mean_var"), F.min(x).alias("min_var"), F.max(x).alias("max_var"), F.sum("w").alias("cnt"), F.sum("syw").alias("sum_dv"))
+        x = F.col("x")
+        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum("y").alias("sy"), F.max("y").alias("my"), F.sum(F.col("y") * F.col("w")).alias("syw"), F.sum(x).alias("sx"), F.min(x).alias("lx"), F.max(x).alias("hx"))
+
+    if not cuts:
+        return df.sparkSession.createDataFrame([], "variable string, bin double, mean_dv double, max_dv double, mean_var double, min_var double, max_var double, cnt double, sum_dv double")
+    data = base.select("w", "y", *[F.col(v).alias(f"v{i}") for i, v in enumerate(known)])
+    own = F.array(*[F.lit(v in few) for v in known])[F.col("i")]
+    names = F.array(*[F.lit(variables[int(v[1:])]) for v in known])[F.col("i")]
+    long = with_bins(data, cuts, ["y"]).withColumn("bin", F.when(own, F.col("x")).otherwise(F.col("bin").cast("double")))
+    parts = summed(long.where("bin is not null"), "i", "bin").withColumn("variable", names).drop("i")
+    # Values that an edge parts: their rows, by draws.
+    parted = [c for c in cuts if c.parted and c.variable not in few]
+    if parted:
+        items = F.array(*[F.struct(F.lit(c.variable).alias("variable"), F.when(F.col(c.variable).isin(*[x.value for x in c.parted]), F.col(c.variable)).alias("value")) for c in parted])
+        rows = base.select(*order, "y", "w", F.explode(items).alias("_i")).select(*order, "y", "w", "_i.*").where("value is not null")
+        tied = summed(tied_bins(rows, parted_values(df.sparkSession, parted), order, decile).withColumn("x", F.col("value")), "variable", "bin")
+        real = F.create_map(*[F.lit(z) for c in parted for z in (c.variable, variables[int(c.variable[1:])])])
+        parts = parts.unionByName(tied.withColumn("variable", real[F.col("variable")]).withColumn("bin", F.col("bin").cast("double")))
+    total = F.sum("n")
+    return parts.groupBy("variable", "bin").agg((F.sum("sy") / total).alias("mean_dv"), F.max("my").alias("max_dv"), (F.sum("sx") / total).alias("mean_var"), F.min("lx").alias("min_var"), F.max("hx").alias("max_var"), F.sum("w").alias("cnt"), F.sum("syw").alias("sum_dv"))
 
 
 def bin_table(df: DataFrame, var: str, dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:

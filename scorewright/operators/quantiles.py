@@ -1,21 +1,37 @@
-"""Exact quantiles and rank bins of many variables at once, without one sorted partition.
-
-Values are counted per (variable, value) first.  Steps between approximate
-quantiles of a variable's distinct values hold about equally many of them,
-whatever their spread; a running sum over the steps' counts and one inside each
-step give every value's rank, so a variable's values spread over many tasks.
+"""Exact quantiles and rank bins of many variables at once, by successive narrowing.
+
+A quantile is a value at which the running weight of the sorted values passes a
+threshold.  One scan sketches all variables and brackets every threshold between
+two values; a second counts what lies below and between the brackets and keeps
+only the values inside, summed by value.  These few are ordered, so a threshold's
+value is exact.  Where a bracket still holds many values, or a sketch has missed,
+the bracket alone is sketched and counted again.  No scan shuffles the distinct
+values of a variable.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SPAN, draw
 from .rows import unpivoted
 
-#: Steps of a variable: OUTER runs of OUTER steps each.
-OUTER = 32
+#: Accuracy of sketches: a sketch's value is off by a 10,000th of the rows at most.
+ACCURACY = 10_000
+#: A bracket reaches so many such errors to both sides.
+MARGIN = 2
+#: A bracket of more rows than this is narrowed again before its values are ordered.
+FINAL_ROWS = 1_000_000
+#: Cut points that narrow a bracket where ranks are not known beforehand.
+SPLITS = 32
+#: Variables of one sketch or one scan.
+TOGETHER = 40
 #: Tied rows that a bin edge parts are numbered in ranges of their draws of about so many rows.
 ROWS_A_RANGE = 50_000
 #: Seed of the draws that put tied rows in order.
@@ -23,63 +39,234 @@ TIE_SEED = 0
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _step(value: Column, edges: Column) -> Column:
-    """How many of the sorted edges are smaller than the value: first among the last ones of runs, then within one."""
-    below = lambda some: F.size(F.filter(some, lambda e: e < value))
-    run = below(F.transform(F.sequence(F.lit(OUTER), F.lit(OUTER * (OUTER - 1)), F.lit(OUTER)), lambda i: edges[i - 1]))
-    return run * OUTER + below(F.slice(edges, run * OUTER + 1, F.lit(OUTER - 1)))
-
-
-def ranked_values(values: DataFrame, weight: str = "n") -> DataFrame:
-    """Adds before, total and distinct to rows (variable, value, ``weight``, ...), each value once: weight of smaller values, of all, and how many there are."""
-    probs = [i / OUTER**2 for i in range(1, OUTER**2)]
-    facts = values.groupBy("variable").agg(F.percentile_approx("value", probs, 20 * OUTER**2).alias("_edges"), F.sum(weight).alias("total"), F.count("*").alias("distinct"))
-    stepped = values.join(F.broadcast(facts), "variable").withColumn("_step", _step(F.col("value"), F.col("_edges"))).drop("_edges")
-    sums = stepped.groupBy("variable", "_step").agg(F.sum(weight).alias("_rows"))
-    sums = sums.select("variable", "_step", F.coalesce(F.sum("_rows").over(Window.partitionBy("variable").orderBy("_step").rowsBetween(*_BEFORE)), F.lit(0)).alias("_below"))
-    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("variable", "_step").orderBy("value").rowsBetween(*_BEFORE)), F.lit(0))
-    return stepped.withColumn("_inside", inside).join(sums, ["variable", "_step"]).withColumn("before", F.col("_below") + F.col("_inside")).drop("_step", "_below", "_inside")
-
-
-def value_ranks(long: DataFrame) -> DataFrame:
-    """(variable, value, n, before, total) of rows (variable, value): counts, and how many values are smaller."""
-    counts = long.where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("n"))
-    return ranked_values(counts).select("variable", "value", "n", "before", "total")
-
-
-def _picked(ranks: DataFrame, at: Column) -> Column:
-    """The value at a rank counted from 0."""
-    return F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("n")), F.col("value")))
+@dataclass
+class Crossing:
+    """The value at which a threshold is passed: weight of smaller values, of this one, and its rows."""
+
+    value: float
+    before: float
+    weight: float
+    rows: int
+
+
+@dataclass
+class Spread:
+    """What is known of a variable: rows, weight, about how many distinct values, and the crossings of its thresholds."""
+
+    rows: int = 0
+    total: float = 0
+    about_distinct: int = 0
+    at: dict[float, Crossing] = field(default_factory=dict)
+
+
+@dataclass
+class _Open:
+    """A bracket [low, high) of a variable in which thresholds lie: weight below it, its rows if known."""
+
+    low: float
+    high: float
+    before: float
+    rows: int
+    wanted: list[float]
+
+
+def _numbers(df: DataFrame, columns: list[str], weight: str | None) -> DataFrame:
+    """w, and one double a column, nan as null."""
+    w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1).cast("long")
+    made = df.select(w.alias("w"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    made = made.where("w is not null") if weight else made
+    return made.select("w", *[F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(columns))])
+
+
+def _after(x: float) -> float:
+    return float(np.nextafter(x, math.inf))
+
+
+def _cells(data: DataFrame, cuts: dict[int, list[float]], inside: dict[int, set[int]], extra: list[Column] = ()) -> DataFrame:
+    """Rows (i, cell, value, ...): the number of a variable's cut points that are at most the value; the value itself only in the cells ``inside``."""
+    names = sorted(cuts)
+    most = max(len(c) for c in cuts.values())
+    # No value is at least nan, which stands where a variable has fewer cut points.
+    padded = F.array(*[F.array(*[F.lit(float(x)) for x in [*cuts[i], *[math.nan] * (most - len(cuts[i]))]]) if most else F.array().cast("array<double>") for i in names])
+    kept = F.array(*[F.array(*[F.lit(k in inside.get(i, ())) for k in range(most + 1)]) for i in names])
+    items = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"v{i}").alias("x")) for k, i in enumerate(names)])
+    rows = data.select("w", *extra, F.explode(items).alias("_item")).select("w", *extra, "_item.*").where("x is not null")
+    rows = rows.withColumn("_cuts", padded[F.col("k")])
+    cell = F.lit(0)
+    for j in range(most):
+        cell = cell + F.when(F.col("x") >= F.col("_cuts")[j], 1).otherwise(0)
+    rows = rows.withColumn("cell", cell).drop("_cuts")
+    return rows.withColumn("value", F.when(kept[F.col("k")][F.col("cell")], F.col("x"))).drop("k")
+
+
+def _sketch(data: DataFrame, asked: list[tuple[int, float, float, list[float]]]) -> tuple[list[list[float]], list]:
+    """Approximate values of (variable, low, high, shares of the rows in [low, high)); and each variable's rows, weight and distinct values."""
+    out, facts = [], []
+    for at in range(0, len(asked), TOGETHER):
+        exprs = []
+        for i, low, high, shares in asked[at : at + TOGETHER]:
+            x = F.col(f"v{i}")
+            whole = low == -math.inf and high == math.inf
+            some = x if whole else F.when((x >= low) & ((x < high) if high < math.inf else F.lit(True)), x)
+            there = F.when(x.isNotNull(), F.col("w"))
+            exprs += [F.percentile_approx(some, shares, ACCURACY), *((F.count(x), F.sum(there), F.approx_count_distinct(x)) if whole else (F.lit(0), F.lit(0), F.lit(0)))]
+        row = data.agg(*[e.alias(f"e{k}") for k, e in enumerate(exprs)]).first()
+        out += [row[k] or [] for k in range(0, len(exprs), 4)]
+        facts += [row[k + 1 : k + 4] for k in range(0, len(exprs), 4)]
+    return out, facts
+
+
+def crossings(df: DataFrame, columns: list[str], shares: list[float], exact: Callable[[float, int], list[float]], weight: str | None = None) -> dict[str, Spread]:
+    """For each column with a value the crossings of the thresholds ``exact(total weight, rows)``: the value with before < threshold <= before + weight.
+
+    ``shares`` says about where the thresholds lie, as shares of the rows; with
+    weights they are found without that.  Null and nan values, and rows without
+    weight, count for nothing.  Thresholds outside the total have no crossing.
+    """
+    data = _numbers(df, columns, weight)
+    found: dict[str, Spread] = {}
+    error = MARGIN / ACCURACY
+    even = [k / SPLITS for k in range(1, SPLITS)]
+    first = even if weight else sorted({min(max(q + d, 0.0), 1.0) for q in shares for d in (-error, error)})
+    points, facts = _sketch(data, [(i, -math.inf, math.inf, first) for i in range(len(columns))])
+    cuts: dict[int, list[float]] = {}
+    inside: dict[int, set[int]] = {}
+    open_: dict[int, list[_Open]] = {}
+    for i, (values, (rows, total, distinct)) in enumerate(zip(points, facts)):
+        if not rows:
+            continue
+        s = found[columns[i]] = Spread(rows, total, distinct)
+        wanted = sorted({t for t in exact(total, rows) if 0 < t <= total})
+        if not wanted:
+            continue
+        open_[i] = [_Open(-math.inf, math.inf, 0, rows, wanted)]
+        cuts[i] = sorted({y for x in values for y in (x, _after(x))})
+        if not weight and 3 * error * rows < FINAL_ROWS:
+            at = dict(zip(first, values))
+            spans = [(-math.inf if q - error <= 0 else at[max(q - error, 0.0)], math.inf if q + error >= 1 else at[min(q + error, 1.0)]) for q in shares]
+            edges = [-math.inf, *cuts[i]]
+            inside[i] = {k for k, low in enumerate(edges) if any(a <= low <= b or (a == -math.inf and low == -math.inf) for a, b in spans)}
+        elif rows <= FINAL_ROWS:
+            # So few rows that they are ordered whole.
+            cuts[i], inside[i] = [], {0}
+    while open_:
+        _settle(data, columns, cuts, inside, open_, found, weight)
+        cuts, inside = _narrower(data, open_, even)
+    return found
+
+
+def _settle(data: DataFrame, columns: list[str], cuts: dict, inside: dict, open_: dict[int, list[_Open]], found: dict[str, Spread], weight: str | None) -> None:
+    """Count cells, answer what lies in cells whose values are known, and leave the rest open in narrower brackets."""
+    names = sorted(open_)
+    for at in range(0, len(names), TOGETHER):
+        part = names[at : at + TOGETHER]
+        counts = _cells(data, {i: cuts[i] for i in part}, {i: inside.get(i, set()) for i in part}).groupBy("i", "cell", "value").agg(F.count("*").alias("n"), F.sum("w").alias("w")).persist()
+        try:
+            cells: dict[int, dict[int, tuple[int, float, bool]]] = {i: {} for i in part}
+            for r in counts.groupBy("i", "cell").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("value").alias("known")).collect():
+                cells[r.i][r.cell] = (r.n, r.w, r.known > 0)
+            asked = []
+            for i in part:
+                edges, still = [-math.inf, *cuts[i], math.inf], []
+                below = dict(zip(sorted(cells[i]), np.concatenate([[0], np.cumsum([cells[i][k][1] for k in sorted(cells[i])])]).tolist()))
+                for t in (t for o in open_[i] for t in o.wanted):
+                    reached = [k for k in sorted(cells[i]) if below[k] < t]
+                    k = reached[-1]
+                    n, w, known = cells[i][k]
+                    low, high = edges[k], edges[k + 1]
+                    if known:
+                        asked.append((i, k, t, t - below[k], below[k]))
+                    elif high == _after(low):
+                        found[columns[i]].at[t] = Crossing(low, below[k], w, n)
+                    elif still and (still[-1].low, still[-1].high) == (low, high):
+                        still[-1].wanted.append(t)
+                    else:
+                        still.append(_Open(low, high, below[k], n, [t]))
+                open_[i] = still
+            if asked:
+                spark = data.sparkSession
+                goals = spark.createDataFrame([(i, k, float(t), float(here), float(base)) for i, k, t, here, base in asked], "i int, cell int, goal double, here double, base double")
+                mine = counts.join(F.broadcast(goals.select("i", "cell").distinct()), ["i", "cell"], "left_semi")
+                upto = mine.withColumn("before", F.coalesce(F.sum("w").over(Window.partitionBy("i", "cell").orderBy("value").rowsBetween(*_BEFORE)), F.lit(0)).cast("double"))
+                last = upto.withColumn("_next", F.lead("value").over(Window.partitionBy("i", "cell").orderBy("value")))
+                hit = (F.col("before") < F.col("here")) & ((F.col("here") <= F.col("before") + F.col("w")) | F.col("_next").isNull())
+                for r in last.join(F.broadcast(goals), ["i", "cell"]).where(hit).collect():
+                    s = found[columns[r.i]]
+                    if r.goal not in s.at or s.at[r.goal].value > r.value:
+                        s.at[r.goal] = Crossing(r.value, r.base + r.before if weight else int(r.base + r.before), r.w, r.n)
+        finally:
+            counts.unpersist()
+    for i in [i for i in open_ if not open_[i]]:
+        del open_[i]
+
+
+def _narrower(data: DataFrame, open_: dict[int, list[_Open]], even: list[float]) -> tuple[dict, dict]:
+    """Cut points of the next scan: small brackets are kept whole, with their values; others are sketched."""
+    large = [(i, o.low, o.high, even) for i, some in open_.items() for o in some if o.rows > FINAL_ROWS]
+    points = _sketch(data, large)[0] if large else []
+    cuts: dict[int, set[float]] = {i: set() for i in open_}
+    for (i, _, _, _), values in zip(large, points):
+        cuts[i] |= {y for x in values for y in (x, _after(x))}
+    for i, some in open_.items():
+        cuts[i] |= {x for o in some for x in (o.low, o.high) if math.isfinite(x)}
+    made = {i: sorted(c) for i, c in cuts.items()}
+    keep = {i: {k for k, low in enumerate([-math.inf, *made[i]]) if any(o.rows <= FINAL_ROWS and o.low <= low < o.high for o in some)} for i, some in open_.items()}
+    return made, keep
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], method: str = "nearest") -> DataFrame:
-    """(variable, n, q0, q1, ...) of each column's non-null values.
+    """(variable, n, q0, q1, ...) of each column's values; columns without any have no row.
 
     ``nearest``: the value at rank q (n - 1), rounded half to even.  ``linear``:
     between the two neighbours of that rank.
     """
-    ranks = value_ranks(unpivoted(df, columns, kind="double"))
-    out = [F.max("total").alias("n")]
-    for i, q in enumerate(probs):
-        at = F.lit(float(q)) * (F.col("total") - 1)
-        if method == "nearest":
-            out.append(_picked(ranks, F.bround(at)).alias(f"q{i}"))
-        else:
-            low = F.floor(at)
-            a, b = _picked(ranks, low), _picked(ranks, F.ceil(at))
-            out.append((a + (b - a) * F.max(at - low)).alias(f"q{i}"))
-    return ranks.groupBy("variable").agg(*out)
 
+    def ranks(n: int) -> list[tuple[int, int, float]]:
+        at = [float(q) * (n - 1) for q in probs]
+        return [(round(x), round(x), 0.0) if method == "nearest" else (math.floor(x), math.ceil(x), x - math.floor(x)) for x in at]
 
-def value_bins(values: DataFrame, bins: int) -> DataFrame:
-    """Adds before, total, distinct and bin to rows (variable, value, n, w): bins 0..bins-1 by running weight * bins div (total weight + 1).
+    spreads = crossings(df, columns, [float(q) for q in probs], lambda _, n: [r + 1.0 for low, high, _ in ranks(n) for r in (low, high)]) if columns else {}
+    out = []
+    for c, s in spreads.items():
+        picked = [(s.at[low + 1.0].value, s.at[high + 1.0].value, part) for low, high, part in ranks(s.rows)]
+        out.append((c, s.rows, *[a + (b - a) * part for a, b, part in picked]))
+    return df.sparkSession.createDataFrame(out, "variable string, n long" + "".join(f", q{i} double" for i in range(len(probs))))
+
+
+@dataclass
+class Cuts:
+    """Where the rank bins of a variable change: cut values and the bin of each cell between them; a parted value's cell has none."""
+
+    variable: str
+    total: float
+    points: list[float]
+    bins: list[int | None]
+    parted: list[Crossing]
+
+
+def rank_cuts(spreads: dict[str, Spread], bins: int) -> dict[str, Cuts]:
+    """Bins 0..bins-1 by running weight * bins div (total weight + 1), from the crossings of ``bin_edges``."""
+    out = {}
+    for v, s in spreads.items():
+        number = lambda x, s=s: math.floor(x * bins / (s.total + 1))
+        values = {c.value: c for c in s.at.values()}
+        points, cells, parted = [], [0], []
+        for x in sorted(values):
+            c = values[x]
+            first, last = number(c.before), number(c.before + c.weight)
+            whole = first == last or c.rows == 1
+            # Up to here nothing has changed since the last cut; the value itself has the bin its last row gets, if one row has it or all get the same.
+            points += [x, _after(x)]
+            cells += [last if whole else None, last]
+            if not whole:
+                parted.append(c)
+        out[v] = Cuts(v, s.total, points, cells, parted)
+    return out
 
-    The bin is null where an edge may part the rows of a value.
-    """
-    ranked = ranked_values(values, "w")
-    at = lambda x: F.floor(x * bins / (F.col("total") + 1)).cast("long")
-    first, last = at(F.col("before")), at(F.col("before") + F.col("w"))
-    return ranked.withColumn("bin", F.when((first == last) | (F.col("n") == 1), last))
+
+def bin_edges(df: DataFrame, columns: list[str], bins: int, weight: str | None = None) -> dict[str, Spread]:
+    """Crossings of the running weights at which rank bins change."""
+    return crossings(df, columns, [b / bins for b in range(1, bins)], lambda total, _: [b * (total + 1) / bins for b in range(1, bins)], weight)
 
 
 def tied_bins(long: DataFrame, cut: DataFrame, keys: list[str], bins: int) -> DataFrame:
@@ -103,15 +290,35 @@ def tied_bins(long: DataFrame, cut: DataFrame, keys: list[str], bins: int) -> Da
     return rows.withColumn("bin", made).drop("_before", "_total", "_ranges", "_draw", "_range", "_below", "_upto")
 
 
+def with_bins(data: DataFrame, cuts: list[Cuts], extra: list[Column] = ()) -> DataFrame:
+    """Rows (i, x, bin, w, ...) of the columns v0, v1, ... that the cuts belong to, in their order; the bin is null where an edge parts the rows of a value."""
+    most = max((len(c.bins) for c in cuts), default=1)
+    rows = _cells(data, {i: c.points for i, c in enumerate(cuts)}, {}, extra)
+    table = F.array(*[F.array(*[F.lit(b).cast("long") for b in [*c.bins, *[None] * (most - len(c.bins))]]) for c in cuts])
+    return rows.withColumn("bin", table[F.col("i")][F.col("cell")]).drop("cell", "value")
+
+
+def parted_values(spark, cuts: list[Cuts]) -> DataFrame:
+    """(variable, value, n, before, total) of the values that a bin's edge parts."""
+    rows = [(c.variable, x.value, x.rows, float(x.before), float(c.total)) for c in cuts for x in c.parted]
+    return spark.createDataFrame(rows, "variable string, value double, n long, before double, total double")
+
+
 def rank_bins(df: DataFrame, column: str, keys: list[str], bins: int, weight: str | None = None, name: str = "bin") -> DataFrame:
     """Adds rank bins of one column; null values get a null bin. Ties stand in the order of draws from ``keys``."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    long = df.where(F.col(column).isNotNull()).select(F.lit(column).alias("variable"), F.col(column).cast("double").alias("value"), w.alias("w"), *keys, F.struct(*df.columns).alias("_row"))
-    values = value_bins(long.groupBy("variable", "value").agg(F.count("*").alias("n"), F.sum("w").alias("w")), bins)
-    whole = long.join(values.where("bin is not null").select("variable", "value", "bin"), ["variable", "value"])
-    tied = tied_bins(long, values.where("bin is null"), keys, bins)
-    binned = whole.select("_row", "bin").unionByName(tied.select("_row", "bin")).select("_row.*", F.col("bin").alias(name))
-    return binned.unionByName(df.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("long")))
+    w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
+    cuts = rank_cuts(bin_edges(df.where(w.isNotNull()), [column], bins, weight), bins).get(column)
+    if cuts is None:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    x = F.col(f"`{column}`").cast("double")
+    cell = sum((F.when(x >= F.lit(p), 1).otherwise(0) for p in cuts.points), F.lit(0))
+    bin_of = F.when(x.isNotNull() & ~F.isnan(x), F.array(*[F.lit(b).cast("long") for b in cuts.bins])[cell])
+    if not cuts.parted:
+        return df.withColumn(name, bin_of)
+    apart = F.coalesce(x.isin(*[c.value for c in cuts.parted]), F.lit(False))
+    long = df.where(apart).select(F.lit(column).alias("variable"), x.alias("value"), w.alias("w"), *keys, F.struct(*df.columns).alias("_row"))
+    tied = tied_bins(long, parted_values(df.sparkSession, [cuts]), keys, bins)
+    return df.where(~apart).withColumn(name, bin_of).unionByName(tied.select("_row.*", F.col("bin").alias(name)))
 
 
 def edges_bin(x: Column, edges: list[float]) -> Column:
@@ -142,16 +349,22 @@ def weighted_quantiles(df: DataFrame, column: str, weight: str, probs: list[floa
     Below the first value's own weight that value holds.  Rows without value or
     weight are left out; without any row every answer is None.
     """
-    long = df.select(F.lit(column).alias("variable"), F.col(column).cast("double").alias("value"), F.col(weight).cast("double").alias("w")).where("value is not null and w is not null")
-    ranked = ranked_values(long.groupBy("variable", "value").agg(F.sum("w").alias("w")), "w").withColumn("upto", F.col("before") + F.col("w"))
-    aims = [F.lit(float(q)) * F.col("total") for q in probs]
-    found = [x for at in aims for x in (F.max_by("value", F.when(F.col("upto") <= at, F.col("upto"))), F.max(F.when(F.col("upto") <= at, F.col("upto"))), F.min(F.when(F.col("upto") >= at, F.col("upto"))), F.min(F.when(F.col("upto") >= at, F.col("value"))), F.max(at))]
-    row = ranked.agg(*found).first()
+    spread = crossings(df, [column], [], lambda total, _: [q * total for q in probs], weight).get(column)
+    if spread is None:
+        return [None] * len(probs)
+    x, w = F.col(f"`{column}`").cast("double"), F.col(f"`{weight}`").cast("double")
+    there = w.isNotNull() & ~F.isnan(x)
+    starts = sorted({c.value for c in spread.at.values()})
+    row = df.where(there).agg(F.min(x), *[F.max(F.when(x < v, x)) for v in starts]).first()
+    lower = dict(zip(starts, row[1:]))
     out = []
-    for i in range(len(probs)):
-        low, low_at, high_at, high, at = row[5 * i : 5 * i + 5]
-        if low is None or high is None or high_at == low_at:
-            out.append(low if high is None else high)
+    for q in probs:
+        at = q * spread.total
+        c = spread.at.get(at)
+        if c is None:
+            out.append(row[0])
+        elif lower[c.value] is None or at == c.before + c.weight:
+            out.append(c.value)
         else:
-            out.append(low + (high - low) * (at - low_at) / (high_at - low_at))
+            out.append(lower[c.value] + (c.value - lower[c.value]) * (at - c.before) / c.weight)
     return out

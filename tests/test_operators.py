@@ -109,14 +109,47 @@ def test_rank_bins_of_hot_values_and_an_outlier(spark, monkeypatch):
     for b, part in g:
         r = table[b]
         assert (r.cnt, r.sum_dv, r.min_var, r.max_var) == (len(part), part.y.sum(), part.x.min(), part.x.max()) and r.mean_dv == pytest.approx(part.y.mean()) and r.mean_var == pytest.approx(part.x.mean())
-    # Steps hold about equally many distinct values, an outlier or not.
-    values = df.select(F.lit("x").alias("variable"), F.col("x").alias("value")).groupBy("variable", "value").agg(F.count("*").alias("n"))
-    edges = values.agg(F.percentile_approx("value", [i / 1024 for i in range(1, 1024)], 20480).alias("e"))
-    sizes = values.crossJoin(edges).groupBy(quantiles._step(F.col("value"), F.col("e")).alias("s")).count().collect()
-    assert max(r["count"] for r in sizes) <= 2 and sorted(pdf.x.unique()) == sorted(r.value for r in values.collect())
-    e = edges.first().e
-    steps = {r.value: r.s for r in values.crossJoin(edges).select("value", quantiles._step(F.col("value"), F.col("e")).alias("s")).collect()}
-    assert all(s == sum(x < v for x in e) for v, s in steps.items())
+
+
+@pytest.mark.parametrize("settings", [{}, {"ACCURACY": 20, "FINAL_ROWS": 60, "SPLITS": 4}, {"ACCURACY": 50, "FINAL_ROWS": 3, "SPLITS": 3, "TOGETHER": 2}])
+def test_crossings_by_narrowing(spark, monkeypatch, settings):
+    """Exact whatever the sketch gives: ties, outliers, infinities, missing values, thresholds at both ends."""
+    for k, v in settings.items():
+        monkeypatch.setattr(quantiles, k, v)
+    r, n = random.Random(5), 1500
+    pdf = pd.DataFrame({
+        "u": [r.gauss(0, 1) for _ in range(n)], "t": [float(r.choice([0, 0, 0, 0, 1, 2, 2.5])) for _ in range(n)], "c": [7.0] * n,
+        "o": [r.choice([1e300, -1e300, float("inf"), float("-inf"), r.random()]) for _ in range(n)], "m": [None if r.random() < 0.9 else float(r.randrange(9)) for _ in range(n)],
+        "z": [None] * n, "w": [r.choice([0.25, 1.0, 4.0, 16.5]) for _ in range(n)],
+    })
+    df = rows_of(spark, pdf.astype({"z": "float64"})).repartition(5)
+    names, shares = ["u", "t", "c", "o", "m", "z"], [0.0, 0.004, 0.31, 0.5, 0.97, 1.0]
+    for weight in (None, "w"):
+        goals = lambda total, _: [max(q * total, 1e-3) for q in shares] + [total + 5]
+        found = quantiles.crossings(df, names, shares, goals, weight)
+        assert set(found) == set(names) - {"z"}
+        for c, s in found.items():
+            part = pdf[pdf[c].notna()].sort_values(c)
+            w = part.w if weight else pd.Series(1.0, part.index)
+            by = w.groupby(part[c]).agg(["sum", "size"]).sort_index()
+            upto = by["sum"].cumsum()
+            assert (s.rows, s.total) == (len(part), pytest.approx(w.sum()))
+            for t in goals(s.total, 0)[:-1]:
+                x = upto.index[min(int(np.searchsorted(upto.to_numpy(), t, "left")), len(upto) - 1)]
+                got = s.at[t]
+                assert (got.value, got.rows) == (x, by["size"][x]) and got.weight == pytest.approx(by["sum"][x]) and got.before == pytest.approx(upto[x] - by["sum"][x])
+            assert s.total + 5 not in s.at
+
+
+def test_quantiles_shuffle_few_values(spark, monkeypatch):
+    """Of 30,000 distinct values only those inside the brackets leave a scan."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 1000)
+    seen, cells = [], quantiles._cells
+    monkeypatch.setattr(quantiles, "_cells", lambda *a: (lambda made: (seen.append(made.groupBy("cell", "value").count().count()), made)[1])(cells(*a)))
+    df = spark.range(30_000).select((F.col("id") * F.lit(1.5)).alias("x"))
+    row = quantiles.quantiles(df, ["x"], [0.1, 0.5, 0.9]).first()
+    assert [row.q0, row.q1, row.q2] == [1.5 * round(q * 29_999) for q in (0.1, 0.5, 0.9)]
+    assert len(seen) == 1 and seen[0] < 1000
 
 
 def test_weighted_quantiles(spark):
