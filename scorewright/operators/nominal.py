@@ -1,13 +1,13 @@
 """Nominal variables: levels collapsed by count, then by t-test, then scored.
 
-The levels' statistics, one aggregate, come to the driver, however many: a recode
-lists its levels, and the collapse is sequential by nature.
+Here the levels' statistics are on the driver, for variables of a bounded number of
+levels, which a recode lists; levels does the same for any number of them.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from ..functions.special import t_upper
 
 @dataclass
 class Group:
-    levels: list = field(default_factory=list)
     count: float = 0
     mean: float = math.nan
     var: float = math.nan
@@ -52,26 +51,29 @@ def by_count(levels: list[tuple], nobs: int, least: float) -> list[list[tuple]]:
     return groups
 
 
-def by_t_test(groups: list[list[tuple]], alpha: float) -> list[list]:
-    """Levels of final groups: the next group is pooled unless its mean differs at ``alpha``, one-sided.
-
-    A group enters with the mean and variance of its first level.
-    """
-    out: list[Group] = []
-    for g in groups:
-        count, mean, var = sum(x[1] for x in g), _nan(g[0][2]), _nan(g[0][3])
-        if out:
-            last = out[-1]
+def groups_apart(groups: list[tuple[float, float | None, float | None]], alpha: float) -> list[int]:
+    """Of groups (count, mean, variance) in order those that start a final group: the next is pooled unless its mean differs at ``alpha``, one-sided."""
+    first: list[int] = []
+    last: Group | None = None
+    for i, (count, mean, var) in enumerate(groups):
+        mean, var = _nan(mean), _nan(var)
+        if last:
             df = last.count + count - 2
             spread = ((last.count - 1) * last.var + (count - 1) * var) / df if df > 0 else last.var
             scale = math.sqrt(spread * (1 / last.count + 1 / count)) if spread > 0 else spread
             t = math.nan if math.isnan(scale) or (scale == 0 and last.mean == mean) else math.inf if scale == 0 else (last.mean - mean) / scale
             if not t_upper(abs(t), df) <= alpha:
                 last.pool(count, mean, var)
-                last.levels += [x[0] for x in g]
                 continue
-        out.append(Group([x[0] for x in g], count, mean, var))
-    return [g.levels for g in out]
+        first.append(i)
+        last = Group(count, mean, var)
+    return first
+
+
+def by_t_test(groups: list[list[tuple]], alpha: float) -> list[list]:
+    """Levels of final groups; a group enters with the mean and variance of its first level."""
+    first = groups_apart([(sum(x[1] for x in g), g[0][2], g[0][3]) for g in groups], alpha)
+    return [[x[0] for g in groups[a:b] for x in g] for a, b in zip(first, [*first[1:], len(groups)])]
 
 
 @dataclass
@@ -103,10 +105,14 @@ def member(x: Column, levels: list) -> Column:
 
 def collapse(stats: DataFrame, nobs: int, mean: float | None, *, minbinnp: float = 0.05, minbinnc: int = 500, talpha: float = 0.05, bonfer: bool = False) -> Nominal | None:
     """Final groups from level statistics (level, dcount, dmean, dvar); None if there is no level."""
-    rows = stats.orderBy(F.col("dmean").asc_nulls_last(), F.col("level").asc_nulls_last()).collect()
-    if not rows:
+    return collapse_rows([(r.level, r.dcount, r.dmean, r.dvar) for r in stats.collect()], nobs, mean, minbinnp=minbinnp, minbinnc=minbinnc, talpha=talpha, bonfer=bonfer)
+
+
+def collapse_rows(levels: list[tuple], nobs: int, mean: float | None, *, minbinnp: float = 0.05, minbinnc: int = 500, talpha: float = 0.05, bonfer: bool = False) -> Nominal | None:
+    """The same from rows (level, count, mean, variance) in any order."""
+    if not levels:
         return None
-    levels = [(r.level, r.dcount, r.dmean, r.dvar) for r in rows]
+    levels = sorted(levels, key=lambda x: (x[2] is None, x[2] or 0.0, x[0] is None, x[0] if x[0] is not None else 0))
     first = by_count(levels, nobs, int(nobs * minbinnp) if minbinnp > 0 else minbinnc)
     comparisons = len(first) - 1
     groups = by_t_test(first, talpha / comparisons if bonfer and comparisons > 1 else talpha)

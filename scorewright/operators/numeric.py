@@ -14,6 +14,8 @@ from .quantiles import quantiles
 from .regression import Fit, linear, logistic
 
 TRANSFORMS = ("", "SQ_", "SR_", "LN_")
+#: Quantiles that bounds and imputation need.
+PROBS = (0.01, 0.25, 0.5, 0.75, 0.99)
 #: Imputation by method needs a best p of at most this, whatever the reporting level.
 IMPUTE_P = 0.05
 
@@ -52,7 +54,7 @@ def summarise(df: DataFrame, variables: list[str], dep_var: str) -> dict[str, Nu
     """Quantiles, bounds and missing facts of variables with any value; two aggregates for all of them."""
     if not variables:
         return {}
-    q = {r.variable: r for r in quantiles(df, variables, [0.01, 0.25, 0.5, 0.75, 0.99]).collect()}
+    q = {r.variable: r for r in quantiles(df, variables, list(PROBS)).collect()}
     out = {}
     for i in range(0, len(variables), 25):
         part = variables[i : i + 25]
@@ -82,9 +84,10 @@ def default_impute(s: Numeric, method: str) -> float | None:
     return 0.0 if m in ("SUM", "EUCLEN", "USTD", "MAXABS") else None
 
 
-def fit_transforms(df: DataFrame, found: dict[str, Numeric], dep_var: str, binary: bool, transforms: bool) -> dict[str, dict[str, Fit]]:
-    """Fits of the target on each variable within its bounds, and on its transforms: {variable: {prefix: fit}}."""
-    terms = {f"{p}|{v}": transform(p, clip(F.col(f"`{v}`").cast("double"), s.lb, s.ub)) for v, s in found.items() for p in (TRANSFORMS if transforms else ("",))}
+def fit_transforms(df: DataFrame, found: dict[str, Numeric], dep_var: str, binary: bool, transforms: bool | dict[str, bool]) -> dict[str, dict[str, Fit]]:
+    """Fits of the target on each variable within its bounds, and on its transforms: {variable: {prefix: fit}}. All fits share their passes."""
+    more = transforms if isinstance(transforms, dict) else dict.fromkeys(found, transforms)
+    terms = {f"{p}|{v}": transform(p, clip(F.col(f"`{v}`").cast("double"), s.lb, s.ub)) for v, s in found.items() for p in (TRANSFORMS if more[v] else ("",))}
     fits = (logistic if binary else linear)(df, terms, dep_var) if terms else {}
     out: dict[str, dict[str, Fit]] = {v: {} for v in found}
     for key, f in fits.items():
@@ -134,11 +137,16 @@ def recodes(s: Numeric, prefix: str, cap: bool, significant: bool, keep_transfor
     return out
 
 
+def fit_all(df: DataFrame, found: dict[str, Numeric], dep_var: str, *, binary: bool, min_size: int, rules: dict[str, tuple[str, bool]]) -> None:
+    """Best fits and imputed values of summarised variables, each by its rule (imputation method, whether transforms are tried)."""
+    for v, fits in fit_transforms(df, found, dep_var, binary, {v: r[1] for v, r in rules.items()}).items():
+        s = found[v]
+        s.prefix, s.fit = best_transform(fits)
+        s.impute = imputed(s, rules[v][0], min_size, binary)
+
+
 def process(df: DataFrame, variables: list[str], dep_var: str, *, binary: bool, method: str, transforms: bool, min_size: int) -> dict[str, Numeric]:
     """Summaries with best fits and imputed values."""
     found = summarise(df, variables, dep_var)
-    for v, fits in fit_transforms(df, found, dep_var, binary, transforms).items():
-        s = found[v]
-        s.prefix, s.fit = best_transform(fits)
-        s.impute = imputed(s, method, min_size, binary)
+    fit_all(df, found, dep_var, binary=binary, min_size=min_size, rules=dict.fromkeys(found, (method, transforms)))
     return found

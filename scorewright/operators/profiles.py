@@ -92,6 +92,15 @@ def report(rows: DataFrame, var: str, nobs: int, mean: float | None) -> DataFram
     return top.unionByName(body)
 
 
+def report_rows(spark, groups: list[tuple[str, str, int, float | None]], nobs: int, mean: float | None) -> DataFrame:
+    """Report rows of groups (variable, category, count, mean target) that are known already, each variable's overall row first."""
+    table = spark.createDataFrame(groups, "variable string, category string, xcount bigint, xmean double")
+    idx = index(F.col("xmean"), F.lit(mean).cast("double"))
+    body = table.select("variable", "category", F.col("xmean").alias("average_dv"), F.col("xcount").alias("count"), F.try_divide(F.col("xcount").cast("double"), F.lit(nobs)).alias("percent"), idx.alias("idx"), star(idx).alias("star"))
+    top = spark.createDataFrame([(v, "Overall", mean, nobs, 1.0, 100.0, "") for v in dict.fromkeys(g[0] for g in groups)], T.StructType.fromDDL(REPORT))
+    return top.unionByName(body)
+
+
 @dataclass
 class Profile:
     """What a variable's report rows are grouped by: text, and numbers if its rows are bins or levels of them."""

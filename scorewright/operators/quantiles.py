@@ -70,12 +70,12 @@ class _Open:
     wanted: list[float]
 
 
-def _numbers(df: DataFrame, columns: list[str], weight: str | None) -> DataFrame:
-    """w, and one double a column, nan as null."""
+def _numbers(df: DataFrame, columns: list[str], weight: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """w, one double a column, nan as null, and the kept columns, which must have other names."""
     w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1).cast("long")
-    made = df.select(w.alias("w"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    made = df.select(w.alias("w"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)], *keep)
     made = made.where("w is not null") if weight else made
-    return made.select("w", *[F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(columns))])
+    return made.select("w", *[F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(columns))], *keep)
 
 
 def _after(x: float) -> float:
@@ -99,10 +99,10 @@ def _cells(data: DataFrame, cuts: dict[int, list[float]], inside: dict[int, set[
     return rows.withColumn("value", F.when(kept[F.col("k")][F.col("cell")], F.col("x"))).drop("k")
 
 
-def _sketch(data: DataFrame, asked: list[tuple[int, float, float, list[float]]]) -> tuple[list[list[float]], list]:
-    """Approximate values of (variable, low, high, shares of the rows in [low, high)); and each variable's rows, weight and distinct values."""
-    out, facts = [], []
-    for at in range(0, len(asked), TOGETHER):
+def _sketch(data: DataFrame, asked: list[tuple[int, float, float, list[float]]], also: list[Column] = ()) -> tuple[list[list[float]], list, list]:
+    """Approximate values of (variable, low, high, shares of the rows in [low, high)); each variable's rows, weight and distinct values; and the aggregates ``also`` of the same scan."""
+    out, facts, more = [], [], []
+    for at in range(0, max(len(asked), 1), TOGETHER):
         exprs = []
         for i, low, high, shares in asked[at : at + TOGETHER]:
             x = F.col(f"v{i}")
@@ -110,25 +110,31 @@ def _sketch(data: DataFrame, asked: list[tuple[int, float, float, list[float]]])
             some = x if whole else F.when((x >= low) & ((x < high) if high < math.inf else F.lit(True)), x)
             there = F.when(x.isNotNull(), F.col("w"))
             exprs += [F.percentile_approx(some, shares, ACCURACY), *((F.count(x), F.sum(there), F.approx_count_distinct(x)) if whole else (F.lit(0), F.lit(0), F.lit(0)))]
-        row = data.agg(*[e.alias(f"e{k}") for k, e in enumerate(exprs)]).first()
-        out += [row[k] or [] for k in range(0, len(exprs), 4)]
-        facts += [row[k + 1 : k + 4] for k in range(0, len(exprs), 4)]
-    return out, facts
+        size = len(exprs)
+        row = data.agg(*[e.alias(f"e{k}") for k, e in enumerate([*exprs, *(also if at == 0 else ())])]).first()
+        out += [row[k] or [] for k in range(0, size, 4)]
+        facts += [row[k + 1 : k + 4] for k in range(0, size, 4)]
+        more += row[size:]
+    return out, facts, more
 
 
-def crossings(df: DataFrame, columns: list[str], shares: list[float], exact: Callable[[float, int], list[float]], weight: str | None = None) -> dict[str, Spread]:
+def crossings(df: DataFrame, columns: list[str], shares: list[float], exact: Callable[[float, int], list[float]], weight: str | None = None, also: list[Column] | None = None, keep: tuple[str, ...] = ()) -> dict[str, Spread]:
     """For each column with a value the crossings of the thresholds ``exact(total weight, rows)``: the value with before < threshold <= before + weight.
 
     ``shares`` says about where the thresholds lie, as shares of the rows; with
     weights they are found without that.  Null and nan values, and rows without
     weight, count for nothing.  Thresholds outside the total have no crossing.
+    ``also`` are aggregates over the columns ``keep`` that the first scan answers
+    too; their values take the place of the expressions in that list.
     """
-    data = _numbers(df, columns, weight)
+    data = _numbers(df, columns, weight, keep)
     found: dict[str, Spread] = {}
     error = MARGIN / ACCURACY
     even = [k / SPLITS for k in range(1, SPLITS)]
     first = even if weight else sorted({min(max(q + d, 0.0), 1.0) for q in shares for d in (-error, error)})
-    points, facts = _sketch(data, [(i, -math.inf, math.inf, first) for i in range(len(columns))])
+    points, facts, more = _sketch(data, [(i, -math.inf, math.inf, first) for i in range(len(columns))], also or [])
+    if also:
+        also[:] = more
     cuts: dict[int, list[float]] = {}
     inside: dict[int, set[int]] = {}
     open_: dict[int, list[_Open]] = {}
@@ -214,23 +220,32 @@ def _narrower(data: DataFrame, open_: dict[int, list[_Open]], even: list[float])
     return made, keep
 
 
+def ranks(n: int, probs: list[float], method: str) -> list[tuple[int, int, float]]:
+    """(lower rank, upper rank, part of the way between) of quantiles of n values, ranks from 0."""
+    at = [float(q) * (n - 1) for q in probs]
+    return [(round(x), round(x), 0.0) if method == "nearest" else (math.floor(x), math.ceil(x), x - math.floor(x)) for x in at]
+
+
+def thresholds(n: int, probs: list[float], method: str) -> list[float]:
+    """Running weights, a row weighing 1, at which those ranks are reached."""
+    return [r + 1.0 for low, high, _ in ranks(n, probs, method) for r in (low, high)]
+
+
+def picked(s: Spread, probs: list[float], method: str) -> list[float]:
+    """Quantiles from the crossings of their thresholds."""
+    found = [(s.at[low + 1.0].value, s.at[high + 1.0].value, part) for low, high, part in ranks(s.rows, probs, method)]
+    return [a if a == b else a + (b - a) * part for a, b, part in found]
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], method: str = "nearest") -> DataFrame:
     """(variable, n, q0, q1, ...) of each column's values; columns without any have no row.
 
     ``nearest``: the value at rank q (n - 1), rounded half to even.  ``linear``:
     between the two neighbours of that rank.
     """
-
-    def ranks(n: int) -> list[tuple[int, int, float]]:
-        at = [float(q) * (n - 1) for q in probs]
-        return [(round(x), round(x), 0.0) if method == "nearest" else (math.floor(x), math.ceil(x), x - math.floor(x)) for x in at]
-
-    spreads = crossings(df, columns, [float(q) for q in probs], lambda _, n: [r + 1.0 for low, high, _ in ranks(n) for r in (low, high)]) if columns else {}
-    out = []
-    for c, s in spreads.items():
-        picked = [(s.at[low + 1.0].value, s.at[high + 1.0].value, part) for low, high, part in ranks(s.rows)]
-        out.append((c, s.rows, *[a + (b - a) * part for a, b, part in picked]))
-    return df.sparkSession.createDataFrame(out, "variable string, n long" + "".join(f", q{i} double" for i in range(len(probs))))
+    spreads = crossings(df, columns, [float(q) for q in probs], lambda _, n: thresholds(n, probs, method)) if columns else {}
+    rows = [(c, s.rows, *picked(s, probs, method)) for c, s in spreads.items()]
+    return df.sparkSession.createDataFrame(rows, "variable string, n long" + "".join(f", q{i} double" for i in range(len(probs))))
 
 
 @dataclass

@@ -76,6 +76,7 @@ class RecodeConfig(_FromDict):
     missrate: float = 0.75
     concrate: float = 0.9
     valcnt: int = 50  # 0: any number of levels
+    many_levels: int = 10_000  # variables of more levels are collapsed in partitions and scored by a join
     minbinnc: int = 500
     minbinnp: float = 0.05
     talpha: float = 0.05

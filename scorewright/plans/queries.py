@@ -510,6 +510,28 @@ def nominal_recode(spark, d):
     return _r(fit_recode(m, roles, RecodeConfig(profiling=False)).apply(m, roles))
 
 
+def many_level_table(spark: SparkSession, d: str) -> DataFrame:
+    """The modelling rows with the part a line item is of as a nominal variable; every seventh row's part is one and the same."""
+    li = _t(spark, d, "lineitem")
+    part = F.when(F.col("l_partkey") % 7 == 0, "common").when(F.col("l_partkey") % 11 != 0, F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    high = F.col("l_extendedprice") + 1000 * F.col("l_quantity") + 37 * (F.col("l_partkey") % 500) > 86000
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", part.alias("pk"), high.cast("int").alias("y"))
+
+
+_MANY = _COLLAPSE[_COLLAPSE.index(", whole AS"):].replace("n1 AS level", "pk AS level")
+_MANY = """WITH RECURSIVE m AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 7 = 0 THEN 'common' WHEN l_partkey % 11 <> 0 THEN 'p' || l_partkey END AS pk,
+    CAST(l_extendedprice + 1000 * l_quantity + 37 * (l_partkey % 500) > 86000 AS INTEGER) AS y FROM lineitem
+)""" + _MANY
+
+
+@query(_MANY + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, round(fmean / a * 100, 6) AS \"R1_pk\" FROM m JOIN final ON pk IS NOT DISTINCT FROM level, whole")
+def nominal_many_levels(spark, d):
+    m = many_level_table(spark, d)
+    roles = Roles(id="l_orderkey", dep_var="y", nom_vars=("pk",), keep_list=("l_linenumber", "l_partkey", "l_suppkey"))
+    return _r(fit_recode(m, roles, RecodeConfig(profiling=False, valcnt=0, many_levels=500)).apply(m, roles))
+
+
 @query(_COLLAPSE + ", prof AS (SELECT string_agg(coalesce(level, 'Missing'), ',' ORDER BY rn) AS category, CAST(sum(dcount) AS BIGINT) AS xcount, sum(dcount * dmean) / sum(dcount) AS xmean FROM final GROUP BY fg)" + _REPORT.format(var="n1"))
 def nominal_profile(spark, d):
     return _r(fit_recode(model_table(spark, d), Roles(id="rid", dep_var="y", nom_vars=("n1",))).profile)
