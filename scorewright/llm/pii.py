@@ -105,8 +105,23 @@ def _card(raw: str, go) -> str | None:
     return _fill(raw, body + luhn_digit(body))
 
 
+_PLAN = re.compile(r"[2-9]\d\d [2-9]\d\d \d{4}")
+
+
 def _phone(raw: str, go) -> str | None:
     """National digits are permuted; a country code after + stays."""
+    if _PLAN.fullmatch(raw):
+        # Area and exchange begin with 2 to 9, so that the pseudonym is such a number again.
+        d = [int(c) for c in _digits(raw)]
+        sizes = [8 if i in (0, 3) else 10 for i in range(10)]
+        n = 0
+        for i, (x, size) in enumerate(zip(d, sizes)):
+            n = n * size + x - (2 if size == 8 else 0)
+        n, out = go(n, 64 * 10**8, "phone plan"), []
+        for size in reversed(sizes):
+            n, x = divmod(n, size)
+            out.append(str(x + (2 if size == 8 else 0)))
+        return _fill(raw, "".join(reversed(out)))
     code = re.match(r"\+\d{1,3}(?=[ .(-])", raw)
     head = code[0] if code else ""
     made = _numbered("phone", 6, 14)(raw[len(head) :], go)
@@ -127,8 +142,9 @@ def _iban_mod(s: str) -> int:
 
 
 def _iban(raw: str, go) -> str | None:
-    s = raw.replace(" ", "")
-    if not 15 <= len(s) <= 34 or _iban_mod(s) != 1:
+    """Letters of either case; check digits are made anew, the country stays."""
+    s = raw.replace(" ", "").upper()
+    if _iban_mod(s) != 1:
         return None
     body, sizes = s[4:], []
     n = 0
@@ -147,23 +163,31 @@ def _iban(raw: str, go) -> str | None:
     body = "".join(reversed(out))
     s = s[:2] + f"{98 - _iban_mod(s[:2] + '00' + body):02d}" + body
     it = iter(s)
-    return "".join(c if c == " " else next(it) for c in raw)
+    return "".join(c if c == " " else next(it).lower() if c.islower() else next(it) for c in raw)
 
 
 def _ipv4(raw: str, go) -> str | None:
     parts = [int(x) for x in raw.split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in raw.split(".")):
         return None
-    n = go(sum(p << (8 * (3 - i)) for i, p in enumerate(parts)), 1 << 32, "ipv4")
-    return ".".join(str(n >> (8 * k) & 255) for k in (3, 2, 1, 0))
+    # Each part keeps its number of digits.
+    lows, sizes = [(0, 10, 100)[len(str(x)) - 1] for x in parts], [(10, 90, 156)[len(str(x)) - 1] for x in parts]
+    n, size = 0, 1
+    for x, low, base in zip(parts, lows, sizes):
+        n, size = n * base + x - low, size * base
+    n, out = go(n, size, "ipv4" + "".join(str(len(str(x))) for x in parts)), []
+    for low, base in zip(reversed(lows), reversed(sizes)):
+        n, x = divmod(n, base)
+        out.append(str(x + low))
+    return ".".join(reversed(out))
 
 
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
-def _moved(y: int, m: int, d: int, go, late: bool = False) -> datetime.date | None:
-    """The date permuted within 1900-2099; ``late``: within the dates after the 12th of a month."""
+def _moved(y: int, m: int, d: int, go, fits: Callable[[datetime.date], bool] | None = None, kind: str = "date") -> datetime.date | None:
+    """The date permuted within 1900-2099, or within those dates that fit the value's own form."""
     try:
         n = datetime.date(y, m, d).toordinal() - _FIRST
     except ValueError:
@@ -171,9 +195,9 @@ def _moved(y: int, m: int, d: int, go, late: bool = False) -> datetime.date | No
     if not 0 <= n < _DAYS:
         return None
     while True:
-        n = go(n, _DAYS, "late date" if late else "date")
+        n = go(n, _DAYS, kind)
         moved = datetime.date.fromordinal(_FIRST + n)
-        if moved.day > 12 or not late:
+        if fits is None or fits(moved):
             return moved
 
 
@@ -184,27 +208,43 @@ def _ymd(raw: str, go) -> str | None:
 
 
 def _dmy(raw: str, go) -> str | None:
-    """Day first; month first only where the other reading is no date, and then the result is such a one too."""
+    """Day first; month first only where the other reading is no date, and then the result is such a one too.
+
+    One digit stays one digit, two stay two.
+    """
+    a, b, _ = re.split(r"[-/.]", raw)
     x, y, year = (int(v) for v in re.split(r"[-/.]", raw))
     mark = re.search(r"[-/.]", raw)[0]
+    short = lambda text, v: len(text) == 2 or v < 10
     if y <= 12:
-        moved = _moved(year, y, x, go)
-        return moved and f"{moved.day:02d}{mark}{moved.month:02d}{mark}{moved.year:04d}"
-    moved = _moved(year, x, y, go, late=True)
-    return moved and f"{moved.month:02d}{mark}{moved.day:02d}{mark}{moved.year:04d}"
+        moved = _moved(year, y, x, go, lambda t: short(a, t.day) and short(b, t.month))
+        return moved and f"{moved.day:0{len(a)}d}{mark}{moved.month:0{len(b)}d}{mark}{moved.year:04d}"
+    moved = _moved(year, x, y, go, lambda t: t.day > 12 and short(a, t.month), "late date")
+    return moved and f"{moved.month:0{len(a)}d}{mark}{moved.day:02d}{mark}{moved.year:04d}"
+
+
+def _suffix(day: int) -> str:
+    return "th" if 11 <= day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
 
 
 def _named(raw: str, go) -> str | None:
-    """1 March 1984 or March 1, 1984; names stay long or short."""
-    words = re.findall(r"[A-Za-z]+|\d+", raw)
-    month = next(w for w in words if w.isalpha())
-    day, year = (int(w) for w in words if w.isdigit())
-    moved = _moved(year, [m[:3] for m in _MONTHS].index(month[:3]) + 1, day, go)
+    """1 March 1984, March 1st, 1984 and the like: the month's name keeps its length and case, the day its digits."""
+    word = re.search(_MONTH, raw)[0]
+    day, year = re.findall(r"\d+", raw)
+    ordinal = re.search(rf"{day}(st|nd|rd|th)", raw, re.IGNORECASE)
+    name = lambda m: _MONTHS[m - 1][:3] if len(word) == 3 else _MONTHS[m - 1]
+    month = [m[:3] for m in _MONTHS].index(word[:3].capitalize()) + 1
+    if ordinal and ordinal[1].lower() != _suffix(int(day)):
+        return None
+    moved = _moved(int(year), month, int(day), go, lambda t: len(name(t.month)) == len(word) and (len(day) == 2 or t.day < 10))
     if not moved:
         return None
-    name = _MONTHS[moved.month - 1]
-    name = name[:3] if len(month) == 3 and month != "May" else name
-    return f"{moved.day} {name} {moved.year}" if raw[0].isdigit() else f"{name} {moved.day}, {moved.year}"
+    as_word = lambda x: "".join(c.upper() if w.isupper() else c.lower() for c, w in zip(x, word))
+    said = {word: as_word(name(moved.month)), day: f"{moved.day:0{len(day)}d}", year: f"{moved.year:04d}"}
+    if ordinal:
+        suffix = _suffix(moved.day)
+        said = {ordinal[0]: said[day] + (suffix.upper() if ordinal[1].isupper() else suffix)} | {k: v for k, v in said.items() if k != day}
+    return re.sub("|".join(map(re.escape, sorted(said, key=len, reverse=True))), lambda m: said[m[0]], raw)
 
 
 @functools.lru_cache(4096)
@@ -237,29 +277,72 @@ def _email(raw: str, go) -> str | None:
     return "".join(reversed(out)) + dot + last
 
 
-_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-#: In this order; what one kind has taken the later ones leave alone.
+#: Lengths of IBANs: fixed values of the public registry.
+IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+_MONTH = r"(?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_DAY = r"\d{1,2}(?i:st|nd|rd|th)?"
+#: In this order; what one kind has taken the later ones leave alone. No pattern asks for more at its edges than that no
+#: digit goes on: any letter, mark or sign may stand beside a value.
 KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
-    ("email", re.compile(r"(?<![\w.%+-])\w[\w.%+-]*@(?:\w[\w-]*\.)+[A-Za-z]{2,63}\b"), _email),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
-    ("date", re.compile(r"(?<![\w.-])(?:19|20)\d\d([-/.])\d{2}\1\d{2}(?![\w-])"), _ymd),
-    ("date", re.compile(r"(?<![\w./-])\d{1,2}([-/.])\d{1,2}\1(?:19|20)\d\d(?![\w/-])"), _dmy),
-    ("date", re.compile(rf"\b\d{{1,2}} {_MONTH} (?:19|20)\d\d\b|\b{_MONTH} \d{{1,2}}, (?:19|20)\d\d\b"), _named),
-    ("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"), _ipv4),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    ("card", re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])"), _card),
-    ("phone", re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){5,13}(?!\w)|(?<![\w(])\(\d{2,4}\)[ .-]?\d{2,4}[ .-]\d{2,5}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])"), _phone),
+    ("email", re.compile(r"@(?:[^\W_][\w-]*\.)+(?:xn--[A-Za-z0-9-]{2,59}|[^\W\d_]{2,63})"), _email),
+    ("iban", re.compile(r"[A-Za-z]{2}\d{2}(?= ?[A-Za-z0-9])"), _iban),
+    ("date", re.compile(r"(?<!\d)(?:19|20)\d\d([-/.])\d{2}\1\d{2}(?!\d)"), _ymd),
+    ("date", re.compile(r"(?<!\d)\d{1,2}([-/.])\d{1,2}\1(?:19|20)\d\d(?!\d)"), _dmy),
+    ("date", re.compile(rf"(?<!\d){_DAY}(?i: of)? {_MONTH},? (?:19|20)\d\d(?!\d)|{_MONTH} {_DAY},? (?:19|20)\d\d(?!\d)"), _named),
+    ("ipv4", re.compile(r"(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _ipv4),
+    ("ssn", re.compile(r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!-?\d)"), _ssn),
+    ("card", re.compile(r"(?<!\d)(?:(?<!\+)|(?=(?:\d[ -]?){16}))\d(?:[ -]?\d){12,18}(?!\d)"), _card),
+    ("phone", re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){5,13}(?!\d)|\(\d{2,4}\)[ .-]?\d{2,4}[ .-]\d{2,5}(?!\d)|(?<!\d)\d{3}([.-])\d{3}\1\d{4}(?!\d)|(?<!\d)[2-9]\d\d [2-9]\d\d \d{4}(?!\d)"), _phone),
 )
 _ANY = re.compile(r"\d|@")
 #: Kinds whose patterns may take in text beside a value, beyond one of these marks.
-_GREEDY, _MARK = ("iban", "card", "phone"), re.compile("[ .-]")
+_GREEDY, _MARK = ("card", "phone"), re.compile("[ .-]")
+#: What the part of an address before the @ may hold besides letters and digits; it begins with one of those.
+_LOCAL_MARKS = frozenset("._%+'-")
+
+
+def _address(text: str, at: int, low: int) -> int:
+    """Where the part before the @ at ``at`` begins, not before ``low``; ``at`` if there is none."""
+    i = at
+    while i > low and (text[i - 1].isalnum() or text[i - 1] in _LOCAL_MARKS):
+        i -= 1
+    while i < at and not text[i].isalnum():
+        i += 1
+    return i
+
+
+def _account(text: str, start: int) -> int:
+    """Where the IBAN that begins at ``start`` ends by its country's length, groups of four apart by a space or not; 0 if it doesn't."""
+    left, i, n = IBAN_LENGTHS.get(text[start : start + 2].upper(), 0), start, 0
+    while left and i < len(text):
+        c = text[i]
+        if c == " " and n and n % 4 == 0 and text[i - 1] != " ":
+            i += 1
+        elif c.isascii() and c.isalnum():
+            i, n, left = i + 1, n + 1, left - 1
+        else:
+            return 0
+    return i if n and not left else 0
 
 
 def _candidates(text: str, kind: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
     """Spans to be tried in turn, the longest first at each place; the receiver sends whether it took the last one."""
-    at = 0
+    at, low = 0, 0
     while m := pattern.search(text, at):
         start, end = m.span()
+        if kind == "email":
+            first, at = _address(text, start, low), start + 1
+            if first < start and (yield first, end):
+                at = low = end
+            continue
+        if kind == "iban":
+            at, stop = start + 1, _account(text, start)
+            if stop and (yield start, stop):
+                at = stop
+            continue
         cuts = [c.start() for c in _MARK.finditer(text, start, end)] if kind in _GREEDY else []
         at = next((c + 1 for c in cuts if c > start), end)  # what follows, if nothing is valid here
         for stop in [end, *reversed(cuts)]:
@@ -329,7 +412,14 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id",
     Recognised: e-mail addresses (all but the top-level domain changes), IBAN (mod 97), dates 1900 to 2099, IPv4
     addresses, US social security numbers, card numbers (Luhn) and phone numbers.
     Anything that fails its validation is left as it is, as are texts without
-    such values.  A null text stays null, an empty one empty; ids may be null or
+    such values.  Any character may stand beside a value but a digit.  On purpose
+    letters, digits and ``.%+'-_`` before an address, after a letter or digit,
+    are part of it, as are letters after it; up to 15 digits after a ``+`` are a
+    phone number, not a card; groups of digits joined by ``.`` or ``-`` to what
+    reads as an IPv4 address or social security number make it none.  Lengths
+    stay: one-digit days and months stay one digit, names of months keep theirs.
+    Other columns, clashing names too, stay behind; texts of any length are
+    taken whole.  A null text stays null, an empty one empty; ids may be null or
     repeat; an empty table gives an empty result.  No row meets another.
     """
     return spread(only(docs, doc_id=id_col, text=text_col)).mapInArrow(_map(key), "doc_id long, text string, n_values long, spans array<struct<start: long, end: long, kind: string, pseudonym: string>>")

@@ -175,3 +175,39 @@ def test_value_beside_other_text(kind, value):
 def test_values_in_a_row():
     row = "BE68 5390 0754 7034 AT61 1904 3002 3457 3201 4111 1111 1111 1111 4263 4296 4343 9180"
     assert [row[s:e] for s, e, _, _ in pii.pseudonymise(row, KEY)[1]] == ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "4111 1111 1111 1111", "4263 4296 4343 9180"]
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ("2024-01-15T10:00:00Z", "2024-01-15"), ("1999-02-01_", "1999-02-01"), ("-john.smith@example.com", "john.smith@example.com"), ("+john@example.com", "john@example.com"), ("john@example.com_", "john@example.com"),
+    ("john.smith@example.com2", "john.smith@example.com"), ("john@\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444", None), ("o'brien@example.com", None), ("212 555 0199", None), ("1 march 1984", None), ("March 1st, 1984", None),
+    ("the 22ND OF AUGUST 1999.", "22ND OF AUGUST 1999"), ("de89370400440532013000", None), ("DE89 3704 0044 0532 0130 00", None), ("1/2/1999", None), ("12/31/1999", None), ("3-11-2005", None), ("7.4.2031.", "7.4.2031"), ("8.8.4.4", None), ("may 5, 2001", None),
+])
+def test_edges_and_widths(text, value):
+    value = value or text
+    made, found = pii.pseudonymise(text, KEY)
+    at = text.index(value)
+    assert [(s, e) for s, e, _, _ in found] == [(at, at + len(value))]
+    new = found[0][3]
+    assert len(new) == len(value) and [c.isdigit() for c in new] == [c.isdigit() for c in value] and [c.isupper() for c in new] == [c.isupper() for c in value]
+    assert pii.pseudonymise(made, KEY, back=True)[0] == text
+
+
+@pytest.mark.parametrize("sign", [*"-+_'T:/.,;#*|~=\"x", "\u0436", "\u6f22", "\u00e9"])
+def test_any_neighbour(sign):
+    for kind, value, _ in [*PLANTED, ("date", "1/2/1999", None), ("date", "3 May 2001", None), ("date", "12/31/1999", None), ("phone", "212 555 0199", None), ("phone", "(212) 555-0199", None), ("iban", "BE68 5390 0754 7034", None)]:
+        for before, after in ((sign, ""), ("", sign), (sign, sign)):
+            if kind == "email" and (before.isalpha() or after.isalpha()):
+                continue  # letters beside an address are part of it
+            if before == "+" and kind in ("card", "phone"):
+                continue  # up to 15 digits after a plus are a phone number
+            text = f"see {before}{value}{after} there"
+            made, found = pii.pseudonymise(text, KEY)
+            assert [(s, e, k) for s, e, k, _ in found] == [(4 + len(before), 4 + len(before) + len(value), kind)], text
+            assert found[0][3] != value and pii.pseudonymise(made, KEY, back=True)[0] == text
+
+
+def test_dates_of_one_width_are_permuted():
+    """All dates that a form can write go to different dates of that form."""
+    for make, texts in ((pii._dmy, [f"{d}/{m}/{y}" for y in range(1990, 1993) for m in range(1, 10) for d in range(1, 10)]), (pii._named, [f"{d} June {y}" for y in range(1950, 1960) for d in range(1, 10)])):
+        made = [make(t, lambda n, size, kind: pii.permute(n, size, KEY, kind)) for t in texts]
+        assert len(set(made)) == len(texts) and {len(x) for x in made} == {len(texts[0])}
