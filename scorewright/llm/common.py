@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
 import shutil
@@ -90,17 +91,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-_scopes: list[list[Scratch]] = []
+#: Scopes open in this thread (or task of an event loop), outermost first; other threads have their own.
+_scopes: contextvars.ContextVar[tuple[list[Scratch], ...]] = contextvars.ContextVar("scratch scopes", default=())
 
 
 @contextlib.contextmanager
 def scratch_scope() -> Iterator[None]:
     """At its end, everything that operators called inside have left in scratch goes: write their results before."""
-    _scopes.append([])
+    mine: list[Scratch] = []
+    token = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        for scratch in _scopes.pop():
+        _scopes.reset(token)
+        for scratch in mine:
             scratch.drop_all()
 
 
@@ -118,8 +122,8 @@ class Scratch:
         system, p = self._located(self.root)
         system.mkdirs(p)
         system.deleteOnExit(p)
-        if _scopes:
-            _scopes[-1].append(self)
+        if scopes := _scopes.get():
+            scopes[-1].append(self)
 
     def _located(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -19,7 +19,8 @@ from .shingles import forest
 
 #: Vectors a block: a 64th of all, but not fewer or more than these, so that there are tiles enough and no vector is copied more often than it must.
 LEAST_BLOCK, MOST_BLOCK = 4096, 65536
-STRIP = 512
+#: A tile is compared by strips of its rows and chunks of its columns: what is held at once does not grow with the block.
+STRIP, CHUNK = 512, 4096
 #: Products of so many int8 pairs stay below 2**24, so float32 sums of them are exact.
 EXACT_DIMS = 1024
 #: Computed again at once, in matrix form, from this share of uncertain pairs on.
@@ -39,7 +40,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Exact integer products of int8 rows, as floats."""
     if q.shape[1] <= EXACT_DIMS:
-        return q.astype(np.float32) @ p.astype(np.float32).T
+        return q.astype(np.float32, copy=False) @ p.astype(np.float32, copy=False).T
     return sum(products(q[:, k : k + EXACT_DIMS], p[:, k : k + EXACT_DIMS]).astype(np.float64) for k in range(0, q.shape[1], EXACT_DIMS))
 
 
@@ -50,6 +51,7 @@ def decided(left, right, threshold: float):
     s_u s_v q_u.q_v by at most e_u + (1 + e_u) e_v.
     """
     (q, s, e), (p, t, d) = left, right
+    p = p.astype(np.float32)
     for at in range(0, len(q), STRIP):
         i = slice(at, at + STRIP)
         near = products(q[i], p) * s[i][:, None] * t
@@ -92,41 +94,88 @@ def _doubles(table: pa.Table) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
 
 
+class _Union:
+    """Components of a tile's rows and columns, as links come in strip by strip."""
+
+    def __init__(self, size: int):
+        self.root = np.arange(size)
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unite the ends of links; which of them had not been in one component."""
+        while True:
+            flat = self.root[self.root]
+            if np.array_equal(flat, self.root):
+                break
+            self.root = flat
+        apart = np.flatnonzero(self.root[a] != self.root[b])
+        fresh = np.zeros(len(a), bool)
+        for k in apart.tolist():
+            x, y = self._find(int(a[k])), self._find(int(b[k]))
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                fresh[k] = True
+        return fresh
+
+
+class _Side:
+    """One block's vectors, of which a slice is decoded when it is its turn."""
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.weights = table.column("rep").to_numpy(), table.column("copies").to_numpy().astype(np.float64)
+        self.table, self.whole = table, "embedding" in table.column_names
+        if not self.whole:
+            self.codes = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(len(table), -1), table.column("scale").to_numpy(), table.column("bound").to_numpy()
+            self.table = None
+
+    def part(self, at: int, size: int) -> tuple[np.ndarray | None, tuple]:
+        """(unit vectors or None, int8 values with scales and bounds) of rows from ``at`` on."""
+        if not self.whole:
+            return None, tuple(x[at : at + size] for x in self.codes)
+        u, *code = quantise(_doubles(self.table.slice(at, size)))
+        return u, tuple(code)
+
+
 def _tile(threshold: float):
     """One tile: int8 products first; with vectors at hand (column embedding), only the pairs that int8 leaves open, exactly."""
 
     def compare(table: pa.Table) -> pa.Table:
         dims, low, high = (table.column(c)[0].as_py() for c in ("dims", "low", "high"))
         block = table.column("block").to_numpy()
-        sides = [table.filter(pa.array(block == low))]
-        sides.append(sides[0] if low == high else table.filter(pa.array(block == high)))
-        if not len(sides[0]) or not len(sides[1]):
+        left = _Side(table.filter(pa.array(block == low)))
+        right = left if low == high else _Side(table.filter(pa.array(block == high)))
+        rows, cols, second = len(left.ids), len(right.ids), left.whole
+        if not rows or not cols:
             return _FOUND.empty_table()
-        second = "embedding" in table.column_names
-        codes, units = [], []
-        for t in sides[: 1 if low == high else 2]:
-            if second:
-                u, q, s, e = quantise(_doubles(t))
-                units.append(u)
-                codes.append((q, s, e))
-            else:
-                q = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(len(t), -1)
-                codes.append((q, t.column("scale").to_numpy(), t.column("bound").to_numpy()))
-        ids, weights = [t.column("rep").to_numpy() for t in sides], [t.column("copies").to_numpy().astype(np.float64) for t in sides]
-        rows, cols = len(ids[0]), len(ids[1])
-        linked = np.zeros((rows, cols), bool)
         count, unsure = [np.zeros(rows), np.zeros(cols)], [np.zeros(rows, bool), np.zeros(cols, bool)]
-        for at, sure, maybe in decided(codes[0], codes[-1], threshold):
-            if low == high:
-                k = np.arange(len(sure))
-                sure[k, at + k] = maybe[k, at + k] = False
-            here = exact(units[0][at : at + len(sure)], units[-1], maybe, threshold) if second else sure
-            linked[at : at + len(sure)] = here
-            count[0][at : at + len(sure)] = here @ weights[1]
-            count[1] += weights[0][at : at + len(sure)] @ here
-            if not second:
-                unsure[0][at : at + len(sure)] = maybe.any(1)
-                unsure[1] |= maybe.any(0)
+        union, links = _Union(rows if low == high else rows + cols), []
+        shift = 0 if low == high else rows
+        for c in range(0, cols, CHUNK):
+            v, right_code = right.part(c, CHUNK)
+            for r in range(0, rows, STRIP):
+                u, left_code = left.part(r, STRIP)
+                for _, sure, maybe in decided(left_code, right_code, threshold):
+                    if low == high:
+                        k = np.arange(len(sure)) + r - c
+                        own = np.flatnonzero((k >= 0) & (k < sure.shape[1]))
+                        sure[own, k[own]] = maybe[own, k[own]] = False
+                    here = exact(u, v, maybe, threshold) if second else sure
+                    i, j = slice(r, r + len(here)), slice(c, c + here.shape[1])
+                    if here.any():
+                        count[0][i] += here @ right.weights[j]
+                        count[1][j] += left.weights[i] @ here
+                        a, b = forest(here)
+                        fresh = union.add(a + r, b + c + shift)
+                        links.append((left.ids[a[fresh] + r], right.ids[b[fresh] + c]))
+                    if not second:
+                        unsure[0][i] |= maybe.any(1)
+                        unsure[1][j] |= maybe.any(0)
         out = {k: [] for k in _FOUND.names}
 
         def add(kind, a, b=None, n=None):
@@ -134,12 +183,12 @@ def _tile(threshold: float):
             for k, v in zip(_FOUND.names, (none + kind, none + dims, none + low, none + high, a, none if b is None else b, none if n is None else n.astype(np.int64))):
                 out[k].append(v)
 
-        for side in range(1 if low == high else 2):
-            hit = np.flatnonzero(count[side])
-            add(0, ids[side][hit], n=count[side][hit])
-            add(2, ids[side][unsure[side]])
-        r, c = forest(linked)
-        add(1, ids[0][r], ids[1][c])
+        for k, side in enumerate((left,) if low == high else (left, right)):
+            hit = np.flatnonzero(count[k])
+            add(0, side.ids[hit], n=count[k][hit])
+            add(2, side.ids[unsure[k]])
+        for a, b in links:
+            add(1, a, b)
         return pa.table({k: np.concatenate(v).astype(np.int32 if k in ("kind", "dims") else np.int64) for k, v in out.items()}, schema=_FOUND)
 
     return compare
@@ -154,7 +203,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     empty, zero or holds null or non-finite components links with nothing, as do
     vectors of different lengths.  A row without id links with nothing and is
     kept.  Rows that share an id are one node of the component.  An empty table
-    gives an empty result.
+    gives an empty result; other columns, clashing names too, stay behind.
 
     Identical vectors become one class, counted by its copies, before anything is
     compared, so a group of copies costs one vector.  All classes are dealt into

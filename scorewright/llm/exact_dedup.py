@@ -22,7 +22,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical; a null text counts as empty.  Of equal texts
     the row with the largest id stays.  Rows that repeat both id and text are
     counted each, and exactly one of them is kept.  A null id is smaller than any
-    other.  An empty table gives an empty result.  ``digest_all`` also fills
+    other.  An empty table gives an empty result; other columns, clashing names
+    too, stay behind; texts of any length are taken whole.  ``digest_all`` also fills
     ``text_sha256`` of documents that are unique by length and prefix, which the
     grouping itself never needs (otherwise null there).
 

@@ -135,28 +135,30 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(t[hit])], schema=_COUNTS)
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int | None = MAX_LANGUAGES) -> Model:
     """Learn from rows (doc_id, text, lang) with a language and a text.
 
     Of each language about ``train_docs`` documents are used, chosen by a hash of
     the id, all of them where there are fewer; whole texts always.  Of more than
-    MAX_LANGUAGES names the most frequent are learned.  What reaches the driver
-    is one count per language and bucket.
+    ``max_languages`` names the most frequent are learned, with None all of them.
+    What reaches the driver is one row a language, and the model holds one number
+    a language and bucket.
     """
     labelled = labelled.where("lang is not null and text is not null")
     ranked = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang")
-    counts = {r.lang: r.n for r in ranked.limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in (ranked if max_languages is None else ranked.limit(max_languages)).collect()}
     if not counts:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS)))
     spark = labelled.sparkSession
     shares = spark.createDataFrame([(k, min(1.0, train_docs / n)) for k, n in counts.items()], "lang string, share double")
     chosen = labelled.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(_SALT)), 11) < F.col("share") * F.lit(2.0**53))
-    sums = chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # One packed row a language: its buckets and their counts, in one order.
+    packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("v")).select("lang", F.col("v.bucket").alias("bucket"), F.col("v.n").alias("n")).toArrow()
     names = sorted(counts)
     matrix = np.zeros((len(names), BUCKETS))
-    index = {name: i for i, name in enumerate(names)}
-    rows = np.fromiter((index[x] for x in sums.column("lang").to_pylist()), np.int64, len(sums))
-    matrix[rows, sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    for k, lang in enumerate(packed.column("lang").to_pylist()):
+        matrix[names.index(lang), packed.column("bucket")[k].values.to_numpy()] = packed.column("n")[k].values.to_numpy()
     prob = matrix + SMOOTHING
     weight = np.array([min(train_docs, counts[n]) for n in names], float)
     return Model(names, np.log(weight / weight.sum()), np.log(prob / prob.sum(1, keepdims=True)))
@@ -181,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1) & doc_id.isNotNull()
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, max_languages: int | None = MAX_LANGUAGES) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     The model learns from labelled rows whose crc32(id) mod 3 is not 1; the rest
@@ -189,10 +191,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     are null or have no letter get ``und`` and score 0, as does everything when
     no row is labelled.  A row without id is not held out and takes no part in
     learning.  score is the probability of the predicted language among those
-    learned.  An empty table gives an empty result.
+    learned.  An empty table gives an empty result; other columns, clashing names
+    too, stay behind.  ``max_languages`` is as in ``fit``.
     """
     d = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    model = fit(d.where("doc_id is not null").where(~held_out(F.col("doc_id"))), train_docs)
+    model = fit(d.where("doc_id is not null").where(~held_out(F.col("doc_id"))), train_docs, max_languages)
     predict = predictor(docs.sparkSession, model)
     out = spread(d).select("doc_id", predict("text").alias("p"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
@@ -207,7 +210,8 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     So texts that are null, empty or without letters go, and everything does
     when no row is labelled.  Whole texts are judged, whatever their length;
-    repeated rows fare alike.  An empty table gives an empty result.
+    repeated rows fare alike; all columns, whatever their names, go on.  An empty
+    table gives an empty result.
     """
     d = only(docs, doc_id="doc_id", text="text", lang="lang")
     predict = predictor(spark, fit(d.where("doc_id is not null").where(~held_out(F.col("doc_id")))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import only, only_cache, read, spread
+from .common import Scratch, arrow_rows, only, only_cache, read, spread
 
 WINDOW = 2048
 END_ID = 1
@@ -163,6 +163,10 @@ def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens, one row per piece, ids as their checksum.
 
     A null or empty text is its end id alone; long texts are cut, repeated rows
-    packed each, null ids kept.  An empty table gives no row.
+    packed each, null ids kept.  An empty table gives no row; other columns,
+    clashing names too, stay behind.  The rows, without ids, are written, so that
+    few texts at a time go to Python.
     """
-    return pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
+    pieces = pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
+    with arrow_rows(spark, 1000):
+        return Scratch(spark, "pack").keep(pieces, "pieces")

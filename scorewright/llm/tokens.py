@@ -26,7 +26,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _UNUSUAL_POINTS = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
 #: A cache is emptied beyond so many chunks; longer chunks (in bytes) are not kept.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 1_000_000, 64
+MAX_CHUNKS, MAX_CHUNK_BYTES = 600_000, 64
 #: Bytes looked up at once; longer texts are cut.
 BATCH_BYTES = 1 << 18
 

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +38,7 @@ def test_against_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(op, "LEAST_BLOCK", tile)
     monkeypatch.setattr(op, "MOST_BLOCK", tile)
     monkeypatch.setattr(op, "STRIP", 32)
+    monkeypatch.setattr(op, "CHUNK", 24)
     rows = vectors(tile)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit("clash")).withColumn("label", F.lit(1))
     got = op.embedding_dedup(df).collect()
@@ -66,3 +71,32 @@ def test_empty_and_repeated(spark):
     assert op.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     got = op.embedding_dedup(spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted([(5, 2, 2, False), (5, 2, 2, False), (2, 2, 2, True), (None, 0, None, True)], key=repr)
+
+
+_MEASURE = """
+import resource
+import numpy as np, pyarrow as pa
+from scorewright.llm import embed_dedup as op
+
+rows, cols, dims = {rows}, {cols}, 64
+n = rows + cols
+rng = np.random.default_rng(1)
+base = rng.normal(size=(n // 16, dims))
+made = (base[rng.integers(len(base), size=n)] + rng.normal(size=(n, dims)) * 0.1).astype(np.float32)
+_, q, s, e = op.quantise(made.astype(np.float64))
+raw = [x.tobytes() for x in q]
+table = pa.table({{"dims": pa.array(np.full(n, dims, np.int32)), "low": np.zeros(n, np.int64), "high": np.ones(n, np.int64), "rep": np.arange(n), "copies": np.ones(n, np.int64), "block": np.repeat([0, 1], [rows, cols]), "q": pa.array(raw, pa.binary()), "scale": s, "bound": e}})
+del made, base, q, s, e, raw
+out = op._tile(0.9)(table)
+assert out.num_rows > n / 2
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_memory_of_a_tile_does_not_grow_with_its_pairs():
+    """Tiles with columns of the largest block: the peak of a whole one (measured apart: below 600 MB) is that of a part of its rows."""
+    peaks = []
+    for rows in (4096, 12288):
+        done = subprocess.run([sys.executable, "-c", _MEASURE.format(rows=rows, cols=op.MOST_BLOCK)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+        peaks.append(int(done.stdout))
+    assert peaks[1] < 600 and peaks[1] - peaks[0] < 60, peaks

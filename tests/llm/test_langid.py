@@ -71,3 +71,16 @@ def test_training_sample_is_bounded(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "concat('word', id) as text", "if(id % 10 = 0, 'a', 'b') as lang")
     model = op.fit(df, train_docs=400)
     assert model.languages == ["a", "b"] and abs(model.log_prior[0] - model.log_prior[1]) < 1e-9
+
+
+def test_any_number_of_languages(spark):
+    """More names than the parameter: the most frequent ones; None: all of them."""
+    docs = [(i, f"{'abcdefghijklmnopqrst'[k] * 3}{'uvwxyzabcdefghijklmn'[k] * 2} " * 5, f"l{k:02d}") for k in range(20) for i in range(100 * k, 100 * k + 4 + k)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert op.fit(df, max_languages=3).languages == ["l17", "l18", "l19"]
+    whole = op.fit(df, max_languages=None)
+    assert whole.languages == [f"l{k:02d}" for k in range(20)]
+    lang, _ = whole.predict([t for _, t, _ in docs])
+    assert lang == [x for _, _, x in docs]
+    got = {r.doc_id: r.lang_pred for r in op.identify(df, max_languages=None).collect()}
+    assert got == {i: x for i, _, x in docs}
