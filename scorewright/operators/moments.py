@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 16_384
@@ -37,12 +39,24 @@ def summed(df: DataFrame, columns: list[str], size: int, add: Callable[[np.ndarr
     return out
 
 
+@contextlib.contextmanager
+def batches_for(spark: SparkSession, columns: int) -> Iterator[None]:
+    """While a pass over a wide table runs: no more rows in a batch to Python than make some 4 million numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before) if int(before) > 0 else BATCH_ROWS, max(64, (1 << 22) // max(columns, 1)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def means(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Means of present values, 0 where there are none; they only centre later sums."""
-    if not columns:
-        return np.zeros(0)
-    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in columns]).first()
-    return np.array([0.0 if v is None or v != v else v for v in row])
+    found: list[float | None] = []
+    for at in range(0, len(columns), 500):
+        found += df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns[at : at + 500])]).first()
+    return np.array([0.0 if v is None or v != v else v for v in found])
 
 
 @dataclass
@@ -84,6 +98,110 @@ def pairwise(df: DataFrame, columns: list[str]) -> Pairs:
     return Pairs(list(columns), *s)
 
 
+#: Variables of a block; a tile holds the moments of the pairs of two blocks.
+BLOCK = 128
+#: Numbers that a task holds at once; more tiles take more passes.
+HELD = 1 << 24
+_TILE = "tile int, slice int, v binary"
+_TILE_ROWS = pa.schema([("tile", pa.int32()), ("slice", pa.int32()), ("v", pa.binary())])
+
+
+def strong_pairs(df: DataFrame, columns: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, r) of the pairs i < j of columns whose absolute correlation, each over the rows where both are present, exceeds ``least``.
+
+    The triangle of pairs is cut into tiles of two blocks of columns.  A task adds
+    up its rows' moments tile by tile and returns each row of a tile as one packed
+    vector; those of one row meet in a shuffle, where the correlations are made,
+    and only strong ones go on.  Neither a task nor the driver holds all pairs.
+    """
+    p, width = len(columns), BLOCK
+    blocks = math.ceil(p / width)
+    tiles = [(a, b) for a in range(blocks) for b in range(a, blocks)]
+    centre, spark, out = means(df, columns), df.sparkSession, []
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def add(part: list[int]):
+        def run(batches):
+            totals = {t: 0.0 for t in part}
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+                there = ~np.isnan(x)
+                z, m = np.where(there, x - centre, 0.0), there.astype(np.float64)
+                for t in part:
+                    a, b = (slice(k * width, (k + 1) * width) for k in tiles[t])
+                    za, ma, zb, mb = z[:, a].T, m[:, a].T, z[:, b], m[:, b]
+                    totals[t] = totals[t] + np.stack([ma @ mb, za @ mb, (za * za) @ mb, ma @ zb, ma @ (zb * zb), za @ zb], 1)
+            for t in part:
+                if not np.isscalar(totals[t]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(totals[t]), t, np.int32)), pa.array(np.arange(len(totals[t]), dtype=np.int32)), pa.array([row.tobytes() for row in totals[t]], pa.binary())], schema=_TILE_ROWS)
+
+        return run
+
+    def decide(table: pa.Table) -> pa.Table:
+        t, i = table.column("tile")[0].as_py(), table.column("slice")[0].as_py()
+        n, sx, sxx, sy, syy, sxy = sum(np.frombuffer(v.as_py(), np.float64) for v in table.column("v")).reshape(6, -1)
+        i, j = tiles[t][0] * width + i, tiles[t][1] * width + np.arange(len(n))
+        r = _correlation(n, sx, sxx, sy, syy, sxy)
+        hit = np.flatnonzero((j > i) & (np.abs(np.nan_to_num(r)) > least))
+        return pa.table({"i": pa.array(np.full(len(hit), i, np.int32)), "j": pa.array(j[hit].astype(np.int32)), "r": pa.array(r[hit])})
+
+    step = max(1, HELD // (6 * width * width))
+    with batches_for(spark, p):
+        for at in range(0, len(tiles), step):
+            sums = data.mapInArrow(add(list(range(at, min(at + step, len(tiles))))), _TILE)
+            out += [tuple(r) for r in sums.groupBy("tile", "slice").applyInArrow(decide, "i int, j int, r double").collect()]
+    return sorted(out)
+
+
+def _correlation(n, sx, sxx, sy, syy, sxy) -> np.ndarray:
+    """Pearson correlations from sums around fixed centres; nan for constants or fewer than two rows."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vx, vy = (np.where(q / n - (s / n) ** 2 > 1e-13 * np.maximum(q / n, 1e-300), q / n - (s / n) ** 2, np.nan) for s, q in ((sx, sxx), (sy, syy)))
+        r = (sxy / n - (sx / n) * (sy / n)) / np.sqrt(vx * vy)
+    return np.clip(np.where(n < 2, np.nan, r), -1, 1)
+
+
+def correlation_products(df: DataFrame, columns: list[str], weight: str | None = None) -> tuple[float, Callable[[np.ndarray], np.ndarray]]:
+    """(weight of the rows where every column is present, a function that multiplies their correlation matrix by a block).
+
+    The matrix itself is never made: a pass sums z' w (z Q) of standardised rows z,
+    as many numbers a task as the block has.  Constants have a correlation of 0.
+    """
+    p = len(columns)
+    used = [*columns, *([weight] if weight else [])]
+    full = df.na.drop(subset=used).select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(used)])
+    centre, weigh = means(full, [f"c{i}" for i in range(p)]), weight is not None
+
+    def rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[:, :p] - centre, x[:, p] if weigh else np.ones(len(x))
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        z, w = rows(x)
+        return np.concatenate([[w.sum()], w @ z, w @ (z * z)])
+
+    names = [f"c{i}" for i in range(len(used))]
+    with batches_for(df.sparkSession, p):
+        s = summed(full, names, 1 + 2 * p, moments)
+    total = float(s[0])
+    mean = s[1 : 1 + p] / total if total else np.zeros(p)
+    var = s[1 + p :] / total - mean**2 if total else np.zeros(p)
+    varies = var > 1e-24 * np.maximum(centre**2, 1e-300)
+    scale = np.where(varies, np.sqrt(np.where(varies, var, 1.0)), np.inf)
+
+    def multiply(block: np.ndarray) -> np.ndarray:
+        k = block.shape[1]
+
+        def add(x: np.ndarray) -> np.ndarray:
+            z, w = rows(x)
+            z = (z - mean) / scale
+            return (z.T @ (w[:, None] * (z @ block))).ravel()
+
+        with batches_for(df.sparkSession, p):
+            return summed(full, names, p * k, add).reshape(p, k) / total
+
+    return total, multiply
+
+
 @dataclass
 class Gram:
     """Weighted moments over complete rows: rows, weight, means, centred products."""
@@ -95,11 +213,12 @@ class Gram:
     products: np.ndarray
 
     def correlation(self) -> np.ndarray:
-        """Correlation matrix; rows and columns of constants are 0 off the diagonal, as a tiny spread makes them."""
+        """Correlation matrix; rows and columns of constants are 0."""
         cov = self.products / self.weight if self.weight else self.products
-        std = np.sqrt(np.maximum(np.diag(cov), 0))
-        std[std <= 1e-12 * np.maximum(np.abs(self.mean), 1e-300)] = np.finfo(float).eps
-        return cov / np.outer(std, std)
+        var = np.diag(cov)
+        varies = var > 1e-24 * np.maximum(self.mean**2, 1e-300)
+        inverse = np.where(varies, 1 / np.sqrt(np.where(varies, var, 1.0)), 0.0)
+        return cov * inverse[:, None] * inverse
 
     def part(self, names: list[str]) -> Gram:
         i = [self.names.index(n) for n in names]

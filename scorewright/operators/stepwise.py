@@ -85,6 +85,65 @@ class _Logit:
         s = summed(self.df, self.columns, 1 + q + q * q, add)
         return s[0], s[1 : 1 + q], s[1 + q :].reshape(q, q)
 
+    def trials(self, beta: np.ndarray, inside: list[int], candidates: list[int]) -> dict[int, tuple[np.ndarray, float]]:
+        """{candidate: (beta, log likelihood)} of the models with one more variable each, all fitted in the same passes.
+
+        A candidate's information matrix is an arrow: the block of the model so
+        far at its own means, one more row, and a diagonal term.  A pass returns
+        for each candidate its likelihood, gradient and that matrix, whatever the
+        number of candidates.  Fits that don't converge are left out.
+        """
+        p, centre, scale, weighted = len(self.names), self.centre, self.scale, self.weight is not None
+        base, q = [0, *[i + 1 for i in inside]], len(inside) + 1
+        pairs = [(a, b) for a in range(q) for b in range(a, q)]
+        going = {c: np.append(beta, 0.0) for c in candidates}
+        done: dict[int, tuple[np.ndarray, float]] = {}
+        for _ in range(NEWTON_STEPS):
+            if not going:
+                break
+            order = list(going)
+            b = np.array([going[c] for c in order]).T
+
+            def add(x: np.ndarray) -> np.ndarray:
+                total = 0.0
+                for at in range(0, len(x), 4096):
+                    part = x[at : at + 4096]
+                    z = np.column_stack([np.ones(len(part)), (part[:, :p] - centre) / scale])
+                    own, more = z[:, base], z[:, [c + 1 for c in order]]
+                    y, w = part[:, p : p + 1], part[:, p + 1 : p + 2] if weighted else 1.0
+                    eta = own @ b[:q] + more * b[q]
+                    small = np.exp(-np.abs(eta))
+                    mu = np.where(eta >= 0, 1 / (1 + small), small / (1 + small))
+                    r, v = w * (y - mu), w * mu * (1 - mu)
+                    like = (w * (y * eta - np.maximum(eta, 0) - np.log1p(small))).sum(0)
+                    both = np.column_stack([own[:, i] * own[:, j] for i, j in pairs])
+                    total = total + np.concatenate([like, (own.T @ r).ravel(), (more * r).sum(0), (own.T @ (v * more)).ravel(), (v * more * more).sum(0), (both.T @ v).ravel()])
+                return total if len(x) else np.zeros(size)
+
+            m = len(order)
+            size = m * (1 + q + 1 + q + 1 + len(pairs))
+            s = np.split(summed(self.df, self.columns, size, add), np.cumsum([m, q * m, m, q * m, m]))
+            for k, c in enumerate(order):
+                u = np.append(s[1].reshape(q, m)[:, k], s[2][k])
+                h = np.zeros((q + 1, q + 1))
+                for (i, j), value in zip(pairs, s[5].reshape(len(pairs), m)[:, k]):
+                    h[i, j] = h[j, i] = value
+                h[q, :q] = h[:q, q] = s[3].reshape(q, m)[:, k]
+                h[q, q] = s[4][k]
+                try:
+                    step = np.linalg.solve(h, u)
+                except np.linalg.LinAlgError:
+                    step = np.full(q + 1, np.nan)
+                now = going[c]
+                if not np.isfinite(step).all() or np.abs(now).max() > 1e3:
+                    del going[c]
+                elif np.abs(step).max() < 1e-9 * (1 + np.abs(now).max()):
+                    done[c] = now, float(s[0][k])
+                    del going[c]
+                else:
+                    going[c] = now + step * min(1.0, 5 / max(np.abs(step).max(), 1e-300))
+        return done
+
     def fit(self, beta: np.ndarray, inside: list[int]) -> tuple[np.ndarray, float, np.ndarray, np.ndarray] | None:
         """(beta, log likelihood, gradient, information) at the maximum; None if there is none."""
         at = [0, *[i + 1 for i in inside]]
@@ -106,7 +165,8 @@ def stepwise_logistic(df: DataFrame, variables: list[str], dep_var: str, alpha:
     """(variable, step, p): forward selection by the score test of each candidate, or by likelihood ratio.
 
     The sums of the last Newton step of the current model hold the score
-    statistics of all candidates at once, so a step costs the passes of one fit.
+    statistics of all candidates at once, so a step costs the passes of one fit;
+    with likelihood ratios all candidates' models are fitted in the same passes.
     """
     if not variables:
         return []
@@ -118,24 +178,24 @@ def stepwise_logistic(df: DataFrame, variables: list[str], dep_var: str, alpha:
         while at and len(inside) < len(variables):
             beta, like, u, h = at
             base = [0, *[i + 1 for i in inside]]
-            best, best_p, best_fit = None, 1.0, None
-            for i, name in enumerate(variables):
-                if i in inside or name in model.constant:
-                    continue
-                if likelihood_ratio:
-                    trial = model.fit(np.append(beta, 0.0), [*inside, i])
-                    p = chi2_upper(2 * (trial[1] - like)) if trial else math.nan
-                else:
+            left = [i for i, name in enumerate(variables) if i not in inside and name not in model.constant]
+            found: dict[int, float] = {}
+            if likelihood_ratio:
+                trials = model.trials(beta, inside, left)
+                found = {i: chi2_upper(2 * (trials[i][1] - like)) for i in left if i in trials}
+            else:
+                trials = {}
+                for i in left:
                     k = i + 1
                     spread = h[k, k] - h[k, base] @ np.linalg.solve(h[np.ix_(base, base)], h[base, k])
-                    p, trial = (chi2_upper(u[k] ** 2 / spread) if spread > 1e-10 * h[k, k] else math.nan), None
-                if p < best_p:
-                    best, best_p, best_fit = i, p, trial
-            if best is None or best_p > alpha:
+                    if spread > 1e-10 * h[k, k]:
+                        found[i] = chi2_upper(u[k] ** 2 / spread)
+            best = min(found, key=lambda i: (found[i], i), default=None)
+            if best is None or not found[best] < 1.0 or found[best] > alpha:
                 break
             inside.append(best)
-            out.append((variables[best], len(out) + 1, best_p))
-            at = best_fit or model.fit(np.append(beta, 0.0), inside)
+            out.append((variables[best], len(out) + 1, found[best]))
+            at = model.fit(trials[best][0] if best in trials else np.append(beta, 0.0), inside)
         return out
     finally:
         model.close()

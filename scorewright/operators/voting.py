@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +32,33 @@ def candidates(master: DataFrame, least: int, always: tuple[str, ...] = ()) -> F
     return ok
 
 
-def prune(names: list[str], corr: np.ndarray, with_target: dict[str, float | None], most: float) -> list[str]:
-    """Variables to drop: while any has more than one partner above ``most``, the one of them that goes best with the target stays and its partners go.
+def prune(names: list[str], pairs: Iterable[tuple[int, int]], with_target: dict[str, float | None]) -> list[str]:
+    """Variables to drop: while any has more than one partner, the one of them that goes best with the target stays and its partners go.
 
-    A variable with a single partner above the limit is left alone.  Ties keep
-    the earlier name.
+    ``pairs`` are the pairs of places in ``names`` that correlate above the limit.
+    A variable with a single partner is left alone.  Ties keep the earlier name.
+    Partners only ever become fewer, so one walk in the order of strength meets
+    every variable when it is its turn; work grows with the pairs.
     """
-    high = np.nan_to_num(np.abs(corr)) > most
-    np.fill_diagonal(high, False)
-    there, dropped = list(range(len(names))), []
-    strength = [with_target.get(n) for n in names]
-    while True:
-        many = [i for i in there if high[i, there].sum() > 1]
-        if not many:
-            return dropped
-        keep = max(many, key=lambda i: (-1.0 if strength[i] is None else strength[i], -i))
-        gone = [j for j in there if high[keep, j]]
+    partners: dict[int, set[int]] = {}
+    for i, j in pairs:
+        partners.setdefault(i, set()).add(j)
+        partners.setdefault(j, set()).add(i)
+    strength = {i: -1.0 if with_target.get(names[i]) is None else with_target[names[i]] for i in partners}
+    queue = [(-s, i) for i, s in strength.items()]
+    heapq.heapify(queue)
+    dropped = []
+    while queue:
+        _, keep = heapq.heappop(queue)
+        if len(partners.get(keep, ())) < 2:
+            continue
+        gone = sorted(partners[keep])
         dropped += [names[j] for j in gone]
-        there = [i for i in there if i not in gone]
+        for j in gone:
+            for other in partners.pop(j):
+                if other in partners:
+                    partners[other].discard(j)
+    return dropped
 
 
 def select(master: DataFrame, least: int, always: tuple[str, ...] = ()) -> DataFrame:

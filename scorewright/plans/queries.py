@@ -618,7 +618,7 @@ def stepwise_linear(spark, d):
 ) SELECT variable, CASE WHEN list_contains((SELECT arg_max(there, turn) FROM walk), place) THEN '' ELSE 'Y' END AS drop_corr FROM (VALUES """ + ", ".join(f"('{v}', {i})" for i, v in enumerate(NUMBERS, 1)) + ") v(variable, place)")
 def corr_prune(spark, d):
     m = model_table(spark, d)
-    dropped = voting.prune(NUMBERS, moments.pairwise(m, NUMBERS).correlation(), moments.correlation_with(m, NUMBERS, "y"), 0.7)
+    dropped = voting.prune(NUMBERS, [(i, j) for i, j, _ in moments.strong_pairs(m, NUMBERS, 0.7)], moments.correlation_with(m, NUMBERS, "y"))
     return spark.createDataFrame([(v, "Y" if v in dropped else "") for v in NUMBERS], "variable string, drop_corr string")
 
 

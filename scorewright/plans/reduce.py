@@ -39,10 +39,21 @@ def _number(x) -> float | None:
     return None if x is None or math.isnan(x) else float(x)
 
 
+#: Groups of more variables than this have their components found by products with the data, without a matrix of all pairs.
+MATRIX_VARIABLES = 600
+
+
 def principal(df: DataFrame, names: list[str], k: int, least: float, weight: str | None = None) -> dict[str, float | None]:
     """Largest correlation with a leading component: by groups of about 5 k, survivors once more together."""
 
     def one(group: list[str]) -> dict[str, float | None]:
+        if len(group) > MATRIX_VARIABLES:
+            total, multiply = moments.correlation_products(df, group, weight)
+            if not total:
+                return dict.fromkeys(group)
+            values, vectors, error = components.leading_pairs(multiply, len(group), min(k, len(group)))
+            LOG.debug("components of %d variables: residual %g", len(group), error)
+            return dict(zip(group, np.abs(vectors * np.sqrt(np.maximum(values, 0))).max(1).tolist()))
         g = moments.gram(df, group, weight)
         return dict(zip(group, components.best_component_correlation(g.correlation(), k).tolist())) if g.rows else dict.fromkeys(group)
 
@@ -131,7 +142,7 @@ def _reduce(spark, work, names, dep, keys, weight, cfg: ReduceConfig, output):
         dropped: list[str] = []
         if len(pool) > 1:
             target = moments.correlation_with(work, pool, dep)
-            dropped = voting.prune(pool, np.array(moments.pairwise(work, pool).correlation()), target, cfg.maxcorr)
+            dropped = voting.prune(pool, [(i, j) for i, j, _ in moments.strong_pairs(work, pool, cfg.maxcorr)], target)
         master = master.withColumn("drop_corr", F.when(F.col("variable").isin(*dropped), "Y").otherwise("") if dropped else F.lit(""))
     if cfg.ind_dv_corr_flg:
         with_dep = moments.correlation_with(work, names, dep)
