@@ -637,28 +637,76 @@ def first_component(spark, d):
     return _r(spark.createDataFrame(list(principal(model_table(spark, d), _POWER, 1, 0.5).items()), "variable string, factor double"))
 
 
-# Iterative, or with figures that SQL has no function for: checked against plain code in the tests.
+def _leading(source: str, k: int, tag: str) -> str:
+    """CTEs that end in ``<tag>factor`` (grp, i, factor): each variable's largest correlation with the first k components.
 
-
-@query()
+    ``source`` has (grp, ids, c): a group's variables and its correlation matrix as
+    lists.  A matrix squared again and again is the product of its first vector
+    with itself; what that explains is taken off, and the rest gives the next one.
+    """
+    out, names = [f"{tag}d1 AS MATERIALIZED (SELECT grp, ids, c FROM {source})"], []
+    for j in range(1, k + 1):
+        d, q, e = f"{tag}d{j}", f"{tag}q{j}", f"{tag}e{j}"
+        square = "list_transform(p, lambda r: list_transform(p, lambda s: list_dot_product(r, s)))"
+        out.append(f"""{q} AS (
+  SELECT grp, 0 AS turn, c AS p FROM {d}
+  UNION ALL
+  SELECT grp, turn + 1, list_transform(w, lambda r: list_transform(r, lambda x: x / list_sum(list_transform(w, lambda z: list_max(list_transform(z, lambda y: abs(y)))))))
+  FROM (SELECT grp, turn, {square} AS w FROM {q} WHERE turn < 14)
+)""")
+        out.append(f"""{e} AS MATERIALIZED (
+  SELECT grp, ids, c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS value FROM (
+    SELECT grp, ids, c, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM (
+      SELECT {d}.grp, ids, c, list_transform(p, lambda r: list_sum(list_transform(r, lambda x, i: x / (i + 0.37)))) AS w FROM {d} JOIN {q} ON {d}.grp = {q}.grp AND turn = 14))
+)""")
+        out.append(f"{tag}d{j + 1} AS MATERIALIZED (SELECT grp, ids, list_transform(c, lambda r, i: list_transform(r, lambda x, k: x - value * v[i] * v[k])) AS c FROM {e})")
+        names.append(f"SELECT grp, unnest(ids) AS i, unnest(list_transform(v, lambda x: abs(x) * sqrt(greatest(value, 0)))) AS part FROM {e}")
+    return ", ".join([*out, f"{tag}factor AS MATERIALIZED (SELECT grp, i, max(part) AS factor FROM ({' UNION ALL '.join(names)}) GROUP BY 1, 2)"])
+
+
+@query(_M.replace("WITH b", "WITH RECURSIVE b", 1) + ", s AS (SELECT * FROM m WHERE " + " AND ".join(f"{v} IS NOT NULL" for v in NUMBERS) + "), r AS MATERIALIZED (SELECT 1 AS grp, [" + ", ".join(f"'{v}'" for v in NUMBERS) + "] AS ids, [" + ", ".join("[" + ", ".join("1.0::DOUBLE" if a == b else f"corr({a}, {b})" for b in NUMBERS) + "]" for a in NUMBERS) + "] AS c FROM s), " + _leading("r", 2, "t") + " SELECT i AS variable, round(factor, 6) AS factor FROM tfactor")
 def pca_screen(spark, d):
-    return spark.createDataFrame(list(principal(model_table(spark, d), NUMBERS, 2, 0.5).items()), "variable string, factor double")
+    return _r(spark.createDataFrame(list(principal(model_table(spark, d), NUMBERS, 2, 0.5).items()), "variable string, factor double"))
 
 
-@query()
+_MATRIX = "SELECT grp, list(i ORDER BY i) AS ids, list(c ORDER BY i) AS c FROM (SELECT grp, i, list(r ORDER BY k) AS c FROM {pairs} GROUP BY 1, 2) GROUP BY 1"
+
+
+@query("""WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings
+), pairs AS MATERIALIZED (SELECT a.i AS i, b.i AS k, CASE WHEN a.i = b.i THEN 1 ELSE corr(a.x, b.x) END AS r FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2
+), near AS (SELECT i // 16 AS grp, i, k, r FROM pairs WHERE i // 16 = k // 16
+), first AS MATERIALIZED (""" + _MATRIX.format(pairs="near") + "), " + _leading("first", 4, "t") + """
+, alive AS (SELECT 1 AS grp, p.i, p.k, r FROM pairs p JOIN tfactor f ON f.i = p.i AND f.factor >= 0.2 JOIN tfactor g ON g.i = p.k AND g.factor >= 0.2
+), second AS MATERIALIZED (""" + _MATRIX.format(pairs="alive") + "), " + _leading("second", 4, "u") + " SELECT 'e' || i AS variable, round(factor, 6) AS factor FROM ufactor")
 def embedding_components(spark, d):
     e = _t(spark, d, "embeddings").select(*[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(64)])
-    return spark.createDataFrame(list(principal(e, e.columns, 4, 0.2).items()), "variable string, factor double")
+    return _r(spark.createDataFrame(list(principal(e, e.columns, 4, 0.2).items()), "variable string, factor double"))
 
 
-@query()
-def var_clusters(spark, d):
-    return spark.createDataFrame([(v, c, float(r)) for v, c, r in clusters(model_table(spark, d), NUMBERS, 4, 0.5)], "variable string, cluster int, ratio double")
+_STEPS = ["x2", "x4", "x5", "o1"]
+_CENTRED = _M + ", src AS (SELECT rid, k, x - avg(x) OVER (PARTITION BY k) AS x, y FROM (SELECT rid, y, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _STEPS) + " FROM m) UNPIVOT (x FOR k IN (" + ", ".join(_STEPS) + "))), "
 
 
-@query()
+@query(_CENTRED + _newton("src") + f""", one AS (
+  SELECT k, sum(x * (y - a)) ^ 2 / (any_value(a) * (1 - any_value(a)) * sum(x * x)) AS chi FROM src, (SELECT avg(y) AS a FROM m) GROUP BY k
+), entered AS (SELECT arg_max(k, chi) AS k, max(chi) AS chi FROM one
+), model AS (SELECT s.rid, s.x AS b, s.y, 1 / (1 + exp(-(f.intercept + f.slope * s.x))) AS mu FROM src s JOIN fit f ON f.k = s.k WHERE s.k = (SELECT k FROM entered)
+), two AS (
+  SELECT s.k, sum(s.x * (s.y - mu)) AS u, sum(v) AS s0, sum(v * b) AS s1, sum(v * b * b) AS s2, sum(v * x) AS c0, sum(v * x * b) AS c1, sum(v * x * x) AS h
+  FROM (SELECT *, mu * (1 - mu) AS v FROM model) JOIN src s USING (rid) WHERE s.k <> (SELECT k FROM entered) GROUP BY 1
+), tested AS (SELECT k, u * u / (h - (c0 * c0 * s2 - 2 * c0 * c1 * s1 + c1 * c1 * s0) / (s0 * s2 - s1 * s1)) AS chi FROM two
+), steps AS (SELECT k AS variable, 1 AS step, chi FROM entered UNION ALL SELECT arg_max(k, chi), 2, max(chi) FROM tested)
+SELECT variable, step, round({_two_sided('sqrt(chi)')}, 6) AS p FROM steps WHERE chi >= 3.841458820694124""")
 def stepwise_logistic(spark, d):
-    return spark.createDataFrame([(v, s, float(p)) for v, s, p in stepwise.stepwise_logistic(model_table(spark, d), ["x2", "x4", "x5", "o1"], "y", 0.05)], "variable string, step int, p double")
+    return _r(spark.createDataFrame([(v, s, float(p)) for v, s, p in stepwise.stepwise_logistic(model_table(spark, d), _STEPS, "y", 0.05)], "variable string, step int, p double"))
+
+
+# Iterative: checked against plain code in the tests.
+
+
+@query()
+def var_clusters(spark, d):
+    return spark.createDataFrame([(v, c, float(r)) for v, c, r in clusters(model_table(spark, d), NUMBERS, 4, 0.5)], "variable string, cluster int, ratio double")
 
 
 @query()
