@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import bin_edges, parted_values, rank_cuts, tied_bins, with_bins
+from .quantiles import Cuts, bin_edges, parted_values, rank_cuts, tied_bins
 from .rows import distinct_counts
 
 
@@ -13,6 +15,48 @@ from .rows import distinct_counts
 _FEW = 4
 
 
+_SUMS = pa.schema([("variable", pa.string()), ("bin", pa.float64()), ("n", pa.int64()), *((c, pa.float64()) for c in ("w", "sy", "my", "syw", "sx", "lx", "hx"))])
+
+
+def _binned(names: list[str], cuts: list[Cuts | None]):
+    """Sums of a task's rows (y, w, one column a variable) by variable and bin; a variable without cuts has its values for bins. Rows of parted values are left out."""
+    points = [None if c is None else np.array(c.points) for c in cuts]
+    bins = [None if c is None else np.array([np.nan if b is None else b for b in c.bins]) for c in cuts]
+
+    def sums(y, w, x, made) -> np.ndarray:
+        """Rows (bin, n, w, sy, my, syw, sx, lx, hx)."""
+        values, at = np.unique(made, return_inverse=True)
+        most, low, high = np.full(len(values), -np.inf), np.full(len(values), np.inf), np.full(len(values), -np.inf)
+        np.maximum.at(most, at, y)
+        np.minimum.at(low, at, x)
+        np.maximum.at(high, at, x)
+        count = lambda v=None: np.bincount(at, v, len(values))
+        return np.column_stack([values, count(), count(w), count(y), most, count(y * w), count(x), low, high])
+
+    def run(batches):
+        held: list[np.ndarray | None] = [None] * len(names)
+        for batch in batches:
+            y, w = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1))
+            for k in range(len(names)):
+                x = batch.column(2 + k).to_numpy(zero_copy_only=False)
+                made = x if points[k] is None else bins[k][np.searchsorted(points[k], x, "right")]
+                there = ~np.isnan(x) & ~np.isnan(made)
+                new = sums(y[there], w[there], x[there], made[there])
+                if held[k] is not None:
+                    both = np.concatenate([held[k], new])
+                    values, at = np.unique(both[:, 0], return_inverse=True)
+                    new = np.column_stack([values, *(np.bincount(at, both[:, c], len(values)) for c in range(1, 9))])
+                    for c, best, start in ((4, np.maximum, -np.inf), (7, np.minimum, np.inf), (8, np.maximum, -np.inf)):
+                        new[:, c] = start
+                        best.at(new[:, c], at, both[:, c])
+                held[k] = new
+        for name, table in zip(names, held):
+            if table is not None and len(table):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(table)), pa.array(table[:, 0]), pa.array(table[:, 1].astype(np.int64)), *(pa.array(table[:, c]) for c in range(2, 9))], schema=_SUMS)
+
+    return run
+
+
 def bin_tables(df: DataFrame, variables: list[str], dep_var: str, keys: list[str], decile: int = 10, weight: str | None = None) -> DataFrame:
     """(variable, bin, mean_dv, max_dv, mean_var, min_var, max_var, cnt, sum_dv) of rows with variable, target and weight.
 
@@ -39,11 +83,9 @@ def bin_tables(df: DataFrame, variables: list[str], dep_var: str, keys: list[str
 
     if not cuts:
         return df.sparkSession.createDataFrame([], "variable string, bin double, mean_dv double, max_dv double, mean_var double, min_var double, max_var double, cnt double, sum_dv double")
-    data = base.select("w", "y", *[F.col(v).alias(f"v{i}") for i, v in enumerate(known)])
-    own = F.array(*[F.lit(v in few) for v in known])[F.col("i")]
-    names = F.array(*[F.lit(variables[int(v[1:])]) for v in known])[F.col("i")]
-    long = with_bins(data, cuts, ["y"]).withColumn("bin", F.when(own, F.col("x")).otherwise(F.col("bin").cast("double")))
-    parts = summed(long.where("bin is not null"), "i", "bin").withColumn("variable", names).drop("i")
+    by_value = [None if v in few else c for v, c in zip(known, cuts)]
+    rows = base.select("y", "w", *known).mapInArrow(_binned([variables[int(v[1:])] for v in known], by_value), "variable string, bin double, n long, w double, sy double, my double, syw double, sx double, lx double, hx double")
+    parts = rows.groupBy("variable", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "w", "sy")], F.max("my").alias("my"), F.sum("syw").alias("syw"), F.sum("sx").alias("sx"), F.min("lx").alias("lx"), F.max("hx").alias("hx"))
     # Values that an edge parts: their rows, by draws.
     parted = [c for c in cuts if c.parted and c.variable not in few]
     if parted:

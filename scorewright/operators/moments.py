@@ -204,13 +204,14 @@ def correlation_products(df: DataFrame, columns: list[str], weight: str | None =
 
 @dataclass
 class Gram:
-    """Weighted moments over complete rows: rows, weight, means, centred products."""
+    """Weighted moments over complete rows: rows, weight, means, centred products; ``seen`` counts all rows, complete or not."""
 
     names: list[str]
     rows: float
     weight: float
     mean: np.ndarray
     products: np.ndarray
+    seen: float = 0.0
 
     def correlation(self) -> np.ndarray:
         """Correlation matrix; rows and columns of constants are 0."""
@@ -222,7 +223,7 @@ class Gram:
 
     def part(self, names: list[str]) -> Gram:
         i = [self.names.index(n) for n in names]
-        return Gram(list(names), self.rows, self.weight, self.mean[i], self.products[np.ix_(i, i)])
+        return Gram(list(names), self.rows, self.weight, self.mean[i], self.products[np.ix_(i, i)], self.seen)
 
 
 def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> Gram:
@@ -231,15 +232,16 @@ def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> Gram:
     centre = means(df, columns)
 
     def add(x: np.ndarray) -> np.ndarray:
+        seen = len(x)
         x = x[~np.isnan(x).any(1)]
         w = x[:, p] if weight else np.ones(len(x))
         z = x[:, :p] - centre
-        return np.concatenate([[len(x), w.sum()], (z * w[:, None]).sum(0), ((z * w[:, None]).T @ z).ravel()])
+        return np.concatenate([[seen, len(x), w.sum()], (z * w[:, None]).sum(0), ((z * w[:, None]).T @ z).ravel()])
 
-    s = summed(df, [*columns, *([weight] if weight else [])], 2 + p + p * p, add)
-    rows, total, first, second = s[0], s[1], s[2 : 2 + p], s[2 + p :].reshape(p, p)
+    s = summed(df, [*columns, *([weight] if weight else [])], 3 + p + p * p, add)
+    seen, rows, total, first, second = s[0], s[1], s[2], s[3 : 3 + p], s[3 + p :].reshape(p, p)
     shift = first / total if total else first
-    return Gram(list(columns), rows, total, centre + shift, second - total * np.outer(shift, shift))
+    return Gram(list(columns), rows, total, centre + shift, second - total * np.outer(shift, shift), seen)
 
 
 def signed_correlation_with(df: DataFrame, columns: list[str], dep_var: str) -> dict[str, float | None]:

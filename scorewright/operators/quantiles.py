@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,21 +83,57 @@ def _after(x: float) -> float:
     return float(np.nextafter(x, math.inf))
 
 
-def _cells(data: DataFrame, cuts: dict[int, list[float]], inside: dict[int, set[int]], extra: list[Column] = ()) -> DataFrame:
-    """Rows (i, cell, value, ...): the number of a variable's cut points that are at most the value; the value itself only in the cells ``inside``."""
+_COUNTED = pa.schema([("i", pa.int32()), ("cell", pa.int32()), ("value", pa.float64()), ("n", pa.int64()), ("w", pa.float64())])
+#: Values inside brackets that a task holds before it sums equal ones.
+PENDING = 1 << 18
+
+
+def _summed_values(x: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and weights of equal values together."""
+    values, at = np.unique(x, return_inverse=True)
+    return values, np.bincount(at, n, len(values)).astype(np.int64), np.bincount(at, w, len(values))
+
+
+def _cells(data: DataFrame, cuts: dict[int, list[float]], inside: dict[int, set[int]]) -> DataFrame:
+    """Rows (i, cell, value, n, w): rows and weight by the number of a variable's cut points that are at most the value; by value too in the cells ``inside``.
+
+    A task counts in numpy and returns one row a cell, and one a value inside.
+    """
+    points = {i: np.array(c, np.float64) for i, c in cuts.items()}
+    kept = {i: np.isin(np.arange(len(c) + 1), list(inside.get(i, ()))) for i, c in cuts.items()}
     names = sorted(cuts)
-    most = max(len(c) for c in cuts.values())
-    # No value is at least nan, which stands where a variable has fewer cut points.
-    padded = F.array(*[F.array(*[F.lit(float(x)) for x in [*cuts[i], *[math.nan] * (most - len(cuts[i]))]]) if most else F.array().cast("array<double>") for i in names])
-    kept = F.array(*[F.array(*[F.lit(k in inside.get(i, ())) for k in range(most + 1)]) for i in names])
-    items = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"v{i}").alias("x")) for k, i in enumerate(names)])
-    rows = data.select("w", *extra, F.explode(items).alias("_item")).select("w", *extra, "_item.*").where("x is not null")
-    rows = rows.withColumn("_cuts", padded[F.col("k")])
-    cell = F.lit(0)
-    for j in range(most):
-        cell = cell + F.when(F.col("x") >= F.col("_cuts")[j], 1).otherwise(0)
-    rows = rows.withColumn("cell", cell).drop("_cuts")
-    return rows.withColumn("value", F.when(kept[F.col("k")][F.col("cell")], F.col("x"))).drop("k")
+
+    def run(batches):
+        rows, weights = ({i: np.zeros(len(kept[i])) for i in names} for _ in range(2))
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {i: [] for i in names}
+        pending = dict.fromkeys(names, 0)
+        for batch in batches:
+            w = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            for k, i in enumerate(names, 1):
+                x = batch.column(k).to_numpy(zero_copy_only=False)
+                there = ~np.isnan(x)
+                x, own = x[there], w[there]
+                cell = np.searchsorted(points[i], x, "right")
+                rows[i] += np.bincount(cell, minlength=len(rows[i]))
+                weights[i] += np.bincount(cell, own, len(rows[i]))
+                some = kept[i][cell]
+                if some.any():
+                    held[i].append(_summed_values(x[some], np.ones(int(some.sum())), own[some]))
+                    pending[i] += len(held[i][-1][0])
+                    if pending[i] > PENDING:
+                        held[i] = [_summed_values(*(np.concatenate(p) for p in zip(*held[i])))]
+                        # Only when the values have doubled is it worth another look.
+                        pending[i] = 0 if len(held[i][0][0]) > PENDING // 2 else len(held[i][0][0])
+        for i in names:
+            out = np.flatnonzero(~kept[i] & (rows[i] > 0))
+            parts = [(out, np.full(len(out), np.nan), rows[i][out], weights[i][out])]
+            if held[i]:
+                x, n, own = _summed_values(*(np.concatenate(p) for p in zip(*held[i])))
+                parts.append((np.searchsorted(points[i], x, "right"), x, n, own))
+            for cell, x, n, own in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(cell.astype(np.int32)), pa.array(x, from_pandas=True), pa.array(n.astype(np.int64)), pa.array(own)], schema=_COUNTED)
+
+    return data.select(F.col("w").cast("double").alias("w"), *[f"v{i}" for i in names]).mapInArrow(run, "i int, cell int, value double, n long, w double").groupBy("i", "cell", "value").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
 
 def _sketch(data: DataFrame, asked: list[tuple[int, float, float, list[float]]], also: list[Column] = ()) -> tuple[list[list[float]], list, list]:
@@ -166,7 +203,7 @@ def _settle(data: DataFrame, columns: list[str], cuts: dict, inside: dict, open_
     names = sorted(open_)
     for at in range(0, len(names), TOGETHER):
         part = names[at : at + TOGETHER]
-        counts = _cells(data, {i: cuts[i] for i in part}, {i: inside.get(i, set()) for i in part}).groupBy("i", "cell", "value").agg(F.count("*").alias("n"), F.sum("w").alias("w")).persist()
+        counts = _cells(data, {i: cuts[i] for i in part}, {i: inside.get(i, set()) for i in part}).persist()
         try:
             cells: dict[int, dict[int, tuple[int, float, bool]]] = {i: {} for i in part}
             for r in counts.groupBy("i", "cell").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("value").alias("known")).collect():
@@ -305,14 +342,6 @@ def tied_bins(long: DataFrame, cut: DataFrame, keys: list[str], bins: int) -> Da
     return rows.withColumn("bin", made).drop("_before", "_total", "_ranges", "_draw", "_range", "_below", "_upto")
 
 
-def with_bins(data: DataFrame, cuts: list[Cuts], extra: list[Column] = ()) -> DataFrame:
-    """Rows (i, x, bin, w, ...) of the columns v0, v1, ... that the cuts belong to, in their order; the bin is null where an edge parts the rows of a value."""
-    most = max((len(c.bins) for c in cuts), default=1)
-    rows = _cells(data, {i: c.points for i, c in enumerate(cuts)}, {}, extra)
-    table = F.array(*[F.array(*[F.lit(b).cast("long") for b in [*c.bins, *[None] * (most - len(c.bins))]]) for c in cuts])
-    return rows.withColumn("bin", table[F.col("i")][F.col("cell")]).drop("cell", "value")
-
-
 def parted_values(spark, cuts: list[Cuts]) -> DataFrame:
     """(variable, value, n, before, total) of the values that a bin's edge parts."""
     rows = [(c.variable, x.value, x.rows, float(x.before), float(c.total)) for c in cuts for x in c.parted]

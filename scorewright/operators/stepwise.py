@@ -48,9 +48,11 @@ def forward_linear(moments: Gram, dep_var: str, alpha: float) -> list[tuple[str,
     return out
 
 
-def stepwise_linear(df: DataFrame, variables: list[str], dep_var: str, alpha: float, weight: str | None = None) -> list[tuple[str, int, float]]:
-    """Forward linear selection on the rows where all variables are present."""
-    return forward_linear(gram(df, [*variables, dep_var], weight), dep_var, alpha) if variables else []
+def stepwise_linear(df: DataFrame, variables: list[str], dep_var: str, alpha: float, weight: str | None = None, known: Gram | None = None) -> list[tuple[str, int, float]]:
+    """Forward linear selection on the rows where all variables are present; ``known`` are their moments, if there are any already."""
+    if not variables:
+        return []
+    return forward_linear(known.part([*variables, dep_var]) if known else gram(df, [*variables, dep_var], weight), dep_var, alpha)
 
 
 class _Logit:

@@ -43,18 +43,18 @@ def _number(x) -> float | None:
 MATRIX_VARIABLES = 600
 
 
-def principal(df: DataFrame, names: list[str], k: int, least: float, weight: str | None = None) -> dict[str, float | None]:
+def principal(df: DataFrame, names: list[str], k: int, least: float, weight: str | None = None, known: moments.Gram | None = None) -> dict[str, float | None]:
     """Largest correlation with a leading component: by groups of about 5 k, survivors once more together."""
 
     def one(group: list[str]) -> dict[str, float | None]:
-        if len(group) > MATRIX_VARIABLES:
+        if not known and len(group) > MATRIX_VARIABLES:
             total, multiply = moments.correlation_products(df, group, weight)
             if not total:
                 return dict.fromkeys(group)
             values, vectors, error = components.leading_pairs(multiply, len(group), min(k, len(group)))
             LOG.debug("components of %d variables: residual %g", len(group), error)
             return dict(zip(group, np.abs(vectors * np.sqrt(np.maximum(values, 0))).max(1).tolist()))
-        g = moments.gram(df, group, weight)
+        g = known.part(group) if known else moments.gram(df, group, weight)
         return dict(zip(group, components.best_component_correlation(g.correlation(), k).tolist())) if g.rows else dict.fromkeys(group)
 
     groups = groups_of(names, max(math.ceil(len(names) / (5 * k)), 1)) if names else []
@@ -65,11 +65,11 @@ def principal(df: DataFrame, names: list[str], k: int, least: float, weight: str
     return out
 
 
-def clusters(df: DataFrame, names: list[str], most: int, ratio: float, weight: str | None = None) -> list[tuple[str, int, float]]:
+def clusters(df: DataFrame, names: list[str], most: int, ratio: float, weight: str | None = None, known: moments.Gram | None = None) -> list[tuple[str, int, float]]:
     """(variable, cluster, ratio): by groups of about 5 times ``most``, survivors once more together."""
 
     def one(group: list[str]) -> list[tuple[str, int, float]]:
-        g = moments.gram(df, group, weight)
+        g = known.part(group) if known else moments.gram(df, group, weight)
         return sorted(((group[v], c, r) for v, c, r in components.cluster(g.correlation(), most)), key=lambda x: (x[1], x[0])) if g.rows else []
 
     groups = groups_of(names, max(math.ceil(len(names) / (5 * most)), 1)) if names else []
@@ -109,6 +109,11 @@ def reduce_variables(df: DataFrame, roles: Roles, config: ReduceConfig = ReduceC
 def _reduce(spark, work, names, dep, keys, weight, cfg: ReduceConfig, output):
     sources: dict[str, DataFrame] = {}
     flag = lambda ok: int(bool(ok))
+    # Without missing values, as after a recode, the moments of all variables together serve every group of them.
+    known = None
+    if names and len(names) <= MATRIX_VARIABLES and (cfg.principal_flg or cfg.cluster_flg or cfg.regression_flg):
+        whole = moments.gram(work, [*names, dep], weight)
+        known = whole if whole.rows == whole.seen else None
     if cfg.univ_reg_flg:
         fits = regression.univariate(work, names, dep, cfg.binary_dv, weight)
         sources["univsource"] = _table(spark, [(v, flag(f.p <= cfg.maxpuni), _number(f.p), f.sign, _number(f.r2)) for v, f in fits.items()], "variable string, univsource int, pvalue double, sign string, cc_rsq double")
@@ -116,16 +121,16 @@ def _reduce(spark, work, names, dep, keys, weight, cfg: ReduceConfig, output):
         corr = moments.correlation_with(work, names, dep)
         sources["corrsource"] = _table(spark, [(v, flag(r is not None and r >= cfg.corrcut), r) for v, r in corr.items()], "variable string, corrsource int, corr double")
     if cfg.principal_flg:
-        found = principal(work, names, cfg.nprin, cfg.minprin, weight)
+        found = principal(work, names, cfg.nprin, cfg.minprin, weight, known)
         sources["prinsource"] = _table(spark, [(v, flag(f is not None and f >= cfg.minprin), f) for v, f in found.items()], "variable string, prinsource int, factor double")
     if cfg.cluster_flg:
-        sources["clusource"] = _table(spark, [(v, flag(r <= cfg.maxratio), c, float(r)) for v, c, r in clusters(work, names, cfg.maxc, cfg.maxratio, weight)], "variable string, clusource int, cluster int, rsquare_ratio double")
+        sources["clusource"] = _table(spark, [(v, flag(r <= cfg.maxratio), c, float(r)) for v, c, r in clusters(work, names, cfg.maxc, cfg.maxratio, weight, known)], "variable string, clusource int, cluster int, rsquare_ratio double")
     parts = groups_of(names, math.ceil(len(names) / STEPWISE_GROUP)) if names else []
     if cfg.logistic_flg:
         rows = [(v, 1, s, float(p)) for g in parts for v, s, p in stepwise.stepwise_logistic(work, g, dep, cfg.alphalog, weight, cfg.likelihood_ratio)]
         sources["logsource"] = _table(spark, rows, "variable string, logsource int, log_step int, log_pvalue double")
     if cfg.regression_flg:
-        rows = [(v, 1, s, float(p)) for g in parts for v, s, p in stepwise.stepwise_linear(work, g, dep, cfg.alphareg, weight)]
+        rows = [(v, 1, s, float(p)) for g in parts for v, s, p in stepwise.stepwise_linear(work, g, dep, cfg.alphareg, weight, known)]
         sources["regsource"] = _table(spark, rows, "variable string, regsource int, reg_step int, reg_pvalue double")
     if cfg.information_flg:
         iv = information.information(work, names, dep, keys, cfg.decile, max(len(names), 1), weight)
