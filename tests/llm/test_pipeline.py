@@ -48,7 +48,12 @@ def test_stages_one_by_one(spark, sf):
         got[r.source] += len(r.text.split())
     assert Counter(r.doc_id for r in after).most_common(1)[0][1] <= 3
     assert {r.doc_id for r in after} <= {r.doc_id for r in before}
-    assert abs(sum(got.values()) - sum(goals.values())) < 0.3 * sum(goals.values())
+    # Each source's words come near its target: whole documents are rounded up or down, so by the spread of that.
+    squares = Counter()
+    for r in before:
+        squares[r.source] += len(r.text.split()) ** 2
+    far = lambda words: [s for s in sizes if abs(words.get(s, 0) - goals[s]) > 2 * squares[s] ** 0.5 + 0.01 * goals[s]]
+    assert far(got) == [] and len(far(sizes)) >= 2  # documents handed on as they are would not do
 
     before, after = held["pack"]
     pieces = packing.pack_documents(spark.createDataFrame(before, docs.sparkSession.read.parquet(f"{sf}/documents.parquet").schema)).collect()
