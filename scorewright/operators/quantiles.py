@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SPAN, draw
-from .rows import unpivoted
 
 #: Accuracy of sketches: a sketch's value is off by a 10,000th of the rows at most.
 ACCURACY = 10_000
