@@ -64,3 +64,13 @@ def test_place_is_told(table):
 
 def test_sql_or_python():
     assert speaks_of_table('inds["a"] > 1') and not speaks_of_table("a > 1 AND b IS NULL") and not speaks_of_table("a > 1") and not speaks_of_table("")
+
+
+def test_sample_stage_reads_python(spark):
+    """The text that older settings hold excludes rows without target."""
+    from scorewright.plans.config import Roles, SampleConfig
+    from scorewright.plans.sample import sample
+
+    df = spark.range(200).select("id", F.expr("if(id % 4 = 0, null, cast(id % 2 as int))").alias("y"))
+    out, _ = sample(df, Roles(id="id", dep_var="y"), SampleConfig(exclusion_if="inds[dep_var].isna()"))
+    assert out.count() == 150 and out.where("y is null").count() == 0
