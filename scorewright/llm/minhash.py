@@ -25,8 +25,10 @@ MINIMA, BITS = 128, 4
 MISS = 1e-6
 #: The estimate drops a pair only if it is so many standard deviations below the threshold.
 DEVIATIONS = 5.0
-#: A block of a bucket has about so many documents, or bytes of text.
-TILE_DOCS, TILE_BYTES = 512, 8 << 20
+#: A block of a bucket has about so many documents, or bytes of text; signatures alone are screened in larger blocks.
+TILE_DOCS, TILE_BYTES, SCREEN_DOCS = 512, 8 << 20, 8192
+#: Counters that tell rare shingles from frequent ones; their number does not grow with the data.
+CELLS = 1 << 20
 #: Small groups are compared together in packs of about so many documents, or bytes.
 PACK_DOCS, PACK_BYTES = 256, 1 << 20
 _MUL = (np.random.default_rng(5).integers(0, 2**31, MINIMA, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -150,14 +152,19 @@ def _stars(percent: int):
     return compare
 
 
-def _maybe(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of one tile need their full sets: possible, not yet connected, and met in no earlier band."""
+def _maybe(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int):
+    """Which pairs of one tile need their full sets, by strips (first row, matrix): possible and not yet connected.
+
+    A pair of a bucket counts in the first band it shares.  A pair that meets on
+    a rare shingle (band_no -1) counts if it shares a band at all, and if the
+    shingle is among the rarest of the smaller set.
+    """
     least = least_agreement(percent)
     sig, bands = (table.column(c).combine_chunks() for c in ("sig", "bands"))
     sig, bands = (x.flatten().to_numpy().reshape(len(table), -1) for x in (sig, bands))
     size, label, k = (table.column(c).to_numpy() for c in ("n_shingles", "label", "band_no"))
+    short = table.column("short").to_numpy(zero_copy_only=False)
     k = int(k[left[0]])
-    out = np.zeros((len(left), len(right)), bool)
     words = sig.view(np.uint64)
     for at in range(0, len(left), 256):
         i = left[at : at + 256]
@@ -165,19 +172,21 @@ def _maybe(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -
         m &= label[i][:, None] != label[right]
         small, large = np.minimum(size[i][:, None], size[right]), np.maximum(size[i][:, None], size[right])
         m &= 100 * small >= percent * large
+        if k < 0:
+            m &= np.where(size[i][:, None] <= size[right], short[i][:, None], short[right])
         if left is right:
             m &= np.arange(at, at + len(i))[:, None] < np.arange(len(right))
         r, c = np.nonzero(m)
         for s in range(0, len(r), 1 << 16):
             a, b = r[s : s + (1 << 16)], c[s : s + (1 << 16)]
-            m[a, b] = ~(bands[i[a], :k] == bands[right[b], :k]).any(1)
-        out[at : at + len(i)] = m
-    return out
+            shared = bands[i[a]] == bands[right[b]]
+            m[a, b] = shared.any(1) if k < 0 else ~shared[:, :k].any(1)
+        yield at, m
 
 
-def _tiles(table: pa.Table):
+def _tiles(table: pa.Table, blocks: str):
     """Rows of the lower and of the upper block of each tile of a pack, the same array where that is one block."""
-    band, block, low, high = (table.column(c).to_numpy() for c in ("band", "block", "low", "high"))
+    band, block, low, high = (table.column(c).to_numpy() for c in ("band", blocks, "low", "high"))
     order = np.argsort(band, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
         left, right = group[block[group] == low[group]], group[block[group] == high[group]]
@@ -185,16 +194,33 @@ def _tiles(table: pa.Table):
             yield left, left if low[group[0]] == high[group[0]] else right
 
 
+_LEFT = pa.schema([("band", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("rep", pa.int64())])
+
+
 def _screen(percent: int):
-    """Rows of the pack that have a pair left after the estimate: (band, rep)."""
+    """Rows that have a pair left after the estimate, for each pair of blocks: (band, low, high, rep)."""
 
     def screen(table: pa.Table) -> pa.Table:
-        keep = np.zeros(len(table), bool)
-        for left, right in _tiles(table):
-            m = _maybe(table, left, right, percent)
-            keep[left[m.any(1)]] = True
-            keep[right[m.any(0)]] = True
-        return table.filter(pa.array(keep)).select(["band", "low", "high", "rep"])
+        band, block, rep = (table.column(c).to_numpy() for c in ("band", "block", "rep"))
+        found = []
+
+        def tell(x, y, of):
+            out = {"band": band[of], "low": np.minimum(block[x], block[y]), "high": np.maximum(block[x], block[y]), "rep": rep[of]}
+            found.append(pa.Table.from_pydict(out, schema=_LEFT))
+
+        for left, right in _tiles(table, "part"):
+            same = left is right
+            left = left[np.argsort(block[left], kind="stable")]
+            right = left if same else right[np.argsort(block[right], kind="stable")]
+            of_right = np.flatnonzero(np.diff(block[right], prepend=-1))
+            for at, m in _maybe(table, left, right, percent):
+                i = left[at : at + len(m)]
+                of_left = np.flatnonzero(np.diff(block[i], prepend=-1))
+                r, c = np.nonzero(np.logical_or.reduceat(m, of_right, axis=1))
+                tell(i[r], right[of_right[c]], i[r])
+                r, c = np.nonzero(np.logical_or.reduceat(m, of_left, axis=0))
+                tell(i[of_left[r]], right[c], right[c])
+        return pa.concat_tables(found) if found else _LEFT.empty_table()
 
     return screen
 
@@ -205,8 +231,8 @@ def _confirm(percent: int):
     def confirm(table: pa.Table) -> pa.Table:
         label, text = table.column("label").to_numpy(), table.column("text")
         a, b = [], []
-        for left, right in _tiles(table):
-            m = _maybe(table, left, right, percent)
+        for left, right in _tiles(table, "block"):
+            m = np.concatenate([strip for _, strip in _maybe(table, left, right, percent)])
             need = np.union1d(left[m.any(1)], right[m.any(0)])
             sets = {int(i): shingle_set(text[int(i)].as_py()) for i in need}
             for i, j in linked_labels(left, right, m, label, sets, percent):
@@ -217,6 +243,48 @@ def _confirm(percent: int):
     return confirm
 
 
+def _cells(batches):
+    """How many shingles of a task's sets fall into each cell; cells without any are left out."""
+    only_cache("words")
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            np.add.at(counts, shingle_set(text.as_py()) & np.uint64(CELLS - 1), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_pydict({"cell": at, "n": counts[at]}, schema=pa.schema([("cell", pa.int64()), ("n", pa.int64())]))
+
+
+def rare_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of its rarest shingles a set of n meets larger and smaller sets on: (as the smaller, as the larger).
+
+    Two linked sets share a shingle among so many first ones of each, in any
+    order common to all: the overlap is at least percent of the larger set, and
+    at least 2 percent / (100 + percent) of the smaller.
+    """
+    return n + 2 * percent * -n // (100 + percent) + 1, n + percent * -n // 100 + 1
+
+
+def _rarest(percent: int, counts):
+    """(rep, label, n_shingles, band, short): the rarest shingles of each set that another set may hold too."""
+    schema = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("n_shingles", pa.int64()), ("band", pa.int64()), ("short", pa.bool_())])
+
+    def rarest(batches):
+        only_cache("words")
+        seen = counts.value
+        for batch in batches:
+            for rep, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                h = shingle_set(text.as_py())
+                often = seen[h & np.uint64(CELLS - 1)]
+                as_smaller, as_larger = rare_lengths(len(h), percent)
+                first = np.lexsort((h, often))[:as_larger]
+                at = np.flatnonzero(often[first] > 1)
+                if len(at):
+                    out = {"rep": np.full(len(at), rep), "label": np.full(len(at), label), "n_shingles": np.full(len(at), len(h)), "band": h[first[at]].view(np.int64), "short": at < as_smaller}
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return rarest
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -235,6 +303,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the bucket.  What is left, pairs of one bucket that are not connected yet,
     is compared in pairs of blocks: signatures first, and full texts only of the
     documents that have such a pair.  A pair counts in the first band it shares.
+    In a bucket of more than one block a pair is looked at only if it also meets
+    on one of the rarest shingles of both, as all linked pairs do; pages of one
+    template that are not linked share no such shingle.  Counters of fixed size
+    tell what is rare; they choose the order, not the result.
     Tasks return forests of links, never all pairs.
     """
     spark = docs.sparkSession
@@ -290,20 +362,45 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = scratch.keep(named, "named")
     scratch.drop(hits, star, found)
     open_ones = scratch.keep(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "n"), "open")
-    rows = named.join(open_ones.select("band"), "band", "left_semi").join(firsts, "rep")
+    rows = named.join(open_ones.select("band"), "band", "left_semi").join(firsts, "rep").withColumn("short", F.lit(True))
     rows = scratch.keep(rows, "rows")
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    sizes = scratch.keep(sizes.select("band", F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("long").alias("blocks")), "sizes")
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        found = df.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        blocks = F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("long").alias("blocks")
+        return scratch.keep(found.select("band", blocks, F.ceil(F.col("n") / SCREEN_DOCS).cast("long").alias("parts")), "sizes")
+
+    sizes = in_blocks(rows)
+    large = sizes.where("blocks > 1").select("band")
+    if not large.isEmpty():
+        # Large buckets are taken apart by the rarest shingles of their members.
+        wide = scratch.keep(rows.join(large, "band", "left_semi").select("rep", "label").distinct(), "wide")
+        wide_texts = scratch.keep(with_text(wide).select("rep", "label", "text"), "wide-texts")
+        with arrow_rows(spark, 1000):
+            cells = wide_texts.select("text").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+            counts = np.zeros(CELLS, np.int64)
+            counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+            rarest = wide_texts.mapInArrow(_rarest(percent, spark.sparkContext.broadcast(counts)), "rep long, label long, n_shingles long, band long, short boolean")
+            rarest = scratch.keep(rarest, "rarest")
+        meet = rarest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("any")).where("any and lo < hi")
+        meet = scratch.keep(meet.select("band"), "meet")
+        met = rarest.join(meet, "band", "left_semi").join(firsts.join(wide.select("rep"), "rep", "left_semi"), ["rep", "n_shingles"]).withColumn("band_no", F.lit(-1))
+        old = rows
+        rows = scratch.keep(old.join(large, "band", "left_anti").unionByName(met), "rows")
+        scratch.drop(old, sizes, wide, wide_texts, rarest, meet)
+        sizes = in_blocks(rows)
+
     packs = max(1, math.ceil(rows.count() / PACK_DOCS))
-    dealt = rows.join(sizes, "band").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long")
+    dealt = rows.join(sizes, "band").withColumn("block", block).withColumn("part", F.floor(F.col("block") * F.col("parts") / F.col("blocks")).cast("long"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pack_of = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")).alias("pack")
-    tiles = dealt.select(pack_of, (F.col("blocks") > 1).alias("split"), "band", "band_no", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label", "n_shingles", "sig", "bands")
+    facts_of = ["band", "band_no", "rep", "label", "n_shingles", "sig", "bands", "short", "block"]
+    tiles = dealt.select(pack_of, (F.col("blocks") > 1).alias("split"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *facts_of)
     left = tiles.groupBy("pack", "split", "low", "high").applyInArrow(_screen(percent), "band long, low long, high long, rep long")
     left = scratch.keep(left.distinct(), "left")
-    again = with_text(left).join(rows.drop("bytes"), ["rep", "band"]).join(sizes, "band")
-    again = again.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
-    again = again.select(pack_of, (F.col("blocks") > 1).alias("split"), "band", "band_no", "low", "high", "block", "rep", "label", "n_shingles", "sig", "bands", "text")
+    again = with_text(left).join(rows.drop("bytes"), ["rep", "band"]).join(sizes, "band").withColumn("block", block)
+    again = again.select(pack_of, (F.col("blocks") > 1).alias("split"), "low", "high", *facts_of, "text")
     more = scratch.keep(again.groupBy("pack", "split", "low", "high").applyInArrow(_confirm(percent), "a long, b long"), "more")
     scratch.drop(named, open_ones, rows, left)
 

@@ -53,9 +53,10 @@ def corpus(seed, n=120):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("tile, pack, misses", [(512, 256, 1000), (7, 5, 1)])
-def test_against_all_pairs(spark, monkeypatch, percent, tile, pack, misses):
+@pytest.mark.parametrize("tile, screen, pack, misses", [(512, 8192, 256, 1000), (7, 20, 5, 1), (2, 8192, 5, 1)])
+def test_against_all_pairs(spark, monkeypatch, percent, tile, screen, pack, misses):
     monkeypatch.setattr(minhash, "TILE_DOCS", tile)
+    monkeypatch.setattr(minhash, "SCREEN_DOCS", screen)
     monkeypatch.setattr(minhash, "PACK_DOCS", pack)
     monkeypatch.setattr(shingles, "MOST_MISSES", misses)
     docs = corpus(percent)
@@ -77,9 +78,63 @@ def chained(n, seed):
     return out
 
 
-@pytest.mark.parametrize("tile", [512, 16])
-def test_one_group_over_many_blocks(spark, monkeypatch, tile):
+def kept_counts(monkeypatch):
+    """Rows of every table that operators write, by name."""
+    seen, keep = {}, common.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    return seen
+
+
+def templated(n, seed, common_words=460, own=30):
+    """Pages of one template that all resemble each other at some 78 %, and none at 85 %."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(common_words)]
+    return [(i, " ".join(template + [f"p{i}x{j}" for j in range(own + r.randrange(3))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_pages_of_a_template_do_not_meet(spark, monkeypatch, linked):
+    monkeypatch.setattr(minhash, "TILE_DOCS", 64)
+    seen = kept_counts(monkeypatch)
+    docs = templated(400, 8, 250, 30)
+    sets = brute_sets(docs[:2])
+    assert 0.7 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    if linked:
+        docs += [(1000 + i, docs[i][1] + " more") for i in range(7, 400, 40)] + [(2000, docs[5][1].replace("t100 ", ""))]
+    rows = minhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), percent=85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == brute(docs, 85)
+    assert seen["wide"][0] >= 300  # they do share buckets of several blocks
+    # Only pages with a near copy meet another on a rare shingle.
+    assert seen["left"][0] <= (400 if linked else 0)
+
+
+def test_linked_sets_meet_on_rare_shingles():
+    r = random.Random(5)
+    for percent in (80, 85, 100):
+        for _ in range(400):
+            n = r.randrange(1, 60)
+            x = set(r.sample(range(80), n))
+            y = (x - set(r.sample(sorted(x), r.randrange(0, n // 4 + 1)))) | set(r.sample(range(80), r.randrange(0, 8)))
+            if not y or not shingles.similar(len(x), len(y), len(x & y), percent):
+                continue
+            small, large = sorted((x, y), key=len)
+            rank = {v: k for k, v in enumerate(r.sample(range(80), 80))}
+            a = sorted(small, key=rank.get)[: minhash.rare_lengths(len(small), percent)[0]]
+            b = sorted(large, key=rank.get)[: minhash.rare_lengths(len(large), percent)[1]]
+            assert set(a) & set(b)
+    assert minhash.rare_lengths(1, 85) == (1, 1) and minhash.rare_lengths(100, 85) == (9, 16)
+
+
+@pytest.mark.parametrize("tile, screen", [(512, 8192), (16, 8192), (16, 40)])
+def test_one_group_over_many_blocks(spark, monkeypatch, tile, screen):
     monkeypatch.setattr(minhash, "TILE_DOCS", tile)
+    monkeypatch.setattr(minhash, "SCREEN_DOCS", screen)
     monkeypatch.setattr(minhash, "PACK_DOCS", 20)
     docs = chained(260, 3)
     rows = minhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), percent=85).collect()
@@ -104,7 +159,7 @@ def test_agreement_in_columns_is_that_of_numpy(spark):
 def test_scratch_goes_with_its_scope(spark):
     with common.scratch_scope():
         n = minhash.near_dedup(spark.createDataFrame(corpus(3)[:40], "doc_id long, text string")).count()
-        roots = [s.root for s in common._scopes[-1]]
+        roots = [s.root for s in common._scopes.get()[-1]]
         assert n == 40 and roots and all(os.path.isdir(r.removeprefix("file:")) for r in roots)
     assert not any(os.path.exists(r.removeprefix("file:")) for r in roots)
 
