@@ -4,7 +4,8 @@ A text is cut where the tokenizer's own pre-tokeniser always cuts: around white
 space, and where a letter meets common punctuation.  So the ids of a text are the
 ids of its chunks one after another.  Chunks are hashed (64 bits), looked up many
 at a time and compared byte by byte with what was found; the tokenizers library
-encodes each new one once.  Texts with
+encodes each new one once, many joined by an added token's literal, whose id tells
+them apart again.  Texts with
 white space beyond ASCII, on which regex engines may differ, are encoded whole, and
 so are texts that hold an added token's literal.
 """
@@ -29,6 +30,8 @@ _UNUSUAL = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
 MAX_CHUNKS, MAX_CHUNK_BYTES = 600_000, 64
 #: Bytes looked up at once; longer texts are cut.
 BATCH_BYTES = 1 << 18
+#: New chunks that the library gets as one text.
+JOINED = 64
 
 _SPACE, _WHITE, _POINT, _LETTER, _LEAD, _TAIL = 1, 2, 4, 8, 16, 32
 _KIND = np.zeros(256, np.uint8)
@@ -57,6 +60,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _divides(token) -> bool:
+    """Whether an added token's literal is found as it stands, takes nothing from beside it and can't overlap with itself."""
+    x = token.content
+    return not (token.normalized or token.lstrip or token.rstrip or token.single_word) and bool(x) and not any(x.startswith(x[k:]) for k in range(1, len(x)))
+
+
 class Encoder:
     """Ids of texts by a tokenizers file; ``spaces`` says whether white space is part of tokens.
 
@@ -73,8 +82,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        added = [] if plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.literals = re.compile("|".join(added)) if added else None
+        known = {} if plain else self.tokenizer.get_added_tokens_decoder()
+        self.literals = re.compile("|".join(re.escape(t.content) for t in known.values())) if known else None
+        self.mark = next(((i, t.content.encode("utf-8")) for i, t in sorted(known.items()) if _divides(t)), None)
         self.spaces = spaces
         self.id_type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.power, self.inverse = _powers(_BASE, 2 * BATCH_BYTES), _powers(pow(_BASE, -1, 2**64), 2 * BATCH_BYTES)
@@ -147,21 +157,38 @@ class Encoder:
         differ = raw != held
         return np.logical_or.reduceat(differ, ends - sizes) if differ.any() else wrong
 
+    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has), straight from the library."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.id_type, int(counts.sum())), counts
+
+    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks, which hold no added token: joined, and one by one if the marks do not come back one after each."""
+        if not self.mark:
+            return self._library(chunks)
+        number, literal = self.mark
+        ids, sizes = self._library([literal.join([*chunks[i : i + JOINED], b""]) for i in range(0, len(chunks), JOINED)])
+        marks = np.flatnonzero(ids == number)
+        last = np.minimum(np.arange(1, len(sizes) + 1) * JOINED, len(chunks)) - 1
+        if len(marks) != len(chunks) or (marks[last] != np.cumsum(sizes) - 1).any():
+            return self._library(chunks)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
     def _learn(self, raws: list[bytes], keys: np.ndarray) -> np.ndarray:
         """Encode new chunks; returns their numbers."""
-        first, chunks = self.count, [r.decode("utf-8", "surrogatepass") for r in raws]
+        first = self.count
         self._hold(raws)
-        for i in range(0, len(chunks), 8192):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[i : i + 8192], add_special_tokens=False)]
-            counts, n = np.fromiter(map(len, got), np.int32, len(got)), self.count
-            total = int(counts.sum())
-            while n + len(got) > len(self.start):
+        for i in range(0, len(raws), 8192):
+            ids, counts = self._encode_new(raws[i : i + 8192])
+            n, total = self.count, len(ids)
+            while n + len(counts) > len(self.start):
                 self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
             while self.used + total > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.id_type, total)
-            self.length[n : n + len(got)], self.start[n : n + len(got)] = counts, self.used + np.cumsum(counts) - counts
-            self.used, self.count = self.used + total, n + len(got)
+            self.pool[self.used : self.used + total] = ids
+            self.length[n : n + len(counts)], self.start[n : n + len(counts)] = counts, self.used + np.cumsum(counts) - counts
+            self.used, self.count = self.used + total, n + len(counts)
         if 10 * self.count > 7 * len(self.keys):
             filled, old, values = self.keys != 0, self.keys, self.values
             size = len(old)

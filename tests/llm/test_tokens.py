@@ -1,11 +1,14 @@
+import json
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from scorewright.llm import packing, simple8b, token_files, tokens
 
@@ -182,3 +185,48 @@ def test_literals_of_added_tokens_as_the_library_has_them(spark):
     for r in packing.pack_documents(frame(spark, LITERALS)).collect():
         parts.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
     assert [b"".join(p for _, p in sorted(parts[d])) for d, _ in LITERALS] == [np.array([*x, 1], "<u4").tobytes() for x in want[tokens.WORD_BPE]]
+
+
+class Counted:
+    """A tokenizer that notes how many texts it is given at once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+WORDS = ["".join(random.Random(i).choices("abcdeäéßñ", k=3 + i % 9)) + ("" if i % 7 else "'s 3&") for i in range(5000)]
+
+
+@pytest.mark.parametrize("name, spaces", [(tokens.BYTE_BPE, True), (tokens.WORD_BPE, False)])
+def test_new_chunks_go_to_the_library_together(name, spaces):
+    encode = tokens.Encoder(tokens.tokenizer_path(name), spaces)
+    counted = encode.tokenizer = Counted(encode.tokenizer)
+    text = " ".join(WORDS)
+    assert encode.encode(text).tolist() == counted.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode.count > 4000 and counted.texts < encode.count / 20
+
+
+@pytest.mark.parametrize("name, spaces", [(tokens.BYTE_BPE, True), (tokens.WORD_BPE, False)])
+@pytest.mark.parametrize("more", [["abc<|startoftext|>", "abc<|endoftext|>"], ["<|startoftext|><", "<|endoftext|>b", "<|startoftext|>b"]])
+def test_an_added_token_that_runs_into_the_mark(tmp_path, name, spaces, more):
+    made = Tokenizer.from_file(tokens.tokenizer_path(name))
+    made.add_special_tokens([AddedToken(x, normalized=False) for x in more])
+    made.save(str(tmp_path / "t.json"))
+    encode, text = tokens.Encoder(str(tmp_path / "t.json"), spaces), " ".join(["xabc", "b", *WORDS])
+    assert encode.mark and encode.encode(text).tolist() == made.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", [{"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"normalized": True}, {"content": "a-a"}])
+def test_added_tokens_that_can_not_be_marks(tmp_path, kind):
+    part = json.load(open(tokens.tokenizer_path(tokens.BYTE_BPE)))
+    part["added_tokens"] = [{**t, **kind} for t in part["added_tokens"]]
+    (tmp_path / "t.json").write_text(json.dumps(part))
+    encode, text = tokens.Encoder(str(tmp_path / "t.json"), True), " ".join(["a-", "b", *WORDS])
+    assert encode.mark is None and encode.encode(text).tolist() == encode.whole(text).tolist()
