@@ -13,7 +13,7 @@ from test_operators import score_p
 
 import scorewright
 from scorewright.functions.special import t_two_sided
-from scorewright.operators import nominal
+from scorewright.operators import nominal, stepwise
 from scorewright.plans import queries
 from scorewright.plans.config import LABEL, RecodeConfig, ReduceConfig, Roles, SampleConfig, roles_from_dict
 from scorewright.plans.recode import Recoded, fit_recode, recode
@@ -313,3 +313,35 @@ def test_stream_scoring(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     scorer.start(stream, made, roles, f"{tmp_path}/out", f"{tmp_path}/chk").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").exceptAll(made.apply(df, roles)).count() == 0
+
+
+def test_logistic_selection_before_rounding_and_as_the_query_rounds_it(spark, sf):
+    """The query rounds p as its SQL does; the operator's own p is that of plain code, however small."""
+    df = queries.model_table(spark, sf)
+    table, inside = df.select("x2", "x4", "x5", "o1", "y").toPandas().astype(float), []
+    got = stepwise.stepwise_logistic(df, ["x2", "x4", "x5", "o1"], "y", 0.05)
+    for v, _, p in got:
+        want = {c: score_p(table, inside, c, np.ones(len(table))) for c in ("x2", "x4", "x5", "o1") if c not in inside}
+        assert want[v] == min(want.values()) and p == pytest.approx(want[v], rel=1e-5, abs=1e-300)
+        inside.append(v)
+    assert inside and all(score_p(table, inside, c, np.ones(len(table))) > 0.05 for c in ("x2", "x5", "o1") if c not in inside)
+    rows = sorted(queries.Q["stepwise_logistic"](spark, sf).collect(), key=lambda r: r.step)
+    assert [tuple(r) for r in rows] == [(v, step, round(p, 6)) for v, step, p in got]
+
+
+def test_var_clusters_against_plain_code(spark, sf):
+    rows = queries.Q["var_clusters"](spark, sf).collect()
+    table = queries.model_table(spark, sf).select(*queries.NUMBERS).toPandas().dropna().astype(float)
+    corr, groups = table.corr(), {}
+    for r in rows:
+        groups.setdefault(r.cluster, []).append(r.variable)
+    assert sorted(v for g in groups.values() for v in g) == sorted(queries.NUMBERS)
+    part = {}
+    for c, g in groups.items():
+        inner = corr.loc[g, g].to_numpy()
+        top = np.linalg.eigh(inner)[1][:, -1]
+        part[c] = (corr[g] @ top) ** 2 / (top @ inner @ top)
+    for r in rows:
+        nearest = max(p[r.variable] for c, p in part.items() if c != r.cluster)
+        own = part[r.cluster][r.variable]
+        assert own >= nearest - 1e-9 and r.ratio == pytest.approx((1 - own) / (1 - nearest), abs=1e-6)
