@@ -169,6 +169,7 @@ def stepwise_logistic(df: DataFrame, variables: list[str], dep_var: str, alpha:
     The sums of the last Newton step of the current model hold the score
     statistics of all candidates at once, so a step costs the passes of one fit;
     with likelihood ratios all candidates' models are fitted in the same passes.
+    The largest statistic enters: on many rows p is 0 in double for several.
     """
     if not variables:
         return []
@@ -184,19 +185,20 @@ def stepwise_logistic(df: DataFrame, variables: list[str], dep_var: str, alpha:
             found: dict[int, float] = {}
             if likelihood_ratio:
                 trials = model.trials(beta, inside, left)
-                found = {i: chi2_upper(2 * (trials[i][1] - like)) for i in left if i in trials}
+                found = {i: 2 * (trials[i][1] - like) for i in left if i in trials}
             else:
                 trials = {}
                 for i in left:
                     k = i + 1
                     spread = h[k, k] - h[k, base] @ np.linalg.solve(h[np.ix_(base, base)], h[base, k])
                     if spread > 1e-10 * h[k, k]:
-                        found[i] = chi2_upper(u[k] ** 2 / spread)
-            best = min(found, key=lambda i: (found[i], i), default=None)
-            if best is None or not found[best] < 1.0 or found[best] > alpha:
+                        found[i] = u[k] ** 2 / spread
+            best = max(found, key=lambda i: (found[i], -i), default=None)
+            p = 1.0 if best is None else chi2_upper(found[best])
+            if best is None or not p < 1.0 or p > alpha:
                 break
             inside.append(best)
-            out.append((variables[best], len(out) + 1, found[best]))
+            out.append((variables[best], len(out) + 1, p))
             at = model.fit(trials[best][0] if best in trials else np.append(beta, 0.0), inside)
         return out
     finally:

@@ -329,6 +329,28 @@ def test_logistic_selection_before_rounding_and_as_the_query_rounds_it(spark, sf
     assert [tuple(r) for r in rows] == [(v, step, round(p, 6)) for v, step, p in got]
 
 
+def test_logistic_selection_equals_sql_where_p_is_below_any_double(spark, sf, tmp_path):
+    """x4 rules the target and x2 follows it closely: p of both is 0 in double, and x2 is listed first."""
+    cut = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_discount", F.round(F.col("l_discount") * 100)).withColumn("l_extendedprice", 52000 - 1000 * F.col("l_discount"))
+    copies = cut.crossJoin(spark.range(3).withColumnRenamed("id", "copy"))
+    copies.withColumn("l_orderkey", F.col("l_orderkey") + 10_000_000 * F.col("copy")).drop("copy").coalesce(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.Q["stepwise_logistic"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(queries.SQL["stepwise_logistic"]).fetchall()) and ("x4", 1, 0.0) in got
+
+
+@pytest.mark.parametrize("likelihood_ratio", [False, True])
+def test_logistic_selection_takes_the_largest_statistic(spark, likelihood_ratio):
+    r = np.random.default_rng(4)
+    x = r.normal(size=6000)
+    y = (x + 0.5 * r.normal(size=6000) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"weak": x + 0.3 * r.normal(size=6000), "strong": x, "y": y}))
+    got = stepwise.stepwise_logistic(df, ["weak", "strong"], "y", 0.001, likelihood_ratio=likelihood_ratio)
+    assert got == [("strong", 1, 0.0)]
+    assert stepwise.stepwise_logistic(df, ["weak"], "y", 0.001, likelihood_ratio=likelihood_ratio) == [("weak", 1, 0.0)]
+
+
 def test_var_clusters_against_plain_code(spark, sf):
     rows = queries.Q["var_clusters"](spark, sf).collect()
     table = queries.model_table(spark, sf).select(*queries.NUMBERS).toPandas().dropna().astype(float)
